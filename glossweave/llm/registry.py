@@ -3,7 +3,8 @@
 from glossweave.llm.decontaminate import op9_benchmark_decontamination
 from glossweave.llm.line_dedup import OP5_SQL, op5_line_dedup
 from glossweave.llm.packing import op8_vector_packing
+from glossweave.llm.token_counts import op10_token_counts
 from glossweave.llm.token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_line_dedup, op8_vector_packing, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_line_dedup, op8_vector_packing, op9_benchmark_decontamination, op10_token_counts)}
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL}

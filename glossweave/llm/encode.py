@@ -1,54 +1,116 @@
 """Encoding whole texts with a public tokenizer, a chunk at a time.
 
 A pre-tokenizer never lets a token reach from a character that isn't white space over a following space or
-newline. So texts are cut there, every distinct chunk is encoded once by the library, and a text's ids are the
-chunks' ids in a row. Texts with other white space, where the cut isn't safe, go to the library whole.
+newline, nor from a letter or digit over a following full stop or comma. So texts are cut there, the library encodes
+each chunk that isn't remembered, and a text's ids are its chunks' ids in a row. Chunks that are new go to the library
+many in one string, since it is slow on many short ones; they are told apart by the number of bytes that each id
+stands for. Texts and chunks with characters for which this isn't safe go to the library by themselves.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+
+import numpy as np
 
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
 _WORDS = re.compile(r"[^ \n]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: What isn't surely left at as many bytes as it has when normalised.
+_ODD = re.compile(r"[^ \n!-~¡-ÿ]")
+_LONG = 200
 
 
 class Encoder:
     """``drops_space``: the tokenizer has no tokens with white space, so any cut at a space or newline is safe.
 
-    ``encode`` gives little-endian 16-bit ids. ``remembered`` bounds the number of chunks that are kept."""
+    ``encode`` gives little-endian 16-bit ids. ``remembered`` bounds the chunks that are kept: the newest so many, and
+    as many before them as long as they turn up again."""
 
-    def __init__(self, path: str, *, drops_space: bool, remembered: int = 400_000):
+    def __init__(self, path: str, *, drops_space: bool, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        if self.library.get_vocab_size() > 1 << 16:
+        n = self.library.get_vocab_size()
+        if n > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.drops_space, self.remembered, self.known = drops_space, remembered, {}
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        # pieces of byte-level vocabularies have one character for each byte
+        self.bytes_of = np.array([len((self.library.id_to_token(k) or "").removesuffix("</w>")) for k in range(n)])
+        self.drops_space, self.remembered = drops_space, remembered
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with white space or, if that is dropped, are joined by it."""
+        text = (" " if self.drops_space else "").join(chunks)
+        if _ODD.search(text) or any(x in text for x in self.special):
+            odd = [c for c in chunks if _ODD.search(c) or any(x in c for x in self.special)]
+            got = dict(zip(odd, self._direct(odd), strict=True))
+            rest = [c for c in chunks if c not in got]
+            if rest:
+                got.update(zip(rest, self._joined(rest), strict=True))
+            return [got[c] for c in chunks]
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = np.cumsum(self.bytes_of[ids])
+        marks = np.flatnonzero(np.frombuffer("\0".join([*chunks, ""]).encode(), dtype=np.uint8) == 0)
+        sizes = marks - np.arange(len(marks))
+        cuts = np.searchsorted(ends, sizes) + 1
+        if not len(ends) or cuts[-1] > len(ends) or ends[-1] != sizes[-1] or (ends[cuts - 1] != sizes).any():
+            return self._direct(chunks)
+        raw = ids.tobytes()
+        at = [0, *(cuts * 2).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        if self.drops_space:
+            alone = [c for c in chunks if len(c) > _LONG]
+            together = [c for c in chunks if len(c) <= _LONG] if alone else chunks
+        else:
+            alone = [c for c in chunks if c[0] not in " \n" or len(c) > _LONG or c.isspace()]
+            together = list(set(chunks).difference(alone)) if alone else chunks
+        for own, how in ((together, self._joined), (alone, self._direct)):
+            for k in range(0, len(own), 1000):
+                part = own[k : k + 1000]
+                self.known.update(zip(part, how(part), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(texts), 64):
-            out += self._some(texts[k : k + 64])
+        for k in range(0, len(texts), 128):
+            out += self._some(texts[k : k + 128])
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         cut = _WORDS if self.drops_space else _CHUNKS
         parts = [None if not self.drops_space and t and _OTHER_SPACE.search(t) else cut.findall(t or "") for t in texts]
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        new = list({c for p in parts if p for c in p if c not in known})
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self._direct(new[k : k + 20_000]), strict=True))
+        if len(self.known) > self.remembered:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new: set[str] = set()
+        ended: list[str] = []
+        for c in set().union(*(p for p in parts if p)).difference(known):
+            if c in before:
+                known[c] = before[c]
+            elif len(c) > 2 and c[-1] in ".," and c[-2] <= "ÿ" and c[-2].isalnum():
+                ended.append(c)
+                if (stem := c[:-1]) not in known:
+                    if stem in before:
+                        known[stem] = before[stem]
+                    else:
+                        new.add(stem)
+            else:
+                new.add(c)
+        if ended:
+            new.update(x for x in ".," if x not in known)
+        self._learn(list(new))
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1]]
         get = known.__getitem__
         return [self._direct([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 

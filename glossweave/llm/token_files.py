@@ -31,13 +31,20 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _SHIFTS = np.array([0, 8, 16, 24], dtype=np.uint32)
 
 
-def code(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of one document's ranks."""
-    ranks = np.concatenate((ranks, np.zeros(-len(ranks) % 4, dtype=np.uint32))).astype("<u4")
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    control = (extra.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+def code(ranks: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document's ranks, all documents at once."""
+    n = np.array([len(x) for x in ranks], dtype=np.int64)
+    padded = -(-n // 4) * 4
+    ends = np.cumsum(padded)
+    whole = np.zeros(int(padded.sum()), dtype="<u4")
+    whole[np.arange(int(n.sum())) + np.repeat(ends - padded - np.cumsum(n) + n, n)] = np.concatenate(ranks) if len(ranks) else []
+    extra = (whole > 0xFF).astype(np.uint8) + (whole > 0xFFFF) + (whole > 0xFFFFFF)
+    four = extra.reshape(-1, 4)
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    data = whole.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    stops = np.concatenate(([0], np.cumsum(extra.astype(np.int64) + 1)))[np.concatenate(([0], ends))].tolist()
+    cuts = np.concatenate(([0], ends // 4)).tolist()
+    return [control[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], [data[x:y] for x, y in zip(stops, stops[1:], strict=False)]
 
 
 def decode(control: bytes, data: bytes) -> np.ndarray:
@@ -69,8 +76,9 @@ def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for x in batch.column("ids").to_pylist():
-            total += np.bincount(np.frombuffer(x, dtype="<u2"), minlength=1 << 16)
+        for k in range(0, batch.num_rows, 256):
+            whole = b"".join(batch.column("ids").slice(k, 256).to_pylist())
+            total += np.bincount(np.frombuffer(whole, dtype="<u2"), minlength=1 << 16)
     ids = np.flatnonzero(total)
     yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
 
@@ -82,8 +90,8 @@ def _code(rank_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = [np.frombuffer(x, dtype="<u2") for x in part.column("ids").to_pylist()]
-                coded = [code(ranks[x]) for x in ids]
-                yield pa.record_batch([part.column("doc_id"), part.column("part"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], names=["doc_id", "part", "n", "control", "data"])
+                control, data = code([ranks[x] for x in ids])
+                yield pa.record_batch([part.column("doc_id"), part.column("part"), pa.array([len(x) for x in ids], pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
 
     return run
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossweave.functions.text import base_forms, folded, preserved_tokens, sentences, without_controls
 from glossweave.operators import evidence, memory, qa, sampling, sequence, terms
 from glossweave.sources import derived
+from glossweave.shipping import ship
 from glossweave.sources.derived import GLOSSARY, table
 from glossweave.streaming import event_log
 
@@ -19,7 +20,11 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
+from glossweave.plans import more  # noqa: F401  adds to the catalogue
 from glossweave.plans.catalogue import QUERIES, SQL
 
-TABLES = ("documents", "conversations", "labels", "events")
+TABLES = ("documents", "conversations", "labels", "events", "nation")
 
 
 def _plain(v):

@@ -16,8 +16,9 @@ from array import array
 import numpy as np
 
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORDS = re.compile(r"[^ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
+#: Where one space or newline between two words isn't all the white space there is.
+_UNEVEN = re.compile(r"^[ \n]|[ \n](?:[ \n]|\Z)|[^\S \n]|\0")
 #: What isn't surely left at as many bytes as it has when normalised.
 _ODD = re.compile(r"[^ \n!-~¡-ÿ]")
 _LONG = 200
@@ -41,8 +42,9 @@ class Encoder:
         # pieces of byte-level vocabularies have one character for each byte
         self.bytes_of = np.array([len((self.library.id_to_token(k) or "").removesuffix("</w>")) for k in range(n)])
         self.drops_space, self.remembered = drops_space, remembered
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
+        self.tail = dict(zip(".,", self._direct([*".,"]), strict=True))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,29 +70,41 @@ class Encoder:
         at = [0, *(cuts * 2).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _keys(self, text: str) -> list[str] | None:
+        """Of each chunk. A key is the chunk without the space it begins with; with a newline it begins with; or after a
+        NUL as it is. None if only the whole text is safe."""
         if self.drops_space:
-            alone = [c for c in chunks if len(c) > _LONG]
-            together = [c for c in chunks if len(c) <= _LONG] if alone else chunks
+            return text.replace("\n", " ").split(" ")
+        if not _UNEVEN.search(text):
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\0" + keys[0] if keys[0] else ""
+            return keys
+        if _OTHER_SPACE.search(text):
+            return None
+        return [c[1:] if c[0] == " " and c[1:2] not in (" ", "\n", "") else "\0" + c for c in _CHUNKS.findall(text)]
+
+    def _learn(self, keys: list[str]) -> None:
+        if self.drops_space:
+            chunks, alone = keys, [len(k) > _LONG for k in keys]
         else:
-            alone = [c for c in chunks if c[0] not in " \n" or len(c) > _LONG or c.isspace()]
-            together = list(set(chunks).difference(alone)) if alone else chunks
-        for own, how in ((together, self._joined), (alone, self._direct)):
-            for k in range(0, len(own), 1000):
-                part = own[k : k + 1000]
-                self.known.update(zip(part, how(part), strict=True))
+            chunks = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in keys]
+            alone = [k[0] == "\0" or k == "\n" or len(k) > _LONG for k in keys]
+        for how, kind in ((self._joined, False), (self._direct, True)):
+            own = [(k, c) for k, c, x in zip(keys, chunks, alone, strict=True) if x == kind]
+            for at in range(0, len(own), 1000):
+                k, c = zip(*own[at : at + 1000], strict=True)
+                self.known.update(zip(k, how(list(c)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for k in range(0, len(texts), 128):
-            out += self._some(texts[k : k + 128])
+        for k in range(0, len(texts), 256):
+            out += self._some(texts[k : k + 256])
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
-        cut = _WORDS if self.drops_space else _CHUNKS
-        parts = [None if not self.drops_space and t and _OTHER_SPACE.search(t) else cut.findall(t or "") for t in texts]
+        parts = [self._keys(t or "") for t in texts]
         if len(self.known) > self.remembered:
-            self.before, self.known = self.known, {}
+            self.before, self.known = self.known, {"": b""}
         known, before = self.known, self.before
         new: set[str] = set()
         ended: list[str] = []
@@ -106,11 +120,9 @@ class Encoder:
                         new.add(stem)
             else:
                 new.add(c)
-        if ended:
-            new.update(x for x in ".," if x not in known)
         self._learn(list(new))
         for c in ended:
-            known[c] = known[c[:-1]] + known[c[-1]]
+            known[c] = known[c[:-1]] + self.tail[c[-1]]
         get = known.__getitem__
         return [self._direct([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 

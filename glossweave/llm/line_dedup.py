@@ -8,7 +8,8 @@ dropped. A line that repeats within a page counts once for it. A null host is a
 null, a page whose lines all go keeps its row with an empty text. Lines are counted by a 128-bit key, so the
 count never moves their text. Counts are summed before the shuffle, so a host or line with a third of all rows is
 one row per task; a host has at most (lines per page) / ``ratio`` boilerplate lines, which bounds the array that
-is joined back. That join is left to Spark, which broadcasts it below its threshold and splits hot hosts beyond.
+is joined back. The array is broadcast if
+the lines were counted to be few; beyond that the join is left to Spark, which splits hot hosts.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import table
+from glossweave.llm.common import table, written
 
 RATIO, MIN_PAGES = 0.1, 3
+#: At 16 bytes each, and the hosts' names, 4 MB or so are broadcast.
+BROADCAST_LINES = 200_000
 
 
 def _key(line: Column) -> Column:
@@ -38,7 +41,9 @@ def boilerplate(pages: DataFrame, *, host: Column, text: Column, ratio: float, m
 def drop_boilerplate_lines(pages: DataFrame, *, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, count_as: tuple[str, str] | None = None) -> DataFrame:
     """``pages`` with its columns and less text. ``count_as``: names of two more columns, for the lines before and the lines dropped."""
     found = boilerplate(pages, host=host, text=F.col(text_col), ratio=ratio, min_pages=min_pages)
-    found = found.select(F.struct("host", "drop").alias("__boilerplate"))
+    found = written(found.select(F.struct("host", "drop").alias("__boilerplate")))
+    if (found.agg(F.sum(F.size("__boilerplate.drop") + 1).alias("n")).first()["n"] or 0) <= BROADCAST_LINES:
+        found = F.broadcast(found)
     key = F.coalesce(F.concat(F.lit("h"), host), F.lit(""))
     whole = pages.withColumn("__host", key).join(found, F.col("__host") == F.col("__boilerplate.host"), "left")
     keep = F.filter(F.split(text_col, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("__boilerplate.drop"), _key(F.trim(x))), F.lit(False)))

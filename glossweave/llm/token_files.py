@@ -31,13 +31,19 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _SHIFTS = np.array([0, 8, 16, 24], dtype=np.uint32)
 
 
-def code(ranks: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-    """Control bytes and data bytes of each document's ranks, all documents at once."""
-    n = np.array([len(x) for x in ranks], dtype=np.int64)
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """16-bit ids of all rows of a binary column, and the number of each row's."""
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]].view("<u2") if raw and at[-1] > at[0] else np.zeros(0, dtype="<u2"), np.diff(at) // 2
+
+
+def code(ranks: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document, of which all ranks come in a row and the number of each."""
     padded = -(-n // 4) * 4
     ends = np.cumsum(padded)
     whole = np.zeros(int(padded.sum()), dtype="<u4")
-    whole[np.arange(int(n.sum())) + np.repeat(ends - padded - np.cumsum(n) + n, n)] = np.concatenate(ranks) if len(ranks) else []
+    whole[np.arange(len(ranks)) + np.repeat(ends - padded - np.cumsum(n) + n, n)] = ranks
     extra = (whole > 0xFF).astype(np.uint8) + (whole > 0xFFFF) + (whole > 0xFFFFFF)
     four = extra.reshape(-1, 4)
     control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
@@ -77,8 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
-            whole = b"".join(batch.column("ids").slice(k, 256).to_pylist())
-            total += np.bincount(np.frombuffer(whole, dtype="<u2"), minlength=1 << 16)
+            total += np.bincount(flat(batch.column("ids").slice(k, 256))[0], minlength=1 << 16)
     ids = np.flatnonzero(total)
     yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["id", "n"])
 
@@ -89,9 +94,9 @@ def _code(rank_of) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [np.frombuffer(x, dtype="<u2") for x in part.column("ids").to_pylist()]
-                control, data = code([ranks[x] for x in ids])
-                yield pa.record_batch([part.column("doc_id"), part.column("part"), pa.array([len(x) for x in ids], pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
+                ids, n = flat(part.column("ids"))
+                control, data = code(ranks[ids], n)
+                yield pa.record_batch([part.column("doc_id"), part.column("part"), pa.array(n), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "part", "n", "control", "data"])
 
     return run
 

@@ -1,10 +1,10 @@
 """Encoding whole texts with a public tokenizer, a chunk at a time.
 
 A pre-tokenizer never lets a token reach from a character that isn't white space over a following space or
-newline, nor from a letter or digit over a following full stop or comma. So texts are cut there, the library encodes
-each chunk that isn't remembered, and a text's ids are its chunks' ids in a row. Chunks that are new go to the library
-many in one string, since it is slow on many short ones; they are told apart by the number of bytes that each id
-stands for. Texts and chunks with characters for which this isn't safe go to the library by themselves.
+newline, nor from a letter or digit over a following mark that isn't an apostrophe. So texts are cut there, chunks are
+remembered, and a text's ids are its chunks' ids in a row. A word of letters goes to the library's model by itself,
+any other chunk that is new to the whole library. Texts with characters for which a cut isn't safe go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -12,70 +12,69 @@ from __future__ import annotations
 import os
 import re
 from array import array
-
-import numpy as np
+from collections.abc import Callable
 
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|\0")
-#: Where one space or newline between two words isn't all the white space there is.
-_UNEVEN = re.compile(r"^[ \n]|[ \n](?:[ \n]|\Z)|[^\S \n]|\0")
-#: What isn't surely left at as many bytes as it has when normalised.
-_ODD = re.compile(r"[^ \n!-~¡-ÿ]")
+_OTHER_SPACES = [c for c in map(chr, range(0x3001)) if _OTHER_SPACE.match(c)]
+#: Marks at a chunk's end that no special token holds and that begin no contraction.
+_MARKS = '.,;:!?#$%&*()+-=@"'
 _LONG = 200
 
 
+def _uneven(text: str) -> bool:
+    """Whether one space or newline between two words isn't all the white space there is."""
+    ends = text[:1] + text[-1:]
+    return " " in ends or "\n" in ends or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(x in text for x in _OTHER_SPACES)
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and number the others from U+0100 on."""
+    others = [b for b in range(256) if not (0x21 <= b <= 0x7E or (0xA1 <= b and b != 0xAD))]
+    return {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+class _Memory(dict):
+    """Learns what it is asked for and lacks."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.learn(key)
+        return value
+
+
 class Encoder:
     """``drops_space``: the tokenizer has no tokens with white space, so any cut at a space or newline is safe.
 
     ``encode`` gives little-endian 16-bit ids. ``remembered`` bounds the chunks that are kept: the newest so many, and
     as many before them as long as they turn up again."""
 
-    def __init__(self, path: str, *, drops_space: bool, remembered: int = 300_000):
+    def __init__(self, path: str, *, drops_space: bool, remembered: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        n = self.library.get_vocab_size()
-        if n > 1 << 16:
+        if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        # pieces of byte-level vocabularies have one character for each byte
-        self.bytes_of = np.array([len((self.library.id_to_token(k) or "").removesuffix("</w>")) for k in range(n)])
         self.drops_space, self.remembered = drops_space, remembered
-        self.known: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        self.tail = dict(zip(".,", self._direct([*".,"]), strict=True))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words_alone = not any(x.isalpha() for x in special)
+        self.marks = "".join(c for c in _MARKS if not any(c in x for x in special))
+        self.merge, self.characters = self.library.model.tokenize, _byte_characters()
+        self.known, self.before = _Memory(self._learn), {}
+        self.tails = _Memory(lambda x: self._direct([x])[0])
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that begin with white space or, if that is dropped, are joined by it."""
-        text = (" " if self.drops_space else "").join(chunks)
-        if _ODD.search(text) or any(x in text for x in self.special):
-            odd = [c for c in chunks if _ODD.search(c) or any(x in c for x in self.special)]
-            got = dict(zip(odd, self._direct(odd), strict=True))
-            rest = [c for c in chunks if c not in got]
-            if rest:
-                got.update(zip(rest, self._joined(rest), strict=True))
-            return [got[c] for c in chunks]
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
-        ends = np.cumsum(self.bytes_of[ids])
-        marks = np.flatnonzero(np.frombuffer("\0".join([*chunks, ""]).encode(), dtype=np.uint8) == 0)
-        sizes = marks - np.arange(len(marks))
-        cuts = np.searchsorted(ends, sizes) + 1
-        if not len(ends) or cuts[-1] > len(ends) or ends[-1] != sizes[-1] or (ends[cuts - 1] != sizes).any():
-            return self._direct(chunks)
-        raw = ids.tobytes()
-        at = [0, *(cuts * 2).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
     def _keys(self, text: str) -> list[str] | None:
         """Of each chunk. A key is the chunk without the space it begins with; with a newline it begins with; or after a
         NUL as it is. None if only the whole text is safe."""
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if not _UNEVEN.search(text):
+        if not _uneven(text):
             keys = text.replace("\n", " \n").split(" ")
             keys[0] = "\0" + keys[0] if keys[0] else ""
             return keys
@@ -83,48 +82,39 @@ class Encoder:
             return None
         return [c[1:] if c[0] == " " and c[1:2] not in (" ", "\n", "") else "\0" + c for c in _CHUNKS.findall(text)]
 
-    def _learn(self, keys: list[str]) -> None:
+    def _learn(self, key: str) -> bytes:
+        if (value := self.before.get(key)) is not None:
+            return value
+        if self.words_alone and key.isalpha() and len(key) <= _LONG and (key.isascii() or max(key) <= "ÿ"):
+            return self._word(key.lower() if self.drops_space else " " + key)
+        stem = key.rstrip(self.marks)
+        if 1 < len(stem) < len(key) <= len(stem) + 8 and stem[-1] <= "ÿ" and stem[-1].isalnum():
+            return self.known[stem] + self.tails[key[len(stem) :]]
+        if not key:
+            return b""
         if self.drops_space:
-            chunks, alone = keys, [len(k) > _LONG for k in keys]
-        else:
-            chunks = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in keys]
-            alone = [k[0] == "\0" or k == "\n" or len(k) > _LONG for k in keys]
-        for how, kind in ((self._joined, False), (self._direct, True)):
-            own = [(k, c) for k, c, x in zip(keys, chunks, alone, strict=True) if x == kind]
-            for at in range(0, len(own), 1000):
-                k, c = zip(*own[at : at + 1000], strict=True)
-                self.known.update(zip(k, how(list(c)), strict=True))
+            return self._direct([key])[0]
+        if key[0] == "\n" and self.words_alone and key[1:].isalpha() and len(key) <= _LONG and max(key) <= "ÿ":
+            return self.tails["\n"] + self._word(key[1:])
+        return self._direct([key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key])[0]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), 256):
-            out += self._some(texts[k : k + 256])
-        return out
+    def _word(self, text: str) -> bytes:
+        """Letters up to U+00FF, which are one pre-token with the space before them; the model takes those as they are."""
+        text = (text if text.isascii() else text.encode().decode("latin-1")).translate(self.characters)
+        return array("H", [t.id for t in self.merge(text)]).tobytes()
 
-    def _some(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self._keys(t or "") for t in texts]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [self._one(t) if t else b"" for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        keys = self._keys(text)
+        if keys is None:
+            return self._direct([text])[0]
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         if len(self.known) > self.remembered:
-            self.before, self.known = self.known, {"": b""}
-        known, before = self.known, self.before
-        new: set[str] = set()
-        ended: list[str] = []
-        for c in set().union(*(p for p in parts if p)).difference(known):
-            if c in before:
-                known[c] = before[c]
-            elif len(c) > 2 and c[-1] in ".," and c[-2] <= "ÿ" and c[-2].isalnum():
-                ended.append(c)
-                if (stem := c[:-1]) not in known:
-                    if stem in before:
-                        known[stem] = before[stem]
-                    else:
-                        new.add(stem)
-            else:
-                new.add(c)
-        self._learn(list(new))
-        for c in ended:
-            known[c] = known[c[:-1]] + self.tail[c[-1]]
-        get = known.__getitem__
-        return [self._direct([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+            self.before, self.known = self.known, _Memory(self._learn)
+        return b"".join(map(self.known.__getitem__, keys))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

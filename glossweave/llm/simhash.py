@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +119,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-SIMILAR_BITS = 20
 _BANDS, _ROWS = 12, 3
+#: Bytes of text that a task verifies, on average; in a shuffle repeated texts look far smaller than they are.
+VERIFY_BYTES = 16 << 20
 _A = np.random.default_rng(13).integers(1, 1 << 63, (_BANDS * _ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(17).integers(1, 1 << 63, (_BANDS * _ROWS, 1), dtype=np.uint64)
 
@@ -139,9 +141,9 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                hashes = [shingle_hashes(t, size) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                hashes = [list(set(shingle_hashes(t, size))) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 bands = pa.array([_bands(h) for h in hashes], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column("doc_id"), fingerprints(hashes), bands], names=["doc_id", "fp", "bands"])
+                yield pa.record_batch([part.column("doc_id"), fingerprints(hashes), pa.array([len(h) for h in hashes], pa.int64()), bands, pc.binary_length(part.column("text")).cast(pa.int64())], names=["doc_id", "fp", "size", "bands", "octets"])
 
     return run
 
@@ -151,12 +153,14 @@ def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
         last: tuple[bytes | None, set] = (None, set())
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").cast(pa.binary()).to_pylist(), batch.column("y").cast(pa.binary()).to_pylist(), strict=True):
-                if last[0] != x:
-                    last = (x, set(shingle_hashes(x, size)))
-                other = set(shingle_hashes(y, size))
-                both = len(last[1] & other)
-                keep.append(both >= least * (len(last[1]) + len(other) - both))
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                for x, y in zip(part.column("x").cast(pa.binary()).to_pylist(), part.column("y").cast(pa.binary()).to_pylist(), strict=True):
+                    if last[0] != x:
+                        last = (x, set(shingle_hashes(x, size)))
+                    other = set(shingle_hashes(y, size))
+                    both = len(last[1] & other)
+                    keep.append(both >= least * (len(last[1]) + len(other) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -165,31 +169,35 @@ def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component) of all texts whose sets of ``words``-word shingles are linked by similarities of ``least`` or more.
 
-    Such fingerprints may differ in many bits, so pairs are met by shared least shingles (a pair at 0.8 shares one of
-    the keys but once in 6,000), discarded by pivot coordinates and distance, and verified on their texts. First every text meets the
+    Such fingerprints may differ in many bits, so no pair is discarded by their distance, and pairs are met by shared
+    least shingles (a pair at 0.8 shares one of the keys but once in 5,500). A pair whose sets differ so much in size that
+    ``least`` is out of reach is discarded, which loses none, and the rest are verified on their texts. First every text meets the
     most connected one of each of its key's texts; then, within a key, only texts meet that this left in
     different components, so a large group costs a row for each member and not for each pair."""
     ship(docs.sparkSession)
     own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = written(own.filter("doc_id IS NOT NULL").mapInArrow(_sketch(words), "doc_id long, fp long, bands array<long>").withColumn("sig", F.xxhash64("bands")))
-    nodes = written(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    packed = nodes.select("rep", "fp", sum((F.shiftleft(_coordinate(F.col("fp"), j), 8 * j) for j in range(1, 8)), _coordinate(F.col("fp"), 0)).alias("whole"), F.explode("bands").alias("key"))
+    prints = written(own.filter("doc_id IS NOT NULL").mapInArrow(_sketch(words), "doc_id long, fp long, size long, bands array<long>, octets long").withColumn("sig", F.xxhash64("bands", "size")))
+    nodes = written(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    packed = nodes.select("rep", "size", F.explode("bands").alias("key"))
     shared = packed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = written(packed.join(shared, "key"))
     known = live.groupBy("rep").agg(F.sum("n").alias("met"))
-    lead = live.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "fp", "whole")).alias("top"))
-    lead = lead.select("key", (-F.col("top.minus")).alias("rep"), F.col("top.fp").alias("fp"), F.col("top.whole").alias("whole"))
+    lead = live.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "size")).alias("top"))
+    lead = lead.select("key", (-F.col("top.minus")).alias("rep"), F.col("top.size").alias("size"))
 
     def verified(met: DataFrame) -> DataFrame:
         pairs = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
         needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
         texts = written(own.join(needed, "doc_id", "left_semi"))
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+        each = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).join(prints.select("doc_id", "octets"), "doc_id")
+        octets = each.agg(F.sum("octets").alias("n")).first()["n"] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-octets // VERIFY_BYTES))
+        both = pairs.join(texts.toDF("a", "x"), "a").repartition(parts, "b").join(texts.toDF("b", "y").repartition(parts, "b"), "b")
         return written(both.mapInArrow(_alike(words, least), "a long, b long"))
 
-    near = _close("a", "b", SIMILAR_BITS)
+    near = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size")
     first = verified(lead.alias("a").join(live.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & near))
-    grouped = live.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "fp", "whole", F.coalesce("component", "rep").alias("group"))
+    grouped = live.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("group"))
     grouped = written(grouped)
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.group") != F.col("b.group")) & near
     second = verified(grouped.alias("a").join(grouped.alias("b"), apart))

@@ -9,7 +9,7 @@ from glossweave.llm import decontaminate
 from glossweave.llm.components import components
 from glossweave.llm.lattice import decode, near_duplicate_vectors, op2_lattice_hashing
 from glossweave.llm.line_dedup import OP5_SQL, drop_boilerplate_lines, op5_line_dedup
-from glossweave.llm.simhash import keep_one_of_each, links, op1_simhash_pivots, simhash_components
+from glossweave.llm.simhash import keep_one_of_each, links, op1_simhash_pivots, similar_components, simhash_components
 
 F = pytest.importorskip("pyspark.sql.functions")
 
@@ -199,3 +199,30 @@ def test_decontamination(spark, sf_dir):
     want = decontaminate.brute_force(rows, tests)
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.op9_benchmark_decontamination(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_near_texts_of_unlike_repeats_and_of_few_words(spark):
+    r = np.random.default_rng(6)
+    texts, pairs = [], []
+
+    def add(a, b, near):
+        texts.extend([a, b])
+        pairs.append((len(texts) - 2, len(texts) - 1, near))
+
+    # the same shingles, a line often repeated in one of both: similarity 1 or nearly
+    for k in range(12):
+        body = [f"b{k}x{n}" for n in range(300)]
+        line = [f"l{k}x{n}" for n in range(12)]
+        add(" ".join(body + 2 * line), " ".join(body + (20 + 8 * k) * line), True)
+    # few words: 5 shingles of which 4 are the other's, a similarity of 0.8; and 4 of which 3 are, 0.75
+    for k in range(600):
+        add(" ".join(f"s{k}x{n}" for n in range(9)), " ".join(f"s{k}x{n}" for n in range(8)), True)
+    for k in range(50):
+        add(" ".join(f"t{k}x{n}" for n in range(8)), " ".join(f"t{k}x{n}" for n in range(7)), False)
+    order = r.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame([(order[k], t) for k, t in enumerate(texts)], "doc_id long, text string")
+    of = {x["doc_id"]: x["component"] for x in similar_components(docs).collect()}
+    met = [(near, of[order[a]] == of[order[b]]) for a, b, near in pairs]
+    assert all(got for near, got in met[:12])
+    assert sum(got for near, got in met[12:612]) >= 599
+    assert not any(got for near, got in met[612:])

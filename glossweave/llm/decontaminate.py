@@ -4,8 +4,9 @@ The items' words go into one suffix automaton. Each task streams the words of it
 every word the automaton knows the longest item passage that ends there. A passage of ``window`` words or more,
 or a whole item shorter than that, is a leak and its words are hit.
 
-The automaton is broadcast, so its input is measured first: items are cut into shards of at most ``shard_bytes``
-of text, each shard gets its own automaton and its own pass, and the spans of all passes are united per document.
+The items are broadcast, so they are measured first and cut into shards of about ``shard_bytes`` of text. Each shard
+gets its own pass, whose tasks build its automaton, and the spans of all passes are united per row: with several shards
+every row gets a key of its own first, so ids may repeat or be null. The number of shards doesn't change results.
 
 Null and empty texts have no words; items without words match nothing; repeated items each count; an empty
 table of items hits nothing. Other columns of either table are not read.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table
+from glossweave.llm.common import own_columns, ship, table, written
 
 #: Bytes that separate words become spaces, A-Z become a-z; digits, a-z and all beyond ASCII stay.
 _BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -140,11 +141,36 @@ class Automaton:
         return got, found
 
 
-def _scan(automaton) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+#: The shard that this Python worker has built last, and its automaton.
+_LAST: list = [None, None]
 
+
+def _built(shared) -> Automaton:
+    items, window = shared.value
+    if _LAST[0] is not items:
+        _LAST[:] = [None, None]  # one automaton in memory
+        _LAST[:] = [items, Automaton([(item, words(text.encode())) for item, text in items], window)]
+    return _LAST[1]
+
+
+def _shards(benchmark: DataFrame, *, item_col: str, item_text_col: str, window: int, shard_bytes: int) -> list:
+    """Broadcasts of the items' texts, with the window."""
+    items = own_columns(benchmark, item=item_col, text=item_text_col).withColumn("item", F.col("item").cast("long"))
+    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    shards = -(-size // shard_bytes) or 1
+    out = []
+    for k in range(shards):
+        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
+        out.append(benchmark.sparkSession.sparkContext.broadcast((sorted((r["item"], r["text"]) for r in own.collect() if r["text"] and r["item"] is not None), window)))
+    return out
+
+
+_LIST = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
+        a = _built(shared)
         for batch in batches:
             n, spans, items = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -153,7 +179,9 @@ def _scan(automaton) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 n.append(len(text))
                 spans.append([{"first": x, "last": y} for x, y in got])
                 items.append(sorted(found))
-            yield pa.record_batch([batch.column("doc_id"), n, spans, items], schema=kind)
+            names = [c for c in batch.schema.names if c != "text"]
+            found = [pa.array(n, pa.int64()), pa.array(spans, _LIST), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.record_batch([*(batch.column(c) for c in names), *found], names=[*names, "n_words", "spans", "items"])
 
     return scan
 
@@ -178,48 +206,47 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     docs = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    items = own_columns(benchmark, item=item_col, text=item_text_col).withColumn("item", F.col("item").cast("long"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards = -(-size // shard_bytes) or 1
-    passes = []
-    for k in range(shards):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        automaton = Automaton(sorted((r["item"], words(r["text"].encode())) for r in own.collect() if r["text"] and r["item"] is not None), window)
-        passes.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(automaton)), SPANS))
-    if shards == 1:
-        return passes[0]
-    whole = passes[0]
-    for more in passes[1:]:
-        whole = whole.unionByName(more)
+    shards = _shards(benchmark, item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
+    if len(shards) == 1:
+        return docs.mapInArrow(_scan(shards[0]), SPANS)
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    first, *rest = [keyed.mapInArrow(_scan(s), f"key long, {SPANS}") for s in shards]
+    for more in rest:
+        first = first.unionByName(more.filter("size(spans) > 0"))
     return (
-        whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        first.groupBy("key", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("key")
         .mapInArrow(_unite, SPANS)
     )
 
 
-def _cut(automaton, max_coverage: float):
+def _cut(shared, max_coverage: float):
+    """Of rows with ``__spans``, those are cut; of others, what ``shared`` finds."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
+        a = _built(shared) if shared else None
         for batch in batches:
             texts, keep = [], []
-            for text in batch.column("text").to_pylist():
-                clean, kept = _without(a, text, max_coverage)
+            own = batch.column("text").to_pylist()
+            given = [None] * len(own) if a else batch.column("__spans").to_pylist()
+            for text, spans in zip(own, given, strict=True):
+                raw = text.encode() if text else b""
+                at = words(raw)
+                spans = a.spans(at)[0] if a else [(x["first"], x["last"]) for x in spans or ()]
+                clean, kept = _without(text, raw, len(at), spans, max_coverage)
                 texts.append(clean)
                 keep.append(kept)
+            batch = batch if a else batch.drop_columns(["__spans"])
             batch = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(texts, batch.schema.field("text").type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return cut
 
 
-def _without(a: Automaton, text: str | None, max_coverage: float) -> tuple[str | None, bool]:
+def _without(text: str | None, raw: bytes, n_words: int, spans: list[tuple[int, int]], max_coverage: float) -> tuple[str | None, bool]:
     """The text without the characters from a stretch's first word to its last; and whether enough of it was clean."""
-    raw = text.encode() if text else b""
-    own = words(raw)
-    spans, _ = a.spans(own)
     if not spans:
         return text, True
-    if sum(y - x + 1 for x, y in spans) > max_coverage * len(own):
+    if sum(y - x + 1 for x, y in spans) > max_coverage * n_words:
         return text, False
     at = np.frombuffer(raw.translate(_BYTES), dtype=np.uint8) != 0x20
     edges = np.flatnonzero(np.diff(np.concatenate(([False], at, [False])))).reshape(-1, 2)
@@ -232,15 +259,20 @@ def _without(a: Automaton, text: str | None, max_coverage: float) -> tuple[str |
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.5, shard_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with its columns, leaked stretches cut out of the text; documents with more than ``max_coverage`` of their words leaked go."""
-    spark = docs.sparkSession
-    ship(spark)
-    items = own_columns(benchmark, item=item_col, text=item_text_col).withColumn("item", F.col("item").cast("long"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    if size > shard_bytes:
-        raise ValueError(f"{size} bytes of items; cut the table into parts of {shard_bytes} bytes and apply one after the other")
-    automaton = Automaton(sorted((r["item"], words(r["text"].encode())) for r in items.collect() if r["text"] and r["item"] is not None), window)
+    ship(docs.sparkSession)
+    shards = _shards(benchmark, item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
     renamed = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    out = renamed.mapInArrow(_cut(spark.sparkContext.broadcast(automaton), max_coverage), renamed.schema)
+    if len(shards) == 1:
+        out = renamed.mapInArrow(_cut(shards[0], max_coverage), renamed.schema)
+    else:
+        keyed = written(renamed.select(F.monotonically_increasing_id().alias("key"), F.struct(*renamed.columns).alias("row")))
+        texts = keyed.select("key", "row.text")
+        first, *rest = [texts.mapInArrow(_scan(s), "key long, n_words long, spans array<struct<first:long,last:long>>, items array<long>").filter("size(spans) > 0").select("key", "spans") for s in shards]
+        for more in rest:
+            first = first.unionByName(more)
+        hits = first.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_unite, "key long, spans array<struct<first:long,last:long>>")
+        both = keyed.join(hits, "key", "left").select("row.*", F.col("spans").alias("__spans"))
+        out = both.mapInArrow(_cut(None, max_coverage), renamed.schema)
     return out.withColumnRenamed("text", text_col) if text_col != "text" else out
 
 

@@ -226,3 +226,26 @@ def test_near_texts_of_unlike_repeats_and_of_few_words(spark):
     assert all(got for near, got in met[:12])
     assert sum(got for near, got in met[12:612]) >= 599
     assert not any(got for near, got in met[612:])
+
+
+def test_shards_of_items_keep_rows_of_repeated_and_null_ids_apart(spark):
+    a, b = (" ".join(f"{x}{n}" for n in range(12)) for x in "pq")
+    items = spark.createDataFrame([(1, a), (2, b), (3, "three short words"), (4, " ".join(f"p{n}" for n in range(6, 20)))], "item_id long, text string")
+    texts = [a + " x" * 30, "y " * 40 + b, "clean", None, f"{a} p12 p13 {b}" + " z" * 99, "three short words and more words here", f"u v {b} w", ""]
+    ids = [7, 7, 7, None, None, 8, None, 8]
+    docs = spark.createDataFrame([(i, t, k, "s") for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, key long, spans string").repartition(3)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    one = rows(decontaminate.leak_spans(docs, items))
+    assert len(one) == len(texts)
+    kept = rows(decontaminate.remove_leaks(docs, items))
+    assert len(kept) < len(texts)
+    for shard in (20, 60, 150):
+        assert rows(decontaminate.leak_spans(docs, items, shard_bytes=shard)) == one
+        few = decontaminate.remove_leaks(docs, items, shard_bytes=shard)
+        assert few.columns == docs.columns
+        assert rows(few) == kept
+    body = docs.withColumnRenamed("text", "body")
+    assert rows(decontaminate.remove_leaks(body, items, text_col="body", shard_bytes=60)) == kept

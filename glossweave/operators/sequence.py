@@ -117,16 +117,25 @@ def roles(segments: DataFrame) -> DataFrame:
     return segments.select(F.floor(F.col("seg_idx") / 10).cast("int").alias("section"), role.alias("role")).rollup("role", "section").agg(F.count("*").alias("n")).filter("role IS NOT NULL")
 
 
+def token_counts(docs: DataFrame, *, least_length: int = 1) -> DataFrame:
+    """How often each word occurs, ASCII letters in lower case; all words of some length."""
+    each = docs.select(F.explode(words(F.col("text"), least_length)).alias("w")).select(F.lower("w").alias("token"))
+    return each.groupBy("token").agg(F.count("*").alias("n"))
+
+
 def token_frequency(docs: DataFrame, *, top: int = 1000) -> DataFrame:
-    """The most frequent words, ASCII letters in lower case."""
-    each = docs.select(F.explode(words(F.col("text"))).alias("w")).select(F.lower("w").alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(top)
+    """The most frequent of ``token_counts``."""
+    return token_counts(docs).orderBy(F.desc("n"), "token").limit(top)
+
+
+def rare_tokens(docs: DataFrame, *, most: int = 8, least_length: int = 4) -> DataFrame:
+    """Words of some length that occur fewer than ``most`` times, with their counts."""
+    return token_counts(docs, least_length=least_length).filter(F.col("n") < most)
 
 
 def rare_words(docs: DataFrame, *, most: int = 8, least_length: int = 4) -> DataFrame:
-    """Words of some length that occur fewer than ``most`` times; how many of each count there are."""
-    each = docs.select(F.explode(words(F.col("text"), least_length)).alias("w")).select(F.lower("w").alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") < most).groupBy("n").agg(F.count("*").alias("tokens"))
+    """How many of ``rare_tokens`` there are of each count."""
+    return rare_tokens(docs, most=most, least_length=least_length).groupBy("n").agg(F.count("*").alias("tokens"))
 
 
 def boilerplate(docs: DataFrame, segs: DataFrame) -> DataFrame:

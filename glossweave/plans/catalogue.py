@@ -355,6 +355,16 @@ def rare_words(spark, d):
     return sequence.rare_words(_docs(spark, d))
 
 
+@query("SELECT lower(w) AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1")
+def all_token_counts(spark, d):
+    return sequence.token_counts(_docs(spark, d))
+
+
+@query("SELECT lower(w) AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents) GROUP BY 1 HAVING count(*) < 8")
+def rare_tokens(spark, d):
+    return sequence.rare_tokens(_docs(spark, d))
+
+
 @query(rf"WITH {_SEG}, s AS (SELECT DISTINCT source, doc_id, regexp_replace(seg.text, '\d+', '#', 'g') AS line FROM seg JOIN documents USING (doc_id) WHERE length(seg.text) < 80), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) SELECT source, line, n FROM (SELECT source, line, count(*) AS n FROM s GROUP BY ALL) JOIN p USING (source) WHERE n >= greatest(5, 0.2 * pages)")
 def boilerplate_lines(spark, d):
     docs = _docs(spark, d)

@@ -114,3 +114,12 @@ def test_event_stream(spark, tmp_path):
     read = event_log.read_log(spark, str(log))
     assert {(r["batch"], r["phase"]) for r in event_log.last_phase(read).collect()} == {(1, "tm_promotion_pending"), (2, "generation_done")}
     assert [r["batch"] for r in event_log.unpromoted(read).collect()] == [1]
+
+
+def test_every_token_is_counted(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"rare{letters[k // 26 // 26 % 26]}{letters[k // 26 % 26]}{letters[k % 26]}" for k in range(1500)]
+    docs = spark.createDataFrame([(1, " ".join(["Common"] * 9 + rare)), (2, "common " + " ".join(rare[:5])), (3, None)], "doc_id long, text string")
+    want = {**{w: 2 if k < 5 else 1 for k, w in enumerate(rare)}, "common": 10}
+    assert {r["token"]: r["n"] for r in sequence.token_counts(docs).collect()} == want
+    assert {r["token"]: r["n"] for r in sequence.rare_tokens(docs).collect()} == {w: n for w, n in want.items() if n < 8}

@@ -6,11 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_MADE: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,20 +53,52 @@ def written(df: DataFrame, *, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_at)
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A place for a table. The application's folder goes with the application, whatever is left in it."""
+    folder = shared_dir(spark)
+    fs, p = _file_system(spark, folder)
+    if folder not in _MADE:
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MADE.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table of ``written`` through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def own_columns(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, as the given names: whatever else the table holds can't clash with what an operator adds."""
     return df.select(*(df[c].alias(new) for new, c in names.items()))
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], text: str, *, rows: int, octets: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows again, so many at a time and so many bytes of text; a longer text is a part by itself."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        k = 0
+        while k < batch.num_rows:
+            most = np.searchsorted(ends, (ends[k - 1] if k else 0) + octets, side="right")
+            n = max(1, min(rows, int(most) - k))
+            yield batch.slice(k, n)
+            k += n

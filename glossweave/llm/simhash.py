@@ -9,7 +9,8 @@ difference over whole fingerprints, and survivors are verified. Whole-fingerprin
 a join: of two random fingerprints a third agree within 2 in any one of them, as they spread by a few bits only.
 
 Equal fingerprints are one node with their least id, so copies are never paired; a fingerprint has at most
-2,080 others within 2 bits, which bounds the links per node. Components are found by minima and joins.
+2,080 others within 2 bits, which bounds the links per node. Components are found by minima and joins. Very long texts are
+hashed one by one.
 
 Null and empty texts have no words and fingerprint zero, and link like any other. Texts shorter than a
 shingle are one shingle. Repeated rows fall into one group. An empty table gives no rows. Rows without an id link
@@ -23,11 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table, written
+from glossweave.llm.common import forget, in_parts, own_columns, ship, table, written
 from glossweave.llm.components import components
 
 PIVOTS = 12
@@ -50,26 +50,33 @@ def shingle_hashes(text: bytes | None, size: int) -> list[int]:
     return [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(hashes: list[list[int]]) -> np.ndarray:
-    """One for each list: a bit is 1 if it is set in over half the hashes; 0 for no hashes."""
+def fingerprints(hashes: list) -> np.ndarray:
+    """One for each list or array: a bit is 1 if it is set in over half the hashes; 0 for no hashes."""
     out = np.zeros(len(hashes), dtype=np.uint64)
-    full = [k for k, h in enumerate(hashes) if h]
+    full = [k for k, h in enumerate(hashes) if len(h)]
     if full:
         n = np.array([len(hashes[k]) for k in full])
-        whole = np.array([x for k in full for x in hashes[k]], dtype=np.uint64)
-        bits = np.unpackbits(whole.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        if n.sum() <= _AT_ONCE:
+            sums = np.add.reduceat(_bits(np.concatenate([np.asarray(hashes[k], dtype=np.uint64) for k in full])), np.cumsum(n) - n, axis=0, dtype=np.int32)
+        else:
+            sums = np.array([sum(_bits(np.asarray(hashes[k][x : x + _AT_ONCE], dtype=np.uint64)).sum(axis=0, dtype=np.int64) for x in range(0, len(hashes[k]), _AT_ONCE)) for k in full])
         out[full] = np.packbits(2 * sums > n[:, None], axis=1).view(">u8").ravel()
     return out.view(np.int64)
 
 
+#: Hashes whose bits are in memory at once.
+_AT_ONCE = 1 << 18
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+
+
 def _fingerprint(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                yield pa.record_batch([part.column("doc_id"), fingerprints([shingle_hashes(t, size) for t in texts])], names=["doc_id", "fp"])
+        for part in in_parts(batches, "text", rows=64):
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            yield pa.record_batch([part.column("doc_id"), fingerprints([shingle_hashes(t, size) for t in texts])], names=["doc_id", "fp"])
 
     return run
 
@@ -119,99 +126,6 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-_BANDS, _ROWS = 12, 3
-#: Bytes of text that a task verifies, on average; in a shuffle repeated texts look far smaller than they are.
-VERIFY_BYTES = 16 << 20
-_A = np.random.default_rng(13).integers(1, 1 << 63, (_BANDS * _ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(17).integers(1, 1 << 63, (_BANDS * _ROWS, 1), dtype=np.uint64)
-
-
-def _bands(hashes: list[int]) -> np.ndarray:
-    """Keys of which two texts share each with the third power of their shingle sets' similarity."""
-    h = np.unique(np.array(hashes, dtype=np.uint64))
-    if not len(h):
-        return np.zeros(_BANDS, dtype=np.int64)
-    h ^= h >> np.uint64(31)
-    least = np.concatenate([(x * _A + _B).min(axis=1, keepdims=True) for x in np.split(h, range(4096, len(h), 4096))], axis=1).min(axis=1)
-    return ((least.reshape(_BANDS, _ROWS) * _A.reshape(_BANDS, _ROWS)).sum(axis=1, dtype=np.uint64) + _B[:_BANDS, 0]).view(np.int64)
-
-
-def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                hashes = [list(set(shingle_hashes(t, size))) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                bands = pa.array([_bands(h) for h in hashes], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column("doc_id"), fingerprints(hashes), pa.array([len(h) for h in hashes], pa.int64()), bands, pc.binary_length(part.column("text")).cast(pa.int64())], names=["doc_id", "fp", "size", "bands", "octets"])
-
-    return run
-
-
-def _alike(size: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, set] = (None, set())
-        for batch in batches:
-            keep = []
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                for x, y in zip(part.column("x").cast(pa.binary()).to_pylist(), part.column("y").cast(pa.binary()).to_pylist(), strict=True):
-                    if last[0] != x:
-                        last = (x, set(shingle_hashes(x, size)))
-                    other = set(shingle_hashes(y, size))
-                    both = len(last[1] & other)
-                    keep.append(both >= least * (len(last[1]) + len(other) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component) of all texts whose sets of ``words``-word shingles are linked by similarities of ``least`` or more.
-
-    Such fingerprints may differ in many bits, so no pair is discarded by their distance, and pairs are met by shared
-    least shingles (a pair at 0.8 shares one of the keys but once in 5,500). A pair whose sets differ so much in size that
-    ``least`` is out of reach is discarded, which loses none, and the rest are verified on their texts. First every text meets the
-    most connected one of each of its key's texts; then, within a key, only texts meet that this left in
-    different components, so a large group costs a row for each member and not for each pair."""
-    ship(docs.sparkSession)
-    own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = written(own.filter("doc_id IS NOT NULL").mapInArrow(_sketch(words), "doc_id long, fp long, size long, bands array<long>, octets long").withColumn("sig", F.xxhash64("bands", "size")))
-    nodes = written(prints.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    packed = nodes.select("rep", "size", F.explode("bands").alias("key"))
-    shared = packed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = written(packed.join(shared, "key"))
-    known = live.groupBy("rep").agg(F.sum("n").alias("met"))
-    lead = live.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "size")).alias("top"))
-    lead = lead.select("key", (-F.col("top.minus")).alias("rep"), F.col("top.size").alias("size"))
-
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct())
-        needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        texts = written(own.join(needed, "doc_id", "left_semi"))
-        each = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).join(prints.select("doc_id", "octets"), "doc_id")
-        octets = each.agg(F.sum("octets").alias("n")).first()["n"] or 0
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-octets // VERIFY_BYTES))
-        both = pairs.join(texts.toDF("a", "x"), "a").repartition(parts, "b").join(texts.toDF("b", "y").repartition(parts, "b"), "b")
-        return written(both.mapInArrow(_alike(words, least), "a long, b long"))
-
-    near = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size")
-    first = verified(lead.alias("a").join(live.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") != F.col("b.rep")) & near))
-    grouped = live.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("group"))
-    grouped = written(grouped)
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.group") != F.col("b.group")) & near
-    second = verified(grouped.alias("a").join(grouped.alias("b"), apart))
-    found = components(first.unionByName(second)).withColumnRenamed("node", "rep")
-    of = nodes.join(found, "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component"))
-    return prints.join(of, ["fp", "sig"]).select("doc_id", "component")
-
-
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with its columns; of each component only the row with the least id stays, and rows without an id stay."""
-    gone = similar_components(docs, id_col=id_col, text_col=text_col, words=words, least=least).filter("doc_id <> component").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-
-
 def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -5,11 +5,12 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from glossweave.llm import decontaminate
+from glossweave.llm import decontaminate, near_texts
 from glossweave.llm.components import components
 from glossweave.llm.lattice import decode, near_duplicate_vectors, op2_lattice_hashing
 from glossweave.llm.line_dedup import OP5_SQL, drop_boilerplate_lines, op5_line_dedup
-from glossweave.llm.simhash import keep_one_of_each, links, op1_simhash_pivots, similar_components, simhash_components
+from glossweave.llm.near_texts import keep_one_of_each, similar_components
+from glossweave.llm.simhash import links, op1_simhash_pivots, simhash_components
 
 F = pytest.importorskip("pyspark.sql.functions")
 
@@ -221,8 +222,8 @@ def test_near_texts_of_unlike_repeats_and_of_few_words(spark):
         add(" ".join(f"t{k}x{n}" for n in range(8)), " ".join(f"t{k}x{n}" for n in range(7)), False)
     order = r.permutation(len(texts)).tolist()
     docs = spark.createDataFrame([(order[k], t) for k, t in enumerate(texts)], "doc_id long, text string")
-    of = {x["doc_id"]: x["component"] for x in similar_components(docs).collect()}
-    met = [(near, of[order[a]] == of[order[b]]) for a, b, near in pairs]
+    of = {x["node"]: x["component"] for x in similar_components(docs).collect()}
+    met = [(near, of.get(order[a], order[a]) == of.get(order[b], order[b])) for a, b, near in pairs]
     assert all(got for near, got in met[:12])
     assert sum(got for near, got in met[12:612]) >= 599
     assert not any(got for near, got in met[612:])
@@ -249,3 +250,33 @@ def test_shards_of_items_keep_rows_of_repeated_and_null_ids_apart(spark):
         assert rows(few) == kept
     body = docs.withColumnRenamed("text", "body")
     assert rows(decontaminate.remove_leaks(body, items, text_col="body", shard_bytes=60)) == kept
+
+
+def test_common_and_spanning():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 400, int(n)).astype(np.uint64)) for n in r.integers(0, 300, 130)]
+    both = near_texts.common(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(130) for j in range(i, 130))
+    linked = (both >= 100) & ~np.eye(130, dtype=bool)
+    up = Sets(range(130))
+    for i, j in np.argwhere(linked):
+        up.join(int(i), int(j))
+    a, b = near_texts.spanning(linked)
+    assert {int(y): int(x) for x, y in zip(a, b, strict=True)} == {k: up.find(k) for k in range(130) if up.find(k) != k}
+
+
+def test_large_group_whose_leader_is_not_alike_to_all(spark, monkeypatch):
+    """A chain of variants: neighbours are alike, ends aren't; in blocks of a few nodes as in one."""
+    r = np.random.default_rng(9)
+    text, chain = [f"w{k}" for k in range(150)], []
+    for k in range(240):
+        text = [*text]
+        text[int(r.integers(0, 150))] = f"v{k}"
+        chain.append((k, " ".join(text)))
+    other = [(1000 + k, " ".join(f"o{k}_{n}" if n % 3 == 0 else f"w{n}" for n in range(150))) for k in range(60)]
+    rows = [(*x, "a", 1) for x in [*chain, *other, (3, "other text of a document"), (2000, "other text of a document"), (None, chain[0][1])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string, size int")
+    want = {0, None} | {k for k, _ in other}
+    for nodes in (1024, 50):
+        monkeypatch.setattr(near_texts, "BLOCK_NODES", nodes)
+        assert {x["doc_id"] for x in keep_one_of_each(docs).collect()} == want

@@ -126,7 +126,37 @@ def test_language_model_odd_rows(spark, monkeypatch):
 
 
 def test_normalised():
-    n = np.zeros(language_model.CLASSES**3)
-    n[np.random.default_rng(3).integers(0, len(n), 500)] = 5
-    p = language_model.log_bilinear(n, steps=20)
-    assert np.allclose((10**p).sum(axis=2), 1)
+    """Over all words, those without a number and one unseen word of each class among them, probabilities sum to 1."""
+    r = np.random.default_rng(3)
+    letters = language_model.LETTER_CLASSES
+    counts = np.sort(r.integers(1, 900, 700))[::-1].astype(float)
+    by_letters, others = r.integers(0, letters, 700), r.integers(0, letters, 50)
+    k = 400
+    tokens = np.bincount(by_letters[k:], counts[k:], letters) + 3 * np.bincount(others, minlength=letters)
+    types = np.bincount(by_letters[k:], minlength=letters) + np.bincount(others, minlength=letters)
+    model = language_model.Model(r.random((k, 2 * language_model.AROUND)), counts, by_letters, tokens, types, 60)
+    draws = np.minimum(r.geometric(0.01, (3000, 3)), 700 + letters)
+    before = [x.copy() for x in model.w.values()]
+    model.fit(draws, least_steps=30, batch=256)
+    assert all((x != y).any() for x, y in zip(before, model.w.values(), strict=True))
+    model.start_scoring()
+    every = np.arange(700 + letters + 1)
+    for two, one in [(model.end, model.end), (3, 7), (k + 2, 350)]:
+        p = 10 ** model.log10(np.full(len(every), two), np.full(len(every), one), every)
+        assert abs(p.sum() + (4 * np.bincount(others, minlength=letters) * p[700 : 700 + letters]).sum() - 1) < 1e-5
+
+
+def test_language_model_of_context():
+    """A word that always follows another is far likelier there than elsewhere."""
+    r = np.random.default_rng(4)
+    counts = np.full(200, 500.0)
+    draws = r.integers(0, 200, (20000, 3))
+    draws[:, 2] = (draws[:, 1] + 1) % 200
+    around = np.zeros((200, 2 * language_model.AROUND))
+    around[np.arange(200), np.arange(200) % (2 * language_model.AROUND)] = 9
+    model = language_model.Model(around, counts, np.zeros(200, dtype=int), np.zeros(language_model.LETTER_CLASSES), np.zeros(language_model.LETTER_CLASSES), 10)
+    model.fit(draws, least_steps=500, batch=1024)
+    model.start_scoring()
+    one = np.arange(200)
+    right, wrong = (model.log10(one, one, (one + k) % 200) for k in (1, 5))
+    assert np.median(right - wrong) > 1.5

@@ -102,3 +102,23 @@ def in_parts(batches: Iterator[pa.RecordBatch], text: str, *, rows: int, octets:
             n = max(1, min(rows, int(most) - k))
             yield batch.slice(k, n)
             k += n
+
+
+def groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """The rows of each group; rows of a group come in a row."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in by])
+        cuts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows])).tolist()
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            own = tuple(keys[:, x])
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)

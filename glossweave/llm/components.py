@@ -6,6 +6,7 @@ step is a partial minimum per node and a join, never a list of a node's neighbou
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,17 @@ def _state(edges: DataFrame) -> tuple:
     """Count and order-free hash: equal when a round changed nothing."""
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links: each node of a group beside the group's first, as (first, node)."""
+    of = np.full(len(linked), -1)
+    for k in range(len(linked)):
+        if of[k] < 0:
+            of[k] = k
+            edge = np.array([k])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(axis=0) & (of < 0))
+                of[edge] = k
+    node = np.flatnonzero(of != np.arange(len(of)))
+    return of[node], node

@@ -8,13 +8,13 @@ The items are broadcast, so they are measured first and cut into shards of about
 gets its own pass, whose tasks build its automaton, and the spans of all passes are united per row: with several shards
 every row gets a key of its own first, so ids may repeat or be null. The number of shards doesn't change results.
 
-Null and empty texts have no words; items without words match nothing; repeated items each count; an empty
-table of items hits nothing. Other columns of either table are not read.
+Null and empty texts have no words; items without words match nothing; rows that repeat an item's id are one item; items
+without an id hit words but aren't listed. Ids of items may be of any type and are listed as strings. Very long texts pass through word by
+word. An empty table of items hits nothing, and ``remove_leaks`` then returns all rows as they are. Other columns of either table are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +27,9 @@ from glossweave.llm.common import own_columns, ship, table, written
 #: Bytes that separate words become spaces, A-Z become a-z; digits, a-z and all beyond ASCII stay.
 _BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-SPANS = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<long>"
+SPANS = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+#: Of item text in a shard. An automaton of 2 MB takes up to 200 MB of a Python worker, measured on text without repeats.
+SHARD_BYTES = 2 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -37,13 +39,13 @@ def words(text: bytes | None) -> list[bytes]:
 class Automaton:
     """States are numbered; 0 is the root. ``window_items[s]``: items that hold the window ending in state s."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: dict[int, set[int]] = {}
-        short: dict[int, dict[int, set[int]]] = {}
+        ends: dict[int, set] = {}
+        short: dict[int, dict[int, set]] = {}
         self.least = window
         for item, text in items:
             last = 0
@@ -63,16 +65,16 @@ class Automaton:
             if s in ends and self.link[s] > 0:
                 ends.setdefault(self.link[s], set()).update(ends[s])
         self.of_window: list[int] = [0] * len(self.link)
-        self.window_items: dict[int, tuple[int, ...]] = {}
-        self.short: list[tuple[tuple[int, tuple[int, ...]], ...]] = [()] * len(self.link)
+        self.window_items: dict[int, tuple] = {}
+        self.short: list[tuple[tuple[int, tuple], ...]] = [()] * len(self.link)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
             up = self.link[s]
             if self.length[up] >= window:
                 self.of_window[s] = self.of_window[up]
             elif self.length[s] >= window:
                 self.of_window[s] = s
-                self.window_items[s] = tuple(sorted(ends.get(s, ())))
-            self.short[s] = self.short[up] + tuple((k, tuple(sorted(v))) for k, v in short.get(s, {}).items())
+                self.window_items[s] = tuple(ends.get(s, ()))
+            self.short[s] = self.short[up] + tuple((k, tuple(v)) for k, v in short.get(s, {}).items())
 
     def _add(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -103,10 +105,10 @@ class Automaton:
             p = self.link[p]
         return new
 
-    def spans(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def spans(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """First and last word of each stretch of hit words, in order and apart; and the items found."""
         got: list[tuple[int, int]] = []
-        found: set[int] = set()
+        found: set = set()
         seen: set[int] = set()
         if not self.ids or len(text) < self.least:
             return got, found
@@ -154,14 +156,14 @@ def _built(shared) -> Automaton:
 
 
 def _shards(benchmark: DataFrame, *, item_col: str, item_text_col: str, window: int, shard_bytes: int) -> list:
-    """Broadcasts of the items' texts, with the window."""
-    items = own_columns(benchmark, item=item_col, text=item_text_col).withColumn("item", F.col("item").cast("long"))
+    """Broadcasts of the items' texts, with the window. A shard holds ``shard_bytes`` on average, or one longer item."""
+    items = own_columns(benchmark, item=item_col, text=item_text_col).withColumn("item", F.col("item").cast("string"))
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     shards = -(-size // shard_bytes) or 1
     out = []
     for k in range(shards):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        out.append(benchmark.sparkSession.sparkContext.broadcast((sorted((r["item"], r["text"]) for r in own.collect() if r["text"] and r["item"] is not None), window)))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(([(r["item"], r["text"]) for r in own.orderBy("item", "text").collect() if r["text"]], window)))
     return out
 
 
@@ -178,9 +180,9 @@ def _scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 got, found = a.spans(text)
                 n.append(len(text))
                 spans.append([{"first": x, "last": y} for x, y in got])
-                items.append(sorted(found))
+                items.append(sorted(x for x in found if x is not None))
             names = [c for c in batch.schema.names if c != "text"]
-            found = [pa.array(n, pa.int64()), pa.array(spans, _LIST), pa.array(items, pa.list_(pa.int64()))]
+            found = [pa.array(n, pa.int64()), pa.array(spans, _LIST), pa.array(items, pa.list_(pa.string()))]
             yield pa.record_batch([*(batch.column(c) for c in names), *found], names=[*names, "n_words", "spans", "items"])
 
     return scan
@@ -201,7 +203,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("spans"), batch.schema.field("spans"), pa.array(spans, batch.schema.field("spans").type))
 
 
-def leak_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
+def leak_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: its words, its hit stretches (numbers of first and last word) and the items found in it."""
     spark = docs.sparkSession
     ship(spark)
@@ -257,7 +259,7 @@ def _without(text: str | None, raw: bytes, n_words: int, spans: list[tuple[int,
     return b"".join([*out, raw[done:]]).decode(), True
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.5, shard_bytes: int = 32 << 20) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with its columns, leaked stretches cut out of the text; documents with more than ``max_coverage`` of their words leaked go."""
     ship(docs.sparkSession)
     shards = _shards(benchmark, item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
@@ -267,7 +269,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     else:
         keyed = written(renamed.select(F.monotonically_increasing_id().alias("key"), F.struct(*renamed.columns).alias("row")))
         texts = keyed.select("key", "row.text")
-        first, *rest = [texts.mapInArrow(_scan(s), "key long, n_words long, spans array<struct<first:long,last:long>>, items array<long>").filter("size(spans) > 0").select("key", "spans") for s in shards]
+        first, *rest = [texts.mapInArrow(_scan(s), "key long, n_words long, spans array<struct<first:long,last:long>>, items array<string>").filter("size(spans) > 0").select("key", "spans") for s in shards]
         for more in rest:
             first = first.unionByName(more)
         hits = first.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_unite, "key long, spans array<struct<first:long,last:long>>")
@@ -279,27 +281,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    names = F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>")))
+    names = F.concat_ws(",", "items")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> dict[int, tuple]:
-    """What op9 returns, by looking for every window everywhere; for tests."""
-    windows: dict[tuple, set[int]] = {}
-    for item, text in items:
-        w = words((text or "").encode())
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + window]), set()).add(item)
-    sizes = {len(w) for w in windows}
-    out = {}
-    for doc, text in docs:
-        w = words((text or "").encode())
-        hit, found = set(), set()
-        for k in sizes:
-            for i in range(len(w) - k + 1):
-                if got := windows.get(tuple(w[i : i + k])):
-                    hit.update(range(i, i + k))
-                    found |= got
-        names = ",".join(sorted(map(str, found)))
-        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
-    return out

@@ -6,11 +6,11 @@ vector is stored in its own cell and looks into the ``PROBES`` cells nearest to
 differ from its own by shortest lattice vectors, in the order of summed squared distance. Vectors with equal labels that
 meet are a candidate pair; every candidate is verified by its cosine in double precision.
 
-Equal vectors are one node with their number, so copies are never paired. The cell join, not a group, brings candidates
-together, and pairs are made distinct before their vectors are looked up. Links between different vectors are counted
-each, as the result asks for their number; what a link costs is one row of two ids until it is verified.
+Equal vectors are one node with their number, so copies are never paired. A cell's vectors are compared in a task as a matrix,
+a hot cell's in blocks. A link counts in the first table that brings its two vectors together, which the task finds out by
+probing again. A task gives a count for each vector and the links that span its groups, so rows stay linear in the vectors of a block.
 
-Vectors that are null, of norm zero, or with null or non-finite components link with nothing, nor do vectors without a label
+Labels of any type are compared as they are. Vectors that are null, of norm zero, or with null or non-finite components link with nothing, nor do vectors without a label
 or without an id, nor vectors of different length. Repeated rows are linked as copies. An empty table gives no rows.
 """
 
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table, written
-from glossweave.llm.components import components
+from glossweave.llm.common import forget, groups, own_columns, ship, table, written
+from glossweave.llm.components import components, spanning
 
 TABLES, PROBES, POINTS, SCALE = 5, 16, 2, 5.0
 
@@ -112,7 +112,7 @@ def _probe(tables: int, probes: int, points: int, scale: float) -> Callable[[Ite
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                rep, label = part.column("rep").to_numpy(), part.column("label").to_numpy()
+                rep, label = part.column("rep").to_numpy(), part.column("label")
                 vectors = part.column("embedding").to_pylist()
                 sizes = np.array([len(v) for v in vectors])
                 for dim in np.unique(sizes).tolist():
@@ -124,47 +124,88 @@ def _probe(tables: int, probes: int, points: int, scale: float) -> Callable[[Ite
                         c = cells(x, t, points=points, scale=scale, probes=probes)
                         n = c.shape[1]
                         yield pa.record_batch([
-                            np.repeat(label[at], n), np.full(len(at) * n, dim * 64 + t, dtype=np.int32), c.ravel(), np.repeat(rep[at], n), np.tile(np.arange(n) == 0, len(at)),
+                            label.take(pa.array(np.repeat(at, n))), np.full(len(at) * n, dim * 64 + t, dtype=np.int32), c.ravel(), np.repeat(rep[at], n), np.tile(np.arange(n) == 0, len(at)),
                         ], names=["label", "t", "cell", "rep", "own"])
 
     return run
 
 
-def _verify(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Vectors of a block, on each side.
+BLOCK = 2048
+
+MET = "gid long, block int, label string, t int, cell long, rep long, n long, embedding array<double>, probes boolean, owns boolean"
+
+
+def _compare(least: float, probes: int, points: int, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each cell's block, the vectors that probe it against those that own it: for each vector how many it links with that no earlier
+    table has brought together, copies counted each, as (a, null, count); and links that span the block, as (a, b, 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("x", "y"))
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            sizes = np.array([len(v) for v in a], dtype=np.int64)
-            for dim in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dim)
-                x, y = (np.array([v[i] for i in at], dtype=float) for v in (a, b))
-                x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
-                keep[at] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= least
-            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b")], names=["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
+        for group in groups(batches, "gid", "block"):
+            kinds = list(zip(*(group.column(c).to_pylist() for c in ("label", "t", "cell")), strict=True))
+            for kind in set(kinds):  # one, if hashes of cells don't collide
+                own = group.filter(pa.array([x == kind for x in kinds])) if kinds.count(kind) < len(kinds) else group
+                rep, n = own.column("rep").to_numpy(), own.column("n").to_numpy()
+                x = own.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                a, b = (np.flatnonzero(own.column(c).to_numpy()) for c in ("probes", "owns"))
+                norm = (x * x).sum(axis=1)
+                near = (x[a] @ x[b].T / np.sqrt(norm[a][:, None] * norm[b]) >= least) & (rep[a][:, None] < rep[b])
+                if near.any():
+                    yield _found(x / np.sqrt(norm)[:, None], rep, n, a, b, near, kind[1] % 64, (probes, points, scale))
 
     return run
 
 
+def _found(unit: np.ndarray, rep: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray, t: int, grid: tuple[int, int, float]) -> pa.RecordBatch:
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    a, b, near = a[rows], b[columns], near[np.ix_(rows, columns)]
+    probes, points, scale = grid
+    first = near.copy()
+    for k in range(t):
+        looked = cells(unit[a], k, points=points, scale=scale, probes=probes)
+        owned = cells(unit[b], k, points=points, scale=scale, probes=1)[:, 0]
+        for j in range(looked.shape[1]):
+            first &= looked[:, j, None] != owned
+    of_a, of_b = first @ n[b], n[a] @ first
+    nodes, place = np.unique(np.concatenate((rep[a], rep[b])), return_inverse=True)
+    linked = np.zeros((len(nodes), len(nodes)), dtype=bool)
+    linked[np.ix_(place[: len(a)], place[len(a) :])] = near
+    low, high = spanning(linked | linked.T)
+    ends = pa.array([None] * (len(a) + len(b)), pa.int64())
+    return pa.record_batch([
+        np.concatenate((rep[a], rep[b], nodes[low])), pa.concat_arrays([ends, pa.array(nodes[high], pa.int64())]), np.concatenate((of_a, of_b, np.zeros(len(low), dtype=np.int64))).astype(np.int64),
+    ], names=["a", "b", "n"])
+
+
 def near_duplicate_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, tables: int = TABLES, probes: int = PROBES, points: int = POINTS, scale: float = SCALE) -> DataFrame:
     """Per row: vec_id, n_links and component_id. The defaults find 0.999 of the pairs at a cosine of 0.98, and more of closer ones."""
-    ship(vectors.sparkSession)
-    own = own_columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    spark = vectors.sparkSession
+    ship(spark)
+    label = F.col("label") + F.lit(0.0) if dict(vectors.dtypes)[label_col] in ("float", "double") else F.col("label")  # so that -0.0 is 0.0
+    own = own_columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), label.cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite, F.lit(False))
     keyed = own.withColumn("key", F.when(valid, F.xxhash64("label", "embedding")))
     nodes = written(keyed.filter("key IS NOT NULL").groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    rows = written(nodes.select("rep", "label", "embedding").mapInArrow(_probe(tables, probes, points, scale), "label long, t int, cell long, rep long, own boolean"))
-    a, b = rows.alias("a"), rows.filter("own").alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "t", "cell")]
-    met = a.join(b, [*on, F.col("a.rep") < F.col("b.rep")]).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    small = nodes.select("rep", "embedding", "n")
-    pairs = met.join(small.toDF("a", "x", "n_a"), "a").join(small.toDF("b", "y", "n_b"), "b")
-    links = written(pairs.mapInArrow(_verify(least), "a long, b long, n_a long, n_b long"))
-    ends = links.select(F.col("a").alias("rep"), F.col("n_b").alias("other")).unionAll(links.select("b", "n_a"))
-    linked = ends.groupBy("rep").agg(F.sum("other").alias("linked"))
-    found = components(links).withColumnRenamed("node", "rep")
-    of = nodes.join(linked, "rep", "left").join(found, "rep", "left").select("key", "label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    rows = written(nodes.select("rep", "label", "embedding").mapInArrow(_probe(tables, probes, points, scale), "label string, t int, cell long, rep long, own boolean"))
+    cell = ["label", "t", "cell"]
+    shared = rows.groupBy(*cell).agg(F.count("*").alias("looking"), F.sum(F.col("own").cast("int")).alias("owners")).filter("owners > 0 AND looking > 1")
+    split = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    met = rows.join(shared.select(*cell, split("looking").alias("of_a"), split("owners").alias("of_b")), cell)
+    hashed = F.xxhash64("rep")
+    turn = lambda of: F.pmod(hashed, F.col(of)).cast("int")
+    # blocks are numbered by the block of those that look and the block of owners; an owner looks too
+    sides = F.transform(F.sequence(F.lit(0), F.col("of_b") - 1), lambda j: F.struct((turn("of_a") * F.col("of_b") + j).alias("block"), F.lit(True).alias("probes"), (F.col("own") & (j == turn("of_b"))).alias("owns")))
+    other = F.transform(F.filter(F.sequence(F.lit(0), F.col("of_a") - 1), lambda i: F.col("own") & (i != turn("of_a"))), lambda i: F.struct((i * F.col("of_b") + turn("of_b")).alias("block"), F.lit(False).alias("probes"), F.lit(True).alias("owns")))
+    met = met.select(F.xxhash64(*cell).alias("gid"), *cell, "rep", F.explode(F.concat(sides, other)).alias("at")).select("gid", *cell, "rep", "at.*")
+    met = met.join(nodes.select("rep", "n", "embedding"), "rep").select(*[x.split()[0] for x in MET.split(", ")])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = written(met.repartition(parts, "gid", "block").sortWithinPartitions("gid", "block").mapInArrow(_compare(least, probes, points, scale), "a long, b long, n long"))
+    forget(rows)
+    linked = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
+    groups_of = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
+    of = nodes.join(linked, "rep", "left").join(groups_of, "rep", "left").select("key", "label", "embedding", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     return keyed.join(of, ["key", "label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 

@@ -3,10 +3,11 @@
 import duckdb
 import numpy as np
 import pytest
+from brute import leaks
 from xxhash import xxh64_intdigest
 
-from glossweave.llm import decontaminate, near_texts
-from glossweave.llm.components import components
+from glossweave.llm import decontaminate, lattice, near_texts
+from glossweave.llm.components import components, spanning
 from glossweave.llm.lattice import decode, near_duplicate_vectors, op2_lattice_hashing
 from glossweave.llm.line_dedup import OP5_SQL, drop_boilerplate_lines, op5_line_dedup
 from glossweave.llm.near_texts import keep_one_of_each, similar_components
@@ -127,7 +128,7 @@ def test_e8():
     assert ((x - p) ** 2).sum(axis=1).max() <= 1 + 1e-9  # E8's covering radius
 
 
-def test_vectors(spark, sf_dir):
+def test_vectors(spark, sf_dir, monkeypatch):
     r = np.random.default_rng(5)
     rows, k = [], 0
     for label in (0, 1):
@@ -154,9 +155,22 @@ def test_vectors(spark, sf_dir):
     assert sum(x for x, _ in got.values()) >= 0.995 * sum(n.values())
     assert sum(got[i][1] == sets.find(i) for i in n) >= 0.99 * len(n)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+    monkeypatch.setattr(lattice, "BLOCK", 5)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df).collect()} == got
+    # labels are compared as they are, whatever their type
+    one = [[1.0, 0.0], [1.0, 0.01]]
+    for kind, labels in (("double", (1.2, 1.7)), ("double", (0.0, -0.0)), ("string", ("a", "b")), ("string", ("a", "a"))):
+        pair = spark.createDataFrame([(k, v, x) for k, (v, x) in enumerate(zip(one, labels, strict=True))], f"vec_id long, embedding array<float>, label {kind}")
+        assert {r["n_links"] for r in near_duplicate_vectors(pair).collect()} == {int(labels[0] == labels[1])}
     every = op2_lattice_hashing(spark, sf_dir)
     assert every.columns == ["vec_id", "n_links", "component_id", "kept"]
-    assert every.count() == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    vectors = {r["vec_id"]: r for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    ids = list(vectors)
+    x = np.array([vectors[i]["embedding"] for i in ids], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    same = np.array([[vectors[i]["label"] == vectors[j]["label"] is not None for j in ids] for i in ids])
+    linked = (x @ x.T >= 0.98) & same & ~np.eye(len(ids), dtype=bool)
+    assert {r["vec_id"]: r["n_links"] for r in every.collect()} == dict(zip(ids, linked.sum(axis=1).tolist(), strict=True))
 
 
 def test_line_dedup(spark, sf_dir, tmp_path):
@@ -181,7 +195,7 @@ def test_decontamination(spark, sf_dir):
         (1, f"x {item.upper()}! y"), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "Just, three\nwords. just three words"), (4, None), (5, ""), (6, "é " * 30000 + item), (7, "beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"),
         (8, "three words just three words just"), (9, "a0 9z"),
     ]
-    want = decontaminate.brute_force(docs, items)
+    want = leaks(docs, items)
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, spans int")
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     for shard in (1 << 20, 40):  # one automaton, and several
@@ -197,7 +211,7 @@ def test_decontamination(spark, sf_dir):
     assert {r["n_words"] for r in decontaminate.leak_spans(d.filter("doc_id = 9"), b.limit(0)).collect()} == {2}
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     tests = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    want = decontaminate.brute_force(rows, tests)
+    want = leaks(rows, tests)
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.op9_benchmark_decontamination(spark, sf_dir).collect()}
     assert got == want
 
@@ -261,7 +275,7 @@ def test_common_and_spanning():
     up = Sets(range(130))
     for i, j in np.argwhere(linked):
         up.join(int(i), int(j))
-    a, b = near_texts.spanning(linked)
+    a, b = spanning(linked)
     assert {int(y): int(x) for x, y in zip(a, b, strict=True)} == {k: up.find(k) for k in range(130) if up.find(k) != k}
 
 

@@ -10,7 +10,8 @@ bounded sample of ``max_rows`` labelled training documents taken in the order of
 scoring are Spark jobs over whole texts.
 
 Null and empty texts are one passage without words. Without labels of both kinds all scores are the labels' mean, or
-0.5 without any. Null labels are no labels; a document labelled more than once counts as good if one label says so.
+0.5 without any. Null labels are no labels; a document labelled more than once counts as good if one label says so. Repeated
+rows are scored each; of several texts under a labelled id the greatest is learned from. A very long text is a bag of many passages.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table
+from glossweave.llm.common import forget, in_parts, own_columns, ship, table, written
 from glossweave.llm.toxicity import fold, with_score
 from glossweave.llm.wordbytes import BANG, BAR, DIGIT, LINE, LOWER, STOP, SYMBOL, UPPER, WIDE, Texts
 
@@ -125,21 +126,24 @@ class Attention:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            x, first = passages(part.column("text").cast(pa.binary()).to_pylist())
-            bags = [b.astype("<f4").tobytes() for b in np.split(x, first[1:])]
-            yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
+    for part in in_parts(batches, "text", rows=256, octets=2 << 20):
+        x, first = passages(part.column("text").cast(pa.binary()).to_pylist())
+        bags = [b.astype("<f4").tobytes() for b in np.split(x, first[1:])]
+        yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "label", max_rows: int = 8000) -> Attention:
-    """``labels``: id_col and label_col (0 or 1) of training documents alone. ``max_rows``: bound of the sample."""
+def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "label", max_rows: int = 8000, max_bytes: int = 64 << 20) -> Attention:
+    """``labels``: id_col and label_col (0 or 1) of training documents alone. ``max_rows`` and ``max_bytes`` (of encoded
+    passages) bound the sample: labelled documents are taken in the order of a hash of their ids until either is full."""
     ship(docs.sparkSession)
     marks = own_columns(labels, doc_id=id_col, label=label_col).filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = own_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # 12 bytes a row, max_rows rows
-    got = rows.mapInArrow(_encode, "doc_id long, label int, bag binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = own_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id")  # 12 bytes a row, max_rows rows
+    rows = rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    bags = written(rows.mapInArrow(_encode, "doc_id long, label int, bag binary"))
+    taken = bags.select("doc_id", F.sum(F.octet_length("bag")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("bytes"))  # max_rows rows
+    got = bags.join(F.broadcast(taken.filter(F.col("bytes") <= max_bytes).select("doc_id")), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    forget(bags)
     model, y = Attention(), got["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5

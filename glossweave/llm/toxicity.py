@@ -15,7 +15,9 @@ ids. Counting the lexicon, features and scores are Spark jobs; only lexicon entr
 sample's features and labels come to the driver, where the trees are grown with numpy.
 
 Null and empty texts are scored like any other, with features of 0. Without labels of both kinds all scores are 0.
-Labels that are null are no labels; a document labelled more than once is toxic if one label says so.
+Labels that are null are no labels; a document labelled more than once is toxic if one label says so. Repeated rows are scored
+each; of several texts under a labelled id the greatest is learned from. A very long text is scored by itself, whole. Ties of trees' splits go to the
+lower feature. A column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table, written
+from glossweave.llm.common import forget, in_parts, own_columns, ship, table, written
 from glossweave.llm.wordbytes import BANG, DIGIT, LOWER, STOP, SYMBOL, UPPER, WIDE, Texts
 
 # Second-person words.
@@ -179,10 +181,8 @@ class Model:
         return 0.99 * self.calibrate(margin) + 0.01 / (1 + np.exp(-margin))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return in_parts(batches, "text", rows=512, octets=2 << 20)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -228,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     marks = own_columns(labels, doc_id=id_col, label=label_col).filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    rows = own_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("text", "label", half)  # 12 bytes a row, max_rows rows
-    rows = written(rows)
+    rows = own_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id")  # 12 bytes a row, max_rows rows
+    rows = written(rows.groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("text", "label", half))
     total = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     if not all(any(total.get((h, y)) for h in (0, 1)) for y in (0, 1)):
         return Model([], None, None)
@@ -247,6 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     spark = docs.sparkSession
     lexicons = spark.sparkContext.broadcast([lexicon((0,)), lexicon((1,))])
     got = rows.mapInArrow(_features(lexicons), "half int, label int, x array<double>").toPandas()
+    final = lexicon((0, 1))
+    forget(rows, counts)
     x, y, h = np.array(got["x"].tolist()).reshape(-1, FEATURES), got["label"].to_numpy(dtype=float), got["half"].to_numpy()
     order = np.lexsort((*x.T, y, h))  # the same trees however the rows came
     x, y, h = x[order], y[order], h[order]
@@ -258,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
     else:
         trees = Trees(x, y)
         out = trees.margin(x)
-    return Model(lexicon((0, 1)), trees, Isotonic(out, y))
+    return Model(final, trees, Isotonic(out, y))
 
 
 def _score(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -272,8 +274,9 @@ def _score(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 
 def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with one more column."""
+    """``docs`` with one more column, or with that column anew."""
     ship(docs.sparkSession)
+    docs = docs.drop(score_col)
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" if c != text_col else "text" for k, c in enumerate(names)])
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", `__score` double"

@@ -4,11 +4,12 @@ A pre-tokenizer never lets a token reach from a character that isn't white space
 newline, nor from a letter or digit over a following mark that isn't an apostrophe. So texts are cut there, chunks are
 remembered, and a text's ids are its chunks' ids in a row. A word of letters goes to the library's model by itself,
 any other chunk that is new to the whole library. Texts with characters for which a cut isn't safe go to the library
-whole.
+whole, and so do all texts if the tokenizer's normalizer and pre-tokenizer aren't ones for which this is known.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -20,6 +21,17 @@ _OTHER_SPACES = [c for c in map(chr, range(0x3001)) if _OTHER_SPACE.match(c)]
 #: Marks at a chunk's end that no special token holds and that begin no contraction.
 _MARKS = '.,;:!?#$%&*()+-=@"'
 _LONG = 200
+# Normalizer and pre-tokenizer of the tokenizers for which cuts are safe, those that keep and those that drop white space.
+_SAFE = {
+    False: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    True: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
 
 
 def _uneven(text: str) -> bool:
@@ -58,6 +70,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
+        settings = json.loads(self.library.to_str())
+        self.safe = (settings["normalizer"], settings["pre_tokenizer"]) == _SAFE[drops_space] and settings["model"]["type"] == "BPE"
         self.drops_space, self.remembered = drops_space, remembered
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words_alone = not any(x.isalpha() for x in special)
@@ -104,6 +118,8 @@ class Encoder:
         return array("H", [t.id for t in self.merge(text)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.safe:
+            return [x if t else b"" for t, x in zip(texts, self._direct([t or "" for t in texts]), strict=True)]
         return [self._one(t) if t else b"" for t in texts]
 
     def _one(self, text: str) -> bytes:

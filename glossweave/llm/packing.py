@@ -10,7 +10,8 @@ count, so a block with many equal items costs no more than one with few.
 Blocks follow the rows of a partition, so packing needs no shuffle, and memory is bounded by ``block_items``.
 Sequence ids are the partition's number times 2**32 plus a running number, so they differ between partitions.
 
-Null and empty texts hold the end id alone; an empty table gives no pieces; repeated rows are packed each.
+Null and empty texts hold the end id alone; an empty table gives no pieces; repeated rows are packed each. Very long texts are
+encoded whole and cut into full pieces. Examples of equal demand are taken in the order of their rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.common import own_columns, ship, table
+from glossweave.llm.common import in_parts, own_columns, ship, table
 from glossweave.llm.encode import encoder
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment long, loss_tokens long"
 
 
 def pack(demands: np.ndarray, limits: tuple[int, ...]) -> list[list[int]]:
@@ -65,43 +66,49 @@ def _pieces(path: str, drops_space: bool, end_id: int, max_tokens: int, max_segm
         own = encoder(path, drops_space=drops_space)
         tail = np.array([end_id], dtype="<u2").tobytes()
         sequence = TaskContext.get().partitionId() << 32
-        whole = min(max_tokens, max_loss + 1)
         items: list[tuple] = []
+        loss: list[int] = []
 
         def place() -> pa.RecordBatch:
             nonlocal sequence
-            demands = np.array([(x[2], 1, x[2] - (x[1] == 0)) for x in items], dtype=np.int64).reshape(-1, 3)
+            demands = np.array([(x[2], 1, n) for x, n in zip(items, loss, strict=True)], dtype=np.int64).reshape(-1, 3)
             rows = []
             for members in pack(demands, (max_tokens, max_segments, max_loss)):
                 offset = 0
                 for n, k in enumerate(members):
-                    rows.append((*items[k], sequence, offset, n))
+                    rows.append((*items[k], sequence, offset, n, loss[k]))
                     offset += items[k][2]
                 sequence += bool(members)
             items.clear()
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 8, names=[x.split()[0] for x in PIECES.split(", ")])
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist()), strict=True):
-                    ids = np.frombuffer(ids + tail, dtype="<u2").astype("<u4")
-                    start = 0
-                    while start < len(ids):
-                        length = min(whole - (start > 0 and whole > max_loss), len(ids) - start)
-                        items.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)))
-                        start += length
-                if len(items) >= block_items:
-                    yield place()
+            loss.clear()
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names=names)
+
+        for part in in_parts(batches, "text", rows=256):
+            texts, prompts = own.encode(part.column("text").to_pylist()), own.encode(part.column("prompt").to_pylist())
+            for doc, prompt, ids in zip(part.column("doc_id").to_pylist(), prompts, texts, strict=True):
+                ids = np.frombuffer(prompt + ids + tail, dtype="<u2").astype("<u4")
+                bears = max(1, len(prompt) // 2)  # from there on
+                start = 0
+                while start < len(ids):
+                    length = min(max_tokens, max(0, bears - start) + max_loss, len(ids) - start)
+                    items.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)))
+                    loss.append(max(0, start + length - max(start, bears)))
+                    start += length
+            if len(items) >= block_items:
+                yield place()
         yield place()
 
     return run
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, block_items: int = 4096) -> DataFrame:
-    """One row per piece. Loss-bearing are all tokens but a document's first, which nothing precedes."""
+def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int, drops_space: bool, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, max_tokens: int = 2048, max_segments: int = 256, max_loss: int = 2048, block_items: int = 4096) -> DataFrame:
+    """One row per piece. ``prompt_col``: text before the other, whose tokens bear no loss, nor does a document's first
+    token, which nothing precedes; all others do, and ``max_loss`` (1 or more) of them at most stand in a sequence."""
     ship(docs.sparkSession)
-    own = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    columns = {"doc_id": id_col, "text": text_col} | ({"prompt": prompt_col} if prompt_col else {})
+    own = own_columns(docs, **columns).withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = own if prompt_col else own.withColumn("prompt", F.lit(None).cast("string"))
     return own.mapInArrow(_pieces(tokenizer, drops_space, end_id, max_tokens, max_segments, max_loss, block_items), PIECES)
 
 

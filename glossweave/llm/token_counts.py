@@ -11,10 +11,12 @@ of numpy arrays.
 No piece reaches over a border between a character and a space mark, so there the machine is in its first state
 again. Texts are cut into chunks at such borders, every chunk's state map is then a constant, and thousands of
 chunks run in step, a numpy table lookup for each character place. A run of characters with no border is cut
-anyway; such a chunk's map is computed for the state that the characters before it lead to, and the scan that
-composes the maps runs again those chunks whose map didn't cover the state that comes in.
+anyway; such a chunk's map is computed for the states that the characters before it lead to, and a parallel prefix scan
+composes the maps of a run by doubling pointers. Maps that lack the state that comes in get it, and the scan is repeated.
 
-Null and empty texts have no tokens. Characters that the model lacks count as their UTF-8 bytes.
+Null and empty texts have no tokens. Characters that the model lacks count as their UTF-8 bytes. Very long texts are many
+chunks. Repeated rows are counted each; an empty table gives no rows. A model with another normalizer or with pieces too long for a
+transition's counter is refused.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from glossweave.llm.common import own_columns, ship, table
 SPACE = "▁"
 _MIX, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1  # of multiplicative hashing
 _NONE = ""  # a last piece that nothing can merge with
+#: Texts whose counts show how a model treats white space, letters of other widths and cases, and special strings.
+_PROBES = ["", " ", "a", " a", "a  b ", "\t\n a\r\n", "ﬁ ａ① É é", "İstanbul STRASSE", "<s></s><unk>", "▁ x▁", "\u200b\u00a0z", "日本語"]
 
 
 class Transducer:
@@ -46,12 +50,16 @@ class Transducer:
         self.chars = {c for p in self.rank for c in p}
         if any(x[1] == SPACE != x[0] for x in self.near) or not all(c in self.rank for c in self.chars):
             raise ValueError("this model has pieces over word borders, or characters that aren't pieces")
+        if max(map(len, self.rank)) > 31:
+            raise ValueError("pieces longer than a transition's change can hold")
         self.stays: dict[tuple[str, str], bool] = {}
         self.most_states, self.columns = most_states, columns
         self.column = np.zeros(0x110000, dtype=np.uint8)  # 0: no column of its own
         self.by_column = [""]
         self.own(SPACE)
         self.clear()
+        if [len(x) for x in model.encode(_PROBES)] != self.counts(_PROBES).tolist():
+            raise ValueError("this model normalises texts or adds a space otherwise than is assumed")
 
     def clear(self) -> None:
         self.first = ("", ((0, _NONE, 0),))
@@ -168,6 +176,37 @@ class Transducer:
         back[order] = np.arange(len(order))
         return now[back], total[back]
 
+    def composed(self, codes: np.ndarray, wide: np.ndarray, start: np.ndarray, length: np.ndarray, cut: np.ndarray, leave: np.ndarray, warm: int) -> np.ndarray:
+        """Counts of the chunks ``cut``, which no border begins. Each gets a map from entry states to exit states and counts. A
+        scan then composes the maps of each run of chunks: every entry of a map points to the entry of the next that its exit
+        is, and pointers are doubled, so a run of k chunks takes log2(k) steps. An entry that a map lacks is added."""
+        chunk, entry = np.concatenate((cut, cut)), np.concatenate([self.run(codes, wide, start[cut] - w, np.full(len(cut), w), np.zeros(len(cut), dtype=np.int64))[0] for w in (warm, warm - warm // 3)])
+        first = cut[~np.isin(cut - 1, cut)]  # where runs begin; what comes in is known
+        chunk, entry = np.concatenate((chunk, first)), np.concatenate((entry, leave[first - 1]))
+        known = np.zeros((0, 4), dtype=np.int64)  # chunk, entry, exit, count
+        while True:
+            new = np.unique(np.stack((chunk, entry), axis=1), axis=0)
+            out, n = self.run(codes, wide, start[new[:, 0]], length[new[:, 0]], new[:, 1])
+            known = np.concatenate((known, np.column_stack((new, out, n))))
+            known = known[np.lexsort((known[:, 1], known[:, 0]))]
+            key = known[:, 0] << 32 | known[:, 1]
+            last = ~np.isin(known[:, 0] + 1, cut)
+            want = known[:, 0] + 1 << 32 | known[:, 2]
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            there = (key[at] == want) & ~last
+            to = np.where(there, at, np.arange(len(key)))  # the last and those without a next point to themselves
+            reached = np.isin(key, first << 32 | leave[first - 1])
+            step = to
+            for _ in range(int(len(cut)).bit_length()):
+                reached[step[reached]] = True
+                step = step[step]
+            missing = np.flatnonzero(reached & ~there & ~last)
+            if not missing.size:
+                counts = np.zeros(len(start), dtype=np.int64)
+                counts[known[reached, 0]] = known[reached, 3]
+                return counts[cut]
+            chunk, entry = known[missing, 0] + 1, known[missing, 2]
+
     def counts(self, texts: list[str], chunk: int = 256, warm: int = 48) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), dtype=np.int64)
@@ -194,17 +233,13 @@ class Transducer:
         turn = np.arange(len(start)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
         start = start + turn * chunk
         length = np.append(start[1:], len(codes)) - start
-        entry = np.zeros(len(start), dtype=np.int64)
-        if (cut := np.flatnonzero(turn)).size:
-            entry[cut], _ = self.run(codes, wide, start[cut] - warm, np.full(len(cut), warm), np.zeros(len(cut), dtype=np.int64))
-        leave, n = self.run(codes, wide, start, length, entry)
-        while cut.size:  # compose the maps; those that were computed for another state than comes in run again
-            comes = leave[cut - 1]
-            wrong = cut[comes != entry[cut]]
-            if not wrong.size:
-                break
-            entry[wrong] = leave[wrong - 1]
-            leave[wrong], n[wrong] = self.run(codes, wide, start[wrong], length[wrong], entry[wrong])
+        whole_run, cut = np.flatnonzero(turn == 0), np.flatnonzero(turn)
+        n = np.zeros(len(start), dtype=np.int64)
+        leave = np.zeros(len(start), dtype=np.int64)
+        zero = np.zeros(len(start), dtype=np.int64)
+        leave[whole_run], n[whole_run] = self.run(codes, wide, start[whole_run], length[whole_run], zero[whole_run])
+        if cut.size:
+            n[cut] = self.composed(codes, wide, start, length, cut, leave, warm)
         of = np.searchsorted(begins, start, side="right") - 1
         out[full] = np.bincount(of, weights=n, minlength=len(full)).astype(np.int64)
         return out

@@ -126,7 +126,7 @@ class Attention:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in in_parts(batches, "text", rows=256, octets=2 << 20):
+    for part in in_parts(batches, "text", rows=256, octets=1 << 20):
         x, first = passages(part.column("text").cast(pa.binary()).to_pylist())
         bags = [b.astype("<f4").tobytes() for b in np.split(x, first[1:])]
         yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])

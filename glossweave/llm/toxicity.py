@@ -182,7 +182,7 @@ class Model:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return in_parts(batches, "text", rows=512, octets=2 << 20)
+    return in_parts(batches, "text", rows=512, octets=1 << 20)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:

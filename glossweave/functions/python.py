@@ -27,8 +27,32 @@ def normalised(x: str | None, *, punctuation: bool = True) -> str:
 
 @F.pandas_udf(T.BooleanType())
 def meaningful_revision(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two versions differ in more than white space, case, width or punctuation."""
-    return pd.Series([normalised(x, punctuation=False) != normalised(y, punctuation=False) for x, y in zip(a, b, strict=True)])
+    """Whether both versions hold text and differ in more than white space, case, width or punctuation."""
+
+    def one(x: str | None, y: str | None) -> bool:
+        m, n = normalised(x), normalised(y)
+        return bool(m and n and m != n) and normalised(x, punctuation=False) != normalised(y, punctuation=False)
+
+    return pd.Series(list(map(one, a, b)), dtype=bool)
+
+
+@F.pandas_udf(T.StringType())
+def bare(x: pd.Series) -> pd.Series:
+    """A text as revisions are compared: NFKC, case-folded, without white space and punctuation."""
+    return pd.Series([normalised(t, punctuation=False) for t in x])
+
+
+@F.pandas_udf(T.DoubleType())
+def tail_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How alike the end of a text is to the whole of the next, matched block by block; null if the next has under 60 characters or is longer."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        m, n = normalised(x), normalised(y)
+        if len(n) < 60 or len(m) < len(n):
+            return None
+        return difflib.SequenceMatcher(None, m[-len(n) :], n, autojunk=False).ratio()
+
+    return pd.Series(list(map(one, a, b)), dtype="Float64")
 
 
 def _find(needle: str, text: str) -> tuple[int, int] | None:

@@ -74,11 +74,19 @@ def short_hash(*parts: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
+# Endings that a word loses, the first that leaves three letters or more, and what takes their place.
+ENDINGS = (("ily", "y"), ("ness", ""), ("ment", ""), ("tion", ""), ("sion", ""), ("ing", ""), ("ed", ""), ("er", ""), ("est", ""), ("es", ""), ("ly", ""), ("s", ""))
+
+
+def base_form(word: Column) -> Column:
+    """The word without its ending, and without the second of two equal letters that this leaves at its end."""
+    cut = word
+    for ending, by in reversed(ENDINGS):
+        cut = F.when(word.endswith(ending) & (F.length(word) > len(ending) + 2), F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(by))).otherwise(cut)
+    doubled = (F.length(cut) > 3) & (F.right(cut, F.lit(1)) == F.substring(cut, F.length(cut) - 1, F.lit(1))) & ~F.right(cut, F.lit(1)).isin("e", "i", "o")
+    return F.when(doubled, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+
+
 def base_forms(word: Column) -> Column:
-    """The word and its one-step lemma, the first suffix rule that fits."""
-    rules = (("ies$", "y"), ("(?:ches|shes|sses|xes)$", None), ("ing$", ""), ("ed$", ""), ("es$", ""), ("s$", ""))
-    lemma = F.lit(None).cast("string")
-    for pattern, by in reversed(rules):
-        made = F.regexp_replace(word, "es$", "") if by is None else F.regexp_replace(word, pattern, by)
-        lemma = F.when(word.rlike(pattern), made).otherwise(lemma)
-    return F.array_compact(F.array(word, lemma))
+    """The word and its base form."""
+    return F.array_distinct(F.array(word, base_form(word)))

@@ -56,7 +56,7 @@ def bundles(pairs: DataFrame, findings: DataFrame) -> DataFrame:
     return pairs.join(own, list(keys), "left").select("conv_id", "seg_idx", F.to_json(F.struct("source", "target", F.coalesce("findings", empty).alias("findings"))).alias("line"))
 
 
-def within_budget(lines: DataFrame, *, chars: int = 24_000) -> DataFrame:
+def within_budget(lines: DataFrame, *, chars: int = 9000) -> DataFrame:
     """Of each conversation's lines, in order, those before the running total passes the budget."""
     from pyspark.sql import Window
 

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import memory_eligible, term_matches
 from glossweave.operators.terms import term_join
 
 
+def _key(text: str) -> Column:
+    """What a memory is looked up by: the text in one line, hashed."""
+    return F.sha2(F.regexp_replace(text, "\n", " "), 256).alias("source_key")
+
+
 def memory_of(docs: DataFrame) -> DataFrame:
-    """A memory of the texts that stand in several documents; the least document's id is the target."""
-    return docs.groupBy("text").agg(F.min("doc_id").alias("target_id"), F.count("*").alias("n")).filter("n > 1").select(F.regexp_replace("text", "\n", " ").alias("source"), "target_id").groupBy("source").agg(F.min("target_id").alias("target_id"))
+    """A memory of the texts that stand in several documents, by their hash; the least document's id is the target."""
+    own = docs.select("doc_id", F.sha2("text", 256).alias("whole"), _key("text"))
+    return own.groupBy("whole", "source_key").agg(F.min("doc_id").alias("target_id"), F.count("*").alias("n")).filter("n > 1").groupBy("source_key").agg(F.min("target_id").alias("target_id"))
 
 
 def lookup(segments: DataFrame, memory: DataFrame) -> DataFrame:
     """Exact hits, passages without a word character that pass through, and the rest."""
-    own = segments.withColumn("clean", F.regexp_replace("text", "\n", " "))
-    found = own.join(memory.withColumnRenamed("source", "clean"), "clean", "left")
-    kind = F.when(F.col("target_id").isNotNull(), "memory").when(~F.col("clean").rlike(r"[A-Za-z0-9\x{4e00}-\x{9fff}]"), "passthrough").otherwise("translate")
-    return found.withColumn("route", kind).drop("clean", "text")
+    own = segments.withColumn("plain", ~F.col("text").rlike(r"[A-Za-z0-9\x{4e00}-\x{9fff}]")).withColumn("source_key", _key("text")).drop("text")  # only hashes are shuffled
+    found = own.join(memory, "source_key", "left")
+    kind = F.when(F.col("target_id").isNotNull(), "memory").when(F.col("plain"), "passthrough").otherwise("translate")
+    return found.withColumn("route", kind).drop("source_key", "plain")
 
 
 def insert_if_absent(memory: DataFrame, rows: DataFrame) -> DataFrame:
@@ -46,23 +52,27 @@ def to_sections(segments: DataFrame, sections: DataFrame) -> DataFrame:
     return met.groupBy("doc_id", "seg_idx").agg(F.min_by("section_id", "start_segment").alias("section_id"))
 
 
-def earlier_targets(pairs: DataFrame, *, limit: int = 2) -> DataFrame:
-    """As of each pair, the last accepted targets of its conversation before it, in their order."""
+def earlier_targets(pairs: DataFrame, *, limit: int = 2, chars: int = 1200) -> DataFrame:
+    """As of each pair, the last targets of its conversation before it, in their order, whatever their provenance."""
     w = Window.partitionBy("conv_id").orderBy("seg_idx").rowsBetween(-limit, -1)
-    return pairs.select("conv_id", "seg_idx", F.array_join(F.collect_list(F.substring("target", 1, 40)).over(w), " || ").alias("context"))
+    return pairs.select("conv_id", "seg_idx", F.array_join(F.collect_list(F.substring("target", 1, chars)).over(w), " || ").alias("context"))
+
+
+def stream_length(text: str = "text") -> Column:
+    """Characters that a text adds to the stream that two divisions of a document are aligned by."""
+    return F.length(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", "")))
 
 
 def align(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Segments of two divisions of the same character stream, joined where their ranges of normalised characters overlap.
+    """Segments (doc_id, seg_idx, n) of two divisions of the same stream of ``stream_length`` characters, joined where their ranges overlap.
 
     Ranges are prefix sums within a document; old segments are spread over blocks of the stream so that the interval
     join is an equi-join on blocks."""
     block = 512
 
     def ranged(df: DataFrame, idx: str) -> DataFrame:
-        n = F.length(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", "")))
-        end = F.sum(n).over(Window.partitionBy("doc_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0))
-        return df.select("doc_id", F.col("seg_idx").alias(idx), (end - n).alias(f"{idx}_from"), end.alias(f"{idx}_to")).filter(F.col(f"{idx}_to") > F.col(f"{idx}_from"))
+        end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0))
+        return df.select("doc_id", F.col("seg_idx").alias(idx), (end - F.col("n")).alias(f"{idx}_from"), end.alias(f"{idx}_to")).filter(F.col(f"{idx}_to") > F.col(f"{idx}_from"))
 
     spread = lambda df, i: df.withColumn("block", F.explode(F.sequence(F.floor(F.col(f"{i}_from") / block), F.floor((F.col(f"{i}_to") - 1) / block))))
     a, b = spread(ranged(old, "o"), "o"), spread(ranged(new, "n"), "n")

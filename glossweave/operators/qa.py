@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import folded, incomplete, preserved_kind, preserved_tokens, strip, term_matches, words
+from glossweave.operators.cases import beside
 from glossweave.operators.terms import term_join
 
 KEYS = ("arm", "conv_id", "seg_idx")
@@ -25,9 +26,9 @@ def findings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     in_source = term_join(full, locked, text_col="source", term_col="term_source")
     missing = in_source.filter((F.col("behavior") == "translate") & (F.col("preferred") != "") & ~term_matches(F.col("preferred"), F.col("target")))
     unkept = in_source.filter((F.col("behavior") == "preserve") & ~F.contains("target", "term_source"))
-    # forbidden forms count whether or not the source holds the term; they are few and go into each row as one array
-    forbidden = F.array(*[F.struct(lit(r["id"]).alias("id"), lit(f).alias("form")) for r in locked.collect() for f in r["forbidden"]])
-    used = full.select(*KEYS, F.explode(F.filter(forbidden, lambda x: F.contains(F.col("target"), x["form"]))).alias("hit"))
+    # forbidden forms count whether or not the source holds the term, and anywhere in the target: they are one array beside each row
+    forms = locked.select("id", F.explode("forbidden").alias("form")).agg(F.collect_list(F.struct("id", "form")).alias("forms"))
+    used = beside(full, forms).select(*KEYS, F.explode(F.filter("forms", lambda x: F.contains(F.col("target"), x["form"]))).alias("hit"))
     parts = [
         row(pairs.filter(blank), "blank", lit("blocking"), lit("")), row(full.filter(incomplete(F.col("source"), F.col("target"))), "incomplete", lit("blocking"), lit("")), row(same, "identical", lit("actionable"), lit("")),
         row(token, "token_lost", lost, F.col("token")), row(residual_runs(full), "residual", F.when(F.col("n") >= 2, "actionable").otherwise("informational"), F.col("run")),

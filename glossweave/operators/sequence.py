@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import sentences, words
 
 
+# Marks and quotations that make a segment complex.
+MARKS, QUOTING = r"[,;:—–\-()\[\]\"“”‘’]", r"[\"“”‘’]|—|–"
+
+
 def _order(*extra) -> Window:
     return Window.partitionBy("doc_id").orderBy("seg_idx")
 
@@ -35,13 +39,13 @@ def candidate_scores(segments: DataFrame) -> DataFrame:
     """What a segment's own text adds to its score as a case: length, clauses, punctuation, quotation or dash."""
     n = F.length("text")
     clauses = F.regexp_count("text", F.lit(r"(?i)\b(?:that|which|who|because|although|while|if|when)\b"))
-    marks = F.regexp_count("text", F.lit(r"[,;:—–\-()\[\]\"“”‘’]"))
+    marks = F.regexp_count("text", F.lit(MARKS))
     score = F.when(n >= 180, F.least(F.lit(5.0), n / 100)).otherwise(0.0) + F.when(clauses >= 2, F.least(F.lit(4), clauses)).otherwise(0) + F.when(marks >= 5, F.least(F.lit(3.0), marks / 3)).otherwise(0.0)
-    score += F.when(F.col("text").rlike(r"[\"“”‘’]|—|–"), 1.0).otherwise(0.0)
+    score += F.when(F.col("text").rlike(QUOTING), 1.0).otherwise(0.0)
     return zones(segments).select("doc_id", "seg_idx", "zone", F.round(score, 3).alias("score"))
 
 
-def top_by_zone(scored: DataFrame, *, per_zone: int = 2, total: int = 8) -> DataFrame:
+def top_by_zone(scored: DataFrame, *, per_zone: int = 3, total: int = 80) -> DataFrame:
     """Per document: the best of each zone, then the best of the rest until there are ``total``."""
     best = F.row_number().over(Window.partitionBy("doc_id", "zone").orderBy(F.desc("score"), "seg_idx"))
     placed = scored.withColumn("first", (best > per_zone).cast("int"))
@@ -52,27 +56,35 @@ def top_by_zone(scored: DataFrame, *, per_zone: int = 2, total: int = 8) -> Data
 def pack(segments: DataFrame, *, most: int = 4, chars: int = 1600) -> DataFrame:
     """Consecutive segments to batches of at most ``most``, or ``chars`` characters; a longer segment stands alone.
 
-    Where a batch begins depends on where the last began, which no window frame can say; each document is folded
-    in one pass over its sorted lengths."""
+    Where a batch begins depends on where the last began, which no window frame can say; a task streams its documents'
+    lengths in order and holds no document."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, batch, n, size = None, -1, 0, 0
+        for rows in batches:
+            out = []
+            for own, length in zip(rows.column("doc_id").to_pylist(), rows.column("n").to_pylist(), strict=True):
+                if own != doc:
+                    doc, batch, n = own, -1, most
+                if n >= most or size + length > chars:
+                    batch, n, size = batch + 1, 0, 0
+                n, size = n + 1, size + length
+                out.append(batch)
+            yield pa.record_batch([rows.column("doc_id"), rows.column("seg_idx"), pa.array(out, pa.int32())], names=["doc_id", "seg_idx", "batch"])
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg_idx")
-        batch, n, size, out = -1, 0, 0, []
-        for length in rows["n"]:
-            if batch < 0 or n >= most or size + length > chars:
-                batch, n, size = batch + 1, 0, 0
-            n, size = n + 1, size + length
-            out.append(batch)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "seg_idx": rows["seg_idx"], "batch": out})
+    own = segments.select("doc_id", "seg_idx", F.length("text").alias("n")).repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx")
+    return own.mapInArrow(fold, "doc_id long, seg_idx int, batch int")
 
-    return segments.select("doc_id", "seg_idx", F.length("text").alias("n")).groupBy("doc_id").applyInPandas(fold, "doc_id long, seg_idx int, batch int")
+
+def paragraph_numbers(segments: DataFrame) -> DataFrame:
+    """``segments`` with the number of the paragraph that each begins or, with a lower-case letter, continues."""
+    start = (~F.col("text").rlike(r"(?U)^\p{Ll}") | (F.col("seg_idx") == 0)).cast("int")
+    return segments.withColumn("paragraph", F.sum(start).over(_order().rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
 
 def merge_paragraphs(segments: DataFrame) -> DataFrame:
     """Segments that begin with a lower-case letter continue the paragraph before them."""
-    start = (~F.col("text").rlike(r"(?U)^\p{Ll}") | (F.col("seg_idx") == 0)).cast("int")
-    group = F.sum(start).over(_order().rowsBetween(Window.unboundedPreceding, 0)) - 1
-    joined = segments.withColumn("paragraph", group).groupBy("doc_id", "paragraph").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+    joined = paragraph_numbers(segments).groupBy("doc_id", "paragraph").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
     return joined.select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "parts", "text")
 
 
@@ -82,7 +94,7 @@ def chunks(docs: DataFrame, *, size: int = 1200) -> DataFrame:
     return docs.filter("text <> ''").select("doc_id", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i + 1, F.lit(size)))).alias("chunk", "piece"))
 
 
-def spread_sample(segments: DataFrame, *, windows: int = 3, chars: int = 200) -> DataFrame:
+def spread_sample(segments: DataFrame, *, windows: int = 3, chars: int = 2500) -> DataFrame:
     """From ``windows`` places spread evenly over a document, segments until a window has ``chars`` characters."""
     last = F.max("seg_idx").over(Window.partitionBy("doc_id"))
     edges = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.bround(i * F.col("last") / (windows - 1), 0).cast("int")))
@@ -123,9 +135,9 @@ def token_counts(docs: DataFrame, *, least_length: int = 1) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def token_frequency(docs: DataFrame, *, top: int = 1000) -> DataFrame:
-    """The most frequent of ``token_counts``."""
-    return token_counts(docs).orderBy(F.desc("n"), "token").limit(top)
+def token_frequency(docs: DataFrame) -> DataFrame:
+    """``token_counts`` of all words."""
+    return token_counts(docs)
 
 
 def rare_tokens(docs: DataFrame, *, most: int = 8, least_length: int = 4) -> DataFrame:
@@ -138,6 +150,22 @@ def rare_words(docs: DataFrame, *, most: int = 8, least_length: int = 4) -> Data
     return rare_tokens(docs, most=most, least_length=least_length).groupBy("n").agg(F.count("*").alias("tokens"))
 
 
+# Kinship terms and titles, which with a name are no terms of a domain.
+KINSHIP = r"(?i)^(?:grandma|grandpa|grandmother|grandfather|aunt|uncle|mr|mrs|ms|dr|sir|lady|lord|mother|father|mom|dad|brother|sister|captain|colonel|major|general|rabbi|professor|doctor)\b"
+
+
+def rare_candidates(counts: DataFrame, common: DataFrame, *, most: int = 8, least_length: int = 4) -> DataFrame:
+    """counts(word, n): words of some length that aren't common and occur fewer than ``most`` times."""
+    return counts.filter((F.length("word") >= least_length) & (F.col("n") < most)).join(common, "word", "left_anti").select("word", "n")
+
+
+def domain_candidates(spans: DataFrame, common: DataFrame) -> DataFrame:
+    """spans(span, n) that open with no title and hold a word that isn't common."""
+    tokens = spans.select("span", F.explode(F.regexp_extract_all("span", F.lit("[A-Za-z]+(?:['’\\-][A-Za-z]+)*"), F.lit(0))).alias("w")).select("span", F.lower("w").alias("word"))
+    strange = tokens.join(common, "word", "left_anti").select("span").distinct()
+    return spans.filter(~F.col("span").rlike(KINSHIP)).join(strange, "span", "left_semi")
+
+
 def boilerplate(docs: DataFrame, segs: DataFrame) -> DataFrame:
     """Short lines, numbers made alike, on a fifth of a source's documents or on five at least."""
     line = F.regexp_replace("text", r"\d+", "#")

@@ -22,7 +22,7 @@ def term_join(texts: DataFrame, terms: DataFrame, *, text_col: str = "text", ter
     t = strip(F.col(term_col))
     run = F.regexp_extract(t, _RUN, 0)
     key = F.when(t.rlike(CJK) | (run == ""), _fold(F.substring(t, 1, 1))).otherwise(_fold(run))
-    odd = F.filter(F.split(_fold(F.col(text_col)), ""), lambda c: (c != "") & ~c.rlike(r"^[A-Za-z0-9_\s]$"))
+    odd = F.regexp_extract_all(_fold(F.col(text_col)), F.lit(r"[^A-Za-z0-9_\s]"), F.lit(0))
     keys = F.array_distinct(F.concat(F.regexp_extract_all(_fold(F.col(text_col)), F.lit(_RUN), F.lit(0)), odd, F.transform(F.regexp_extract_all(t_text := F.col(text_col), F.lit("[A-Za-z0-9_]" + CJK), F.lit(0)), lambda x: _fold(F.substring(x, 1, 1)))))
     left = texts.withColumn("__key", F.explode(keys))
     right = terms.withColumn("__key", key).filter(t != "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import base_forms, folded, preserved_tokens, sentences, without_controls
+from glossweave.functions.text import ENDINGS, base_forms, folded, preserved_tokens, sentences, without_controls
 from glossweave.operators import evidence, memory, qa, sampling, sequence, terms
 from glossweave.sources import derived
 from glossweave.shipping import ship
@@ -231,7 +231,7 @@ def segment_section_interval_join(spark, d):
     return memory.to_sections(segs, derived.sections(segs))
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, seg_idx, coalesce(string_agg(substring(target, 1, 40), ' || ') OVER (PARTITION BY conv_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM pairs")
+@query(f"WITH {_PAIRS} SELECT conv_id, seg_idx, coalesce(string_agg(substring(target, 1, 1200), ' || ') OVER (PARTITION BY conv_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM pairs")
 def context_asof_targets(spark, d):
     return memory.earlier_targets(_pairs(spark, d))
 
@@ -247,8 +247,9 @@ def _ranged(source: str, name: str) -> str:
 SELECT doc_id, n::INT AS n, count(DISTINCT o) AS n_old, min(o) AS first_old, max((a_o = a_n AND b_o = b_n)::INT) AS reusable FROM {_ranged('seg', 'o')} JOIN {_ranged('merged', 'n')} USING (doc_id) WHERE a_o < b_n AND a_n < b_o GROUP BY doc_id, n""")
 def stream_align_reuse(spark, d):
     segs = _segments(spark, d)
-    new = sequence.merge_paragraphs(segs).select("doc_id", F.col("paragraph").alias("seg_idx"), "text")
-    return memory.align(segs, new)
+    old = segs.select("doc_id", "seg_idx", "text", memory.stream_length().alias("n"))
+    new = sequence.paragraph_numbers(old).groupBy("doc_id", F.col("paragraph").cast("int").alias("seg_idx")).agg(F.sum("n").alias("n"))
+    return memory.align(old, new)
 
 
 @query(f"WITH {_PAIRS} SELECT arm, conv_id, seg_idx, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM pairs JOIN (VALUES ('le'), ('and'), ('scum'), ('new')) v(term) ON {_match('term', 'source')} GROUP BY ALL")
@@ -283,7 +284,7 @@ def candidate_scores(spark, d):
     return sequence.candidate_scores(_segments(spark, d))
 
 
-@query(f"WITH {_SEG}, {_SCORES}, f AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, zone ORDER BY score DESC, seg_idx) > 2)::INT AS late FROM sc), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY late, score DESC, seg_idx) AS rank FROM f) SELECT doc_id, seg_idx, zone, score FROM r WHERE rank <= 8")
+@query(f"WITH {_SEG}, {_SCORES}, f AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, zone ORDER BY score DESC, seg_idx) > 3)::INT AS late FROM sc), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY late, score DESC, seg_idx) AS rank FROM f) SELECT doc_id, seg_idx, zone, score FROM r WHERE rank <= 80")
 def coverage_zone_topk(spark, d):
     return sequence.top_by_zone(sequence.candidate_scores(_segments(spark, d)))
 
@@ -308,7 +309,7 @@ def chunk_units(spark, d):
 
 @query(f"""WITH {_SEG}, l AS (SELECT doc_id, seg_idx, length(text) AS n, max(seg_idx) OVER (PARTITION BY doc_id) AS last FROM seg),
 e AS (SELECT *, list_max(list_filter([0, round_even(last / 2, 0)::INT, last], lambda x: x <= seg_idx)) AS edge FROM l),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, edge ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) SELECT doc_id, edge::INT AS edge, seg_idx FROM b WHERE before < 200""")
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, edge ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) SELECT doc_id, edge::INT AS edge, seg_idx FROM b WHERE before < 2500""")
 def distributed_sample(spark, d):
     return sequence.spread_sample(_segments(spark, d))
 
@@ -345,7 +346,7 @@ def paragraph_roles(spark, d):
     return sequence.roles(_segments(spark, d))
 
 
-@query("SELECT lower(w) AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 1000")
+@query("SELECT lower(w) AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1")
 def token_frequency(spark, d):
     return sequence.token_frequency(_docs(spark, d))
 
@@ -376,13 +377,37 @@ def context_dependent(spark, d):
     return sampling.context_dependent(_segments(spark, d))
 
 
-@query("""WITH w AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1), b AS (SELECT word, n, CASE WHEN regexp_matches(word, 'ies$') THEN regexp_replace(word, 'ies$', 'y') WHEN regexp_matches(word, '(?:ches|shes|sses|xes)$') THEN regexp_replace(word, 'es$', '') WHEN regexp_matches(word, 'ing$') THEN regexp_replace(word, 'ing$', '') WHEN regexp_matches(word, 'ed$') THEN regexp_replace(word, 'ed$', '') WHEN regexp_matches(word, 'es$') THEN regexp_replace(word, 'es$', '') WHEN regexp_matches(word, 's$') THEN regexp_replace(word, 's$', '') END AS lemma FROM w)
-SELECT word, n FROM b WHERE word IN (SELECT word FROM w WHERE n >= 50) OR lemma IN (SELECT word FROM w WHERE n >= 50)""")
+_CUT = "CASE " + " ".join(f"WHEN ends_with(word, '{e}') AND length(word) > {len(e) + 2} THEN substring(word, 1, length(word) - {len(e)}) || '{by}'" for e, by in ENDINGS) + " ELSE word END"
+_WORDS = f"""w AS (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY 1), cu AS (SELECT word, n, {_CUT} AS cut FROM w),
+b AS (SELECT word, n, CASE WHEN length(cut) > 3 AND cut[-1] = cut[-2] AND cut[-1] NOT IN ('e', 'i', 'o') THEN substring(cut, 1, length(cut) - 1) ELSE cut END AS base FROM cu), k AS (SELECT word AS form FROM w WHERE n >= 50),
+com AS (SELECT word, n FROM b SEMI JOIN k ON k.form = b.word UNION SELECT word, n FROM b SEMI JOIN k ON k.form = b.base)"""
+
+
+def _word_counts(spark, d):
+    return sequence.token_counts(_docs(spark, d)).withColumnRenamed("token", "word")
+
+
+def _common(counts):
+    known = counts.filter("n >= 50").select(F.col("word").alias("form"))
+    return counts.select("word", "n", F.explode(base_forms(F.col("word"))).alias("form")).join(known, "form", "left_semi").select("word", "n").distinct()
+
+
+@query(f"WITH {_WORDS} SELECT * FROM com")
 def common_words(spark, d):
-    w = _docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
-    common = w.filter("n >= 50").select(F.col("word").alias("form"))
-    forms = w.select("word", "n", F.explode(base_forms(F.col("word"))).alias("form"))
-    return forms.join(common, "form", "left_semi").select("word", "n").distinct()
+    return _common(_word_counts(spark, d))
+
+
+@query(f"WITH {_WORDS} SELECT word, n FROM w WHERE length(word) >= 4 AND n < 8 AND word NOT IN (SELECT word FROM com)")
+def rare_candidates(spark, d):
+    counts = _word_counts(spark, d)
+    return sequence.rare_candidates(counts, _common(counts))
+
+
+@query(f"""WITH {_WORDS}, s AS (SELECT span, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Za-z]+')) AS span FROM documents) GROUP BY span), t AS (SELECT span, unnest(regexp_extract_all(span, '[A-Za-z]+')) AS w FROM s)
+SELECT span, n FROM s WHERE NOT regexp_matches(span, '{sequence.KINSHIP}') AND span IN (SELECT span FROM t WHERE lower(w) NOT IN (SELECT word FROM com))""")
+def domain_candidates(spark, d):
+    spans = _docs(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Za-z]+"), F.lit(0))).alias("span")).groupBy("span").agg(F.count("*").alias("n"))
+    return sequence.domain_candidates(spans, _common(_word_counts(spark, d)))
 
 
 @query(r"WITH r AS (SELECT DISTINCT doc_id, md5(regexp_replace(lower(text), '\s+', '', 'g')) AS h FROM documents) SELECT h AS text_hash, count(*) AS n_docs, min(doc_id) AS first_doc FROM r GROUP BY h HAVING count(*) > 1")
@@ -391,7 +416,12 @@ def repeated_texts(spark, d):
     return own.groupBy("text_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1")
 
 
-@query()
+@query(f"""WITH {_SEG}, l AS (SELECT doc_id, text AS a FROM seg WHERE seg_idx = 0), r AS (SELECT doc_id, arg_max(text, seg_idx) AS b FROM seg WHERE seg_idx <= 1 GROUP BY doc_id),
+o AS (SELECT doc_id, a = b AS same, length(a) + 8 * len(regexp_extract_all(a, '\\. ')) AS dense, length(a) AS long, md5('7:' || doc_id) AS key FROM l JOIN r USING (doc_id)), d AS (SELECT * FROM o WHERE NOT same),
+p AS (SELECT * FROM (SELECT doc_id, key, 'dense' AS category, 0 AS prio FROM d ORDER BY dense DESC, doc_id LIMIT 20) UNION ALL SELECT * FROM (SELECT doc_id, key, 'long', 1 FROM d ORDER BY long DESC, doc_id LIMIT 20)
+UNION ALL SELECT * FROM (SELECT doc_id, key, 'random', 2 FROM d ORDER BY key, doc_id LIMIT 80) UNION ALL SELECT * FROM (SELECT doc_id, key, 'identical', 3 FROM o WHERE same ORDER BY key, doc_id LIMIT 80)),
+f AS (SELECT doc_id, key, arg_min(category, prio) AS category, min(prio) AS prio FROM p GROUP BY doc_id, key), t AS (SELECT * FROM f ORDER BY prio, key, doc_id LIMIT 80)
+SELECT doc_id, category, CASE WHEN row_number() OVER (ORDER BY key, doc_id) % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM t""")
 def blind_packet(spark, d):
     segs = _segments(spark, d)
     left = segs.filter("seg_idx = 0").select("doc_id", "text")
@@ -470,11 +500,15 @@ def lineage_counts(spark, d):
     return evidence.lineage(sources, found, claims)
 
 
-@query()
+_BUNDLE = f"""{_WITH_F}, own AS (SELECT arm, conv_id, seg_idx, list({{'type': type, 'severity': severity, 'reason': reason}} ORDER BY type, severity, reason) AS found FROM f GROUP BY ALL),
+li AS (SELECT conv_id, seg_idx, to_json({{'source': source, 'target': target, 'findings': coalesce(found, [])}})::VARCHAR AS line FROM pairs LEFT JOIN own USING (arm, conv_id, seg_idx))"""
+
+
+@query(f"{_BUNDLE} SELECT * FROM li")
 def evidence_bundle_jsonl(spark, d):
     return evidence.bundles(_pairs(spark, d), _findings(spark, d))
 
 
-@query()
+@query(f"{_BUNDLE}, t AS (SELECT conv_id, seg_idx, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY seg_idx)::BIGINT AS total FROM li) SELECT * FROM t WHERE total <= 9000")
 def bounded_export(spark, d):
-    return evidence.within_budget(evidence.bundles(_pairs(spark, d), _findings(spark, d)), chars=2000)
+    return evidence.within_budget(evidence.bundles(_pairs(spark, d), _findings(spark, d)), chars=9000)

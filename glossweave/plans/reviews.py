@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from glossweave.operators import review
 from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _WITH_F, _findings, _pairs, _segments, query
-from glossweave.sources import derived
+from glossweave.sources import derived, jobs
+from glossweave.sources.jobs import FINDING_SQL, RECORD_SQL
 
 
 @query(f"{_WITH_F} SELECT arm, conv_id, seg_idx, type, 'f-' || substring(sha256(concat_ws('|', type, conv_id, seg_idx, reason)), 1, 12) AS finding_id FROM f")
@@ -14,11 +15,12 @@ def finding_ids(spark, d):
     return _findings(spark, d).select("arm", "conv_id", "seg_idx", "type", review.finding_id(*map(F.col, ("type", "conv_id", "seg_idx", "reason"))).alias("finding_id"))
 
 
-@query(f"""WITH {_PAIRS} SELECT arm, count(*) AS n, round(sum((length(target) >= length(source))::INT) / count(*), 4) AS longer_rate,
-round(sum((source = target)::INT) / count(*), 4) AS reuse_rate, round(sum((seg_idx % 3 = 0)::INT) / count(*), 4) AS reviewed_rate FROM pairs GROUP BY arm""")
+@query(f"""WITH {_PAIRS}, {RECORD_SQL}, {FINDING_SQL}, re AS (SELECT DISTINCT conv_id, seg_idx, 1 AS k FROM fd WHERE action = 'retranslated') SELECT arm, count(*) AS n, round(sum(reviewed::INT) / count(*), 4) AS reviewed_rate,
+round(sum((k IS NOT NULL)::INT) / count(*), 4) AS retranslated_rate, round(sum(from_tm::INT) / count(*), 4) AS reuse_rate, round(sum(stale::INT) / count(*), 4) AS stale_rate FROM rec LEFT JOIN re USING (conv_id, seg_idx) GROUP BY arm""")
 def workflow_rates(spark, d):
-    flags = {"longer_rate": F.length("target") >= F.length("source"), "reuse_rate": F.col("source") == F.col("target"), "reviewed_rate": F.col("seg_idx") % 3 == 0}
-    return review.workflow_rates(_pairs(spark, d), flags, "arm")
+    redone = jobs.findings(spark, d).filter("action = 'retranslated'").select("conv_id", "seg_idx").distinct().withColumn("redone", F.lit(True))
+    own = jobs.records(spark, d).join(redone, ["conv_id", "seg_idx"], "left").withColumn("redone", F.coalesce("redone", F.lit(False)))
+    return review.workflow_rates(own, {"reviewed_rate": F.col("reviewed"), "retranslated_rate": F.col("redone"), "reuse_rate": F.col("from_tm"), "stale_rate": F.col("stale")}, "arm")
 
 
 @query(f"WITH {_SEG} SELECT doc_id, seg_idx, list(seg_idx) OVER (PARTITION BY doc_id ORDER BY seg_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM seg")

@@ -42,6 +42,13 @@ def test_encoder(path, drops):
     settings(max_examples=150, deadline=None)(given(st.lists(ANY, min_size=1, max_size=4))(same))()
 
 
+@pytest.mark.parametrize(("path", "drops"), [(BYTE, True), (WORD, False)])
+def test_encoder_of_another_tokenizer_than_it_knows(path, drops):
+    library, own = Tokenizer.from_file(path), Encoder(path, drops_space=drops)
+    assert not own.safe
+    assert own.encode([*HARD, None]) == [np.array(e.ids, dtype="<u2").tobytes() for e in library.encode_batch([*HARD, ""], add_special_tokens=False)]
+
+
 def test_counts():
     library, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), Transducer(PIECE)
 
@@ -57,7 +64,7 @@ def test_counts():
 def test_code(ranks):
     n = np.array([len(x) for x in ranks])
     control, data = code(np.array([y for x in ranks for y in x], dtype=np.uint32), n)
-    got = decode(b"".join(control), b"".join(data))
+    got = decode(control, data)
     at = 0
     for x in ranks:
         assert got[at : at + len(x)].tolist() == x
@@ -71,7 +78,7 @@ def _expect(spark, library, texts, end):
 def test_token_files(spark):
     docs, texts = _rows(spark)
     want = _expect(spark, Tokenizer.from_file(BYTE), texts, 2)
-    write_token_files(docs, path := new_path(spark), tokenizer=BYTE, end_id=2, part_rows=5)
+    write_token_files(docs, path := new_path(spark), tokenizer=BYTE, end_id=2)
     assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 2
     got = {r["doc_id"]: r for r in read_token_files(spark, path).collect()}
     ids = {r["doc_id"]: r["ids"] for r in read_token_ids(spark, path).collect()}
@@ -83,6 +90,42 @@ def test_token_files(spark):
         start += len(w)
 
 
+def test_token_files_of_repeated_and_null_ids(spark):
+    rows = [(7, f"text {k}") for k in range(60)] + [(None, "no id")] * 20 + [(k, "same text") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    write_token_files(docs, path := new_path(spark), tokenizer=BYTE, end_id=2)
+    got = sorted(read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 20 + sorted(i for i, _ in rows if i is not None)
+    library = Tokenizer.from_file(BYTE)
+    want = sorted((i or -1, zlib.crc32(np.array([*library.encode(t).ids, 2], dtype="<u4").tobytes())) for i, t in rows)
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got) == want
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+
+
+def test_packing_of_turns(spark):
+    """Answers bear loss, prompts don't; the limit binds, and every id lies in one piece."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    of = {}
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        of.setdefault(r["conv_id"], {"user": "", "assistant": ""}).setdefault(r["role"], "")
+        of[r["conv_id"]][r["role"]] += (r["text"] or "") + "\n"
+    rows = [(i, t["user"], t["assistant"]) for i, t in of.items()] + [(-1, None, "answer " * 900), (-2, "prompt " * 5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, prompt string, text string")
+    library = Tokenizer.from_file(WORD)
+    sizes = {i: (len(library.encode(p or "", add_special_tokens=False)), len(library.encode(t or "", add_special_tokens=False)) + 1) for i, p, t in rows}
+    got = pack_documents(docs, tokenizer=WORD, end_id=1, drops_space=True, prompt_col="prompt", max_loss=300).collect()
+    for i, (p, t) in sizes.items():
+        own = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == p + t
+        assert sum(r["loss_tokens"] for r in own) == p + t - max(1, p)
+    loss, used = {}, {}
+    for r in got:
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + r["loss_tokens"]
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert max(loss.values()) == 300
+    assert max(used.values()) <= 2048
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     write_token_files(none, path := new_path(spark), tokenizer=BYTE, end_id=2)
@@ -136,8 +179,24 @@ def test_queries(spark, sf_dir):
     for r in counts:
         k = len(library.encode(texts[r["doc_id"]] or ""))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((texts[r["doc_id"]] or "").encode()), k, k > 4096)
-    assert op3_token_files(spark, sf_dir).count() == n
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    start = 0
+    files = sorted(op3_token_files(spark, sf_dir).collect(), key=lambda r: r["doc_id"])
+    assert len(files) == n
+    for r in files:
+        ids = [*byte.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
     pieces = op8_vector_packing(spark, sf_dir).collect()
+    by_doc = {}
+    for r in pieces:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for i, text in texts.items():
+        ids, at = [*word.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(by_doc[i], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r["length"]], dtype="<u4").tobytes()))
+            at += r["length"]
+        assert at == len(ids)
     used, size = {}, 2048
     for r in pieces:
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]

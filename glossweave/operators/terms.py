@@ -96,9 +96,14 @@ def self_conflicts(terms: DataFrame) -> DataFrame:
 
 
 def set_hash(terms: DataFrame) -> DataFrame:
-    """One hash of the whole glossary that doesn't depend on the order of its rows or forbidden forms."""
+    """One hash of the whole glossary that doesn't depend on the order of its rows or forbidden forms: of the hashes of 4,096 buckets, each of
+    the sorted hashes of its rows, so that no task holds all rows."""
     row = F.concat_ws("|", "source", "preferred", F.array_join(F.array_sort("forbidden"), ","), "behavior", "status", "scope")
-    return terms.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(row))), 256).alias("glossary_hash"), F.count("*").alias("entries"))
+    rows = terms.select(F.sha2(row, 256).alias("row"))
+    joined = lambda c: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(c))), 256)
+    buckets = rows.groupBy(F.substring("row", 1, 3).alias("bucket")).agg(joined("row").alias("hash"), F.count("*").alias("n"))
+    by_bucket = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "hash"))), lambda x: x["hash"])
+    return buckets.agg(F.sha2(F.concat_ws("\n", by_bucket), 256).alias("glossary_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
 
 
 def normalized(terms: DataFrame) -> DataFrame:

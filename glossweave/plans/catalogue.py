@@ -11,7 +11,7 @@ from glossweave.functions.text import ENDINGS, base_forms, folded, preserved_tok
 from glossweave.operators import evidence, memory, qa, sampling, sequence, terms
 from glossweave.sources import derived
 from glossweave.shipping import ship
-from glossweave.sources.derived import GLOSSARY, table
+from glossweave.sources.derived import GLOSSARY, WORD_GLOSSARY_SQL, table
 from glossweave.streaming import event_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,19 +110,20 @@ def glossary_selection(spark, d):
     return terms.select_for_batches(_segments(spark, d), derived.glossary(spark))
 
 
-@query(f"WITH {_G} SELECT id, source, preferred FROM g WHERE lower(source) IN (SELECT lower(source) FROM g GROUP BY 1 HAVING count(DISTINCT preferred) > 1)")
+@query(f"WITH {WORD_GLOSSARY_SQL} SELECT id, source, preferred FROM g WHERE lower(source) IN (SELECT lower(source) FROM g GROUP BY 1 HAVING count(DISTINCT preferred) > 1)")
 def glossary_conflict_self_join(spark, d):
-    return terms.self_conflicts(derived.glossary(spark))
+    return terms.self_conflicts(derived.word_glossary(_docs(spark, d)))
 
 
-@query(f"WITH {_G} SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS glossary_hash, count(*) AS entries FROM (SELECT concat_ws('|', source, preferred, array_to_string(list_sort(forbidden), ','), behavior, status, scope) AS r FROM g)")
+@query(f"""WITH {WORD_GLOSSARY_SQL}, r AS (SELECT sha256(concat_ws('|', source, preferred, array_to_string(list_sort(forbidden), ','), behavior, status, scope)) AS r FROM g), b AS (SELECT substring(r, 1, 3) AS bucket, sha256(string_agg(r, chr(10) ORDER BY r)) AS h, count(*) AS n FROM r GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY bucket)) AS glossary_hash, sum(n)::BIGINT AS entries FROM b""")
 def glossary_set_hash(spark, d):
-    return terms.set_hash(derived.glossary(spark))
+    return terms.set_hash(derived.word_glossary(_docs(spark, d)))
 
 
-@query(f"WITH {_G} SELECT 't-' || substring(sha256(concat_ws('|', lower(source), lower(preferred), behavior)), 1, 12) AS entry_id, source, preferred AS target, behavior, status FROM g")
+@query(f"""WITH {WORD_GLOSSARY_SQL}, n AS (SELECT *, lower(trim(status, ' ')) AS st FROM g) SELECT 't-' || substring(sha256(concat_ws('|', lower(source), lower(preferred), behavior)), 1, 12) AS entry_id, source, preferred AS target, behavior, CASE WHEN st IN ('locked', 'provisional', 'rejected') THEN st ELSE 'provisional' END AS status FROM n""")
 def glossary_normalize(spark, d):
-    return terms.normalized(derived.glossary(spark))
+    return terms.normalized(derived.word_glossary(_docs(spark, d)))
 
 
 # Quality rules

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import review
-from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _WITH_F, _findings, _pairs, _segments, query
+from glossweave.plans.catalogue import _docs, _PAIRS, _SEG, _WITH_F, _findings, _pairs, _segments, query
 from glossweave.sources import derived, jobs
+from glossweave.sources.derived import WORD_GLOSSARY_SQL
 from glossweave.sources.jobs import FINDING_SQL, RECORD_SQL
 
 
@@ -55,9 +56,9 @@ def resume_points(spark, d):
     return review.resume_points(batches, done)
 
 
-@query(f"WITH {_G} SELECT status, behavior, count(*) AS entries, count(DISTINCT lower(source)) AS terms, sum((len(forbidden) > 0)::INT)::BIGINT AS with_forbidden FROM g GROUP BY ALL")
+@query(f"WITH {WORD_GLOSSARY_SQL} SELECT status, behavior, count(*) AS entries, count(DISTINCT lower(source)) AS terms, sum((len(forbidden) > 0)::INT)::BIGINT AS with_forbidden FROM g GROUP BY ALL")
 def glossary_status_counts(spark, d):
-    g = derived.glossary(spark)
+    g = derived.word_glossary(_docs(spark, d))
     return g.groupBy("status", "behavior").agg(F.count("*").alias("entries"), F.countDistinct(F.lower("source")).alias("terms"), F.sum((F.size("forbidden") > 0).cast("int")).alias("with_forbidden"))
 
 

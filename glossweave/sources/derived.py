@@ -37,6 +37,22 @@ def glossary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GLOSSARY, GLOSSARY_SCHEMA)
 
 
+#: Of a word that occurs n times as it is written: its entry. SQL that Spark and DuckDB read alike, but for the list.
+WORD_ENTRY = {
+    "id": "'w-' || term", "source": "term", "preferred": "CASE WHEN n % 2 = 0 THEN 'r-' || lower(term) ELSE 'R-' || term END", "behavior": "CASE WHEN n % 4 = 0 THEN 'preserve' ELSE 'translate' END",
+    "status": "CASE n % 5 WHEN 0 THEN 'locked' WHEN 1 THEN 'provisional' WHEN 2 THEN 'rejected' WHEN 3 THEN ' Locked ' ELSE 'odd' END", "scope": "CASE WHEN n % 3 = 0 THEN 'global' ELSE 'section:s' || (n % 7) END", "pos": "n",
+}
+_WORDS = "[A-Za-z]{6,}"
+WORD_GLOSSARY_SQL = f"g AS (SELECT {', '.join(f'{x} AS {name}' for name, x in WORD_ENTRY.items())}, CASE WHEN n % 3 = 0 THEN ['x' || n, 'no-' || term] ELSE []::VARCHAR[] END AS forbidden FROM (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORDS}')) AS term FROM documents) GROUP BY term))"
+
+
+def word_glossary(docs: DataFrame) -> DataFrame:
+    """A glossary of all words of some length, as they are written, with fields by how often they occur."""
+    n = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    forbidden = F.when(F.col("n") % 3 == 0, F.array(F.concat(F.lit("x"), "n"), F.concat(F.lit("no-"), "term"))).otherwise(F.array().cast("array<string>"))
+    return n.withColumn("forbidden", forbidden).selectExpr(*[f"{x} AS {name}" for name, x in WORD_ENTRY.items()], "forbidden")
+
+
 def sections(segs: DataFrame, *, size: int = 10) -> DataFrame:
     """Ranges of ``size`` segments of each document."""
     last = segs.groupBy("doc_id").agg(F.max("seg_idx").alias("last"))

@@ -60,8 +60,8 @@ def _find(needle: str, text: str) -> tuple[int, int] | None:
         return None
     at = text.find(needle)
     if at < 0:
-        # character for character alike, runs of white space as one
-        pattern = r"\s+".join(map(re.escape, needle.translate(_ALIKE).split()))
+        # character for character alike, runs of white space as one, an ellipsis in one character or three
+        pattern = r"\s+".join(re.escape(x.replace("…", "...")).replace(r"\.\.\.", r"(?:\.\.\.|…)") for x in needle.translate(_ALIKE).split())
         found = re.search(pattern, text.translate(_ALIKE))
         return found.span() if found else None
     return at, at + len(needle)

@@ -35,9 +35,13 @@ def write_tmx(memory: DataFrame, path: str) -> None:
 
 
 def read_tbx(spark: SparkSession, path: str) -> DataFrame:
-    """The first term of the first two languages of each entry, as locked terms."""
-    raw = spark.read.format("xml").option("rowTag", "termEntry").schema("langSet array<struct<tig:array<struct<term:string>>>>").load(path)
-    return raw.filter(F.size("langSet") >= 2).select(F.col("langSet")[0]["tig"][0]["term"].alias("source"), F.col("langSet")[1]["tig"][0]["term"].alias("target"), F.lit("locked").alias("status"))
+    """The first terms of the first two different languages of each entry, as locked terms; entries in one language only go."""
+    lang = "struct<_lang:string,`_xml:lang`:string,tig:array<struct<term:string>>,ntig:array<struct<termGrp:struct<term:string>>>>"
+    raw = spark.read.format("xml").option("rowTag", "termEntry").schema(f"langSet array<{lang}>").load(path)
+    named = F.transform("langSet", lambda x, i: F.struct(F.coalesce(x["_lang"], x["_xml:lang"], F.concat(F.lit("#"), i)).alias("lang"), strip(F.coalesce(x["tig"][0]["term"], x["ntig"][0]["termGrp"]["term"])).alias("term")))
+    sets = raw.select(F.filter(named, lambda x: F.coalesce(x["term"], F.lit("")) != "").alias("sets"))
+    second = F.filter("sets", lambda x: x["lang"] != F.col("sets")[0]["lang"])
+    return sets.filter("size(sets) > 0").withColumn("second", second).filter("size(second) > 0").select(F.col("sets")[0]["term"].alias("source"), F.col("second")[0]["term"].alias("target"), F.lit("locked").alias("status"))
 
 
 def write_tbx(terms: DataFrame, path: str) -> None:
@@ -53,10 +57,29 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    """Records of RIS files: title, authors and year."""
-    record = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^ER  -.*$")).alias("r")).filter("r rlike '(?m)^TY  -'")
-    tag = lambda names: F.regexp_extract("r", rf"(?m)^(?:{names})  - (.*)$", 1)
-    return record.select(strip(tag("TI|T1")).alias("title"), F.regexp_extract_all("r", F.lit(r"(?m)^AU  - (.*)$"), F.lit(1)).alias("authors"), F.substring(tag("PY|Y1"), 1, 4).alias("year"))
+    """Records of RIS files: key, title, authors, year, doi, url and journal. Lines without a tag continue the one before them."""
+    record = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^\s*ER\s*[- ].*$")).alias("r")).filter(r"r rlike '(?m)^\s*TY\s*[- ]'")
+    joined = record.select(F.regexp_replace("r", r"\r?\n(?!\s*[A-Z0-9]{2}\s*[- ])\s*(?=\S)", " ").alias("r"))
+    last = lambda names: strip(F.coalesce(F.element_at(F.nullif(F.regexp_extract_all("r", F.lit(rf"(?m)^\s*(?:{names})\s*[- ]\s?(.*)$"), F.lit(1)), F.array().cast("array<string>")), -1), F.lit("")))
+    authors = F.filter(F.transform(F.regexp_extract_all("r", F.lit(r"(?m)^\s*(?:AU|A1)\s*[- ]\s?(.*)$"), F.lit(1)), lambda x: strip(x)), lambda x: x != "")
+    rows = joined.select(last("ID").alias("key"), last("TI|T1").alias("title"), authors.alias("authors"), F.regexp_extract(last("PY|Y1"), r"(\d{4})", 1).alias("year"), last("DO").alias("doi"), last("UR").alias("url"), last("JO|T2").alias("journal"))
+    return rows.filter("title <> '' OR size(authors) > 0")
+
+
+def read_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Job states, an object a file or a line; those that are no object of the schema are left out."""
+    raw = spark.read.schema(f"{schema}, __corrupt string").option("columnNameOfCorruptRecord", "__corrupt").json(path)
+    return raw.withColumn("__ok", F.col("__corrupt").isNull()).filter("__ok").drop("__ok", "__corrupt")
+
+
+def write_artifact(rows: DataFrame, path: str, metadata: dict[str, str]) -> None:
+    """JSON lines beside a folder with one line of metadata, as readers of artifacts expect."""
+    rows.write.mode("overwrite").json(f"{path}/items")
+    rows.sparkSession.createDataFrame([{"record_type": "artifact_metadata", **metadata}]).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/items")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

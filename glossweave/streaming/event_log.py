@@ -36,13 +36,33 @@ def stream_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).json(path).filter("phase IS NOT NULL")
 
 
+def append(events: DataFrame, path: str) -> None:
+    """Adds events to the log."""
+    events.write.mode("append").json(path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, part) of a promoted memory."""
+    return spark.read.schema("source string, target string, part long").json(path)
+
+
 def promote(spark: SparkSession, log_path: str, memory_path: str, checkpoint: str) -> None:
     """Takes what is new in the log and writes its pending entries to the memory, a folder for each micro-batch: run again after a
-    loss, a batch overwrites its own folder, and readers take the least source once."""
+    loss, a batch overwrites its own folder. Entries are promoted only after their batch's state is committed, and only if
+    no earlier folder has their source; what waits for a commit stays ``unpromoted``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.filter("phase = 'tm_promotion_pending'").select(F.inline("entries")).filter("source IS NOT NULL AND trim(target) <> ''")
-        rows.dropDuplicates(["source"]).write.mode("overwrite").json(f"{memory_path}/part={number}")
+        committed = read_log(spark, log_path).filter("phase = 'state_commit_done'").select("batch").distinct()
+        rows = batch.filter("phase = 'tm_promotion_pending'").join(committed, "batch", "left_semi").select(F.inline("entries")).filter("source IS NOT NULL AND trim(target) <> ''")
+        rows = rows.groupBy("source").agg(F.min("target").alias("target"))
+        if _there(spark, memory_path):
+            rows = rows.join(read_memory(spark, memory_path).filter(F.col("part") < number).select("source"), "source", "left_anti")
+        rows.write.mode("overwrite").json(f"{memory_path}/part={number}")
 
     query = stream_log(spark, log_path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

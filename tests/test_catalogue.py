@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from glossweave.plans import more, reviews  # noqa: F401  they add to the catalogue
+import __spark_entry__  # noqa: F401  it loads all that add to the catalogue
 from glossweave.plans.catalogue import QUERIES, SQL
 
 TABLES = ("documents", "conversations", "labels", "events", "nation")

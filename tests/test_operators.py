@@ -100,20 +100,35 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.bib").write_text("@article{key1,\n  title = {A title},\n  author = {Doe, J.},\n  year = {2001},\n}\n")
     assert [tuple(r) for r in files.read_bibtex(spark, str(tmp_path / "a.bib")).collect()] == [("key1", "A title", "Doe, J.", "2001")]
     (tmp_path / "a.ris").write_text("TY  - JOUR\nTI  - Name\nAU  - Doe, J.\nAU  - Roe, R.\nPY  - 1999/01\nER  - \n")
-    assert [tuple(r) for r in files.read_ris(spark, str(tmp_path / "a.ris")).collect()] == [("Name", ["Doe, J.", "Roe, R."], "1999")]
+    (tmp_path / "b.ris").write_text("TY  - BOOK\nT1  - A long\n  title\nA1  - Lee, A.\nDO  - 10.1/x\nER  - \nTY  - JOUR\nER  - \n")
+    got = {tuple(r) for r in files.read_ris(spark, str(tmp_path / "*.ris")).selectExpr("title", "array_join(authors, '|')", "year", "doi").collect()}
+    assert got == {("Name", "Doe, J.|Roe, R.", "1999", ""), ("A long title", "Lee, A.", "", "10.1/x")}
+    entry = "<termEntry><langSet xml:lang='en'><tig><term>a</term></tig></langSet><langSet xml:lang='en'><tig><term>b</term></tig></langSet>{}</termEntry>"
+    other = "<langSet xml:lang='zh'><ntig><termGrp><term>c</term></termGrp></ntig></langSet>"
+    (tmp_path / "n.tbx").write_text(f"<body>{entry.format(other)}{entry.format('')}</body>")
+    assert [tuple(r) for r in files.read_tbx(spark, str(tmp_path / "n.tbx")).collect()] == [("a", "c", "locked")]
+    (tmp_path / "s.json").write_text('{"job": "x", "n": 3}\n[1]\n{"job": "y"\n')
+    assert [tuple(r) for r in files.read_states(spark, str(tmp_path / "s.json"), "job string, n int").collect()] == [("x", 3)]
+    files.write_artifact(pairs, str(tmp_path / "art"), {"version": "1"})
+    assert files.read_artifact(spark, str(tmp_path / "art"), "source string, target string").count() == 2
 
 
 def test_event_stream(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
     pending = {"batch": 1, "offset": 1, "phase": "tm_promotion_pending", "segment_count": 1, "entries": [{"source": "a", "target": "b"}, {"source": "a", "target": "b"}, {"source": "c", "target": " "}]}
-    (log / "1.json").write_text(json.dumps(pending) + "\nbroken {\n" + json.dumps({"batch": 2, "offset": 2, "phase": "generation_done"}) + "\n")
+    early = {"batch": 3, "offset": 0, "phase": "tm_promotion_pending", "entries": [{"source": "too", "target": "early"}]}
+    (log / "1.json").write_text("\n".join([json.dumps({"batch": 1, "offset": 0, "phase": "state_commit_done"}), json.dumps(pending), "broken {", json.dumps({"batch": 2, "offset": 2, "phase": "generation_done"}), json.dumps(early)]) + "\n")
     for _ in range(2):  # the second run finds nothing new
         event_log.promote(spark, str(log), str(tmp_path / "memory"), str(tmp_path / "checkpoint"))
     assert [(r["source"], r["target"]) for r in spark.read.json(str(tmp_path / "memory")).collect()] == [("a", "b")]
     read = event_log.read_log(spark, str(log))
-    assert {(r["batch"], r["phase"]) for r in event_log.last_phase(read).collect()} == {(1, "tm_promotion_pending"), (2, "generation_done")}
-    assert [r["batch"] for r in event_log.unpromoted(read).collect()] == [1]
+    assert {(r["batch"], r["phase"]) for r in event_log.last_phase(read).collect()} == {(1, "tm_promotion_pending"), (2, "generation_done"), (3, "tm_promotion_pending")}
+    assert {r["batch"] for r in event_log.unpromoted(read).collect()} == {1, 3}
+    # a later batch doesn't bring a source again
+    event_log.append(spark.createDataFrame([(4, 9, "state_commit_done", None, None), (4, 10, "tm_promotion_pending", 1, [("a", "z"), ("d", "e")])], event_log.SCHEMA), str(log))
+    event_log.promote(spark, str(log), str(tmp_path / "memory"), str(tmp_path / "checkpoint"))
+    assert {(r["source"], r["target"]) for r in event_log.read_memory(spark, str(tmp_path / "memory")).collect()} == {("a", "b"), ("d", "e")}
 
 
 def test_every_token_is_counted(spark):

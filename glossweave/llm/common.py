@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _MADE: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, as ``spark-submit --py-files`` would."""
+    """Sends this package to the executors once per application, as ``spark-submit --py-files`` would. Batches of rows for Python are made
+    smaller than Spark's default, which is for short rows; a setting of the user's own stays."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -77,3 +77,24 @@ def deltas(per_arm: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
 def adoption_pivot(adopted: DataFrame, arms: tuple[str, ...] = ("A", "B")) -> DataFrame:
     wide = adopted.groupBy("id").pivot("arm", list(arms)).agg(F.sum("occurrences").alias("occurrences"), F.sum("adopted").alias("adopted"))
     return wide.na.fill(0)
+
+
+def delta_table(per_arm: DataFrame, pairs: tuple[tuple[str, str], ...] = (("A", "B"), ("A", "C"), ("B", "D"), ("A", "D"))) -> DataFrame:
+    """``deltas`` of every pair of arms that is compared, as rows."""
+    out = None
+    for a, b in pairs:
+        one = deltas(per_arm, a, b).select(F.lit(f"{a}_to_{b}").alias("comparison"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def repair_rate(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per arm, of the pairs that no memory gave, the share whose first version was mended; null without such pairs. pairs(arm, from_tm, initial_target, target)."""
+    own = pairs.filter("NOT from_tm")
+    mended = F.count_if(F.coalesce(F.col("initial_target") != F.col("target"), F.lit(False)))
+    return pairs.select("arm").distinct().join(own.groupBy("arm").agg(F.round(mended / F.count("*"), 4).alias("automatic_repair_rate")), "arm", "left")
+
+
+def adoption_notes(adopted: DataFrame, *, low: float = 0.9) -> DataFrame:
+    """What an audit says of each term: adoption below ``low``, below 1, or nothing."""
+    return adopted.withColumn("note", F.when(F.col("rate") < low, "low adoption").when(F.col("rate") < 1, "not always adopted").otherwise(""))

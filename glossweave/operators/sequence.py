@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from glossweave.functions.text import sentences, words
 
 
-# Marks and quotations that make a segment complex.
+# Marks and quotations that make a segment complex, and what ends a sentence.
+TERMINAL = ".!?\"”’…:;)"
 MARKS, QUOTING = r"[,;:—–\-()\[\]\"“”‘’]", r"[\"“”‘’]|—|–"
 
 
@@ -53,27 +54,69 @@ def top_by_zone(scored: DataFrame, *, per_zone: int = 3, total: int = 80) -> Dat
     return placed.withColumn("rank", rank).filter(F.col("rank") <= total).select("doc_id", "seg_idx", "zone", "score")
 
 
-def pack(segments: DataFrame, *, most: int = 4, chars: int = 1600) -> DataFrame:
-    """Consecutive segments to batches of at most ``most``, or ``chars`` characters; a longer segment stands alone.
+def _streamed(rows: DataFrame, start: Callable[[], Callable], name: str) -> DataFrame:
+    """``rows`` (doc_id, seg_idx, ..) with an integer that a fold gives each: ``start`` makes one that takes a row's other values, for each document.
 
-    Where a batch begins depends on where the last began, which no window frame can say; a task streams its documents'
-    lengths in order and holds no document."""
+    A task streams its documents in order and holds none of them, so a document of any length will do."""
+    more = [c for c in rows.columns if c not in ("doc_id", "seg_idx")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, batch, n, size = None, -1, 0, 0
-        for rows in batches:
+        doc, step = None, None
+        for batch in batches:
             out = []
-            for own, length in zip(rows.column("doc_id").to_pylist(), rows.column("n").to_pylist(), strict=True):
-                if own != doc:
-                    doc, batch, n = own, -1, most
-                if n >= most or size + length > chars:
-                    batch, n, size = batch + 1, 0, 0
-                n, size = n + 1, size + length
-                out.append(batch)
-            yield pa.record_batch([rows.column("doc_id"), rows.column("seg_idx"), pa.array(out, pa.int32())], names=["doc_id", "seg_idx", "batch"])
-
-    own = segments.select("doc_id", "seg_idx", F.length("text").alias("n")).repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx")
-    return own.mapInArrow(fold, "doc_id long, seg_idx int, batch int")
+            for own, *values in zip(batch.column("doc_id").to_pylist(), *[batch.column(c).to_pylist() for c in more], strict=True):
+                if step is None or own != doc:
+                    doc, step = own, start()
+                out.append(step(*values))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("seg_idx"), pa.array(out, pa.int32())], names=["doc_id", "seg_idx", name])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg_idx").mapInArrow(fold, f"doc_id long, seg_idx int, {name} int")
+
+
+def pack(segments: DataFrame, *, most: int = 4, chars: int = 1600, unit_col: str | None = None) -> DataFrame:
+    """Consecutive segments to batches of at most ``most``, or ``chars`` characters; a longer segment stands alone, and no batch crosses
+    from a unit (of ``unit_col``) to another. Where a batch begins depends on where the last began, which no window frame can say."""
+
+    def start() -> Callable:
+        batch, n, size, of = -1, most, 0, None
+
+        def step(length: int, unit=None) -> int:
+            nonlocal batch, n, size, of
+            if n >= most or size + length > chars or unit != of:
+                batch, n, size, of = batch + 1, 0, 0, unit
+            n, size = n + 1, size + length
+            return batch
+
+        return step
+
+    return _streamed(segments.select("doc_id", "seg_idx", F.length("text").alias("n"), *([F.col(unit_col).alias("unit")] if unit_col else [])), start, "batch")
+
+
+def merge_unfinished(segments: DataFrame, *, terminal: str = TERMINAL, least: int = 40) -> DataFrame:
+    """The paragraph of each segment: a segment continues the one before while that doesn't end a sentence and is longer than ``least``, all
+    that was merged into it counted."""
+
+    def start() -> Callable:
+        paragraph, size, last = -1, 0, None
+
+        def step(length: int, end: str) -> int:
+            nonlocal paragraph, size, last
+            if last is not None and last not in terminal and size > least:
+                size += 1 + length
+            else:
+                paragraph, size = paragraph + 1, length
+            last = end
+            return paragraph
+
+        return step
+
+    return _streamed(segments.select("doc_id", "seg_idx", F.length("text").alias("n"), F.right("text", F.lit(1)).alias("end")), start, "paragraph")
+
+
+def context_texts(segments: DataFrame, *, k: int = 2) -> DataFrame:
+    """The texts of the ``k`` segments before and behind each."""
+    w = _order()
+    return segments.select("doc_id", "seg_idx", F.collect_list("text").over(w.rowsBetween(-k, -1)).alias("before"), F.collect_list("text").over(w.rowsBetween(1, k)).alias("after"))
 
 
 def paragraph_numbers(segments: DataFrame) -> DataFrame:

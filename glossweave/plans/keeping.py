@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.operators import cases, delivery, records, sequence
+from glossweave.operators import cases, delivery, qa, records, sequence, terms
 from glossweave.operators.records import DEMOTED, FORGED, LINE_KEYS
-from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _docs, _segments, query
+from glossweave.plans.catalogue import _G, _HITS, _PAIRS, _SEG, _docs, _named, _segments, query
 from glossweave.plans.deliveries import _RF, _SEVERE
 from glossweave.sources import derived, jobs, reports
-from glossweave.sources.jobs import FINDING_SQL
+from glossweave.sources.jobs import FINDING_SQL, RECORD_SQL
 from glossweave.sources.reports import values
 
 
@@ -266,3 +266,44 @@ x AS (SELECT key, a AS x FROM s UNION SELECT key, b FROM s), c AS (SELECT key, x
 def word_span_overlay(spark, d):
     tokens = _segments(spark, d).select((F.col("doc_id") * 1000 + F.col("seg_idx")).alias("key"), F.posexplode(F.split("text", " ")).alias("i", "w"))
     return sequence.overlay(_spans(tokens))
+
+
+@query(f"""WITH RECURSIVE {_SEG}, s AS (SELECT doc_id, seg_idx, length(text) AS n, CAST(floor(seg_idx / 7.0) AS INT) AS unit FROM seg), b AS (SELECT doc_id, seg_idx, 1 AS cnt, n AS size, 0 AS batch, unit FROM s WHERE seg_idx = 0
+UNION ALL SELECT s.doc_id, s.seg_idx, CASE WHEN cnt >= 4 OR size + s.n > 1600 OR s.unit <> b.unit THEN 1 ELSE cnt + 1 END, CASE WHEN cnt >= 4 OR size + s.n > 1600 OR s.unit <> b.unit THEN s.n ELSE size + s.n END, CASE WHEN cnt >= 4 OR size + s.n > 1600 OR s.unit <> b.unit THEN batch + 1 ELSE batch END, s.unit
+FROM b JOIN s ON s.doc_id = b.doc_id AND s.seg_idx = b.seg_idx + 1) SELECT doc_id, seg_idx, batch FROM b""")
+def unit_batches(spark, d):
+    return sequence.pack(_segments(spark, d).withColumn("unit", F.floor(F.col("seg_idx") / 7).cast("int")), unit_col="unit")
+
+
+@query(f"""WITH RECURSIVE {_SEG}, s AS (SELECT doc_id, seg_idx, length(text) AS n, right(text, 1) AS z FROM seg), b AS (SELECT doc_id, seg_idx, n AS size, z, 0 AS paragraph FROM s WHERE seg_idx = 0
+UNION ALL SELECT s.doc_id, s.seg_idx, CASE WHEN NOT contains('.!?"”’…:;)', b.z) AND b.size > 40 THEN b.size + 1 + s.n ELSE s.n END, s.z, CASE WHEN NOT contains('.!?"”’…:;)', b.z) AND b.size > 40 THEN paragraph ELSE paragraph + 1 END FROM b JOIN s ON s.doc_id = b.doc_id AND s.seg_idx = b.seg_idx + 1) SELECT doc_id, seg_idx, paragraph FROM b""")
+def unfinished_paragraphs(spark, d):
+    return sequence.merge_unfinished(_segments(spark, d))
+
+
+@query(f"WITH {_SEG} SELECT doc_id, seg_idx, md5(coalesce(string_agg(text, ' || ') OVER (PARTITION BY doc_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS before, md5(coalesce(string_agg(text, ' || ') OVER (PARTITION BY doc_id ORDER BY seg_idx ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '')) AS after FROM seg")
+def context_texts(spark, d):
+    both = sequence.context_texts(_segments(spark, d))
+    return both.select("doc_id", "seg_idx", *[F.md5(F.array_join(c, " || ")).alias(c) for c in ("before", "after")])
+
+
+_ARM = "['A', 'B', 'C', 'D'][conv_id % 4 + 1]"
+
+
+@query(f"""WITH {_PAIRS}, m AS (SELECT {_ARM} AS arm, count(*)::DOUBLE AS n_pairs, sum(length(target))::DOUBLE AS chars, round(avg(length(source)), 4) AS mean_source FROM pairs GROUP BY 1), l AS (UNPIVOT m ON n_pairs, chars, mean_source INTO NAME metric VALUE value),
+c AS (SELECT unnest(['A', 'A', 'B', 'A']) AS a, unnest(['B', 'C', 'D', 'D']) AS b) SELECT c.a || '_to_' || c.b AS comparison, r.metric, x.value AS left_value, r.value AS right_value, round(r.value - x.value, 4) AS delta FROM c JOIN l r ON r.arm = c.b LEFT JOIN l x ON x.arm = c.a AND x.metric = r.metric""")
+def arm_delta_table(spark, d):
+    arm = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("conv_id") % 4 + 1).cast("int"))
+    per = jobs.records(spark, d).withColumn("arm", arm).groupBy("arm").agg(F.count("*").alias("n_pairs"), F.sum(F.length("target")).alias("chars"), F.round(F.avg(F.length("source")), 4).alias("mean_source"))
+    return qa.delta_table(per)
+
+
+@query(f"WITH {_PAIRS}, {RECORD_SQL} SELECT arm, round(sum(coalesce(initial_target <> target, false)::INT) FILTER (WHERE NOT from_tm) / count(*) FILTER (WHERE NOT from_tm), 4) AS automatic_repair_rate FROM rec GROUP BY arm")
+def repair_rates(spark, d):
+    return qa.repair_rate(jobs.findings(spark, d), jobs.records(spark, d))
+
+
+@query(f"WITH {_PAIRS}, {_G}, {_HITS}, a AS (SELECT arm, id, count(*) AS occurrences, round(sum(kept::INT) / count(*), 4) AS rate FROM hits WHERE status = 'locked' GROUP BY arm, id) SELECT *, CASE WHEN rate < 0.9 THEN 'low adoption' WHEN rate < 1 THEN 'not always adopted' ELSE '' END AS note FROM a")
+def term_audit_notes(spark, d):
+    jobs_pairs = jobs.records(spark, d).select("conv_id", "seg_idx", "arm", "source", "target")
+    return qa.adoption_notes(terms.adoption(jobs_pairs, _named(spark), "arm")).select("arm", "id", "occurrences", "rate", "note")

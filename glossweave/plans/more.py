@@ -80,17 +80,17 @@ def delivery_manifest(spark, d):
     return versions.manifest(_pairs(spark, d), _findings(spark, d))
 
 
-@query(f"""WITH {_SEG}, r AS (SELECT 'sec' || doc_id AS section_id, doc_id + CASE WHEN doc_id % 9 = 0 THEN 10000000 ELSE 0 END AS ref, CASE WHEN doc_id % 5 = 0 THEN 'never said' ELSE regexp_replace(substring(text, 1, 20), '[|\\[\\]]', '', 'g') END AS quote, text, doc_id FROM seg WHERE seg_idx = 0)
-SELECT 'invented_segment_id' AS type, section_id, ref || ':0' AS subject FROM r WHERE doc_id % 9 = 0
-UNION ALL SELECT 'wrong_segment_quote', section_id, ref || ':0' FROM r WHERE doc_id % 9 <> 0 AND NOT contains(regexp_replace(text, '\\s+', ' ', 'g'), regexp_replace(quote, '\\s+', ' ', 'g'))
+@query(f"""WITH {_SEG}, r AS (SELECT 'sec' || doc_id || '-' || seg_idx AS section_id, seg_idx, doc_id + CASE WHEN doc_id % 9 = 0 THEN 10000000 ELSE 0 END AS ref, CASE WHEN doc_id % 5 = 0 THEN 'never said' ELSE regexp_replace(substring(text, 1, 20), '[|\\[\\]]', '', 'g') END AS quote, text, doc_id FROM seg)
+SELECT 'invented_segment_id' AS type, section_id, ref || ':' || seg_idx AS subject FROM r WHERE doc_id % 9 = 0
+UNION ALL SELECT 'wrong_segment_quote', section_id, ref || ':' || seg_idx FROM r WHERE doc_id % 9 <> 0 AND NOT contains(regexp_replace(text, '\\s+', ' ', 'g'), regexp_replace(quote, '\\s+', ' ', 'g'))
 UNION ALL SELECT CASE WHEN doc_id % 4 = 3 THEN 'unknown_project_statistic' ELSE 'wrong_project_statistic' END, section_id, 'k' || (doc_id % 4) FROM r WHERE doc_id % 4 = 3 OR doc_id % 4 = 2""".replace("\\\\", "\\"))
 def report_marker_violations(spark, d):
     segs = _segments(spark, d)
     i = F.col("doc_id")
     quote = F.when(i % 5 == 0, "never said").otherwise(F.regexp_replace(F.substring("text", 1, 20), r"[|\[\]]", ""))
     ref = i + F.when(i % 9 == 0, 10000000).otherwise(0)
-    body = F.concat(F.lit("As [[seg:"), ref, F.lit(":0|"), quote, F.lit("]] says, {{STAT:k"), i % 4, F.lit("="), F.when(i % 4 == 1, "1,001").when(i % 4 == 0, "1000").otherwise("7"), F.lit("}}."))
-    sections = segs.filter("seg_idx = 0").select(F.concat(F.lit("sec"), "doc_id").alias("section_id"), body.alias("body"))
+    body = F.concat(F.lit("As [[seg:"), ref, F.lit(":"), "seg_idx", F.lit("|"), quote, F.lit("]] says, {{STAT:k"), i % 4, F.lit("="), F.when(i % 4 == 1, "1,001").when(i % 4 == 0, "1000").otherwise("7"), F.lit("}}."))
+    sections = segs.select(F.concat(F.lit("sec"), "doc_id", F.lit("-"), "seg_idx").alias("section_id"), body.alias("body"))
     stats = spark.createDataFrame([("k0", "1,000"), ("k1", "1001"), ("k2", "9")], "key string, value string")
     return versions.report_violations(sections, segs, stats)
 
@@ -123,7 +123,7 @@ def revision_deltas(spark, d):
 @query()
 def tolerant_spans(spark, d):
     needle = F.regexp_replace(F.substring("text", 3, 15), " ", "  ")
-    found = _segments(spark, d).filter(F.length("text") > 40).withColumn("span", find_span(needle, F.col("text")))
+    found = _segments(spark, d).withColumn("span", find_span(needle, F.col("text")))
     return found.select("doc_id", "seg_idx", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 

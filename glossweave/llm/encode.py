@@ -77,6 +77,7 @@ class Encoder:
         self.words_alone = not any(x.isalpha() for x in special)
         self.marks = "".join(c for c in _MARKS if not any(c in x for x in special))
         self.merge, self.characters = self.library.model.tokenize, _byte_characters()
+        self.space = self.characters[0x20]
         self.known, self.before = _Memory(self._learn), {}
         self.tails = _Memory(lambda x: self._direct([x])[0])
 
@@ -114,7 +115,10 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         """Letters up to U+00FF, which are one pre-token with the space before them; the model takes those as they are."""
-        text = (text if text.isascii() else text.encode().decode("latin-1")).translate(self.characters)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.characters)
+        elif text[0] == " ":
+            text = self.space + text[1:]
         return array("H", [t.id for t in self.merge(text)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -34,6 +34,11 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"))
 
 
+def host_of(url: Column) -> Column:
+    """The host of a page's address, without case and a leading www; null if there is none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+
+
 def boilerplate(pages: DataFrame, *, host: Column, text: Column, ratio: float, min_pages: int, once: bool = False, wide: tuple[float, int] | None = None) -> DataFrame:
     """Per host: the keys of its boilerplate lines."""
     own = pages.select(F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("host"), text.alias("text"))

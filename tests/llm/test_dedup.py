@@ -9,7 +9,7 @@ from xxhash import xxh64_intdigest
 from glossweave.llm import decontaminate, lattice, near_texts
 from glossweave.llm.components import components, spanning
 from glossweave.llm.lattice import decode, near_duplicate_vectors, op2_lattice_hashing
-from glossweave.llm.line_dedup import OP5_SQL, drop_boilerplate_lines, op5_line_dedup
+from glossweave.llm.line_dedup import OP5_SQL, drop_boilerplate_lines, host_of, op5_line_dedup
 from glossweave.llm.near_texts import keep_one_of_each, similar_components
 from glossweave.llm.simhash import links, op1_simhash_pivots, simhash_components
 
@@ -188,6 +188,25 @@ def test_line_dedup(spark, sf_dir, tmp_path):
     assert sorted(tuple(r) for r in op5_line_dedup(spark, sf_dir).select("doc_id", "text", "n_lines", "n_dropped").collect()) == want
 
 
+def test_line_dedup_by_the_host_of_a_page(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [(1, "https://WWW.a.org/x", "menu\none"), (2, "http://a.org:80/y?z", "menu\ntwo"), (3, "https://a.org", "menu\nthree"), (4, "https://b.org/", "menu\nfour"), (5, "no address", "menu"), (6, None, "menu")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["html"] for r in drop_boilerplate_lines(df, host=host_of(F.col("url")), text_col="html").collect()}
+    assert got == {1: "one", 2: "two", 3: "three", 4: "menu\nfour", 5: "menu", 6: "menu"}
+    by = {}
+    every = [(r["page_id"], r["url"].split("/")[2].lower().removeprefix("www."), r["html"]) for r in pages.collect()]
+    for i, host, html in every:
+        for line in {x.strip(" ") for x in html.split("\n")} - {""}:
+            by.setdefault((host, line), set()).add(i)
+    size = {}
+    for _, host, _ in every:
+        size[host] = size.get(host, 0) + 1
+    bad = {k for k, own in by.items() if len(own) >= 3 and len(own) >= 0.1 * size[k[0]]}
+    want = {i: "\n".join(x for x in html.split("\n") if (host, x.strip(" ")) not in bad) for i, host, html in every}
+    assert {r["page_id"]: r["html"] for r in drop_boilerplate_lines(pages, host=host_of(F.col("url")), text_col="html").collect()} == want
+
+
 def test_decontamination(spark, sf_dir):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     items = [(1, item), (2, "just three words"), (3, None), (4, "--"), (5, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (6, "just three words"), (7, "words just three words just")]

@@ -207,3 +207,22 @@ def coalesced(rows: DataFrame, defaults: dict[str, object], version: int) -> Dat
     """Rows of an older state: missing columns and nulls get their defaults, and the version is the present one."""
     own = rows.select("*", *[F.lit(v).alias(c) for c, v in defaults.items() if c not in rows.columns])
     return own.fillna({c: v for c, v in defaults.items() if v is not None}).withColumn("version", F.lit(version))
+
+
+def style(rows: DataFrame, *, known: tuple[str, ...] = ("general",), reasons: int = 4, domains: int = 6) -> DataFrame:
+    """Recommended styles (recommended, confidence as text, reasons and domains as arrays) made sound: a known style, a confidence from 0 to 1, some reasons and
+    domains that aren't blank; and an id of what is left."""
+    some = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: F.coalesce(x, F.lit("")) != ""), 1, n)
+    confidence = F.least(F.greatest(F.coalesce(F.expr("try_cast(confidence AS DOUBLE)"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    own = rows.withColumn("recommended", F.when(F.col("recommended").isin(*known), F.col("recommended")).otherwise(known[0])).withColumn("confidence", confidence).withColumn("reasons", some(F.col("reasons"), reasons)).withColumn("domains", some(F.col("domains"), domains))
+    return own.withColumn("style_id", F.substring(F.sha2(F.concat_ws("|", "recommended", F.array_join("reasons", ","), F.array_join("domains", ",")), 256), 1, 12))
+
+
+def chapters(rows: DataFrame) -> DataFrame:
+    """Configured chapters (report_id, pos from 1, section_id, title, and subsections as structs of heading_id, title, level) with their defaults; subsections without an
+    id or a title go, and each gets the mark of its heading."""
+    section = F.coalesce(F.nullif(_clean(F.col("section_id")), F.lit("")), F.col("pos").cast("string"))
+    kept = F.filter("subsections", lambda x: (_clean(x["heading_id"]) != "") & (_clean(x["title"]) != ""))
+    marked = F.transform(kept, lambda x: F.struct(_clean(x["heading_id"]).alias("heading_id"), _clean(x["title"]).alias("title"), F.repeat(F.lit("#"), F.coalesce(x["level"], F.lit(2)) + 1).alias("mark")))
+    own = rows.withColumn("section_id", section).withColumn("subsections", F.coalesce(marked, F.array().cast("array<struct<heading_id:string,title:string,mark:string>>")))
+    return own.withColumn("title", F.coalesce(F.nullif(_clean(F.col("title")), F.lit("")), F.concat(F.lit("Section "), "section_id")))

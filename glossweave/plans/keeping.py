@@ -307,3 +307,27 @@ def repair_rates(spark, d):
 def term_audit_notes(spark, d):
     jobs_pairs = jobs.records(spark, d).select("conv_id", "seg_idx", "arm", "source", "target")
     return qa.adoption_notes(terms.adoption(jobs_pairs, _named(spark), "arm")).select("arm", "id", "occurrences", "rate", "note")
+
+
+_STYLE = {"recommended": "CASE doc_id % 4 WHEN 0 THEN 'literary' WHEN 1 THEN 'technical' WHEN 2 THEN 'baroque' END", "confidence": "CASE doc_id % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '7' ELSE 'high' END"}
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_sql(_STYLE)}, list_slice(list_filter(list_transform(string_split(substring(text, 1, 40), ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 4) AS r FROM documents), n AS (SELECT doc_id, CASE WHEN recommended IN ('literary', 'technical') THEN recommended ELSE 'general' END AS recommended,
+least(greatest(coalesce(try_cast(confidence AS DOUBLE), 0), 0), 1)::DOUBLE AS confidence, array_to_string(r, ',') AS reasons FROM s) SELECT *, substring(sha256(concat_ws('|', recommended, reasons, '')), 1, 12) AS style_id FROM n""")
+def style_recommendations(spark, d):
+    own = _of(_docs(spark, d), _STYLE, "doc_id", "text").withColumn("reasons", F.split(F.substring("text", 1, 40), " ")).withColumn("domains", F.lit(None).cast("array<string>"))
+    return records.style(own, known=("general", "literary", "technical")).select("doc_id", "recommended", "confidence", F.array_join("reasons", ",").alias("reasons"), "style_id")
+
+
+_CHAPTER = {"pos": "seg_idx + 1", "section_id": "CASE WHEN seg_idx % 3 = 0 THEN ' ' ELSE 'c' || seg_idx END", "title": "CASE WHEN seg_idx % 4 = 0 THEN '' ELSE ' Title ' || seg_idx END"}
+
+
+@query(f"""WITH {_SEG}, c AS (SELECT doc_id, {_sql(_CHAPTER)}, seg_idx FROM seg), n AS (SELECT doc_id AS report_id, pos, CASE WHEN trim(section_id, ' ') = '' THEN pos::VARCHAR ELSE section_id END AS section_id, trim(title, ' ') AS title, seg_idx FROM c)
+SELECT report_id, pos, section_id, CASE WHEN title = '' THEN 'Section ' || section_id ELSE title END AS title, CASE WHEN seg_idx % 2 = 0 THEN '### 1.1 Aim' ELSE '' END || CASE WHEN seg_idx % 5 = 0 THEN '#### 1.2 End' ELSE '' END AS headings FROM n""")
+def chapter_constraints(spark, d):
+    sub = lambda on, i, t, n: F.when(on, F.struct(F.lit(i).alias("heading_id"), F.lit(t).alias("title"), F.lit(n).cast("int").alias("level")))
+    k = F.col("seg_idx")
+    made = F.array_compact(F.array(sub(k % 2 == 0, " 1.1", "Aim ", None), sub(k % 2 == 1, "1.9", " ", 2), sub(k % 5 == 0, "1.2", "End", 3)))
+    rows = _segments(spark, d).selectExpr("doc_id AS report_id", "seg_idx", *[f"{x} AS {n}" for n, x in _CHAPTER.items()]).withColumn("subsections", made)
+    heads = F.array_join(F.transform("subsections", lambda x: F.concat(x["mark"], F.lit(" "), x["heading_id"], F.lit(" "), x["title"])), "")
+    return records.chapters(rows).select("report_id", "pos", "section_id", "title", heads.alias("headings"))

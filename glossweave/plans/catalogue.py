@@ -33,11 +33,11 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return derived.spread(table(spark, d, "documents"))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return derived.segments(_docs(spark, d).select("doc_id", "text"))
+    return derived.segments(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it has fewer partitions than there are: a small file with one row group would be one task's work. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~x.rlike(ORNAMENT))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("seg_idx", "text"))
+    return spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("seg_idx", "text"))
 
 
 def pairs(conversations: DataFrame) -> DataFrame:

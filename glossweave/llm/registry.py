@@ -7,9 +7,10 @@ from glossweave.llm.line_dedup import OP5_SQL, op5_line_dedup
 from glossweave.llm.packing import op8_vector_packing
 from glossweave.llm.quality import op6_quality
 from glossweave.llm.simhash import op1_simhash_pivots
+from glossweave.llm.spelling import OP11_SQL, op11_spelling_variants
 from glossweave.llm.token_counts import op10_token_counts
 from glossweave.llm.token_files import op3_token_files
 from glossweave.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_lattice_hashing, op3_token_files, op4_toxicity, op5_line_dedup, op6_quality, op7_language_model, op8_vector_packing, op9_benchmark_decontamination, op10_token_counts)}
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_pivots, op2_lattice_hashing, op3_token_files, op4_toxicity, op5_line_dedup, op6_quality, op7_language_model, op8_vector_packing, op9_benchmark_decontamination, op10_token_counts, op11_spelling_variants)}
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op11_spelling_variants": OP11_SQL}

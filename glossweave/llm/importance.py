@@ -99,6 +99,7 @@ def resampled(
     own = own_columns(docs, doc=id_col, text=text_col)
     fields = ", ".join((f"doc {own.schema['doc'].dataType.simpleString()}", "n_words long", "n_features long", "weight long"))
     weighed = own.mapInArrow(_weighed(shared, buckets, most), fields)
+    weighed = written(weighed)  # ranges are drawn from a first reading and filled by a second
     scored = weighed.withColumn("score", F.col("weight") + noise(F.col("doc"), seed)).withColumn("may", F.col("n_words") >= least_words)
     placed = numbered(scored, F.desc("may"), F.desc("score"), F.asc_nulls_last("doc"), F.desc("weight"), "n_features", name="place", keep=written)
     drawn = placed.agg(F.count_if("may").alias("n")).first()["n"] * share // 100

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.python import bare, meaningful_revision, tail_similarity
+from glossweave.operators.matching import with_term_count
 
 KEY = ["conv_id", "seg_idx"]
 # Words that open clauses, the passive, marks and quotations that make a source complex, and what each adds to a score.
@@ -53,11 +54,10 @@ def process(records: DataFrame, findings: DataFrame) -> DataFrame:
     return records.join(by, KEY, "left").fillna(zero)
 
 
-def features(rows: DataFrame, glossary: DataFrame) -> DataFrame:
-    """``rows`` of ``process`` over ``integrity_flags``, with ``score`` and ``reasons``. A glossary's terms are one array beside each row."""
+def features(rows: DataFrame, glossary: DataFrame | None) -> DataFrame:
+    """``rows`` of ``process`` over ``integrity_flags``, with ``score`` and ``reasons``; without a glossary no term counts."""
     c, least = F.col, F.least
-    terms = glossary.filter(F.trim("source") != "").agg(F.collect_list(F.lower(F.trim("source"))).alias("__terms"))
-    own = beside(rows, terms).withColumn("terms", F.size(F.filter("__terms", lambda t: F.contains(F.lower("source"), t)))).drop("__terms")
+    own = rows.withColumn("terms", F.lit(0)) if glossary is None else with_term_count(rows, glossary, name="terms", text_col="source", how="lower")
     own = own.withColumn("chars", F.length("source")).withColumn("clauses", F.regexp_count("source", F.lit(rf"(?iU)\b(?:{CLAUSES})\b"))).withColumn("marks", F.regexp_count("source", F.lit(MARKS)))
     own = own.withColumn("repaired", c("revised") & (c("repair") | c("human"))).withColumn("chain", (c("source") != "") & (c("n_findings") > 0) & c("repaired"))
     parts = [

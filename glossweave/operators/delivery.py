@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.operators.terms import term_join
+from glossweave.operators.matching import term_matches_in
 
 SEVERE = ("blocking", "actionable")
 #: Settled so, a finding doesn't make its pair trusted.
@@ -109,11 +109,11 @@ def stale_segments(records: DataFrame, used: DataFrame, versions: DataFrame, cur
     then = versions.select("glossary_hash", F.col("id").alias("entry_id"), F.col("source").alias("term"), F.lower("source").alias("k"), semantics().alias("then"))
     changed = then.join(now, "k").filter("then <> now").select("glossary_hash", "entry_id", "term")
     given = records.join(used, KEY).join(changed.select("glossary_hash", "entry_id").distinct(), ["glossary_hash", "entry_id"], "left_semi")
-    holding = term_join(given.select(*KEY, "source", "glossary_hash", "entry_id"), changed.select(F.col("term").alias("term"), F.col("entry_id").alias("id"), F.col("glossary_hash").alias("h")), text_col="source", term_col="term")
+    holding = term_matches_in(given.select(*KEY, "source", "glossary_hash", "entry_id"), changed.select(F.col("term").alias("term"), F.col("entry_id").alias("id"), F.col("glossary_hash").alias("h")), text_col="source", term_col="term", keep=[*KEY, "glossary_hash", "entry_id"])
     first = holding.filter("id = entry_id AND h = glossary_hash").select(*KEY)
     binding = current.filter(enforced).select(F.col("source").alias("term"), F.lower("source").alias("k"))
     bound = versions.filter(enforced).select(F.col("glossary_hash").alias("glossary_hash"), F.lower("source").alias("k")).distinct()
-    met = term_join(records.select(*KEY, "source", "glossary_hash"), binding, text_col="source", term_col="term")
+    met = term_matches_in(records, binding, text_col="source", term_col="term", keep=[*KEY, "glossary_hash"])
     second = met.join(bound, ["glossary_hash", "k"], "left_anti").select(*KEY)
     return first.unionByName(second).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.operators.cases import beside
+from glossweave.operators.matching import term_matches_in
 
 #: What may be asked for.
 TOOLS = ("segment", "neighbors", "term")
@@ -66,9 +66,8 @@ def hash_violations(sources: DataFrame, evidence: DataFrame, claims: DataFrame)
 
 def term_notes(segments: DataFrame, glossary: DataFrame, *, least: int = 2) -> DataFrame:
     """Terms that stand in a segment as they are written, inside words too, as annotations of a domain; terms shorter than ``least`` don't count."""
-    terms = glossary.filter(F.length("source") >= least).agg(F.collect_list(F.struct("id", "source")).alias("__terms"))
-    held = F.filter("__terms", lambda t: F.contains(F.col("text"), t["source"]))
-    return beside(segments, terms).select("doc_id", "seg_idx", F.explode(held).alias("t")).select("doc_id", "seg_idx", F.lit("domain").alias("type"), F.col("t.id").alias("id"), F.concat(F.lit("术语："), "t.source").alias("note"))
+    held = term_matches_in(segments, glossary.filter(F.length("source") >= least).select("id", "source"), how="exact", keep=["doc_id", "seg_idx"])
+    return held.select("doc_id", "seg_idx", F.lit("domain").alias("type"), "id", F.concat(F.lit("术语："), "source").alias("note"))
 
 
 def report_lines(findings: DataFrame) -> DataFrame:

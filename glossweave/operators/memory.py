@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import memory_eligible, term_matches
-from glossweave.operators.terms import term_join
+from glossweave.operators.matching import term_matches_in
 
 
 def _key(text: str) -> Column:
@@ -36,7 +36,7 @@ def insert_if_absent(memory: DataFrame, rows: DataFrame) -> DataFrame:
 
 def compatibility(rows: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     """Class of each remembered pair under the glossary: incompatible over scope_sensitive over ambiguous over compatible; unaffected without a term."""
-    hits = term_join(rows, terms.filter("status <> 'rejected'"), text_col="source", term_col="term_source")
+    hits = term_matches_in(rows, terms.filter("status <> 'rejected'"), text_col="source", term_col="term_source", keep=[*keys, "target"])
     forbidden = F.exists("forbidden", lambda f: F.contains(F.col("target"), f))
     good = F.when(F.col("behavior") == "preserve", F.contains("target", "term_source")).otherwise(term_matches(F.col("preferred"), F.col("target")))
     rank = F.when(forbidden, 4).when(~F.col("scope").isin("", "global"), 3).when(good, 1).when(F.col("status") == "locked", 4).otherwise(2)
@@ -86,7 +86,7 @@ def stale(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     a = row(before).groupBy("k").agg(F.max("state").alias("a"))
     b = row(after).groupBy("k").agg(F.max("state").alias("b"))
     changed = a.join(b, "k", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("k").alias("changed_term"))
-    hits = term_join(pairs, changed, text_col="source", term_col="changed_term")
+    hits = term_matches_in(pairs, changed, text_col="source", term_col="changed_term", keep=["arm", "conv_id", "seg_idx"])
     return hits.groupBy("arm", "conv_id", "seg_idx").agg(F.array_join(F.array_sort(F.collect_set("changed_term")), ",").alias("terms"))
 
 

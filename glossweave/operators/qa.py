@@ -2,53 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import folded, incomplete, preserved_kind, preserved_tokens, strip, term_matches, words
-from glossweave.operators.cases import beside
-from glossweave.operators.terms import term_join
+from glossweave.functions.text import CJK, PRESERVED, folded, incomplete, preserved_kind, preserved_tokens, strip, term_matches, words
+from glossweave.operators.matching import term_matches_in
 
 KEYS = ("arm", "conv_id", "seg_idx")
 
 
+#: Words that may stand in both texts. Fixed value.
+ALLOWED = ("mti",)
+
+
+def _finding(kind: str, severity: Column, reason: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), severity.alias("severity"), reason.alias("reason"))
+
+
+def residual_runs(source: Column, target: Column) -> Column:
+    """Runs of words of five letters or more in the target that the source has too, as islands between other such words; what must survive unchanged is no word."""
+    known = F.transform(words(source, 5), lambda w: F.lower(w))
+    own = words(F.regexp_replace(target, PRESERVED, " "), 5)
+    marked = F.transform(own, lambda w: F.when(F.array_contains(known, F.lower(w)) & ~F.lower(w).isin(*ALLOWED), w).otherwise("|"))
+    return F.filter(F.split(F.array_join(marked, " "), r" ?\|[| ]*"), lambda x: x != "")
+
+
+def han_runs(source: Column, target: Column) -> Column:
+    """Runs of Han characters in an English target that stand in the source."""
+    own = F.regexp_extract_all(F.regexp_replace(target, PRESERVED, " "), F.lit(CJK + "{2,}"), F.lit(0))
+    return F.filter(own, lambda x: F.contains(source, x))
+
+
 def findings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(arm, conv_id, seg_idx, type, severity, reason); ``terms`` has its term as term_source. A blank target has no finding but that it is blank."""
-    blank = strip(F.coalesce("target", F.lit(""))) == ""
-    full = pairs.filter(~blank)
-    row = lambda df, kind, severity, reason: df.select(*KEYS, F.lit(kind).alias("type"), severity.alias("severity"), reason.alias("reason"))
+    """(arm, conv_id, seg_idx, type, severity, reason); ``terms`` has its term as term_source. A blank target has no finding but that it is blank.
+
+    ``pairs`` may have a ``target_lang``; without one targets aren't English. What a pair tells by itself is found in one pass over the pairs; terms of the
+    source and forbidden forms of the target by an automaton each, a second and a third."""
+    own = pairs if "target_lang" in pairs.columns else pairs.withColumn("target_lang", F.lit(None).cast("string"))
+    own = own.select(*KEYS, "source", F.coalesce("target", F.lit("")).alias("target"), (F.coalesce("target_lang", F.lit("")) == "English").alias("english"))
+    blank = strip(F.col("target")) == ""
+    source, target, english = F.col("source"), F.col("target"), F.col("english")
     lit = F.lit
-    kept_whole = terms.filter("status = 'locked' AND behavior = 'preserve'").select(F.lower("term_source").alias("whole"))
-    same = full.filter((folded(F.col("source")) == folded(F.col("target"))) & (F.size(words(F.col("source"))) >= 2)).join(kept_whole, folded(F.col("source")) == F.col("whole"), "left_anti")
-    token = full.select(*KEYS, "target", F.explode(preserved_tokens(F.col("source"))).alias("token")).filter(~F.contains("target", "token"))
-    lost = F.when(preserved_kind(F.col("token")) == "placeholder", "blocking").otherwise("actionable")
+    none = F.array().cast("array<struct<type:string,severity:string,reason:string>>")
+    identical = ~english & (F.size(words(source)) >= 2) & (folded(source) == folded(target))
+    lost = F.filter(preserved_tokens(source), lambda t: ~F.contains(target, t))
+    lost = F.transform(lost, lambda t: _finding("token_lost", F.when(preserved_kind(t) == "placeholder", "blocking").otherwise("actionable"), t))
+    han = F.transform(han_runs(source, target), lambda x: _finding("residual", F.when(F.length(x) >= 4, "actionable").otherwise("informational"), x))
+    latin = F.transform(residual_runs(source, target), lambda x: _finding("residual", F.when(F.contains(x, lit(" ")), "actionable").otherwise("informational"), x))
+    told = F.concat(
+        F.when(incomplete(source, target), F.array(_finding("incomplete", lit("blocking"), lit("")))).otherwise(none), F.when(identical, F.array(_finding("identical", lit("actionable"), lit("")))).otherwise(none),
+        F.coalesce(lost, none), F.coalesce(F.when(english, han).otherwise(latin), none),
+    )
+    each = own.select(*KEYS, F.explode(F.when(blank, F.array(_finding("blank", lit("blocking"), lit("")))).otherwise(told)).alias("f"), source.alias("__source"))
+    # a whole source that a locked entry preserves may stand as it is
+    kept_whole = terms.filter("status = 'locked' AND behavior = 'preserve'").select(folded(F.col("term_source")).alias("__whole")).distinct()
+    each = each.withColumn("__fold", F.when(F.col("f.type") == "identical", folded(F.col("__source")))).drop("__source").join(kept_whole, F.col("__fold") == F.col("__whole"), "left_anti").select(*KEYS, "f.*")
     locked = terms.filter("status = 'locked'")
-    in_source = term_join(full, locked, text_col="source", term_col="term_source")
-    missing = in_source.filter((F.col("behavior") == "translate") & (F.col("preferred") != "") & ~term_matches(F.col("preferred"), F.col("target")))
-    unkept = in_source.filter((F.col("behavior") == "preserve") & ~F.contains("target", "term_source"))
-    # forbidden forms count whether or not the source holds the term, and anywhere in the target: they are one array beside each row
-    forms = locked.select("id", F.explode("forbidden").alias("form")).agg(F.collect_list(F.struct("id", "form")).alias("forms"))
-    used = beside(full, forms).select(*KEYS, F.explode(F.filter("forms", lambda x: F.contains(F.col("target"), x["form"]))).alias("hit"))
-    parts = [
-        row(pairs.filter(blank), "blank", lit("blocking"), lit("")), row(full.filter(incomplete(F.col("source"), F.col("target"))), "incomplete", lit("blocking"), lit("")), row(same, "identical", lit("actionable"), lit("")),
-        row(token, "token_lost", lost, F.col("token")), row(residual_runs(full), "residual", F.when(F.col("n") >= 2, "actionable").otherwise("informational"), F.col("run")),
-        row(missing, "term_missing", lit("actionable"), F.col("id")), row(unkept, "preserve_lost", F.when(F.col("term_source").rlike(r"^[A-Za-z0-9][A-Za-z0-9._\-]{1,}$"), "blocking").otherwise("actionable"), F.col("id")),
-        row(used, "forbidden_used", lit("actionable"), F.concat_ws(":", "hit.id", "hit.form")),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def residual_runs(pairs: DataFrame, allowed: tuple[str, ...] = ("mti",)) -> DataFrame:
-    """Runs of words of five letters or more in the target that the source has too, as islands between other such words."""
-    own = pairs.select(*KEYS, F.transform(words(F.col("source"), 5), lambda w: F.lower(w)).alias("known"), F.posexplode(words(F.col("target"), 5)).alias("i", "w"))
-    low = F.lower("w")
-    hits = own.filter(F.array_contains("known", low) & ~low.isin(*allowed))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(*KEYS).orderBy("i"))
-    runs = hits.withColumn("island", island).groupBy(*KEYS, "island").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ws"))
-    return runs.select(*KEYS, F.size("ws").alias("n"), F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("run"))
+    full = own.filter(~blank)
+    in_source = term_matches_in(full, locked, text_col="source", term_col="term_source", keep=[*KEYS, "target"])
+    preserve = F.col("behavior") == "preserve"
+    missing = ~preserve & (F.col("preferred") != "") & ~term_matches(F.col("preferred"), F.col("target"))
+    unkept = preserve & ~F.contains("target", "term_source")
+    name = F.when(unkept & F.col("term_source").rlike(r"^[A-Za-z0-9][A-Za-z0-9._\-]{1,}$"), "blocking").otherwise("actionable")
+    of_terms = in_source.filter(missing | unkept).select(*KEYS, F.when(unkept, "preserve_lost").otherwise("term_missing").alias("type"), name.alias("severity"), F.col("id").alias("reason"))
+    # forbidden forms count whether or not the source holds the term, and anywhere in the target
+    forms = locked.select("id", F.explode("forbidden").alias("form"))
+    used = term_matches_in(full, forms, text_col="target", term_col="form", how="exact", keep=list(KEYS))
+    return each.unionByName(of_terms).unionByName(used.select(*KEYS, lit("forbidden_used").alias("type"), lit("actionable").alias("severity"), F.concat_ws(":", "id", "form").alias("reason")))
 
 
 def density(found: DataFrame, pairs: DataFrame) -> DataFrame:

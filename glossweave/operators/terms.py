@@ -5,33 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import CJK, strip, term_matches
-
-_RUN = "[A-Za-z0-9_]+"
-
-
-def _fold(x: Column) -> Column:
-    return F.lower(F.translate(x, "ſK", "sk"))
-
-
-def term_join(texts: DataFrame, terms: DataFrame, *, text_col: str = "text", term_col: str = "source") -> DataFrame:
-    """All pairs of a text and a term that matches in it, by an equi-join on an index key and the full test behind it.
-
-    A matching term's first run of ASCII letters, digits and underscores stands whole in the text, and a term without one, or
-    with Han characters, has its first character there; texts are indexed by both, so no pair is lost and none is enumerated."""
-    t = strip(F.col(term_col))
-    run = F.regexp_extract(t, _RUN, 0)
-    key = F.when(t.rlike(CJK) | (run == ""), _fold(F.substring(t, 1, 1))).otherwise(_fold(run))
-    odd = F.regexp_extract_all(_fold(F.col(text_col)), F.lit(r"[^A-Za-z0-9_\s]"), F.lit(0))
-    keys = F.array_distinct(F.concat(F.regexp_extract_all(_fold(F.col(text_col)), F.lit(_RUN), F.lit(0)), odd, F.transform(F.regexp_extract_all(t_text := F.col(text_col), F.lit("[A-Za-z0-9_]" + CJK), F.lit(0)), lambda x: _fold(F.substring(x, 1, 1)))))
-    left = texts.withColumn("__key", F.explode(keys))
-    right = terms.withColumn("__key", key).filter(t != "")
-    return left.join(right, "__key").filter(term_matches(F.col(term_col), t_text)).drop("__key")
-
+from glossweave.functions.text import strip, term_matches
+from glossweave.operators.matching import term_matches_in
 
 def occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Per term: how many segments and documents hold it, and the first segment number."""
-    hits = term_join(segments.select("doc_id", "seg_idx", "text"), terms.select("id", F.col("source").alias("term")), term_col="term")
+    hits = term_matches_in(segments, terms.select("id", F.col("source").alias("term")), term_col="term", keep=["doc_id", "seg_idx"])
     return hits.groupBy("id", "term").agg(F.count("*").alias("n_segments"), F.countDistinct("doc_id").alias("n_docs"), F.min("seg_idx").alias("first_seg"))
 
 
@@ -43,7 +22,7 @@ def adoption(pairs: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     """Per locked term (and ``keys``): occurrences, adopted, rate, forbidden violations and preserve failures.
 
     A segment counts once however many forbidden forms it has; forbidden forms are plain substrings, preferred ones terms."""
-    hits = term_join(pairs, terms.filter("status = 'locked'"), text_col="source", term_col="term_source")
+    hits = term_matches_in(pairs, terms.filter("status = 'locked'"), text_col="source", term_col="term_source", keep=[*keys, "target"])
     kept = F.when(F.col("behavior") == "preserve", F.contains("target", "term_source")).otherwise(term_matches(F.col("preferred"), F.col("target")))
     n = F.count("*")
     adopted = F.sum(kept.cast("long"))
@@ -55,7 +34,7 @@ def adoption(pairs: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
 
 def usage_conflicts(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Every use of a locked term that is rendered in more than one way: preferred, a forbidden form, or another."""
-    hits = term_join(pairs, terms.filter("status = 'locked' AND behavior = 'translate'"), text_col="source", term_col="term_source")
+    hits = term_matches_in(pairs, terms.filter("status = 'locked' AND behavior = 'translate'"), text_col="source", term_col="term_source", keep=["conv_id", "seg_idx", "target"])
     first = F.filter("forbidden", lambda f: F.contains(F.col("target"), f))
     usage = F.when(term_matches(F.col("preferred"), F.col("target")), F.col("preferred")).when(F.size(first) > 0, F.element_at(first, 1)).otherwise("(other)")
     used = hits.withColumn("usage", usage)
@@ -73,7 +52,7 @@ def select_for_batches(segments: DataFrame, terms: DataFrame, *, provisional_cap
 
     ``segment:`` scopes count within the batch, ``section:`` scopes are ranges of ten segments."""
     own = segments.select("doc_id", "seg_idx", "text", F.floor(F.col("seg_idx") / batch).cast("int").alias("batch"))
-    hits = term_join(own, terms.filter("status <> 'rejected'"), term_col="source")
+    hits = term_matches_in(own, terms.filter("status <> 'rejected'"), keep=["doc_id", "seg_idx", "batch"])
     section = F.concat(F.lit("s"), F.floor(F.col("seg_idx") / 10))
     fit = hits.filter(in_scope(F.col("scope"), F.col("seg_idx") % batch, section)).select("doc_id", "batch", "id", "status", "pos").distinct()
     n = F.row_number().over(Window.partitionBy("doc_id", "batch", "status").orderBy("pos"))
@@ -82,7 +61,7 @@ def select_for_batches(segments: DataFrame, terms: DataFrame, *, provisional_cap
 
 def audit(segments: DataFrame, terms: DataFrame, *, snippets: int = 3, width: int = 60) -> DataFrame:
     """Per term: occurrences and the first contexts, clipped."""
-    hits = term_join(segments, terms.select("id", F.col("source").alias("term")), term_col="term").select("id", "doc_id", "seg_idx", F.substring("text", 1, width).alias("clip"))
+    hits = term_matches_in(segments.withColumn("clip", F.substring("text", 1, width)), terms.select("id", F.col("source").alias("term")), term_col="term", keep=["doc_id", "seg_idx", "clip"])
     first = hits.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("doc_id", "seg_idx"))).filter(F.col("n") <= snippets)
     clips = first.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "clip"))), lambda x: x["clip"]), " || ").alias("snippets"))
     return hits.groupBy("id").agg(F.count("*").alias("occurrences")).join(clips, "id")

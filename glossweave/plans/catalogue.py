@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import ENDINGS, base_forms, folded, preserved_tokens, sentences, without_controls
-from glossweave.operators import evidence, memory, qa, sampling, sequence, terms
+from glossweave.operators import evidence, matching, memory, qa, sampling, sequence, terms
 from glossweave.sources import derived
 from glossweave.shipping import ship
 from glossweave.sources.derived import GLOSSARY, WORD_GLOSSARY_SQL, table
@@ -75,6 +75,13 @@ _WORD5 = "'[A-Za-z]{5,}'"
 # Terms
 
 
+@query(f"""WITH {_SEG}, {WORD_GLOSSARY_SQL}, w AS (SELECT DISTINCT doc_id, seg_idx, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS word FROM seg)
+SELECT id, g.source AS term, count(*) AS n_segments, count(DISTINCT doc_id) AS n_docs, min(seg_idx) AS first_seg FROM g JOIN w ON w.word = lower(g.source) GROUP BY ALL""")
+def word_term_occurrences(spark, d):
+    # a glossary of every longer word of the corpus, against all segments
+    return terms.occurrences(_segments(spark, d), derived.word_glossary(_docs(spark, d)))
+
+
 @query(f"WITH {_SEG}, {_G} SELECT id, g.source AS term, count(*) AS n_segments, count(DISTINCT doc_id) AS n_docs, min(seg_idx) AS first_seg FROM seg JOIN g ON {_match('g.source', 'text')} GROUP BY ALL")
 def term_occurrences(spark, d):
     return terms.occurrences(_segments(spark, d), derived.glossary(spark))
@@ -128,8 +135,8 @@ def glossary_normalize(spark, d):
 
 # Quality rules
 
-_FINDINGS = rf"""full_p AS (SELECT * FROM pairs WHERE {_STRIPPED} <> ''),
-tw AS (SELECT arm, conv_id, seg_idx, source, unnest(range(len(w))) AS i, unnest(w) AS w FROM (SELECT *, regexp_extract_all(target, {_WORD5}) AS w FROM full_p)),
+_FINDINGS = rf"""full_p AS (SELECT *, conv_id % 3 = 0 AS english FROM pairs WHERE {_STRIPPED} <> ''),
+tw AS (SELECT arm, conv_id, seg_idx, source, unnest(range(len(w))) AS i, unnest(w) AS w FROM (SELECT *, regexp_extract_all(regexp_replace(target, '(?i)%[sd]|%1\$[sd]|\{{[A-Za-z_][A-Za-z0-9_]*\}}|\{{\{{[A-Za-z_][A-Za-z0-9_]*\}}\}}|https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|10\.\d{{4,9}}/[^\s]+|\[\d+(?:[-,]\s*\d+)*\]', ' ', 'g'), {_WORD5}) AS w FROM full_p WHERE NOT english)),
 ht AS (SELECT arm, conv_id, seg_idx, i, w FROM tw WHERE list_contains(list_transform(regexp_extract_all(source, {_WORD5}), lambda x: lower(x)), lower(w)) AND lower(w) <> 'mti'),
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY arm, conv_id, seg_idx ORDER BY i) AS k FROM ht),
 run AS (SELECT arm, conv_id, seg_idx, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS run FROM isl GROUP BY arm, conv_id, seg_idx, k),
@@ -137,7 +144,7 @@ tok AS (SELECT DISTINCT arm, conv_id, seg_idx, target, unnest(regexp_extract_all
 f AS (
 SELECT arm, conv_id, seg_idx, 'blank' AS type, 'blocking' AS severity, '' AS reason FROM pairs WHERE {_STRIPPED} = ''
 UNION ALL SELECT arm, conv_id, seg_idx, 'incomplete', 'blocking', '' FROM (SELECT *, {_STRIPPED} AS t, {_sentences('source')} AS ns FROM full_p) WHERE (length(source) >= 120 AND length(t) < 0.15 * length(source)) OR (ns >= 2 AND {_sentences('t')} < 0.5 * ns AND length(t) < 0.35 * length(source))
-UNION ALL SELECT arm, conv_id, seg_idx, 'identical', 'actionable', '' FROM full_p WHERE {_FOLD('source')} = {_FOLD('target')} AND len(regexp_extract_all(source, '[A-Za-z]+')) >= 2 AND {_FOLD('source')} NOT IN (SELECT lower(source) FROM g WHERE status = 'locked' AND behavior = 'preserve')
+UNION ALL SELECT arm, conv_id, seg_idx, 'identical', 'actionable', '' FROM full_p WHERE NOT english AND {_FOLD('source')} = {_FOLD('target')} AND len(regexp_extract_all(source, '[A-Za-z]+')) >= 2 AND {_FOLD('source')} NOT IN (SELECT lower(source) FROM g WHERE status = 'locked' AND behavior = 'preserve')
 UNION ALL SELECT arm, conv_id, seg_idx, 'token_lost', CASE WHEN regexp_matches(token, '(?i)^(%|\{{)') THEN 'blocking' ELSE 'actionable' END, token FROM tok WHERE NOT contains(target, token)
 UNION ALL SELECT arm, conv_id, seg_idx, 'residual', CASE WHEN n >= 2 THEN 'actionable' ELSE 'informational' END, run FROM run
 UNION ALL SELECT arm, conv_id, seg_idx, 'term_missing', 'actionable', id FROM hits WHERE status = 'locked' AND behavior = 'translate' AND preferred <> '' AND NOT kept AND {_STRIPPED} <> ''
@@ -147,7 +154,8 @@ _WITH_F = f"WITH {_PAIRS}, {_G}, {_HITS}, {_FINDINGS}"
 
 
 def _findings(spark, d):
-    return qa.findings(_pairs(spark, d), _named(spark))
+    # every third conversation is translated into English
+    return qa.findings(_pairs(spark, d).withColumn("target_lang", F.when(F.col("conv_id") % 3 == 0, "English").otherwise("Chinese")), _named(spark))
 
 
 @query(f"{_WITH_F} SELECT * FROM f")
@@ -317,7 +325,7 @@ def distributed_sample(spark, d):
 
 @query(f"WITH {_SEG}, {_G}, a AS (SELECT doc_id, id, list(DISTINCT seg_idx ORDER BY seg_idx) AS l FROM seg JOIN g ON {_match('g.source', 'text')} GROUP BY ALL) SELECT doc_id, id, CASE WHEN len(l) = 1 THEN l[1]::VARCHAR WHEN len(l) = 2 THEN l[1] || ',' || l[2] ELSE l[1] || ',' || l[len(l) // 2 + 1] || ',' || l[len(l)] END AS picked FROM a")
 def first_middle_last(spark, d):
-    hits = terms.term_join(_segments(spark, d), derived.glossary(spark).select("id", F.col("source").alias("term")), term_col="term")
+    hits = matching.term_matches_in(_segments(spark, d), derived.glossary(spark).select("id", F.col("source").alias("term")), term_col="term", keep=["doc_id", "seg_idx"])
     return sequence.first_middle_last(hits)
 
 

@@ -62,7 +62,7 @@ b AS (SELECT conv_id, count(*) FILTER (WHERE NOT resolved AND severity = 'blocki
 string_agg(DISTINCT type, ',' ORDER BY type) FILTER (WHERE NOT resolved) AS open_types FROM fd GROUP BY conv_id)
 SELECT a.*, coalesce(blocking_findings, 0) AS blocking_findings, coalesce(recorded_blocking, 0) AS recorded_blocking, coalesce(term_conflicts, 0) AS term_conflicts, coalesce(open_types, '') AS open_types FROM a LEFT JOIN b USING (conv_id)""")
 def project_statistics(spark, d):
-    rows = cases.features(_rows(spark, d), derived.glossary(spark).limit(0))
+    rows = cases.features(_rows(spark, d), None)
     n = lambda x, name: F.count_if(F.expr(x)).alias(name)
     per = rows.groupBy("conv_id").agg(
         F.count("*").alias("total_segments"), n("reviewed", "reviewed_segments"), n("initial_target IS NOT NULL", "with_versions"), n("revised", "revised_segments"), n("initial_target IS NOT NULL AND NOT revised", "unchanged_segments"),

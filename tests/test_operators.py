@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from glossweave.functions import text
-from glossweave.operators import evidence, memory, qa, sequence, terms
+from glossweave.operators import evidence, matching, memory, qa, sequence, terms
 from glossweave.sources import files
 from glossweave.sources.derived import GLOSSARY_SCHEMA
 from glossweave.streaming import event_log
@@ -20,10 +20,10 @@ def test_term_matches(spark):
     ]
     df = spark.createDataFrame(rows, "term string, text string, want boolean")
     assert not df.filter(text.term_matches(F.col("term"), F.col("text")) != F.col("want")).collect()
-    # the join by index keys finds the same pairs as the plain test
+    # the automaton finds the same pairs as the plain test
     texts = df.filter("text IS NOT NULL").select("text").distinct()
     names = df.filter("term <> ''").select(F.col("term").alias("source")).distinct()
-    got = {(r["source"], r["text"]) for r in terms.term_join(texts, names).distinct().collect()}
+    got = {(r["source"], r["text"]) for r in matching.term_matches_in(texts, names).distinct().collect()}
     plain = texts.crossJoin(names).filter(text.term_matches(F.col("source"), F.col("text")))
     assert got == {(r["source"], r["text"]) for r in plain.collect()}
 

@@ -25,15 +25,15 @@ def normalised(x: str | None, *, punctuation: bool = True) -> str:
     return "".join(kept)
 
 
+def revised(x: str | None, y: str | None) -> bool:
+    m, n = normalised(x), normalised(y)
+    return bool(m and n and m != n) and normalised(x, punctuation=False) != normalised(y, punctuation=False)
+
+
 @F.pandas_udf(T.BooleanType())
 def meaningful_revision(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether both versions hold text and differ in more than white space, case, width or punctuation."""
-
-    def one(x: str | None, y: str | None) -> bool:
-        m, n = normalised(x), normalised(y)
-        return bool(m and n and m != n) and normalised(x, punctuation=False) != normalised(y, punctuation=False)
-
-    return pd.Series(list(map(one, a, b)), dtype=bool)
+    return pd.Series(list(map(revised, a, b)), dtype=bool)
 
 
 @F.pandas_udf(T.StringType())
@@ -86,6 +86,24 @@ def delta(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)])
 
 
+_CONTRAST = T.StructType([T.StructField("changed", T.BooleanType()), T.StructField("changes", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("operation", "baseline", "optimized")])))])
+
+
+@F.pandas_udf(_CONTRAST)
+def contrast(baseline: pd.Series, optimized: pd.Series) -> pd.DataFrame:
+    """Whether two versions differ in more than form, and the edits between them, character by character, each side clipped at 120; none if they don't."""
+
+    def one(a: str | None, b: str | None) -> tuple[bool, list[dict]]:
+        x, y = a or "", b or ""
+        if not revised(x, y):
+            return False, []
+        codes = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        return True, [{"operation": op, "baseline": x[i:j][:120], "optimized": y[k:m][:120]} for op, i, j, k, m in codes if op != "equal"]
+
+    got = [one(a, b) for a, b in zip(baseline, optimized, strict=True)]
+    return pd.DataFrame({"changed": [c for c, _ in got], "changes": [x for _, x in got]})
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

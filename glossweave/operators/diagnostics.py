@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.operators.records import described
 from glossweave.operators.reports import KEY, MARKERS, references
 
 # Phrases that say nothing of their own, and signals of what a paragraph does.
@@ -30,6 +31,8 @@ STRATEGY = "(?:采用了|运用了|使用|采取)(?:了)?(?:直译|意译|增译
 PROCESS = "(?:译者|笔者)(?:最初|首先|一开始|曾)(?:考虑|尝试|选择|认为)|(?:机器翻译|初译)(?:失败|错误|无法)(?:因为|由于)|the (?:translator|author) (?:initially|first) (?:considered|tried|chose)"
 RULE = "因此[,，]?(?:在|对于)?(?:文学|商务|科技|法律)?翻译中(?:应当|需要|必须|应)|hence,? (?:in )?(?:literary|legal|technical) translation (?:should|must|needs)"
 DIMENSION = "语义|逻辑|指称|信息结构|语域|节奏|叙事|语用|文化|术语|semantic|logical|reference|register|rhythm|narrative|pragmatic|cultural|terminolog"
+REVISION = "(?s)修改后|修订后|经过(?:人工)?修订|初译.{0,120}(?:终译|最终译文|最终).{0,80}(?:改|调整|修订|替换|变)|(?:从|将)[“\"'].*?[”\"'].{0,20}(?:改|调整|修订|替换)(?:成|为)[“\"'].*?[”\"']"
+REVISION_PAIR = "(?s)(?:从|将)[“\"']([^”\"']{1,160})[”\"'].{0,20}(?:改|调整|修订|替换)(?:成|为)[“\"']([^”\"']{1,160})[”\"']"
 PRIORITIES, SEVERITIES = ("P0", "P1", "P2", "P3"), ("critical", "high", "medium", "low")
 
 
@@ -65,18 +68,59 @@ def role_counts(sections: DataFrame) -> DataFrame:
 
 def unsupported(sections: DataFrame) -> DataFrame:
     """(doc_id, seg_idx, type, hit): phrases that assert without a mechanism, a dimension or a record in the text around them."""
-    none = F.array().cast("array<string>")
-    around = lambda p, before, after: F.when(F.col("body").rlike(p), F.regexp_extract_all("body", F.lit(f"(?s).{{0,{before}}}(?:{p}).{{0,{after}}}"), F.lit(0))).otherwise(none)
+    body = F.col("body")
     found = {
-        "strategy_label_without_mechanism": F.filter(around(STRATEGY, 40, 80), lambda x: x.rlike(EFFECT)), "unsupported_quality_effect": F.filter(around(EFFECT, 60, 60), lambda x: ~x.rlike(DIMENSION)),
-        "unsupported_process_claim": F.filter(around(PROCESS, 40, 120), lambda x: ~(F.contains(x, F.lit("<!--")) & F.contains(x, F.lit("finding")))), "case_to_general_rule_overreach": around(RULE, 50, 60),
+        "strategy_label_without_mechanism": F.filter(windows(body, STRATEGY, 40, 80), lambda x: x["window"].rlike(EFFECT)), "unsupported_quality_effect": F.filter(windows(body, EFFECT, 60, 60), lambda x: ~x["window"].rlike(DIMENSION)),
+        "unsupported_process_claim": F.filter(windows(body, PROCESS, 40, 120), lambda x: ~(F.contains(x["window"], F.lit("<!--")) & F.contains(x["window"], F.lit("finding")))), "case_to_general_rule_overreach": windows(body, RULE, 50, 60),
     }
     hits = F.flatten(F.array(*[F.transform(x, _named(kind)) for kind, x in found.items()]))
-    return sections.select(*KEY, F.explode(hits).alias("h")).select(*KEY, "h.type", F.substring(F.trim(F.regexp_replace("h.hit", r"\s+", " ")), 1, 160).alias("hit"))
+    own = sections.filter(body.rlike("|".join((STRATEGY, EFFECT, PROCESS, RULE))))
+    return own.select(*KEY, F.explode(hits).alias("h")).select(*KEY, "h.type", F.substring(squeezed(F.col("h.hit")), 1, 160).alias("hit"))
+
+
+def squeezed(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+
+
+def windows(text: Column, pattern: str, before: int, after: int) -> Column:
+    """Of every match, in order: the match, and it with the text around it. Windows of matches that are near overlap."""
+    matches, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+
+    def one(m: Column, i: Column) -> Column:
+        start = F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(matches, F.lit(1), i), ""))
+        first = F.greatest(start - before, F.lit(0))
+        return F.struct(m.alias("match"), F.substring(text, first + 1, start + F.length(m) + after - first).alias("window"))
+
+    return F.transform(matches, one)
 
 
 def _named(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("hit"))
+    return lambda x: F.struct(F.lit(kind).alias("type"), (F.concat_ws(" ", x["match"], x["window"]) if kind.startswith("strategy") else x["window"]).alias("hit"))
+
+
+def revision_claims(sections: DataFrame) -> DataFrame:
+    """(doc_id, seg_idx, n, claim, old, new): where a section says that something was revised, and from what to what, if it quotes both."""
+    found = sections.filter(F.col("body").rlike(REVISION)).select(*KEY, F.posexplode(windows(F.col("body"), REVISION, 80, 120)).alias("n", "w"))
+    part = lambda k: F.when(F.col("w.window").rlike(REVISION_PAIR), squeezed(F.regexp_extract("w.window", REVISION_PAIR, k)))
+    return found.select(*KEY, "n", F.substring(squeezed(F.col("w.window")), 1, 300).alias("claim"), part(1).alias("old"), part(2).alias("new"))
+
+
+def described_revisions(sections: DataFrame, plan: DataFrame, cases: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """(doc_id, seg_idx, type, ref) of what a section says of revisions and the records don't bear out.
+
+    plan(doc_id, seg_idx, case_id); cases(doc_id, case_id, initial_target, target, eligible), and synthetic ones (doc_id, case_id, baseline, optimized). A case counts where
+    the section plans it and names it. A case that wasn't revised may not stand with a claim of revision; and a quoted change must be that of a revised case, or of a synthetic one."""
+    claims = revision_claims(sections)
+    holding = sections.join(claims.select(*KEY).distinct(), KEY, "left_semi")
+    named = plan.join(holding, KEY).filter(F.contains("body", "case_id")).select(*KEY, "case_id").distinct()
+    own = named.join(cases, ["doc_id", "case_id"])
+    invented = own.filter(~F.col("eligible")).select(*KEY, F.lit("invented_revision").alias("type"), F.col("case_id").alias("ref"))
+    pairs = claims.filter("old <> '' AND new <> ''").select(*KEY, "n", "old", "new")
+    clean = lambda c: squeezed(F.coalesce(c, F.lit("")))
+    stored = pairs.join(own.filter("eligible"), KEY).filter(F.contains(clean(F.col("initial_target")), F.col("old")) & F.contains(clean(F.col("target")), F.col("new"))).select(*KEY, "n")
+    made = pairs.join(named.join(synthetic, ["doc_id", "case_id"]), KEY).filter(described(F.col("old"), F.col("baseline")) & described(F.col("new"), F.col("optimized"))).select(*KEY, "n")
+    lost = pairs.join(own.select(*KEY).distinct(), KEY, "left_semi").join(stored.unionByName(made).distinct(), [*KEY, "n"], "left_anti")
+    return invented.unionByName(lost.select(*KEY, F.lit("described_revision_not_in_stored_delta").alias("type"), F.concat("old", F.lit("→"), "new").alias("ref")))
 
 
 def question_matrix(plan: DataFrame, questions: DataFrame, claims: DataFrame) -> DataFrame:

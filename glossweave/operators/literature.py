@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import strip
+from glossweave.shipping import ship
 
 # What a source's verification may be, older names for it, and which of these may be cited.
 STATUSES = ("candidate", "metadata_verified", "user_provided", "imported_unverified", "rejected")
@@ -20,11 +25,57 @@ def slug(x: Column) -> Column:
     return F.when(s == "", "reference").otherwise(s)
 
 
+_NUMBERED = re.compile(r"(.+)-([1-9][0-9]*)")
+
+
+class _Given:
+    """The ids that a family of names has been given; as large as its different names, however many rows they have."""
+
+    def __init__(self) -> None:
+        self.plain: set[str] = set()
+        self.next: dict[str, int] = {}
+
+    def used(self, name: str) -> bool:
+        if name in self.plain:
+            return True
+        found = _NUMBERED.fullmatch(name)
+        return bool(found) and 2 <= int(found[2]) < self.next.get(found[1], 2)
+
+    def give(self, name: str) -> str:
+        if not self.used(name):
+            self.plain.add(name)
+            return name
+        k = self.next.get(name, 2)
+        while f"{name}-{k}" in self.plain:
+            k += 1
+        self.next[name] = k + 1
+        return f"{name}-{k}"
+
+
+def _give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    family, given = None, _Given()
+    for batch in batches:
+        out = []
+        for own, name in zip(batch.column("__family").to_pylist(), batch.column("__slug").to_pylist(), strict=True):
+            if own != family:
+                family, given = own, _Given()
+            out.append(given.give(name))
+        yield batch.set_column(batch.schema.get_field_index("unique_id"), "unique_id", pa.array(out, pa.string()))
+
+
 def unique_ids(rows: DataFrame, name: str, pos: str) -> DataFrame:
-    """``rows`` with ``unique_id``: the slug of ``name``, and from its second row on with -2, -3 and so on, in the order of ``pos``."""
+    """``rows`` with ``unique_id``, in the order of ``pos``: the slug of ``name``, or if a row before has that id, the slug with the least of -2, -3 and so on that none has.
+
+    Names are a family if they differ in numbers at their ends only. Where no name of a family ends in a number, a row's number is its place among equal names. Other
+    families pass in order through a task row by row, which keeps their different names, not their rows."""
+    ship(rows.sparkSession)
+    own = rows.withColumn("__slug", slug(F.col(name))).withColumn("__family", F.regexp_replace("__slug", "(?:-[0-9]+)+$", ""))
+    mixed = own.filter("__slug <> __family").select("__family").distinct()
+    alike = own.join(mixed, "__family", "left_anti")
     n = F.row_number().over(Window.partitionBy("__slug").orderBy(pos))
-    own = rows.withColumn("__slug", slug(F.col(name))).withColumn("__n", n)
-    return own.withColumn("unique_id", F.when(F.col("__n") == 1, F.col("__slug")).otherwise(F.concat_ws("-", "__slug", "__n"))).drop("__slug", "__n")
+    alike = alike.withColumn("__n", n).withColumn("unique_id", F.when(F.col("__n") == 1, F.col("__slug")).otherwise(F.concat_ws("-", "__slug", "__n"))).drop("__n")
+    other = own.join(mixed, "__family", "left_semi").withColumn("unique_id", F.lit(None).cast("string")).repartition("__family").sortWithinPartitions("__family", pos)
+    return alike.unionByName(other.mapInArrow(_give, other.schema)).drop("__slug", "__family")
 
 
 def registry(rows: DataFrame) -> DataFrame:

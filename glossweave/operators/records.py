@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,13 +67,36 @@ def review_findings(rows: DataFrame, segments: DataFrame, evidence_ids: DataFram
 
 
 def expand(texts: DataFrame, registry: DataFrame, *keys: str) -> DataFrame:
-    """``texts`` (keys, body) with their tokens {{STAT:k}}, {{TERM:k}} and [@k] replaced by the registry's (token, value); unknown ones stay."""
-    found = texts.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\{\{(?:STAT|TERM):[A-Za-z0-9_.:-]+\}\}|\[@[A-Za-z0-9_.:-]+\])"), F.lit(1)))).alias("token")).join(registry, "token")
-    by = found.groupBy(*keys).agg(F.collect_list(F.struct("token", "value")).alias("__by"))
-    body = F.aggregate(F.coalesce("__by", F.array().cast("array<struct<token:string,value:string>>")), F.col("body"), lambda t, x: F.replace(t, x["token"], x["value"]))
+    """``texts`` (keys, body) with their tokens {{STAT:k}}, {{TERM:k}} and [@k] replaced by the registry's (token, value), which has one row a token; unknown ones stay."""
+    return substituted(texts, registry.select("token", F.col("value").alias("instead")), *keys, pattern=r"\{\{(?:STAT|TERM):[A-Za-z0-9_.:-]+\}\}|\[@[A-Za-z0-9_.:-]+\]", of=lambda x: {"token": x})
+
+
+def substituted(texts: DataFrame, registry: DataFrame, *keys: str, pattern: str, of: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """``texts`` (keys, body) with each match of ``pattern`` replaced by the ``instead`` of the registry's row with the match's columns ``of``, if there is one.
+
+    The matches meet the registry by their place in the body and are put back between the parts around them, so what is put in is never read again."""
+    found = texts.select(*keys, F.posexplode(F.regexp_extract_all("body", F.lit(f"({pattern})"), F.lit(1))).alias("__n", "__match"))
+    for name, x in of(F.col("__match")).items():
+        found = found.withColumn(name, x)
+    met = found.join(registry, [c for c in registry.columns if c != "instead"]).filter("instead IS NOT NULL")
+    by = met.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__n", "instead"))).alias("__by"))
+    matches, between = F.regexp_extract_all("body", F.lit(f"({pattern})"), F.lit(1)), F.split("body", pattern, -1)
+    instead = F.transform(matches, lambda m, i: F.concat(F.coalesce(F.element_at("__by", i), m), F.get(between, i + 1)))
+    body = F.when(F.col("__by").isNotNull(), F.concat(F.get(between, F.lit(0)), F.array_join(instead, ""))).otherwise(F.col("body"))
     return texts.join(by, list(keys), "left").withColumn("body", body).drop("__by")
 
 
+#: Fixed value: a line that quotes a case.
+QUOTE = r"(?md)^>\s*\[(?:SOURCE|INITIAL|TARGET|SYNTHETIC_SOURCE|SIMULATED|OPTIMIZED)\s+[A-Za-z0-9_-]+\]:\s*.*$"
+
+
+def exact_quotes(reports: DataFrame, cases: DataFrame, *keys: str) -> DataFrame:
+    """``reports`` (keys, body) whose quoting lines hold the saved text of their case word for word; cases(kind, case_id, text), where a text that is missing leaves the line as it is."""
+    head = lambda x, k: F.regexp_extract(x, r"^>\s*\[([A-Z_]+)\s+([A-Za-z0-9_-]+)\]:", k)
+    said = F.concat(F.lit("> ["), "kind", F.lit(" "), "case_id", F.lit("]: "), "text")
+    return substituted(reports, cases.select("kind", "case_id", said.alias("instead")), *keys, pattern=QUOTE, of=lambda x: {"kind": head(x, 1), "case_id": head(x, 2)})
+
+
 def batch_sections(batches: DataFrame, sections: DataFrame) -> DataFrame:
     """Per batch (doc_id, batch, first, last) the first section that holds it whole."""
     met = batches.alias("b").join(sections.alias("s"), F.expr("b.doc_id = s.doc_id AND s.start_segment <= b.first AND b.last <= s.end_segment"), "left")

@@ -64,10 +64,11 @@ def reviewer_findings(spark, d):
     return records.review_findings(found, segs.selectExpr("doc_id", f"{_BATCH} AS batch", "seg_idx"), known).select("doc_id", "pos", "segment_id", "problem", "reason", F.array_join("unknown_refs", ",").alias("unknown_refs"))
 
 
-_TOKENS = [("{{STAT:total}}", "1,234"), ("{{TERM:t1}}", "le mot"), *[(f"[@src{k}]", f"(Source {k})") for k in range(12)]]
+# values that hold tokens stay as they are
+_TOKENS = [("{{STAT:total}}", "{{TERM:t1}} 1,234"), ("{{TERM:t1}}", "le [@src1] mot {{STAT:total}}"), *[(f"[@src{k}]", f"(Source {k})") for k in range(12)]]
 
 
-@query(f"WITH {_SEG}, {reports.SECTION_SQL} SELECT doc_id, seg_idx, md5({'replace(' * len(_TOKENS)}body{''.join(f', {t!r}, {v!r})' for t, v in _TOKENS)}) AS body_hash FROM sec")
+@query(f"WITH {_SEG}, {reports.SECTION_SQL} SELECT doc_id, seg_idx, md5({'replace(' * (2 * len(_TOKENS))}body{''.join(f', {t!r}, chr({57344 + k}))' for k, (t, _) in enumerate(_TOKENS))}{''.join(f', chr({57344 + k}), {v!r})' for k, (_, v) in enumerate(_TOKENS))}) AS body_hash FROM sec")
 def token_expansion(spark, d):
     expanded = records.expand(reports.sections(_segments(spark, d)), reports.registry(spark, _TOKENS, "token string, value string"), "doc_id", "seg_idx")
     return expanded.select("doc_id", "seg_idx", F.md5("body").alias("body_hash"))

@@ -13,7 +13,7 @@ from glossweave.sources import reports
 from glossweave.sources.reports import values
 
 #: Paragraphs of all kinds: a segment's text after a phrase that its number picks.
-_PHRASES = ["", "这说明 ", "综上所述，笔者认为 ", "首先 ", "skopos: this suggests ", "译文将 ", "本节小结 ", "in conclusion, the translator believes ", "本文将对 ", "the author initially considered it. ", "采用了直译策略，提高了译文的可读性 ", "improves readability; hence literary translation should "]
+_PHRASES = ["", "这说明 ", "综上所述，笔者认为 ", "首先 ", "skopos: this suggests ", "译文将 ", "本节小结 ", "in conclusion, the translator believes ", "本文将对 ", "the author initially considered it. ", "采用了直译策略，提高了译文的可读性；运用了增译策略，使译文更加自然 ", "improves readability; hence literary translation should "]
 _SPOKEN = "CASE seg_idx % 12 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES)) + " END || CASE WHEN doc_id % 2 = 0 THEN text ELSE substring(text, 1, 20) || chr(10) || chr(10) || substring(text, 21) END || CASE WHEN (doc_id + seg_idx) % 7 = 0 THEN ' <!--claim:c1-->' WHEN (doc_id + seg_idx) % 7 = 1 THEN ' [@src1]' WHEN (doc_id + seg_idx) % 7 = 2 THEN ' seg-j-0001' ELSE '' END"
 _P = rf"WITH {_SEG}, sec AS (SELECT doc_id, seg_idx, {_SPOKEN} AS body FROM seg), p AS (SELECT doc_id, seg_idx, trim(x, ' ') AS x FROM (SELECT doc_id, seg_idx, unnest(string_split_regex(body, '\n\s*\n')) AS x FROM sec) WHERE trim(x, ' ') <> '')"
 _IS = lambda x, p: f"regexp_matches({x}, '{p}')"
@@ -36,13 +36,16 @@ def generic_pattern_counts(spark, d):
     return each.groupBy("pattern").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-_AROUND = lambda p, a, b: f"regexp_extract_all(body, '(?s).{{0,{a}}}(?:{p}).{{0,{b}}}')"
+def at(p: str, before: int, after: int) -> str:
+    """Matches and their windows in bodies of ``sec``, by trying every place: a pattern that a place begins, and the text around it."""
+    return f"""(SELECT doc_id, seg_idx, m, body, substr(body, (greatest(i - 1 - {before}, 0) + 1)::BIGINT, (i - 1 + length(m) + {after} - greatest(i - 1 - {before}, 0))::BIGINT) AS w
+  FROM (SELECT doc_id, seg_idx, body, i, regexp_extract(substr(body, i), '^(?:{p})') AS m FROM (SELECT *, unnest(range(1, length(body) + 1)) AS i FROM sec WHERE {_IS('body', p)})) WHERE m <> '')"""
 
 
-@query(rf"""{_P}, h AS (SELECT doc_id, seg_idx, 'strategy_label_without_mechanism' AS type, unnest(list_filter({_AROUND(STRATEGY, 40, 80)}, lambda x: {_IS('x', EFFECT)})) AS hit FROM sec
-UNION ALL SELECT doc_id, seg_idx, 'unsupported_quality_effect', unnest(list_filter({_AROUND(EFFECT, 60, 60)}, lambda x: NOT {_IS('x', DIMENSION)})) FROM sec
-UNION ALL SELECT doc_id, seg_idx, 'unsupported_process_claim', unnest(list_filter({_AROUND(PROCESS, 40, 120)}, lambda x: NOT (contains(x, '<!--') AND contains(x, 'finding')))) FROM sec
-UNION ALL SELECT doc_id, seg_idx, 'case_to_general_rule_overreach', unnest({_AROUND(RULE, 50, 60)}) FROM sec) SELECT doc_id, seg_idx, type, substring(trim(regexp_replace(hit, '\s+', ' ', 'g'), ' '), 1, 160) AS hit FROM h""")
+@query(rf"""{_P}, h AS (SELECT doc_id, seg_idx, 'strategy_label_without_mechanism' AS type, m || ' ' || w AS hit FROM {at(STRATEGY, 40, 80)} WHERE {_IS('w', EFFECT)}
+UNION ALL SELECT doc_id, seg_idx, 'unsupported_quality_effect', w FROM {at(EFFECT, 60, 60)} WHERE NOT {_IS('w', DIMENSION)}
+UNION ALL SELECT doc_id, seg_idx, 'unsupported_process_claim', w FROM {at(PROCESS, 40, 120)} WHERE NOT (contains(w, '<!--') AND contains(w, 'finding'))
+UNION ALL SELECT doc_id, seg_idx, 'case_to_general_rule_overreach', w FROM {at(RULE, 50, 60)}) SELECT doc_id, seg_idx, type, substring(trim(regexp_replace(hit, '\s+', ' ', 'g'), ' '), 1, 160) AS hit FROM h""")
 def unsupported_assertions(spark, d):
     return diagnostics.unsupported(_spoken(spark, d))
 

@@ -41,27 +41,3 @@ def last_rows(rows: DataFrame, n: int, by: list[str], *keys: str) -> DataFrame:
     """The last ``n`` rows of each group in the order of ``by``, numbered from the last."""
     order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by])
     return rows.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= n)
-
-
-def resume_points(batches: DataFrame, done: DataFrame) -> DataFrame:
-    """``batches`` (doc_id, batch, n), ``done`` (doc_id, done): the first batch that isn't done whole, and the segments that stay."""
-    running = Window.partitionBy("doc_id").orderBy("batch")
-    ends = batches.withColumn("until", F.sum("n").over(running)).join(done, "doc_id")
-    open_ = ends.filter(F.col("until") > F.col("done"))
-    return open_.groupBy("doc_id").agg(F.min("batch").alias("batch"), F.min(F.col("until") - F.col("n")).alias("kept"))
-
-
-def question_matrix(questions: DataFrame, claims: DataFrame, sections: DataFrame) -> DataFrame:
-    """Per question: how many claims answer it and how many sections hold such a claim."""
-    answers = claims.select("claim_id", F.explode("question_ids").alias("question_id"))
-    places = sections.select("section_id", F.explode("claim_ids").alias("claim_id"))
-    joined = questions.join(answers, "question_id", "left").join(places, "claim_id", "left")
-    return joined.groupBy("question_id").agg(F.countDistinct("claim_id").alias("n_claims"), F.countDistinct("section_id").alias("n_sections")).withColumn("answered", F.col("n_sections") > 0)
-
-
-def replacement_cases(old: DataFrame, cases: DataFrame, least: int = 3) -> DataFrame:
-    """For each old case: of the cases of its group that are richer than it and rich enough, the best by richness, relevance and score."""
-    better = old.select(F.col("case_id").alias("old_id"), "grp", F.col("richness").alias("old_richness")).join(cases, "grp")
-    better = better.filter((F.col("richness") > F.col("old_richness")) & (F.col("richness") >= least) & (F.col("case_id") != F.col("old_id")))
-    best = F.min_by("case_id", F.struct(-F.col("richness"), -F.col("relevance"), -F.col("score"), "case_id"))
-    return better.groupBy("old_id").agg(best.alias("new_id"))

@@ -2,33 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from glossweave.operators.numbering import kept
 
-def blind_packet(left: DataFrame, right: DataFrame, *, most: int = 80, quota: int = 20, seed: int = 7) -> DataFrame:
-    """(doc_id, category, side) of at most ``most`` rows of two arms' texts, joined by doc_id.
-
-    Rows that differ come first: dense and long ones up to a quota each, then by hash; then identical ones. A row is
-    taken once, for its first category. Sides alternate over the order of a hash, so each arm is left for half of them."""
-    both = left.select("doc_id", F.col("text").alias("a")).join(right.select("doc_id", F.col("text").alias("b")), "doc_id")
-    dense = F.length("a") + 8 * F.regexp_count("a", F.lit(r"\. "))
-    key = F.md5(F.concat_ws(":", F.lit(seed), "doc_id"))
-    own = both.select("doc_id", (F.col("a") == F.col("b")).alias("identical"), dense.alias("dense"), F.length("a").alias("long"), key.alias("key"))
-    differ = own.filter("NOT identical")
-    top = lambda df, name, order, n: df.orderBy(*order).limit(n).withColumn("category", F.lit(name))
-    parts = [
-        (0, top(differ, "dense", (F.desc("dense"), "doc_id"), quota)), (1, top(differ, "long", (F.desc("long"), "doc_id"), quota)),
-        (2, top(differ, "random", ("key", "doc_id"), most)), (3, top(own.filter("identical"), "identical", ("key", "doc_id"), most)),
-    ]
-    whole = None
-    for n, part in parts:
-        part = part.withColumn("prio", F.lit(n))
-        whole = part if whole is None else whole.unionByName(part)
-    first = whole.groupBy("doc_id").agg(F.min_by("category", "prio").alias("category"), F.min("prio").alias("prio"), F.first("key").alias("key"))
-    taken = first.orderBy("prio", "key", "doc_id").limit(most)
-    side = F.when(F.row_number().over(Window.orderBy("key", "doc_id")) % 2 == 0, "left").otherwise("right")  # over at most ``most`` rows
-    return taken.select("doc_id", "category", side.alias("side"))
+
+def blind_packet(rows: DataFrame, *keys: str, terms: int = 15, repairs: int = 15, long: int = 10, most: int = 80, seed: int = 7) -> DataFrame:
+    """A packet of at most ``most`` rows for blind review of two arms, with its key.
+
+    rows(keys, source, target_a, target_b, n_terms, flagged). Rows on which the arms differ come first: those with most terms, flagged ones in order, long ones, and then by a hash of their keys. Each
+    category takes its quota from the head of its own order, and rows that were taken before use it up; then what is left of rows that differ fills the packet, and then identical
+    ones, in order. ``left`` is the arm that stands on the left: half of them, rounded down, are A, dealt by a hash.
+
+    Every stage is a top-k over the whole table; only the keys taken, ``most`` at most, come to the driver."""
+    c = F.col
+    hashed = lambda *x: F.md5(F.concat_ws(":", F.lit(seed), *x, *keys))
+    own = kept(rows.select(*keys, "n_terms", "flagged", (~c("target_a").eqNullSafe(c("target_b"))).alias("differ"), (F.length("source") + 8 * F.regexp_count("source", F.lit(r"\. "))).alias("dense"), hashed().alias("hash")))
+    taken: list[tuple] = []
+    categories: list[str] = []
+
+    def take(name: str, pool: DataFrame, order: list[Column | str], quota: int, *, fresh: bool = False) -> None:
+        """``fresh``: only rows that weren't taken are counted."""
+        if fresh and taken:
+            pool = pool.join(F.broadcast(own.sparkSession.createDataFrame(taken, key_schema)), list(keys), "left_anti")
+        for r in pool.orderBy(*order, *keys).limit(max(0, quota)).select(*keys).collect():
+            if len(taken) < most and tuple(r) not in taken:
+                taken.append(tuple(r))
+                categories.append(name)
+
+    key_schema = own.select(*keys).schema
+    differ = own.filter("differ")
+    take("term_dense", differ.filter("n_terms > 0"), [F.desc("n_terms")], terms)
+    take("repair_review", differ.filter("flagged"), [], repairs)
+    take("long_dense", differ, [F.desc("dense")], long)
+    take("random", differ, ["hash"], most - len(taken))
+    take("random_fill", differ, [], most - len(taken), fresh=True)
+    take("identical_fallback", own.filter("NOT differ"), [], most - len(taken), fresh=True)
+    schema = StructType([*key_schema.fields, StructField("packet_id", IntegerType()), StructField("category", StringType())])
+    packet = own.sparkSession.createDataFrame([(*k, n, name) for n, (k, name) in enumerate(zip(taken, categories, strict=True), 1)], schema)
+    sides = packet.withColumn("deal", F.row_number().over(Window.partitionBy(F.lit("packet")).orderBy(hashed(F.lit("side")), *keys)))  # of ``most`` rows
+    sides = sides.withColumn("left", F.when(c("deal") <= len(taken) // 2, "A").otherwise("B")).drop("deal")
+    met = rows.select(*keys, "source", "target_a", "target_b").join(F.broadcast(sides), list(keys))
+    a = F.when(c("left") == "A", c("target_a")).otherwise(c("target_b"))
+    b = F.when(c("left") == "A", c("target_b")).otherwise(c("target_a"))
+    return met.select("packet_id", "category", *keys, "source", a.alias("candidate_a"), b.alias("candidate_b"), "left", c("target_a").eqNullSafe(c("target_b")).alias("identical"))
+
+
+def packet_counts(packet: DataFrame) -> DataFrame:
+    """Of each category of a packet, and of all: rows, rows with arm A on the left, and identical ones."""
+    return packet.rollup("category").agg(F.count("*").alias("n"), F.count_if(F.col("left") == "A").alias("left_a"), F.count_if("identical").alias("n_identical")).withColumn("category", F.coalesce("category", F.lit("all")))
 
 
 def context_dependent(segments: DataFrame) -> DataFrame:

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.python import answers, model_call
+from glossweave.operators.numbering import numbered
 
 
-def freeze(versions: DataFrame) -> DataFrame:
-    """Of snapshots (n, glossary_hash) in order, those that differ from the one before, numbered."""
-    changed = versions.withColumn("before", F.lag("glossary_hash").over(Window.partitionBy(F.lit(0)).orderBy("n")))  # a row for each freeze
-    kept = changed.filter("before IS NULL OR before <> glossary_hash")
-    return kept.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n")).alias("version"), "glossary_hash")
+def freeze(snapshots: DataFrame) -> DataFrame:
+    """Of a job's snapshots (job, n, glossary_hash), in the order of ``n``, those that differ from the one before, with the version that each makes.
+
+    Rows are numbered over the whole table: the one before is found by its number, and a version is the distance from its job's first. No job is one task's work, however long."""
+    placed = numbered(snapshots.select("job", "n", "glossary_hash"), "job", "n", name="place")
+    before = placed.select("job", (F.col("place") + 1).alias("place"), F.col("glossary_hash").alias("before"))
+    changed = placed.join(before, ["job", "place"], "left").filter("before IS NULL OR before <> glossary_hash").select("job", "n", "glossary_hash")
+    kept = numbered(changed, "job", "n", name="place")
+    first = kept.groupBy("job").agg(F.min("place").alias("first"))
+    return kept.join(first, "job").select("job", (F.col("place") - F.col("first") + 1).alias("version"), "n", "glossary_hash")
 
 
 def entry_used(pairs: DataFrame, entries: DataFrame) -> DataFrame:

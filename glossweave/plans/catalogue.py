@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import ENDINGS, base_forms, folded, preserved_tokens, sentences, without_controls
+from glossweave.functions.text import ENDINGS, base_forms, preserved_tokens, sentences, without_controls
 from glossweave.operators import evidence, matching, memory, qa, sampling, sequence, terms
 from glossweave.sources import derived
 from glossweave.shipping import ship
 from glossweave.sources.derived import GLOSSARY, WORD_GLOSSARY_SQL, table
-from glossweave.streaming import event_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -341,14 +340,6 @@ def annotation_caps(spark, d):
     return sequence.caps(_annotations(_segments(spark, d)), {"rare": 3, "domain": 3, "hard": 2})
 
 
-_SPANS = [("k1", 0, 20, "hard", 2), ("k1", 4, 10, "rare", 0), ("k1", 10, 14, "domain", 1), ("k2", 3, 9, "domain", 1), ("k2", 5, 12, "rare", 0)]
-
-
-@query(f"WITH s AS (SELECT * FROM (VALUES {', '.join(map(str, _SPANS))}) v(key, a, b, kind, priority)), x AS (SELECT key, a AS x FROM s UNION SELECT key, b FROM s), c AS (SELECT key, x, lead(x) OVER (PARTITION BY key ORDER BY x) AS y FROM x) SELECT c.key, x, y, arg_min(kind, priority) AS kind FROM c JOIN s ON s.key = c.key AND a <= x AND b >= y GROUP BY c.key, x, y")
-def span_overlay(spark, d):
-    return sequence.overlay(spark.createDataFrame(_SPANS, "key string, a int, b int, kind string, priority int"))
-
-
 @query(rf"""WITH {_SEG}, r AS (SELECT (seg_idx // 10)::INT AS section, CASE WHEN length(text) < 40 THEN 'short' WHEN regexp_matches(text, '\|') THEN 'table' WHEN regexp_matches(text, '^(?:Licensed|Copyright)') THEN 'licence' WHEN regexp_matches(text, '[!]{{2}}') THEN 'shout' WHEN {_sentences('text')} >= 4 THEN 'discussion' ELSE 'statement' END AS role FROM seg)
 SELECT section, role, count(*) AS n FROM r GROUP BY GROUPING SETS ((role, section), (role))""")
 def paragraph_roles(spark, d):
@@ -425,35 +416,6 @@ def repeated_texts(spark, d):
     return own.groupBy("text_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1")
 
 
-@query(f"""WITH {_SEG}, l AS (SELECT doc_id, text AS a FROM seg WHERE seg_idx = 0), r AS (SELECT doc_id, arg_max(text, seg_idx) AS b FROM seg WHERE seg_idx <= 1 GROUP BY doc_id),
-o AS (SELECT doc_id, a = b AS same, length(a) + 8 * len(regexp_extract_all(a, '\\. ')) AS dense, length(a) AS long, md5('7:' || doc_id) AS key FROM l JOIN r USING (doc_id)), d AS (SELECT * FROM o WHERE NOT same),
-p AS (SELECT * FROM (SELECT doc_id, key, 'dense' AS category, 0 AS prio FROM d ORDER BY dense DESC, doc_id LIMIT 20) UNION ALL SELECT * FROM (SELECT doc_id, key, 'long', 1 FROM d ORDER BY long DESC, doc_id LIMIT 20)
-UNION ALL SELECT * FROM (SELECT doc_id, key, 'random', 2 FROM d ORDER BY key, doc_id LIMIT 80) UNION ALL SELECT * FROM (SELECT doc_id, key, 'identical', 3 FROM o WHERE same ORDER BY key, doc_id LIMIT 80)),
-f AS (SELECT doc_id, key, arg_min(category, prio) AS category, min(prio) AS prio FROM p GROUP BY doc_id, key), t AS (SELECT * FROM f ORDER BY prio, key, doc_id LIMIT 80)
-SELECT doc_id, category, CASE WHEN row_number() OVER (ORDER BY key, doc_id) % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM t""")
-def blind_packet(spark, d):
-    segs = _segments(spark, d)
-    left = segs.filter("seg_idx = 0").select("doc_id", "text")
-    right = segs.filter("seg_idx <= 1").groupBy("doc_id").agg(F.max_by("text", "seg_idx").alias("text"))
-    return sampling.blind_packet(left, right)
-
-
-# The event log
-
-_PHASES = "[" + ", ".join(map(_text, event_log.PHASES)) + "]"
-_LOG = f"log AS (SELECT user_id AS batch, event_id AS off, {_PHASES}[event_id % {len(event_log.PHASES)} + 1] AS phase FROM events)"
-
-
-@query(f"WITH {_LOG} SELECT batch, arg_max(phase, off) AS phase, count(*) AS n_events FROM log GROUP BY batch")
-def batch_last_phase(spark, d):
-    return event_log.last_phase(event_log.log_of(table(spark, d, "events")))
-
-
-@query(f"WITH {_LOG} SELECT batch, p AS pending FROM (SELECT batch, max(off) FILTER (WHERE phase = 'tm_promotion_pending') AS p, max(off) FILTER (WHERE phase = 'tm_promotion_done') AS dn FROM log GROUP BY batch) WHERE p IS NOT NULL AND (dn IS NULL OR dn < p)")
-def event_log_recovery(spark, d):
-    return event_log.unpromoted(event_log.log_of(table(spark, d, "events")))
-
-
 # Evidence: claims are documents with labels, evidence their first line, sources the documents' sources
 
 

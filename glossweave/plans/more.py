@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.functions.python import delta, echo_model, find_span, meaningful_revision, similarity
+from glossweave.functions.python import delta, find_span, meaningful_revision, similarity
 from glossweave.operators import versions
 from glossweave.plans.catalogue import _PAIRS, _SEG, _WITH_F, _docs, _findings, _pairs, _segments, query
 from glossweave.sources.derived import table
 
 
-@query("""WITH s AS (SELECT n_regionkey AS n, sha256(string_agg(n_name, ',' ORDER BY n_name)) AS glossary_hash FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey + 100, 'same' FROM nation GROUP BY 1),
-c AS (SELECT *, lag(glossary_hash) OVER (ORDER BY n) AS before FROM s) SELECT (row_number() OVER (ORDER BY n))::INT AS version, glossary_hash FROM c WHERE before IS NULL OR before <> glossary_hash""")
+@query("""WITH s AS (SELECT user_id AS job, event_id AS n, sha256(event_type) AS glossary_hash FROM events), c AS (SELECT *, lag(glossary_hash) OVER (PARTITION BY job ORDER BY n) AS before FROM s)
+SELECT job, row_number() OVER (PARTITION BY job ORDER BY n) AS version, n, glossary_hash FROM c WHERE before IS NULL OR before <> glossary_hash""")
 def glossary_freeze_versions(spark, d):
-    n = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("n")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("n_name")), ","), 256).alias("glossary_hash"))
-    return versions.freeze(n.unionByName(n.select((F.col("n") + 100).alias("n"), F.lit("same").alias("glossary_hash"))))
+    # every event of a user freezes the glossary that its type stands for
+    return versions.freeze(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("n"), F.sha2("event_type", 256).alias("glossary_hash")))
 
 
 _VERSIONS = [("h1", 1, "t1", "le", "het", 0), ("h1", 1, "t1", "le", "den", 1), ("h1", 1, "t2", "of", "van", 2), ("h2", 2, "t1", "Le", "die", 0), ("h2", 2, "t3", "ouen", "the", 1)]
@@ -125,9 +125,3 @@ def tolerant_spans(spark, d):
     needle = F.regexp_replace(F.substring("text", 3, 15), " ", "  ")
     found = _segments(spark, d).withColumn("span", find_span(needle, F.col("text")))
     return found.select("doc_id", "seg_idx", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
-
-
-@query()
-def model_translation(spark, d):
-    p = _pairs(spark, d).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "source"))), lambda x: x["source"]).alias("sources"))
-    return versions.translate(p, echo_model).select("conv_id", F.size("sources").alias("n"), F.size("targets").alias("n_targets"))

@@ -47,40 +47,7 @@ def last_pairs(spark, d):
     return review.last_rows(_pairs(spark, d).select("arm", "conv_id", "seg_idx"), 12, ["conv_id", "seg_idx"], "arm")
 
 
-@query(f"""WITH {_SEG}, b AS (SELECT doc_id, (seg_idx // 4)::INT AS batch, count(*) AS n FROM seg GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY batch)::BIGINT AS until, doc_id % 9 AS done FROM b)
-SELECT doc_id, min(batch) AS batch, min(until - n) AS kept FROM u WHERE until > done GROUP BY doc_id""")
-def resume_points(spark, d):
-    segments = _segments(spark, d)
-    batches = segments.groupBy("doc_id", F.floor(F.col("seg_idx") / 4).cast("int").alias("batch")).agg(F.count("*").alias("n"))
-    done = segments.select("doc_id", (F.col("doc_id") % 9).alias("done")).distinct()
-    return review.resume_points(batches, done)
-
-
 @query(f"WITH {WORD_GLOSSARY_SQL} SELECT status, behavior, count(*) AS entries, count(DISTINCT lower(source)) AS terms, sum((len(forbidden) > 0)::INT)::BIGINT AS with_forbidden FROM g GROUP BY ALL")
 def glossary_status_counts(spark, d):
     g = derived.word_glossary(_docs(spark, d))
     return g.groupBy("status", "behavior").agg(F.count("*").alias("entries"), F.countDistinct(F.lower("source")).alias("terms"), F.sum((F.size("forbidden") > 0).cast("int")).alias("with_forbidden"))
-
-
-_QUESTIONS, _CLAIMS, _SECTIONS = ["q1", "q2", "q3"], [("c1", ["q1"]), ("c2", ["q1", "q2"]), ("c3", [])], [("s1", ["c1", "c2"]), ("s2", ["c1"]), ("s3", ["c9"])]
-
-
-def _rows(rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join(str(r).replace("[]", "[]::VARCHAR[]") for r in rows) + ")"
-
-
-@query(f"""WITH a AS (SELECT claim_id, unnest(qs) AS question_id FROM {_rows(_CLAIMS)} v(claim_id, qs)), p AS (SELECT section_id, unnest(cs) AS claim_id FROM {_rows(_SECTIONS)} v(section_id, cs)),
-q AS (SELECT unnest({_QUESTIONS}) AS question_id) SELECT question_id, count(DISTINCT a.claim_id) AS n_claims, count(DISTINCT section_id) AS n_sections, count(DISTINCT section_id) > 0 AS answered FROM q LEFT JOIN a USING (question_id) LEFT JOIN p USING (claim_id) GROUP BY question_id""")
-def rq_matrix(spark, d):
-    questions = spark.createDataFrame([(x,) for x in _QUESTIONS], "question_id string")
-    return review.question_matrix(questions, spark.createDataFrame(_CLAIMS, "claim_id string, question_ids array<string>"), spark.createDataFrame(_SECTIONS, "section_id string, claim_ids array<string>"))
-
-
-_CASES = [("a", "g1", 2, 5, 1.5), ("b", "g1", 4, 1, 2.5), ("c", "g1", 4, 3, 0.5), ("d", "g2", 6, 1, 1.0), ("e", "g2", 2, 9, 9.0), ("f", "g3", 1, 1, 1.0), ("g", "g3", 2, 1, 1.0)]
-
-
-@query(f"""WITH k AS (SELECT * FROM {_rows(_CASES)} v(case_id, grp, richness, relevance, score)), b AS (SELECT o.case_id AS old_id, n.case_id AS new_id,
-row_number() OVER (PARTITION BY o.case_id ORDER BY n.richness DESC, n.relevance DESC, n.score DESC, n.case_id) AS r FROM k o JOIN k n ON o.grp = n.grp AND n.richness > o.richness AND n.richness >= 3) SELECT old_id, new_id FROM b WHERE r = 1""")
-def replacement_cases(spark, d):
-    cases = spark.createDataFrame(_CASES, "case_id string, grp string, richness int, relevance int, score double")
-    return review.replacement_cases(cases, cases)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import cases
-from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _docs, _segments, query
+from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _segments, query
 from glossweave.sources import derived, jobs
 from glossweave.sources.jobs import FINDING_SQL, RECORD_SQL
 

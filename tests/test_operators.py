@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from glossweave.functions import text
-from glossweave.operators import evidence, matching, memory, qa, sequence, terms
+from glossweave.operators import evidence, matching, memory, qa, sequence
 from glossweave.sources import files
 from glossweave.sources.derived import GLOSSARY_SCHEMA
 from glossweave.streaming import event_log

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 
-from glossweave.operators import sampling
-from glossweave.operators.matching import with_term_count
+from pyspark.sql import functions as F
+
+from glossweave.operators import packets, sampling
+from glossweave.operators.matching import term_matches_in, with_term_count
 from glossweave.plans.catalogue import _G, _SEG, _match, _segments, query
 from glossweave.sources import derived
 
@@ -47,3 +49,51 @@ def blind_packet_of_few(spark, d):
 @query(f"""{_sql(_FEW)} SELECT coalesce(category, 'all') AS category, count(*) AS n, count(*) FILTER ("left" = 'A') AS left_a, count(*) FILTER (identical) AS n_identical FROM pk GROUP BY ROLLUP (category)""")
 def blind_packet_counts(spark, d):
     return sampling.packet_counts(_packet(spark, d, _FEW))
+
+
+# Units of seven segments: of every third document they tile it, of the next a unit is missing, of the next each reaches into the following one; wrong ones stand between.
+_START, _END = "k * 7", "CASE WHEN doc_id % 3 = 2 THEN least(k * 7 + 7, last) ELSE least(k * 7 + 6, last) END"
+
+
+def _units(spark, d):
+    last = _segments(spark, d).groupBy("doc_id").agg(F.max("seg_idx").alias("last"))
+    each = last.select("doc_id", "last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 7))).alias("k")).filter("NOT (doc_id % 3 = 1 AND k = 1)")
+    real = each.selectExpr("doc_id", f"CAST({_START} AS STRING) AS start_segment", f"CAST({_END} AS STRING) AS end_segment")
+    wrong = last.filter("doc_id % 2 = 0").selectExpr("doc_id", "'none' AS start_segment", "'3' AS end_segment").unionByName(last.selectExpr("doc_id", "'5' AS start_segment", "CAST(last + 9 AS STRING) AS end_segment"))
+    return real.unionByName(wrong)
+
+
+_TILED = f"""{{seg}}, la AS (SELECT doc_id, max(seg_idx) AS last FROM seg GROUP BY doc_id), un AS (SELECT doc_id, {_START} AS a, {_END} AS z FROM (SELECT doc_id, last, unnest(range(0, last // 7 + 1)) AS k FROM la) WHERE NOT (doc_id % 3 = 1 AND k = 1)),
+cov AS (SELECT doc_id, unnest(range(a, z + 1)) AS i FROM un), til AS (SELECT doc_id FROM cov JOIN la USING (doc_id) GROUP BY doc_id, last HAVING count(*) = last + 1 AND count(DISTINCT i) = last + 1),
+s AS (SELECT seg.doc_id, seg_idx, length(text) AS n, a AS unit FROM seg LEFT JOIN (un JOIN til USING (doc_id)) u ON u.doc_id = seg.doc_id AND seg_idx BETWEEN a AND z)"""
+
+
+@query(f"""WITH RECURSIVE {_TILED.format(seg=_SEG)},
+b AS (SELECT doc_id, seg_idx, n, unit, 1 AS cnt, n AS size, 0 AS batch FROM s WHERE seg_idx = 0 UNION ALL SELECT doc_id, seg_idx, n, unit, CASE WHEN nw THEN 1 ELSE cnt + 1 END, CASE WHEN nw THEN n ELSE size + n END, CASE WHEN nw THEN batch + 1 ELSE batch END
+FROM (SELECT s.*, cnt, size, batch, cnt >= 4 OR size + s.n > 1600 OR s.unit IS DISTINCT FROM b.unit AS nw FROM b JOIN s ON s.doc_id = b.doc_id AND s.seg_idx = b.seg_idx + 1)) SELECT doc_id, seg_idx, batch FROM b""")
+def unit_tiled_batches(spark, d):
+    return packets.pack_units(_segments(spark, d), _units(spark, d))
+
+
+# Sections of ten segments with what they plan: claims and cases, some of them unknown or not allowed. Every third section is about terms.
+_TITLE, _CLAIM = "CASE WHEN k % 3 = 0 THEN '术语处理' ELSE 'Analysis' END", "'claim-' || (seg_idx % 9)"
+_PLANNED = "'seg-' || doc_id || '-' || seg_idx"
+
+
+@query(f"""WITH {_SEG}, {_G}, se AS (SELECT DISTINCT doc_id, seg_idx // 10 AS k FROM seg), ed AS (SELECT doc_id, seg_idx // 10 AS k, 'claim' AS kind, {_CLAIM} AS ref, seg_idx AS pos, NULL AS at FROM seg WHERE seg_idx % 2 = 0 AND seg_idx % 9 < 6
+UNION ALL SELECT doc_id, seg_idx // 10, 'case', {_PLANNED}, seg_idx, seg_idx FROM seg WHERE seg_idx % 4 = 1 AND length(text) >= 60), nu AS (SELECT doc_id, seg_idx, row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx) AS n, count(*) OVER (PARTITION BY doc_id) AS size FROM seg),
+pk AS (SELECT doc_id, k, kind, ref, pos FROM ed UNION ALL SELECT se.doc_id, k, 'segment', seg_idx::VARCHAR, n FROM se JOIN nu ON nu.doc_id = se.doc_id AND (n < 40 OR n = size)
+UNION ALL SELECT se.doc_id, k, 'term', id, pos FROM se, (SELECT id, pos FROM g ORDER BY pos, id LIMIT 5) WHERE k % 3 = 0
+UNION ALL SELECT DISTINCT ed.doc_id, k, 'term', g.id, g.pos FROM ed JOIN seg ON seg.doc_id = ed.doc_id AND seg_idx = ed.at JOIN g ON {_match('g.source', 'text')} WHERE k % 3 <> 0)
+SELECT doc_id, 's' || k AS section_id, kind, row_number() OVER (PARTITION BY doc_id, k, kind ORDER BY pos, ref) AS n, ref FROM pk""")
+def section_packets(spark, d):
+    segs = _segments(spark, d)
+    placed = segs.withColumn("k", F.floor(F.col("seg_idx") / 10))
+    sections = placed.select("doc_id", "k").distinct().selectExpr("doc_id", "'s' || k AS section_id", f"{_TITLE} AS title", "'' AS purpose")
+    claims = placed.filter("seg_idx % 2 = 0").selectExpr("doc_id", "'s' || k AS section_id", "'claim' AS kind", f"{_CLAIM} AS ref", "seg_idx AS pos", "CAST(NULL AS INT) AS seg_idx")
+    planned = placed.filter("seg_idx % 4 = 1").selectExpr("doc_id", "'s' || k AS section_id", "'case' AS kind", f"{_PLANNED} AS ref", "seg_idx AS pos", "seg_idx")
+    # six of nine claims are known; short cases aren't allowed
+    known = spark.range(9).selectExpr("'claim' AS kind", "'claim-' || id AS ref", "id < 6 AS allowed").unionByName(segs.selectExpr("'case' AS kind", f"{_PLANNED} AS ref", "length(text) >= 60 AS allowed"))
+    glossary = derived.glossary(spark)
+    injected = term_matches_in(segs, glossary.select("id", "source"), keep=["doc_id", "seg_idx"]).select("doc_id", "seg_idx", "id")
+    return packets.section_packets(sections, claims.unionByName(planned), known, segs, glossary.select("id", "pos"), injected, terms=5)

@@ -20,6 +20,7 @@ MARKERS = {
     "term": r"<!--term:([A-Za-z0-9_.:-]+)-->", "human": r"<!--human-ev:([A-Za-z0-9_.:-]+)-->", "source": r"\[@([A-Za-z0-9_.:-]+)\]", "case": r"(seg-[A-Za-z0-9_-]+-\d{4,})", "synthetic": r"(SC-\d{4,})",
 }
 AUTHOR_YEAR = r"[A-Z][A-Za-z'’-]+(?:\s+(?:&|and)\s+[A-Z][A-Za-z'’-]+)?\s*\((?:19|20)\d{2}[a-z]?\)|\([A-Z][A-Za-z'’-]+(?:\s+et\s+al\.)?,\s*(?:19|20)\d{2}[a-z]?\)"
+THREE_CASES = r"(?i)(?<!第)(?:三个|3\s*个|三则|three)\s*(?:真实|核心|修订|translation\s+revision\s+)*案例"
 _HIDDEN = r"(?s)<!--.*?-->"
 _NAMES = {"claim": "claim", "case": "case", "rq": "research_question", "lit_claim": "literature_claim", "lit_evidence": "literature_evidence"}
 
@@ -139,15 +140,16 @@ def conclusion_violations(sections: DataFrame) -> DataFrame:
 
 
 def case_policy_violations(cases: DataFrame, recorded: DataFrame, reports: DataFrame, *, preferred: int = 3, minimum: int = 2) -> DataFrame:
-    """cases(doc_id, case_id, eligible), recorded(doc_id, status) and reports(doc_id, body): does the number of cases fit what is recorded and said?"""
+    """cases(doc_id, case_id, known, eligible), recorded(doc_id, status) and reports(doc_id, body): does the number of cases fit what is recorded and said, and are they known and real revisions? A report
+    to which the policy doesn't apply says so, and its number of cases is then free."""
     n = cases.groupBy("doc_id").agg(F.count("*").alias("n"))
     expected = F.when(F.col("n") >= preferred, "sufficient_revision_cases").when(F.col("n") >= minimum, "two_case_fallback").otherwise("insufficient_revision_cases")
-    state = recorded.join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("expected", expected).join(reports, "doc_id")
+    state = recorded.filter("status <> 'not_applicable'").join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("expected", expected).join(reports, "doc_id")
     two = state.filter("expected = 'two_case_fallback'")
     return _all(
         _rule(state.filter("expected <> status").withColumn("ref", F.col("expected")), "case_count_status_mismatch"), _rule(state.filter("expected = 'insufficient_revision_cases'"), "insufficient_core_revision_cases"),
-        _rule(two.filter(~F.contains("body", F.lit("<!--case-count-policy:two_case_fallback-->"))), "missing_revision_evidence_scarcity_disclosure"), _rule(two.filter(F.col("body").rlike(r"(?i)three\s*(?:translation\s+revision\s+)*cases")), "wrong_core_case_count_claim"),
-        _rule(cases.filter("NOT eligible").withColumn("ref", F.col("case_id")), "non_revision_case_used_as_revision_analysis"),
+        _rule(two.filter(~F.contains("body", F.lit("<!--case-count-policy:two_case_fallback-->"))), "missing_revision_evidence_scarcity_disclosure"), _rule(two.filter(F.col("body").rlike(THREE_CASES)), "wrong_core_case_count_claim"),
+        _rule(cases.filter("NOT known").withColumn("ref", F.col("case_id")), "invalid_selected_case"), _rule(cases.filter("known AND NOT eligible").withColumn("ref", F.col("case_id")), "non_revision_case_used_as_revision_analysis"),
     )
 
 

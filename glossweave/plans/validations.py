@@ -106,19 +106,20 @@ def conclusion_violations(spark, d):
     return rules.conclusion_violations(_sections(spark, d))
 
 
-_STATUS = "CASE doc_id % 4 WHEN 0 THEN 'sufficient_revision_cases' WHEN 1 THEN 'two_case_fallback' ELSE 'insufficient_revision_cases' END"
-_SAID = "CASE WHEN doc_id % 5 < 2 THEN '<!--case-count-policy:two_case_fallback--> ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'These three cases show. ' ELSE '' END || text"
+_STATUS = "CASE WHEN doc_id % 29 = 5 THEN 'not_applicable' WHEN doc_id % 4 = 0 THEN 'sufficient_revision_cases' WHEN doc_id % 4 = 1 THEN 'two_case_fallback' ELSE 'insufficient_revision_cases' END"
+_SAID = "CASE WHEN doc_id % 5 < 2 THEN '<!--case-count-policy:two_case_fallback--> ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '三个 核心案例表明。' WHEN doc_id % 3 = 1 THEN '第三个案例表明。' ELSE '' END || text"
 
 
-@query(f"""WITH {_SEG}, cs AS (SELECT doc_id, 'case' || seg_idx AS case_id, (doc_id + seg_idx) % 6 <> 0 AS eligible FROM seg WHERE length(text) >= 180), rp AS (SELECT doc_id, {_STATUS} AS status, {_SAID} AS body FROM documents),
+@query(f"""WITH {_SEG}, cs AS (SELECT doc_id, 'case' || seg_idx AS case_id, (doc_id + seg_idx) % 13 <> 7 AS known, (doc_id + seg_idx) % 6 <> 0 AS eligible FROM seg WHERE length(text) >= 180), rp AS (SELECT doc_id, {_STATUS} AS status, {_SAID} AS body FROM documents),
 n AS (SELECT rp.doc_id, status, body, count(case_id) AS n FROM rp LEFT JOIN cs USING (doc_id) GROUP BY ALL), e AS (SELECT *, CASE WHEN n >= 3 THEN 'sufficient_revision_cases' WHEN n >= 2 THEN 'two_case_fallback' ELSE 'insufficient_revision_cases' END AS expected FROM n)
-SELECT 'case_count_status_mismatch' AS type, 'error' AS severity, doc_id, NULL::INT AS seg_idx, expected AS ref FROM e WHERE expected <> status
-UNION ALL SELECT 'insufficient_core_revision_cases', 'error', doc_id, NULL, NULL FROM e WHERE expected = 'insufficient_revision_cases'
-UNION ALL SELECT 'missing_revision_evidence_scarcity_disclosure', 'error', doc_id, NULL, NULL FROM e WHERE expected = 'two_case_fallback' AND NOT contains(body, '<!--case-count-policy:two_case_fallback-->')
-UNION ALL SELECT 'wrong_core_case_count_claim', 'error', doc_id, NULL, NULL FROM e WHERE expected = 'two_case_fallback' AND regexp_matches(body, '(?i)three\\s*(?:translation\\s+revision\\s+)*cases')
-UNION ALL SELECT 'non_revision_case_used_as_revision_analysis', 'error', doc_id, NULL, case_id FROM cs WHERE NOT eligible""")
+SELECT 'case_count_status_mismatch' AS type, 'error' AS severity, doc_id, NULL::INT AS seg_idx, expected AS ref FROM e WHERE expected <> status AND status <> 'not_applicable'
+UNION ALL SELECT 'insufficient_core_revision_cases', 'error', doc_id, NULL, NULL FROM e WHERE expected = 'insufficient_revision_cases' AND status <> 'not_applicable'
+UNION ALL SELECT 'missing_revision_evidence_scarcity_disclosure', 'error', doc_id, NULL, NULL FROM e WHERE status <> 'not_applicable' AND expected = 'two_case_fallback' AND NOT contains(body, '<!--case-count-policy:two_case_fallback-->')
+UNION ALL SELECT 'wrong_core_case_count_claim', 'error', doc_id, NULL, NULL FROM e WHERE status <> 'not_applicable' AND expected = 'two_case_fallback' AND regexp_matches(body, '(?i)(^|[^第])(?:三个|3\\s*个|三则|three)\\s*(?:真实|核心|修订|translation\\s+revision\\s+)*案例')
+UNION ALL SELECT 'invalid_selected_case', 'error', doc_id, NULL, case_id FROM cs WHERE NOT known
+UNION ALL SELECT 'non_revision_case_used_as_revision_analysis', 'error', doc_id, NULL, case_id FROM cs WHERE known AND NOT eligible""")
 def case_policy_violations(spark, d):
-    cases = _segments(spark, d).filter(F.length("text") >= 180).select("doc_id", F.concat(F.lit("case"), "seg_idx").alias("case_id"), ((F.col("doc_id") + F.col("seg_idx")) % 6 != 0).alias("eligible"))
+    cases = _segments(spark, d).filter(F.length("text") >= 180).select("doc_id", F.concat(F.lit("case"), "seg_idx").alias("case_id"), ((F.col("doc_id") + F.col("seg_idx")) % 13 != 7).alias("known"), ((F.col("doc_id") + F.col("seg_idx")) % 6 != 0).alias("eligible"))
     docs = _docs(spark, d)
     return rules.case_policy_violations(cases, docs.selectExpr("doc_id", f"{_STATUS} AS status"), docs.selectExpr("doc_id", f"{_SAID} AS body"))
 

@@ -78,6 +78,16 @@ def zone(position: str, *keys: str) -> Column:
     return F.when(at < 1 / 3, ZONES[0]).when(at < 2 / 3, ZONES[1]).otherwise(ZONES[2])
 
 
+def distributions(records: DataFrame, findings: DataFrame) -> DataFrame:
+    """(conv_id, distribution, category, n) of each job: open findings by type, repairs by what was done and by revisions, and segments by zone."""
+    n = F.count("*").alias("n")
+    part = lambda df, name, category: df.groupBy("conv_id", F.lit(name).alias("distribution"), category.alias("category")).agg(n)
+    open_, acted = part(findings.filter("NOT resolved"), "issue", F.col("type")), part(findings, "repair", F.coalesce("action", F.lit("none")))
+    changed = part(records.filter("revised"), "repair", F.lit("initial_final_changed"))
+    placed = part(records.withColumn("zone", zone("seg_idx", "conv_id")), "coverage", F.col("zone"))
+    return open_.unionByName(acted).unionByName(changed).unionByName(placed)
+
+
 def mine(scored: DataFrame, *, most: int = 80) -> DataFrame:
     """Per job, of its real revisions: the best three of each zone, then the best of the rest with a score above 0, ``most`` in all."""
     per_zone = min(3, max(1, most // 3))

@@ -159,6 +159,47 @@ def unused_evidence(cases: DataFrame, sections: DataFrame) -> DataFrame:
     return own.withColumn("unused", F.when(F.col("used"), F.array().cast("array<string>")).otherwise(worth)).withColumn("high_value_unused", F.size("unused") > 0)
 
 
+def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: DataFrame, cases: DataFrame, utilisation: DataFrame, trace: DataFrame, repeated: DataFrame, assertions: DataFrame, *, literature: bool) -> DataFrame:
+    """Findings that the diagnostics of reports give, (doc_id, type, dimension, severity, priority, section_id, claim_id, case_id, repair_action, evidence, pos).
+
+    matrix as of ``question_matrix``; plan(doc_id, seg_idx, kind, ref); claims(doc_id, claim_id) of all reports; sections(doc_id, seg_idx, body); cases(doc_id, case_id, class, synthetic, revision); and what
+    ``unused_evidence``, ``untraced``, ``repeats`` and ``unsupported`` give. Without ``literature`` a theory's name is a finding too. ``pos`` tells findings of one kind apart."""
+    c = F.col
+    section = F.concat(F.lit("s"), "seg_idx")
+
+    def rule(df: DataFrame, kind: str | Column, dimension: str | Column, severity: str | Column, priority: str | Column, *, section_id: Column | None = None, claim_id: str | None = None, case_id: str | None = None, action: str = "rewrite", evidence: Column | None = None) -> DataFrame:
+        col = lambda x: x if isinstance(x, Column) else F.lit(x)
+        text = lambda x: F.lit(None).cast("string") if x is None else (x if isinstance(x, Column) else c(x)).cast("string")
+        out = df.select("doc_id", col(kind).alias("type"), col(dimension).alias("dimension"), col(severity).alias("severity"), col(priority).alias("priority"), text(section_id).alias("section_id"), text(claim_id).alias("claim_id"), text(case_id).alias("case_id"), F.lit(action).alias("repair_action"), text(evidence).alias("evidence"))
+        return out.withColumn("pos", F.concat_ws("|", "type", "section_id", "claim_id", "case_id", "evidence"))
+
+    placed = plan.filter("kind = 'claim'").select("doc_id", c("ref").alias("claim_id")).distinct()
+    asked = plan.filter("kind = 'rq'").select(*KEY).distinct()
+    of_case = (
+        F.when(c("synthetic") & (c("class") == "weak_case"), "ineligible_synthetic_case_used").when(~c("synthetic") & ~c("revision"), "non_revision_case_used_as_revision_analysis")
+        .when(c("class").isin("weak_case", "redundant_case", "misaligned_case"), c("class"))
+    )
+    bad = cases.withColumn("kind", of_case).filter("kind IS NOT NULL")
+    kind = c("kind")
+    grave = kind.isin("ineligible_synthetic_case_used", "non_revision_case_used_as_revision_analysis")
+    asserted = F.when(c("type") == "case_to_general_rule_overreach", "conclusion_discipline").otherwise("analysis_depth")
+    again = F.when(c("type") == "duplicate_case_analysis", "medium").otherwise("low")
+    ref = lambda t: F.when(c("type") == t, c("ref"))
+    theories = sections.select(*KEY, F.explode(F.regexp_extract_all("body", F.lit(f"({THEORY})"), F.lit(1))).alias("hit"))
+    return reduce(
+        DataFrame.unionByName,
+        (
+            rule(matrix.filter(~c("answered")), "research_question_unanswered", "research_alignment", "high", "P1", claim_id="rq"), rule(claims.join(placed, ["doc_id", "claim_id"], "left_anti"), "orphan_claim", "research_alignment", "medium", "P1", claim_id="claim_id"),
+            rule(sections.join(asked, KEY, "left_anti"), "section_without_research_question", "research_alignment", "low", "P3", section_id=section),
+            rule(bad, kind, F.when(kind == "redundant_case", "redundancy").otherwise("case_quality"), F.when(grave, "critical").when(kind == "misaligned_case", "high").otherwise("medium"), F.when(grave | (kind == "misaligned_case"), "P1").otherwise("P2"), case_id="case_id", action="replace_case"),
+            rule(utilisation.filter("high_value_unused"), "high_value_evidence_unused", "evidence_utilization", "medium", "P2", case_id="ref"), rule(trace, "conclusion_without_trace", "conclusion_discipline", "low", "P3", section_id=section, evidence=c("sentence")),
+            rule(repeated, c("type"), "cross_section_coherence", again, "P2", claim_id=ref("duplicate_claim"), case_id=ref("duplicate_case_analysis"), evidence=ref("duplicate_paragraph")),
+            rule(assertions, c("type"), asserted, F.when(c("type") == "unsupported_process_claim", "high").otherwise("medium"), F.when(c("type") == "unsupported_quality_effect", "P2").otherwise("P1"), section_id=section, evidence=c("hit")),
+            rule(theories.limit(0) if literature else theories, "theory_name_dropping", "theory_case_fit", "medium", "P1", section_id=section, evidence=c("hit")),
+        ),
+    )
+
+
 def prioritized(findings: DataFrame, *, prefix: str = "AQ") -> DataFrame:
     """Per report, numbered in the order of priority, severity, section and case; unknown values come last."""
     place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)), F.lit(len(names)))

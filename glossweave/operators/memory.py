@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.text import memory_eligible, term_matches
+from glossweave.functions.text import incomplete, memory_eligible, term_matches
 from glossweave.operators.matching import term_matches_in
 
 
@@ -45,6 +45,36 @@ def compatibility(rows: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys).join(worst, list(keys), "left").select(*keys, names.alias("class"), F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
+def audit_statistics(rows: DataFrame) -> DataFrame:
+    """rows(class, terms), terms being the sources met, joined by " | ": rows, those of each class, those that any term affects, and the incompatible share of these."""
+    n = lambda name: F.count_if(F.col("class") == name).alias(name)
+    affected = F.count_if(F.col("class") != "unaffected")
+    counts = [n(x) for x in ("unaffected", "compatible", "incompatible", "ambiguous", "scope_sensitive")]
+    return rows.agg(F.count("*").alias("total"), affected.alias("affected"), *counts, F.round(F.count_if(F.col("class") == "incompatible") / F.greatest(affected, F.lit(1)), 4).alias("incompatible_rate"))
+
+
+def conflicting_terms(rows: DataFrame, *, most: int = 20) -> DataFrame:
+    """Of rows(class, matched, pos), matched being an array of sources: the terms that most incompatible rows hold, those met first before others of as many, and how many rows of any class name each in their sources joined by " | ", inside others too."""
+    hit = rows.filter("class = 'incompatible'").select("pos", F.posexplode("matched").alias("k", "term")).filter("term <> ''")
+    top = hit.groupBy("term").agg(F.count("*").alias("incompatible"), F.min(F.struct("pos", "k")).alias("first")).orderBy(F.desc("incompatible"), "first").limit(most).select("term", "incompatible").collect()
+    if not top:
+        return rows.sparkSession.createDataFrame([], "term string, incompatible long, mentioning long")
+    # one pass over all rows for the terms of the report
+    joined = F.array_join("matched", " | ")
+    each = rows.agg(*[F.count_if(F.contains(joined, F.lit(r["term"]))).alias(f"m{k}") for k, r in enumerate(top)])
+    listed = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["incompatible"]).cast("long").alias("incompatible"), F.col(f"m{k}").alias("mentioning")) for k, r in enumerate(top)])
+    return each.select(F.inline(listed))
+
+
+def health(memory: DataFrame) -> DataFrame:
+    """Of a memory (source, target, reviewed): its rows, those that may be trusted (reviewed, and fit to be kept), those of them that look incomplete, and whether it can be used."""
+    trusted = memory.filter(F.coalesce("reviewed", F.lit(False)) & memory_eligible(F.col("source"), F.col("target")))
+    cut = F.count_if(incomplete(F.col("source"), F.col("target")))
+    raw = memory.agg(F.count("*").alias("raw_entries"))
+    own = trusted.agg(F.count("*").alias("trusted"), cut.alias("incomplete_in_trusted"), (cut == 0).alias("usable"))
+    return raw.withColumn("one", F.lit(1)).join(own.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def to_sections(segments: DataFrame, sections: DataFrame) -> DataFrame:
     """The first section, by its start, that holds each segment. Sections are an interval table of the same document."""
     met = segments.select("doc_id", "seg_idx").alias("g").join(sections.alias("s"), F.expr("g.doc_id = s.doc_id AND s.start_segment <= g.seg_idx AND g.seg_idx <= s.end_segment"), "left")

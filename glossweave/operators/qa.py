@@ -94,9 +94,16 @@ def deltas(per_arm: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
     return right.join(left, "metric", "left").select("metric", "left_value", "right_value", F.round(F.col("right_value") - F.col("left_value"), 4).alias("delta"))
 
 
-def adoption_pivot(adopted: DataFrame, arms: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    wide = adopted.groupBy("id").pivot("arm", list(arms)).agg(F.sum("occurrences").alias("occurrences"), F.sum("adopted").alias("adopted"))
-    return wide.na.fill(0)
+def adoption_pivot(adopted: DataFrame, terms: DataFrame, arms: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """A row for each term that any arm met, with what the glossary says of it, and each arm's occurrences, adopted ones and rate: 0, 0 and null without any.
+
+    adopted(arm, id, occurrences, adopted, rate), terms(id, source, preferred, behavior, pos). Of rows of one term the last in the glossary counts, and the first describes it."""
+    own = adopted.join(terms.select("id", F.col("source").alias("term"), "preferred", "behavior", "pos"), "id")
+    first = own.groupBy("term").agg(F.min_by("preferred", "pos").alias("preferred"), F.min_by("behavior", "pos").alias("behavior"))
+    last = lambda c: F.max_by(c, "pos")
+    wide = own.groupBy("term").pivot("arm", list(arms)).agg(last("occurrences").alias("occurrences"), last("adopted").alias("adopted"), last("rate").alias("rate"))
+    counts = [f"{a}_{c}" for a in arms for c in ("occurrences", "adopted")]
+    return first.join(wide.na.fill(0, counts), "term")
 
 
 def delta_table(per_arm: DataFrame, pairs: tuple[tuple[str, str], ...] = (("A", "B"), ("A", "C"), ("B", "D"), ("A", "D"))) -> DataFrame:

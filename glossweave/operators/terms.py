@@ -44,7 +44,7 @@ def usage_conflicts(pairs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def in_scope(scope: Column, segment: Column, section: Column) -> Column:
     value = F.split_part(scope, F.lit(":"), F.lit(2))
-    return F.when(scope.isin("", "global"), F.lit(True)).when(scope.startswith("section:"), value == section).when(scope.startswith("segment:"), value == segment.cast("string")).otherwise(F.lit(False))
+    return F.when(scope.isin("", "global", "document"), F.lit(True)).when(scope.startswith("section:"), value == section).when(scope.startswith("segment:"), value == segment.cast("string")).otherwise(F.lit(False))
 
 
 def select_for_batches(segments: DataFrame, terms: DataFrame, *, provisional_cap: int = 5, batch: int = 4) -> DataFrame:

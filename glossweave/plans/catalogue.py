@@ -110,7 +110,7 @@ def term_audit_rows(spark, d):
 
 
 @query(f"""WITH {_SEG}, {_G}, fit AS (SELECT DISTINCT doc_id, (seg_idx // 4)::INT AS batch, id, status, pos FROM seg JOIN g ON {_match('g.source', 'text')} WHERE status <> 'rejected' AND
-  CASE WHEN scope IN ('', 'global') THEN true WHEN scope LIKE 'section:%' THEN split_part(scope, ':', 2) = 's' || (seg_idx // 10) WHEN scope LIKE 'segment:%' THEN split_part(scope, ':', 2) = (seg_idx % 4)::VARCHAR ELSE false END),
+  CASE WHEN scope IN ('', 'global', 'document') THEN true WHEN scope LIKE 'section:%' THEN split_part(scope, ':', 2) = 's' || (seg_idx // 10) WHEN scope LIKE 'segment:%' THEN split_part(scope, ':', 2) = (seg_idx % 4)::VARCHAR ELSE false END),
   n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, batch, status ORDER BY pos) AS n FROM fit) SELECT doc_id, batch, id FROM n WHERE status <> 'provisional' OR n <= 5""")
 def glossary_selection(spark, d):
     return terms.select_for_batches(_segments(spark, d), derived.glossary(spark))
@@ -182,10 +182,12 @@ def arm_deltas(spark, d):
     return qa.deltas(qa.density(_findings(spark, d), _pairs(spark, d)))
 
 
-@query(f"""WITH {_PAIRS}, {_G}, {_HITS} SELECT id, coalesce(count(*) FILTER (WHERE arm = 'A'), 0)::BIGINT AS "A_occurrences", coalesce(sum(kept::INT) FILTER (WHERE arm = 'A'), 0)::BIGINT AS "A_adopted",
-coalesce(count(*) FILTER (WHERE arm = 'B'), 0)::BIGINT AS "B_occurrences", coalesce(sum(kept::INT) FILTER (WHERE arm = 'B'), 0)::BIGINT AS "B_adopted" FROM hits WHERE status = 'locked' GROUP BY id""")
+_ARM = lambda a: f"""coalesce(max(occurrences) FILTER (WHERE arm = '{a}'), 0)::BIGINT AS "{a}_occurrences", coalesce(max(adopted) FILTER (WHERE arm = '{a}'), 0)::BIGINT AS "{a}_adopted", max(rate) FILTER (WHERE arm = '{a}') AS "{a}_rate\""""
+
+
+@query(f"""WITH {_PAIRS}, {_G}, {_HITS}, ad AS (SELECT arm, id, {_ADOPTION} FROM hits WHERE status = 'locked' GROUP BY arm, id) SELECT g.source AS term, any_value(preferred) AS preferred, any_value(behavior) AS behavior, {_ARM('A')}, {_ARM('B')} FROM ad JOIN g USING (id) GROUP BY g.source""")
 def terms_pivot(spark, d):
-    return qa.adoption_pivot(terms.adoption(_pairs(spark, d), _named(spark), "arm"))
+    return qa.adoption_pivot(terms.adoption(_pairs(spark, d), _named(spark), "arm"), derived.glossary(spark))
 
 
 @query(rf"""SELECT doc_id, {_sentences('text')} AS n_sentences, len(list_distinct(regexp_extract_all(text, '(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)+'))) AS n_emails, length(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS clean_chars FROM documents""")

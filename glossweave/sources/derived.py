@@ -11,7 +11,7 @@ GLOSSARY_SCHEMA = "id string, source string, preferred string, forbidden array<s
 GLOSSARY = [
     ("t1", "le", "het", ["la", "les"], "translate", "locked", "global", 0), ("t2", "of", "van", ["is"], "translate", "locked", "", 1), ("t3", "ouen", "the", ["ing"], "translate", "locked", "section:s1", 2),
     ("t4", "the", "that", ["thing", "thor"], "translate", "locked", "global", 3), ("t5", "worthless", "worthless", [], "preserve", "locked", "global", 4), ("t6", "de", "de", [], "preserve", "locked", "segment:0", 5),
-    ("t7", "and", "und", ["et"], "translate", "provisional", "global", 6), ("t8", "OF", "von", [], "translate", "locked", "section:s0", 7), ("t9", "scum", "", [], "translate", "rejected", "global", 8),
+    ("t7", "and", "und", ["et"], "translate", "provisional", "document", 6), ("t8", "OF", "von", [], "translate", "locked", "section:s0", 7), ("t9", "scum", "", [], "translate", "rejected", "global", 8),
 ]
 
 

@@ -84,3 +84,51 @@ def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target) of translation memories, each an object from sources to {target, reviewed, ...}: what is reviewed and fit to be kept. A file that is no such object, and entries that aren't, give nothing."""
+    each = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("source", "entry"))
+    said = F.coalesce(F.get_json_object("entry", "$.reviewed"), F.lit(""))
+    own = each.filter(F.col("entry").startswith("{")).select("source", F.get_json_object("entry", "$.target").alias("target"), (~said.isin("", "false", "0", "null", "[]", "{}")).alias("reviewed"))
+    return own.filter(F.col("reviewed") & memory_eligible(F.col("source"), F.coalesce("target", F.lit("")))).select("source", "target")
+
+
+def read_glossary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Entries of glossaries, each file a list of them or an object with such a list, in their order (pos)."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    whole = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.entries"))
+    return text.select(F.posexplode(F.from_json(whole, f"array<struct<{schema}>>")).alias("pos", "e")).filter("e IS NOT NULL").select("pos", "e.*")
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """The sources of a corpus, a JSON object a line."""
+    return spark.read.schema("source string").json(path).filter("source IS NOT NULL")
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(arm, job, and the fields of ``schema``) of the runs below a folder, ``runs/<arm>/run_meta.json`` naming the job whose ``runs/<arm>/<job>/state.json`` counts; arms without either have no row."""
+    read = lambda tail: spark.read.text(f"{path}/runs/{tail}", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    part = lambda p: F.regexp_extract("file", p, 1)
+    metas = read("*/run_meta.json").select(part("/runs/([^/]+)/run_meta").alias("arm"), F.get_json_object("value", "$.job_id").alias("job"))
+    states = read("*/*/state.json").select(part("/runs/([^/]+)/").alias("arm"), part("/runs/[^/]+/([^/]+)/state").alias("job"), F.from_json("value", schema).alias("state"))
+    return metas.join(states, ["arm", "job"]).select("arm", "job", "state.*")
+
+
+def write_csv(rows: DataFrame, path: str, *, columns: list[str] | None = None) -> None:
+    """Rows as CSV with a header, the named columns in their order; a column that the rows lack is empty."""
+    own = rows.columns
+    rows.select(*(F.col(c) if c in own else F.lit(None).cast("string").alias(c) for c in columns or own)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+#: What a reviewer fills in.
+MARKS = [f"candidate_{side}_{kind}" for side in "ab" for kind in ("terminology_error", "fidelity_error", "fluency_error", "omission")] + ["overall_preference", "reviewer_note"]
+
+
+def write_packet(packet: DataFrame, path: str, *keys: str) -> None:
+    """A packet of ``sampling.blind_packet`` as two CSVs apart: what reviewers see, with empty columns for their marks, and the key that tells the arms."""
+    shown = packet.withColumn("identical", F.col("identical").cast("int"))
+    write_csv(shown.orderBy("packet_id"), f"{path}/packet", columns=["packet_id", "category", *keys, "source", "candidate_a", "candidate_b", *MARKS, "identical"])
+    other = F.when(F.col("left") == "A", "B").otherwise("A")
+    key = packet.select("packet_id", *keys, "category", F.col("left").alias("candidate_a_is_arm"), other.alias("candidate_b_is_arm"))
+    write_csv(key.orderBy("packet_id"), f"{path}/key")

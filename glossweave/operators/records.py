@@ -42,15 +42,64 @@ def section_profiles(rows: DataFrame) -> DataFrame:
     return own.withColumn("section_id", F.when(_clean(F.col("section_id")) == "", F.concat(F.lit("section-"), F.col("pos") + 1)).otherwise(_clean(F.col("section_id"))))
 
 
-def entry_errors(entries: DataFrame) -> DataFrame:
-    """(entry_id, error) for each rule that a glossary entry breaks."""
+PROFILE = ("domain", "subdomain", "genre", "audience", "register", "style_constraints")
+_RANGE = "array<struct<section_id:string,start_segment:int,end_segment:int,topic:string,domain:string>>"
+
+
+def document_profiles(rows: DataFrame) -> DataFrame:
+    """Profiles of documents (the fields of ``PROFILE``, confidence as text, sections as structs of section_id, start_segment and end_segment as text, topic and domain) made sound: blanks for what is missing, a confidence of 0 for what is no
+    number, and of the sections those that are ranges, with a name by their place if they have none."""
+    number = lambda x: F.try_to_number(x, F.lit("S999999999")).cast("int")
+    numbered = F.transform("sections", lambda x, i: F.struct(x["section_id"].alias("section_id"), number(x["start_segment"]).alias("a"), number(x["end_segment"]).alias("z"), x["topic"].alias("topic"), x["domain"].alias("domain"), i.alias("i")))
+    ranges = F.filter(numbered, lambda x: F.coalesce((x["a"] >= 0) & (x["z"] >= x["a"]), F.lit(False)))
+    named = lambda x: F.when(_clean(x["section_id"]) == "", F.concat(F.lit("section-"), x["i"] + 1)).otherwise(_clean(x["section_id"]))
+    kept = F.transform(ranges, lambda x: F.struct(named(x).alias("section_id"), x["a"].alias("start_segment"), x["z"].alias("end_segment"), _clean(x["topic"]).alias("topic"), _clean(x["domain"]).alias("domain")))
+    own = rows.withColumns({c: _clean(F.col(c)) for c in PROFILE})
+    return own.withColumn("confidence", F.coalesce(F.expr("try_cast(trim(confidence) AS DOUBLE)"), F.lit(0.0))).withColumn("sections", F.coalesce(kept, F.array().cast(_RANGE)))
+
+
+def _errors(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(on, name) for name, on in rules.items()]))).alias("error"))
+
+
+def profile_errors(profiles: DataFrame, key: str, *, least: float = 0.2) -> DataFrame:
+    """(key, error) of ``document_profiles``: no domain, little confidence, and a row for each section that says neither topic nor domain."""
+    bare = profiles.select(key, F.explode("sections").alias("x")).filter("x.topic = '' AND x.domain = ''").select(key, F.concat(F.lit("bare_section:"), "x.section_id").alias("error"))
+    return _errors(profiles, key, {"missing_domain": F.col("domain") == "", "low_confidence": F.col("confidence") < least}).unionByName(bare)
+
+
+def evidence_errors(rows: DataFrame, key: str) -> DataFrame:
+    """(key, error) of evidence of terms: unknown types, a model's knowledge with an address, external evidence without one, and local evidence that names no source."""
+    c = F.col
+    said = lambda x: F.coalesce(c(x), F.lit("")) != ""
+    kind = F.coalesce(c("evidence_type"), F.lit(""))
+    return _errors(rows, key, {"unknown_type": ~kind.isin(*EVIDENCE_TYPES), "model_with_url": (kind == "model_knowledge") & said("url"), "external_without_url": (kind == "external") & ~said("url"), "missing_source_name": kind.isin("user", "local_termbase", "project_override") & ~said("source_name")})
+
+
+def frozen_errors(frozen: DataFrame, entries: DataFrame) -> DataFrame:
+    """(version, error) of frozen glossaries (version, glossary_hash, frozen_at) against their entries (version, entry_id, source, preferred, behavior, status): none, a hash that isn't theirs, no time, and what is wrong with an entry."""
+    own = entries.groupBy("version").agg(entries_hash().alias("expected"), F.count("*").alias("n"))
+    met = frozen.join(own, "version", "left")
+    rules = {"empty": F.col("n").isNull(), "hash_mismatch": ~F.col("glossary_hash").eqNullSafe(F.coalesce("expected", F.sha2(F.lit(""), 256))), "missing_time": F.coalesce("frozen_at", F.lit("")) == ""}
+    broken = entry_errors(entries, "version", "entry_id").select("version", F.concat_ws(":", "error", "entry_id").alias("error"))
+    return _errors(met, "version", rules).unionByName(broken.join(frozen.select("version"), "version", "left_semi"))
+
+
+def entries_hash() -> Column:
+    """One hash of a group's entries in any order."""
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("source", "preferred", "behavior", "status"))), 256)
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256)
+
+
+def entry_errors(entries: DataFrame, *keys: str) -> DataFrame:
+    """(keys, error) for each rule that a glossary entry breaks; keyed by entry_id if nothing else is said."""
     c = F.col
     none = lambda x: F.coalesce(c(x), F.lit("")) == ""
     rules = {
         "missing_source": none("source"), "unknown_behavior": ~F.coalesce(c("behavior"), F.lit("")).isin(*BEHAVIORS), "unknown_status": ~F.coalesce(c("status"), F.lit("")).isin(*STATUSES),
         "translate_without_preferred": (c("behavior") == "translate") & none("preferred"), "locked_without_preferred": (c("status") == "locked") & none("preferred"),
     }
-    return entries.select("entry_id", F.explode(F.array_compact(F.array(*[F.when(on, name) for name, on in rules.items()]))).alias("error"))
+    return entries.select(*(keys or ("entry_id",)), F.explode(F.array_compact(F.array(*[F.when(on, name) for name, on in rules.items()]))).alias("error"))
 
 
 def review_findings(rows: DataFrame, segments: DataFrame, evidence_ids: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # Types, not DDL strings: executors import this module, where no session parses one.
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _DELTA = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("op", "old", "new")]))
+#: From so much on, the end of a text is taken for the next one. Fixed value.
+ALIKE = 0.75
 _ALIKE = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-"})
 
 
@@ -44,13 +46,16 @@ def bare(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def tail_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How alike the end of a text is to the whole of the next, matched block by block; null if the next has under 60 characters or is longer."""
+    """How alike the end of a text is to the whole of the next, matched block by block; null if the next has under 60 characters or is longer. Where even the characters that both have
+    make less than ``ALIKE``, that bound is given, and blocks aren't matched."""
 
     def one(x: str | None, y: str | None) -> float | None:
         m, n = normalised(x), normalised(y)
         if len(n) < 60 or len(m) < len(n):
             return None
-        return difflib.SequenceMatcher(None, m[-len(n) :], n, autojunk=False).ratio()
+        found = difflib.SequenceMatcher(None, m[-len(n) :], n, autojunk=False)
+        bound = found.quick_ratio()
+        return bound if bound < ALIKE else found.ratio()
 
     return pd.Series(list(map(one, a, b)), dtype="Float64")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.python import bare, meaningful_revision, tail_similarity
+from glossweave.functions.python import ALIKE, bare, meaningful_revision, tail_similarity
 from glossweave.operators.matching import with_term_count
 
 KEY = ["conv_id", "seg_idx"]
@@ -38,7 +38,7 @@ def integrity_flags(records: DataFrame) -> DataFrame:
     near = F.coalesce(F.contains(F.lag("__final").over(w), "__initial"), F.lit(False)) | F.coalesce(F.contains(F.lead("__final").over(w), "__initial"), F.lit(False))
     own = own.withColumn("__near", near).withColumn("__next", F.lead("target").over(w))
     first = F.when(F.col("revised") & (F.length("__initial") >= 8) & F.col("__near"), "probable_adjacent_initial_target_overlap")
-    second = F.when(F.col("revised") & (tail_similarity("target", F.coalesce("__next", F.lit(""))) >= 0.75), "probable_adjacent_target_overlap")
+    second = F.when(F.col("revised") & (tail_similarity(F.when(F.col("revised"), F.col("target")), F.when(F.col("revised"), F.col("__next"))) >= ALIKE), "probable_adjacent_target_overlap")
     return own.withColumn("flags", F.array_compact(F.array(second, first))).drop("__initial", "__final", "__near", "__next")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.operators.cases import beside
+from glossweave.operators.numbering import kept
 
 KEY = ["doc_id", "seg_idx"]
 # How a body marks what it refers to.
@@ -41,9 +42,8 @@ def _all(*rules: DataFrame) -> DataFrame:
 
 
 def outline_violations(sections: DataFrame, plan: DataFrame, known: DataFrame, evidence_sources: DataFrame) -> DataFrame:
-    """What is planned but not registered, planned but not in the body, and in the body but not planned."""
-    used = references(sections)
-    edges = plan.distinct()
+    """What is planned but not registered, planned but not in the body, and in the body but not planned. Bodies are read once: what they refer to is kept as edges."""
+    used, edges = kept(references(sections)), kept(plan.distinct())
     own = edges.filter(F.col("kind") != "source")
     name = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])[F.col("kind")]
     registered = own.join(known, ["kind", "ref"], "left_semi")
@@ -63,9 +63,10 @@ def outline_violations(sections: DataFrame, plan: DataFrame, known: DataFrame, e
 
 def marker_violations(sections: DataFrame, known: DataFrame, sources: DataFrame) -> DataFrame:
     """Markers, citations and terms of a report that no registry has, and citations that say otherwise than the registry."""
-    used = references(sections).select("doc_id", "seg_idx", "kind", "ref")
-    once = used.select("doc_id", "kind", "ref").distinct()
-    lost = once.join(known, ["kind", "ref"], "left_anti")
+    once = kept(references(sections).select("doc_id", "kind", "ref").distinct())
+    unknown = {"lit_claim": "unknown_literature_claim_marker", "lit_evidence": "unknown_literature_evidence_marker", "term": "unknown_terminology_decision"}
+    lost = once.filter(F.col("kind").isin(*unknown)).join(known, ["kind", "ref"], "left_anti")
+    lost_name = F.create_map(*[F.lit(x) for kv in unknown.items() for x in kv])[F.col("kind")]
     cited = once.filter("kind = 'source'").join(sources, F.col("ref") == F.col("source_id"), "left")
     visible = F.regexp_replace("body", r"\[@[^\]]+\]|" + _HIDDEN, "")
     lines = sections.select(*KEY, F.explode(F.split("body", "\n")).alias("body")).withColumn("visible", visible)
@@ -74,10 +75,12 @@ def marker_violations(sections: DataFrame, known: DataFrame, sources: DataFrame)
     names = F.split(F.lower("author"), r"\s+")
     named = F.contains(F.lower("visible"), names[0]) | F.contains(F.lower("visible"), F.element_at(names, -1))
     formal = lines.filter(~F.contains("body", F.lit("[@"))).select(*KEY, F.explode(F.regexp_extract_all("body", F.lit(AUTHOR_YEAR), F.lit(0))).alias("ref"))
+    bad_source = F.when(F.col("source_id").isNull(), "unknown_literature_citation").when(~F.col("citable"), "uncitable_literature_source")
+    other_year = (F.size(years) > 0) & ~F.array_contains(years, F.col("year").cast("string"))
+    other_name = F.col("visible").rlike(AUTHOR_YEAR) & ~named
+    differs = at.select(*KEY, "ref", F.explode(F.array_compact(F.array(F.when(other_year, "year"), F.when(other_name, "name")))).alias("how"))
     return _all(
-        _rule(lost.filter("kind = 'lit_claim'"), "unknown_literature_claim_marker"), _rule(lost.filter("kind = 'lit_evidence'"), "unknown_literature_evidence_marker"), _rule(lost.filter("kind = 'term'"), "unknown_terminology_decision"),
-        _rule(cited.filter("source_id IS NULL"), "unknown_literature_citation"), _rule(cited.filter("NOT citable"), "uncitable_literature_source"),
-        _rule(at.filter((F.size(years) > 0) & ~F.array_contains(years, F.col("year").cast("string"))), "citation_metadata_mismatch"), _rule(at.filter(F.col("visible").rlike(AUTHOR_YEAR) & ~named), "citation_metadata_mismatch"),
+        _rule(lost, lost_name), _rule(cited.withColumn("type", bad_source).filter("type IS NOT NULL"), F.col("type")), _rule(differs, "citation_metadata_mismatch"),
         _rule(formal, "unregistered_formal_citation"), _rule(sections.filter(F.contains("body", F.lit("{{TERM:"))).select("doc_id").distinct(), "unresolved_term_token"),
     )
 

@@ -399,7 +399,7 @@ def common_words(spark, d):
     return _common(_word_counts(spark, d))
 
 
-@query(f"WITH {_WORDS} SELECT word, n FROM w WHERE length(word) >= 4 AND n < 8 AND word NOT IN (SELECT word FROM com)")
+@query(f"WITH {_WORDS} SELECT word, n FROM w ANTI JOIN com USING (word) WHERE length(word) >= 4 AND n < 8")
 def rare_candidates(spark, d):
     counts = _word_counts(spark, d)
     return sequence.rare_candidates(counts, _common(counts))

@@ -69,3 +69,31 @@ def test_literature_and_records_on_empty_tables(spark):
     assert [r["unique_id"] for r in literature.unique_ids(names, "name", "pos").orderBy("pos").collect()] == ["a-b", "a-b-2", "reference", "reference-2"]
     lines = spark.createDataFrame([(1, "{"), (2, "[]"), (3, None)], "n int, line string")
     assert {tuple(r) for r in records.line_violations(lines, "n").collect()} == {(1, "invalid_json"), (2, "invalid_json"), (3, "invalid_json")}
+
+
+def test_revision_deltas_and_tolerant_spans_on_the_tables(spark, sf_dir):
+    """The two registered queries without SQL, against plain Python over the same tables."""
+    import difflib
+    import re
+
+    import __spark_entry__  # noqa: F401  it loads all that add to the catalogue
+    from glossweave.functions.python import revised
+    from glossweave.plans.catalogue import QUERIES, _pairs, _segments
+
+    got = {(r["conv_id"], r["seg_idx"]): (r["n_changes"], r["revised"], r["similarity"]) for r in QUERIES["revision_deltas"](spark, sf_dir).collect()}
+    for r in _pairs(spark, sf_dir).collect():
+        codes = difflib.SequenceMatcher(None, r["source"].split(), r["target"].split(), autojunk=False).get_opcodes()
+        n = sum(op != "equal" for op, *_ in codes)
+        near = difflib.SequenceMatcher(None, r["source"], r["target"], autojunk=False).ratio()
+        k = got.pop((r["conv_id"], r["seg_idx"]))
+        assert k[:2] == (n, revised(r["source"], r["target"])) and abs(k[2] - near) < 1e-4
+    assert not got
+    spans = {(r["doc_id"], r["seg_idx"]): (r["start"], r["end"]) for r in QUERIES["tolerant_spans"](spark, sf_dir).collect()}
+    for r in _segments(spark, sf_dir).collect():
+        needle = r["text"][2:17].replace(" ", "  ")
+        pattern = r"\s+".join(map(re.escape, needle.split()))
+        plain = r["text"].translate(str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "–": "-", "—": "-"}))
+        at = r["text"].find(needle) if needle.strip() else -1
+        found = (at, at + len(needle)) if at >= 0 else (m.span() if needle.strip() and (m := re.search(pattern, plain)) else (None, None))
+        assert spans.pop((r["doc_id"], r["seg_idx"])) == found
+    assert not spans

@@ -313,3 +313,26 @@ def test_large_group_whose_leader_is_not_alike_to_all(spark, monkeypatch):
     for nodes in (1024, 50):
         monkeypatch.setattr(near_texts, "BLOCK_NODES", nodes)
         assert {x["doc_id"] for x in keep_one_of_each(docs).collect()} == want
+
+
+def test_strangers_in_the_key_of_a_large_group(spark, monkeypatch):
+    """Every two nodes of different groups share a block, and a large group beside a few strangers is so many rows as it has nodes, and some."""
+    monkeypatch.setattr(near_texts, "BLOCK_NODES", 16)
+    r = np.random.default_rng(3)
+    rows = [(1, k, 1, 5) for k in range(300)] + [(1, 1000 + k, 1000 + k, 5) for k in range(5)]
+    rows += [(2, 2000 + k, int(g), 5) for k, g in enumerate(r.integers(0, 4, 80))]
+    df = spark.createDataFrame(rows, "gid long, rep long, group long, size int")
+    met = near_texts._across_groups(df, "gid").collect()
+    blocks = {}
+    for x in met:
+        blocks.setdefault((x["gid"], x["block"]), []).append(x)
+    seen = set()
+    for own in blocks.values():
+        assert len({x["own"] for x in own}) <= 2
+        for x in own:
+            for y in own:
+                if x["group"] < y["group"] and (x["own"] != y["own"] or len({z["own"] for z in own}) == 1):
+                    assert (x["rep"], y["rep"]) not in seen
+                    seen.add((x["rep"], y["rep"]))
+    assert seen == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2]}
+    assert sum(x["gid"] == 1 for x in met) <= 300 + 5 * (300 // 16 + 3)

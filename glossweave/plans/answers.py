@@ -13,7 +13,7 @@ _ASKED = {"tool": "CASE seg_idx % 5 WHEN 0 THEN 'segment' WHEN 1 THEN 'neighbors
 _REQUESTS = f"""a AS (SELECT doc_id, {", ".join(f"{x} AS {n}" for n, x in _ASKED.items())} FROM seg), o AS (SELECT doc_id, tool, arg, min(pos) AS pos FROM a WHERE tool <> 'shell' GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INT AS n FROM o QUALIFY n <= 5),
 p AS (SELECT r.doc_id, n, s.seg_idx, s.text AS part FROM r JOIN seg s ON s.doc_id = r.doc_id AND CASE tool WHEN 'segment' THEN s.seg_idx = try_cast(arg AS INT) WHEN 'neighbors' THEN abs(s.seg_idx - try_cast(arg AS INT)) <= 2 END
 UNION ALL SELECT r.doc_id, n, s.seg_idx, s.seg_idx::VARCHAR FROM r JOIN seg s ON s.doc_id = r.doc_id AND tool = 'term' AND contains(' ' || s.text || ' ', ' ' || arg || ' ')),
-f AS (SELECT *, sum(strlen(part) + 1) OVER (PARTITION BY doc_id, n ORDER BY seg_idx) <= 601 AS fits FROM p), g2 AS (SELECT doc_id, n, coalesce(string_agg(part, chr(10) ORDER BY seg_idx) FILTER (WHERE fits), '') AS answer, bool_or(NOT fits) AS cut FROM f GROUP BY doc_id, n)"""
+f AS (SELECT *, sum(strlen(part) + 1) OVER (PARTITION BY doc_id, n ORDER BY seg_idx) <= 24001 AS fits FROM p), g2 AS (SELECT doc_id, n, coalesce(string_agg(part, chr(10) ORDER BY seg_idx) FILTER (WHERE fits), '') AS answer, bool_or(NOT fits) AS cut FROM f GROUP BY doc_id, n)"""
 
 
 @query(f"WITH {_SEG}, {_REQUESTS} SELECT r.doc_id, r.n, tool, arg, md5(answer) AS answer_hash, coalesce(cut, false) AS cut FROM r LEFT JOIN g2 ON g2.doc_id = r.doc_id AND g2.n = r.n")
@@ -21,7 +21,7 @@ def evidence_requests(spark, d):
     segs = _segments(spark, d)
     asked = lookups.requests(segs.selectExpr("doc_id", *[f"{x} AS {n}" for n, x in _ASKED.items()]))
     held = segs.filter(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.lit(" de "))).select("doc_id", F.lit("de").alias("term"), "seg_idx")
-    return lookups.answer(asked, segs, held, octets=600).select("doc_id", "n", "tool", "arg", F.md5("answer").alias("answer_hash"), "cut")
+    return lookups.answer(asked, segs, held).select("doc_id", "n", "tool", "arg", F.md5("answer").alias("answer_hash"), "cut")
 
 
 @query(f"""WITH {_SEG}, p AS (SELECT doc_id AS case_id, CASE WHEN seg_idx % 2 = 0 THEN 'p' || seg_idx END AS problem, 'f' || seg_idx AS failure, 'r' || seg_idx AS rationale, seg_idx AS pos FROM seg WHERE doc_id % 3 <> 0),
@@ -41,7 +41,7 @@ UNION ALL SELECT 'literature_claim_hash_mismatch', 'c' || doc_id FROM documents
 def literature_hash_violations(spark, d):
     docs = _docs(spark, d)
     wrong = lambda n, x: F.when(F.col("doc_id") % n == 0, "stale").otherwise(x)
-    own = docs.select("doc_id", F.concat(F.lit("s"), "doc_id").alias("source_id"), F.concat(F.lit("e"), "doc_id").alias("evidence_id"), F.concat(F.lit("c"), "doc_id").alias("claim_id"), "text", F.substring("text", 1, 40).alias("line"))
+    own = docs.select("doc_id", F.concat(F.lit("s"), "doc_id").alias("source_id"), F.concat(F.lit("e"), "doc_id").alias("evidence_id"), F.concat(F.lit("c"), "doc_id").alias("claim_id"), "text", F.col("text").alias("line"))
     sources = own.select("source_id", "text", wrong(7, F.sha2("text", 256)).alias("content_hash"))
     evidence = own.select("evidence_id", "source_id", F.col("line").alias("text"), wrong(11, F.sha2("text", 256)).alias("source_hash"), wrong(13, F.sha2(F.concat_ws("|", "source_id", "line"), 256)).alias("content_hash"))
     claims = own.select("claim_id", F.lit("says").alias("statement"), "evidence_id", wrong(17, F.sha2(F.concat_ws("|", F.lit("says"), "evidence_id"), 256)).alias("content_hash"))

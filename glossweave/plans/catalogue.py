@@ -418,13 +418,13 @@ def repeated_texts(spark, d):
     return own.groupBy("text_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1")
 
 
-# Evidence: claims are documents with labels, evidence their first line, sources the documents' sources
+# Evidence: claims are documents with labels, evidence their texts, sources the documents' sources
 
 
 def _graph(spark, d):
     docs = _docs(spark, d).select("doc_id", "source", "text")
     blocks = docs.select(F.concat(F.lit("b"), "doc_id").alias("block_id"), F.col("source").alias("source_id"), "text")
-    line = F.element_at(F.split("text", "\n"), 1)
+    line = F.col("text")
     # every seventh row tells of another source, every eleventh has a changed hash, every thirteenth another text
     n = F.col("doc_id")
     held = F.when(n % 13 == 0, F.concat(line, F.lit("#"))).otherwise(line)
@@ -440,7 +440,7 @@ def _graph(spark, d):
 
 
 _GRAPH = r"""ev AS (SELECT 'e' || doc_id AS evidence_id, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE source END AS source_id, source AS block_source, text AS block_text, doc_id,
-CASE WHEN doc_id % 13 = 0 THEN string_split(text, chr(10))[1] || '#' ELSE string_split(text, chr(10))[1] END AS text FROM documents),
+CASE WHEN doc_id % 13 = 0 THEN text || '#' ELSE text END AS text FROM documents),
 cl AS (SELECT 'c' || l.doc_id AS claim_id, source AS source_id, CASE WHEN quality = 0 THEN []::VARCHAR[] ELSE ['e' || l.doc_id, 'e' || (l.doc_id + 1)] END AS ids FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 ci AS (SELECT claim_id, source_id AS claim_source, unnest(ids) AS evidence_id FROM cl),
 so AS (SELECT DISTINCT source AS source_id FROM documents WHERE source <> 'src3'),

@@ -39,7 +39,7 @@ def section_profiles(spark, d):
     return records.section_profiles(_of(_docs(spark, d), _SECTIONS)).select("pos", "section_id", "start_segment", "end_segment")
 
 
-_ENTRY = {"entry_id": "'t-' || doc_id", "source": "CASE WHEN doc_id % 6 = 0 THEN '' ELSE substring(text, 1, 4) END", "behavior": "CASE doc_id % 4 WHEN 0 THEN 'preserve' WHEN 1 THEN 'ignore' ELSE 'translate' END", "status": "CASE doc_id % 5 WHEN 0 THEN 'locked' WHEN 1 THEN NULL ELSE 'provisional' END", "preferred": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'x' END"}
+_ENTRY = {"entry_id": "'t-' || doc_id", "source": "CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END", "behavior": "CASE doc_id % 4 WHEN 0 THEN 'preserve' WHEN 1 THEN 'ignore' ELSE 'translate' END", "status": "CASE doc_id % 5 WHEN 0 THEN 'locked' WHEN 1 THEN NULL ELSE 'provisional' END", "preferred": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'x' END"}
 
 
 @query(f"""WITH e AS (SELECT {_sql(_ENTRY)} FROM documents) SELECT entry_id, 'missing_source' AS error FROM e WHERE source = '' UNION ALL SELECT entry_id, 'unknown_behavior' FROM e WHERE behavior = 'ignore' UNION ALL SELECT entry_id, 'unknown_status' FROM e WHERE status IS NULL
@@ -94,7 +94,7 @@ def findings_grid(spark, d):
     return records.grid(w, status="src1", conflict=True, contains="AN", column="term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-_MESSAGE = "CASE doc_id % 6 WHEN 0 THEN 'HTTP 429 for ' WHEN 1 THEN 'RESOURCE_EXHAUSTED ' WHEN 2 THEN 'a Rate Limit of ' ELSE '' END || substring(text, 1, 30)"
+_MESSAGE = "CASE doc_id % 6 WHEN 0 THEN 'HTTP 429 for ' WHEN 1 THEN 'RESOURCE_EXHAUSTED ' WHEN 2 THEN 'a Rate Limit of ' ELSE '' END || text"
 
 
 @query(rf"SELECT doc_id, regexp_matches({_MESSAGE}, '429|RESOURCE_EXHAUSTED') OR contains(lower({_MESSAGE}), 'rate limit') AS limited, trim(substring(text, 10, 12), ' ' || chr(10)) <> '' AS held FROM documents")
@@ -198,9 +198,9 @@ def described_pieces(spark, d):
     return own.select("doc_id", "seg_idx", records.described(piece, F.col("text")).alias("held"))
 
 
-@query(f"""WITH {_SEG}, m AS (SELECT doc_id, 's' || seg_idx AS section_id, text FROM seg WHERE seg_idx < 5 AND NOT starts_with(text, '## ')) SELECT doc_id, section_id, md5(trim(text, ' ')) AS body_hash FROM m""")
+@query(f"""WITH {_SEG}, m AS (SELECT doc_id, 's' || seg_idx AS section_id, text FROM seg WHERE NOT starts_with(text, '## ')) SELECT doc_id, section_id, md5(trim(text, ' ')) AS body_hash FROM m""")
 def markdown_sections(spark, d):
-    segs = _segments(spark, d).filter("seg_idx < 5 AND NOT startswith(text, '## ')")
+    segs = _segments(spark, d).filter("NOT startswith(text, '## ')")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: F.concat(F.lit("## s"), x["seg_idx"], F.lit(". Title\n"), x["text"]))
     reports_ = segs.groupBy("doc_id").agg(F.concat(F.lit("# Report\n"), F.array_join(lines, "\n")).alias("body"))
     return records.markdown_sections(reports_).select("doc_id", "section_id", F.md5("body").alias("body_hash"))
@@ -313,10 +313,10 @@ def term_audit_notes(spark, d):
 _STYLE = {"recommended": "CASE doc_id % 4 WHEN 0 THEN 'literary' WHEN 1 THEN 'technical' WHEN 2 THEN 'baroque' END", "confidence": "CASE doc_id % 3 WHEN 0 THEN '0.5' WHEN 1 THEN '7' ELSE 'high' END"}
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_sql(_STYLE)}, list_slice(list_filter(list_transform(string_split(substring(text, 1, 40), ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 4) AS r FROM documents), n AS (SELECT doc_id, CASE WHEN recommended IN ('literary', 'technical') THEN recommended ELSE 'general' END AS recommended,
+@query(f"""WITH s AS (SELECT doc_id, {_sql(_STYLE)}, list_slice(list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: x <> ''), 1, 4) AS r FROM documents), n AS (SELECT doc_id, CASE WHEN recommended IN ('literary', 'technical') THEN recommended ELSE 'general' END AS recommended,
 least(greatest(coalesce(try_cast(confidence AS DOUBLE), 0), 0), 1)::DOUBLE AS confidence, array_to_string(r, ',') AS reasons FROM s) SELECT *, substring(sha256(concat_ws('|', recommended, reasons, '')), 1, 12) AS style_id FROM n""")
 def style_recommendations(spark, d):
-    own = _of(_docs(spark, d), _STYLE, "doc_id", "text").withColumn("reasons", F.split(F.substring("text", 1, 40), " ")).withColumn("domains", F.lit(None).cast("array<string>"))
+    own = _of(_docs(spark, d), _STYLE, "doc_id", "text").withColumn("reasons", F.split("text", " ")).withColumn("domains", F.lit(None).cast("array<string>"))
     return records.style(own, known=("general", "literary", "technical")).select("doc_id", "recommended", "confidence", F.array_join("reasons", ",").alias("reasons"), "style_id")
 
 

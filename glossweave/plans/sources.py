@@ -11,7 +11,7 @@ from glossweave.plans.studies import _BASE, _rows
 # A registry of the documents' first words: titles, authors and states by number
 
 _REGISTRY = {
-    "source_id": "CASE WHEN doc_id % 50 = 49 THEN ' ' ELSE 'ref-' || (doc_id % 600) END", "title": "CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE substring(text, 1, 20) END", "authors": "CASE doc_id % 4 WHEN 0 THEN 'Ann Lee; Bo Ek' WHEN 1 THEN 'Ann Lee；' WHEN 2 THEN ' ; ' END",
+    "source_id": "CASE WHEN doc_id % 50 = 49 THEN ' ' ELSE 'ref-' || (doc_id % 600) END", "title": "CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END", "authors": "CASE doc_id % 4 WHEN 0 THEN 'Ann Lee; Bo Ek' WHEN 1 THEN 'Ann Lee；' WHEN 2 THEN ' ; ' END",
     "year": "CASE WHEN doc_id % 7 <> 0 THEN 1990 + doc_id % 30 END", "status": "CASE doc_id % 6 WHEN 0 THEN 'verified' WHEN 1 THEN 'user_provided' WHEN 2 THEN 'rejected' WHEN 3 THEN 'nonsense' WHEN 4 THEN 'imported_notes' END",
     "content_availability": "CASE WHEN doc_id % 9 = 0 THEN 'notes_only' WHEN doc_id % 9 = 1 THEN 'unknown' END", "allowed": "CASE WHEN doc_id % 13 = 0 THEN false END", "has_content": "doc_id % 3 = 0", "n_excerpts": "doc_id % 2", "n_notes": "doc_id % 5", "pos": "doc_id",
 }

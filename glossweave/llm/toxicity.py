@@ -17,7 +17,8 @@ sample's features and labels come to the driver, where the trees are grown with
 Null and empty texts are scored like any other, with features of 0. Without labels of both kinds all scores are 0.
 Labels that are null are no labels; a document labelled more than once is toxic if one label says so. Repeated rows are scored
 each; of several texts under a labelled id the greatest is learned from. A very long text is scored by itself, whole. Ties of trees' splits go to the
-lower feature. A column of the score's name is replaced.
+lower feature. A column of the score's name is replaced. A null id is in no fold: such rows are scored, aren't held out, and no label is learned from them. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -291,4 +292,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
     scored = with_score(docs, train(docs, labels, label_col="toxic"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -160,3 +160,16 @@ def test_language_model_of_context():
     one = np.arange(200)
     right, wrong = (model.log10(one, one, (one + k) % 200) for k in (1, 5))
     assert np.median(right - wrong) > 1.5
+
+
+@pytest.mark.parametrize("query", [toxicity.op4_toxicity, quality.op6_quality])
+def test_null_ids_and_empty_tables_in_queries(spark, tmp_path, query):
+    """Rows without an id are scored and in no fold."""
+    docs = [(None, "a b c"), (None, None), (1, "plain words"), (2, "")]
+    for name, few in (("some", docs), ("none", [])):
+        spark.createDataFrame(few, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, 1, 1), (1, 0, 0), (2, 1, 1)] if few else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = query(spark, f"{tmp_path}/some").collect()
+    assert len(rows) == 4 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in rows)
+    assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    assert query(spark, f"{tmp_path}/none").count() == 0

@@ -11,7 +11,8 @@ scoring are Spark jobs over whole texts.
 
 Null and empty texts are one passage without words. Without labels of both kinds all scores are the labels' mean, or
 0.5 without any. Null labels are no labels; a document labelled more than once counts as good if one label says so. Repeated
-rows are scored each; of several texts under a labelled id the greatest is learned from. A very long text is a bag of many passages.
+rows are scored each; of several texts under a labelled id the greatest is learned from. A very long text is a bag of many passages. A null id is in no fold: such rows are
+scored, aren't held out, and no label is learned from them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = fold(F.col("doc_id"), 3) == 1
-    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter("doc_id IS NOT NULL").filter(~held_out)
     scored = with_score(docs, train(docs, labels, label_col="quality"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

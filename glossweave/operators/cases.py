@@ -142,6 +142,7 @@ def screening(text: Column) -> Column:
     """Names of the signals in a source."""
     found = [F.when(text.rlike(rf"(?iU)\b(?:{words})\b"), name) for name, words in SIGNALS.items()]
     comma = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    # Marks of structure, proper nouns, and verbs with a particle.
     found += [
         F.when(text.rlike("[—–:;]|[“”\"]"), "information_structure"), F.when(text.rlike(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), "proper_noun"), F.when((F.length(text) >= 100) & (comma >= 2), "multi_clause_structure"),
         F.when(text.rlike(r"(?iU)\b[A-Za-z]+(?:ed|ing)\s+(?:at|for|from|into|of|off|on|out|over|to|up|with)\b"), "lexical_or_idiomatic_phrase"),

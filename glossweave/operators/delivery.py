@@ -54,6 +54,7 @@ def stage(jobs: DataFrame, pairs: DataFrame, findings: DataFrame) -> DataFrame:
     with_pairs = pairs.select("conv_id").distinct().withColumn("started", F.lit(True))
     blocked = unresolved(findings, "blocking").select("conv_id").distinct().withColumn("blocked", F.lit(True))
     c = F.col
+    # The names of the stages.
     name = (
         F.when(~c("p1_done"), "INGESTED").when(~c("p2_done") & c("started") & (c("frozen") | c("bypass")), "TRANSLATING").when(~c("p2_done") & c("frozen"), "GLOSSARY_FROZEN")
         .when(~c("p2_done") & c("has_terms"), "TERMS_PREPARED").when(~c("p2_done"), "PROFILED").when(c("blocked"), "REVIEW_REQUIRED").when((c("academic") == "failed") | (c("quality") == "fail"), "ACADEMIC_FAILED")

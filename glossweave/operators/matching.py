@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,11 +133,19 @@ def _meet(shared, text: str, columns: list[str], own: list[str], positions: str
     return meet
 
 
-def _shards(terms: DataFrame, term: str, how: str, shard_chars: int) -> list:
+def _first(term: str) -> Column:
+    return F.lower(F.substring(F.trim(term), 1, 1))
+
+
+def _sizes(terms: DataFrame, term: str) -> dict[str | None, int]:
+    """Characters of the terms, by their first one."""
+    return {r["first"]: r["chars"] for r in terms.groupBy(_first(term).alias("first")).agg(F.sum(F.coalesce(F.length(term), F.lit(0)) + 1).alias("chars")).collect()}
+
+
+def _shards(terms: DataFrame, term: str, how: str, sizes: dict[str | None, int], shard_chars: int) -> list:
     """Broadcasts of the terms' rows. Terms with one first character are cut further if they are many."""
     context = terms.sparkSession.sparkContext
-    first = F.lower(F.substring(F.trim(term), 1, 1))
-    sizes = {r["first"]: r["chars"] for r in terms.groupBy(first.alias("first")).agg(F.sum(F.coalesce(F.length(term), F.lit(0)) + 1).alias("chars")).collect()}  # a row for each character
+    first = _first(term)
     out = []
     room, group = 0, []
     groups: list[tuple[list, int]] = []
@@ -171,13 +179,13 @@ def term_matches_in(
     spark = texts.sparkSession
     ship(spark)
     columns = list(keep if keep is not None else texts.columns)
-    chars = terms.agg(F.sum(F.length(term_col) + 1).alias("n")).first()["n"] or 0
-    if chars > most_chars and not positions:
+    sizes = _sizes(terms, term_col)
+    if sum(sizes.values()) > most_chars and not positions:
         return _joined(texts, terms, text_col=text_col, term_col=term_col, how=how, columns=columns)
     left = texts.select(*dict.fromkeys((*columns, text_col)))
     fields = [*(texts.schema[c] for c in columns), *terms.schema.fields, *([T.StructField(positions, T.ArrayType(T.IntegerType()))] if positions else [])]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    found = [left.mapInArrow(_meet(s, text_col, columns, terms.columns, positions), schema) for s in _shards(terms, term_col, how, shard_chars)]
+    found = [left.mapInArrow(_meet(s, text_col, columns, terms.columns, positions), schema) for s in _shards(terms, term_col, how, sizes, shard_chars)]
     if not found:
         return spark.createDataFrame([], schema)
     out = found[0]
@@ -239,7 +247,7 @@ def _tally(shared, text: str, name: str):
 def with_term_count(texts: DataFrame, terms: DataFrame, *, name: str, text_col: str = "text", term_col: str = "source", how: str = "term", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``texts`` with the number of terms that each holds, in place: no row moves."""
     ship(texts.sparkSession)
-    shards = _shards(terms.select(term_col), term_col, how, shard_chars)
+    shards = _shards(terms.select(term_col), term_col, how, _sizes(terms, term_col), shard_chars)
     if not shards:
         return texts.withColumn(name, F.lit(0))
     out = texts

@@ -173,6 +173,7 @@ def statistic_violations(sections: DataFrame) -> DataFrame:
     """Tokens that no statistic has replaced, and lines that give a project's numbers without marking them."""
     tokens = sections.select("doc_id", F.explode(F.regexp_extract_all("body", F.lit(r"\{\{STAT:([A-Za-z0-9_.-]+)\}\}"), F.lit(1))).alias("ref")).distinct()
     lines = sections.select(*KEY, F.explode(F.split("body", "\n")).alias("line"))
+    # What a project's numbers are about, and how they are counted.
     bare = lines.filter(~F.ltrim("line").startswith(">") & F.col("line").rlike("本(?:项目|次|文)|全文|段落|审校|复用|术语|发现") & F.col("line").rlike(r"\d+(?:\.\d+)?(?:%|段|条|处|次)") & ~F.contains("line", F.lit("<!--stat:")))
     return _all(_rule(tokens, "unresolved_statistic_token"), _rule(bare, "unmarked_project_statistic", "warning"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.python import find_span
 from glossweave.operators.matching import term_matches_in
 
 #: What may be asked for.
@@ -70,6 +71,36 @@ def term_notes(segments: DataFrame, glossary: DataFrame, *, least: int = 2) -> D
     return held.select("doc_id", "seg_idx", F.lit("domain").alias("type"), "id", F.concat(F.lit("术语："), "source").alias("note"))
 
 
+def term_spans(pairs: DataFrame, glossary: DataFrame, *keys: str, least: int = 2) -> DataFrame:
+    """(keys, id, src_start, src_end, tgt_start, tgt_end, note): where each term first stands in a pair's source, as it is written and inside words too, and its preferred form in the target, whatever the shape of quotes and white space; null if it
+    isn't there or there is none. A term without a preferred form is to be kept as it is, and the note says so."""
+    term = F.trim("source_term")
+    terms = glossary.select("id", F.trim("source").alias("source_term"), F.trim(F.coalesce("preferred", F.lit(""))).alias("wanted")).filter(F.length(term) >= least)
+    met = term_matches_in(pairs, terms, text_col="source", term_col="source_term", how="exact", keep=[*keys, "target"], positions="at")
+    start = F.array_min("at")
+    found = met.withColumn("span", find_span(F.when(F.col("wanted") != "", F.col("wanted")).otherwise(""), F.coalesce("target", F.lit(""))))
+    note = F.concat(F.lit("术语："), "source_term", F.lit(" -> "), F.when(F.col("wanted") == "", "保留原文").otherwise(F.col("wanted")))
+    return found.select(*keys, "id", start.alias("src_start"), (start + F.length("source_term")).alias("src_end"), F.col("span.start").alias("tgt_start"), F.col("span.end").alias("tgt_end"), note.alias("note"))
+
+
+#: Of one pair at most, by type. Fixed values.
+MOST = {"rare": 3, "domain": 3, "hard": 2}
+_ITEM = "struct<type:string,src_span:array<int>,tgt_span:array<int>,note:string>"
+
+
+def annotations(states: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Stored annotations, (job, notes) with notes a JSON object from places to lists, as rows (job, seg_idx, n, type, src_span, tgt_span, note): keys that are no number, values that are no list, and places beyond the job's
+    pairs (job, size) go. Of items with one type and spans the first stays, and of each type the first few of a pair."""
+    each = states.select("job", F.explode(F.from_json("notes", "map<string,string>")).alias("key", "value")).withColumn("seg_idx", F.expr("try_cast(trim(key) AS INT)"))
+    there = each.filter(F.col("seg_idx").isNotNull() & F.ltrim("value").startswith("[")).join(sizes, "job").filter("seg_idx >= 0 AND seg_idx < size")
+    items = there.select("job", "seg_idx", F.posexplode(F.from_json("value", f"array<{_ITEM}>")).alias("pos", "x")).filter(F.col("x.type").isin(*MOST)).select("job", "seg_idx", "pos", "x.*")
+    same = Window.partitionBy("job", "seg_idx", "type", F.to_json(F.struct("src_span")), F.to_json(F.struct("tgt_span"))).orderBy("pos")
+    first = items.withColumn("again", F.row_number().over(same)).filter("again = 1")
+    n = F.row_number().over(Window.partitionBy("job", "seg_idx", "type").orderBy("pos"))
+    most = F.create_map(*[F.lit(x) for kv in MOST.items() for x in kv])[F.col("type")]
+    return first.withColumn("n", n).filter(F.col("n") <= most).select("job", "seg_idx", "n", "type", "src_span", "tgt_span", "note")
+
+
 def report_lines(findings: DataFrame) -> DataFrame:
     """Findings as lines of a report, the worst first; ``files.write_lines`` writes them."""
     mark = F.when(F.col("resolved"), "x").otherwise(" ")

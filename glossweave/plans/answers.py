@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import lookups
-from glossweave.plans.catalogue import _G, _SEG, _docs, _segments, query
+from glossweave.plans.catalogue import _G, _PAIRS, _SEG, _docs, _pairs, _segments, query
 from glossweave.sources import derived, jobs
 from glossweave.sources.jobs import FINDING_SQL
 
@@ -56,3 +56,29 @@ def glossary_annotations(spark, d):
 @query(f"""WITH {FINDING_SQL} SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY list_position(['blocking', 'actionable', 'informational'], severity), event_id))::INT AS n, '- [' || CASE WHEN resolved THEN 'x' ELSE ' ' END || '] ' || severity || ' ' || conv_id || ':' || seg_idx || ' ' || type AS line FROM fd""")
 def findings_report(spark, d):
     return lookups.report_lines(jobs.findings(spark, d))
+
+
+@query(f"""WITH {_PAIRS}, {_G} SELECT conv_id, seg_idx, id, strpos(p.source, g.source)::INT - 1 AS src_start, strpos(p.source, g.source)::INT - 1 + length(g.source)::INT AS src_end, CASE WHEN preferred <> '' AND contains(target, preferred) THEN strpos(target, preferred)::INT - 1 END AS tgt_start,
+CASE WHEN preferred <> '' AND contains(target, preferred) THEN strpos(target, preferred)::INT - 1 + length(preferred)::INT END AS tgt_end, '术语：' || g.source || ' -> ' || CASE WHEN preferred = '' THEN '保留原文' ELSE preferred END AS note FROM pairs p JOIN g ON length(g.source) >= 2 AND contains(p.source, g.source)""")
+def glossary_spans(spark, d):
+    return lookups.term_spans(_pairs(spark, d), derived.glossary(spark), "conv_id", "seg_idx")
+
+
+# Annotations as a document's state holds them: of every segment its long words, some twice, some under keys that are no places, some values no lists.
+_TYPE = "CASE length(w) % 3 WHEN 0 THEN 'rare' WHEN 1 THEN 'domain' ELSE 'hard' END"
+
+
+@query(f"""WITH {_SEG}, ws AS (SELECT doc_id AS job, seg_idx, unnest(range(len(x))) AS k, unnest(x) AS w FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]{{7,}}') AS x FROM seg WHERE seg_idx % 6 < 4)),
+f AS (SELECT job, seg_idx, {_TYPE} AS type, length(w)::INT AS a, min(k) AS k FROM ws GROUP BY ALL), n AS (SELECT *, (row_number() OVER (PARTITION BY job, seg_idx, type ORDER BY k))::INT AS n FROM f) SELECT job, seg_idx, n, type, [a] AS src_span FROM n WHERE n <= CASE type WHEN 'hard' THEN 2 ELSE 3 END""")
+def stored_annotations(spark, d):
+    segs = _segments(spark, d)
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))
+    kind = lambda w: F.when(F.length(w) % 3 == 0, "rare").when(F.length(w) % 3 == 1, "domain").otherwise("hard")
+    items = F.transform(words, lambda w: F.struct(kind(w).alias("type"), F.array(F.length(w)).alias("src_span"), w.alias("note")))
+    c = F.col("seg_idx")
+    key = F.when(c % 6 == 5, F.concat(F.lit("p"), c)).when(c % 3 == 1, F.concat(F.lit(" "), c)).otherwise(c.cast("string"))
+    value = F.when(c % 6 == 4, F.lit('"none"')).otherwise(F.to_json(items))
+    entry = segs.select("doc_id", c, F.concat(F.lit('"'), key, F.lit('": '), value).alias("e")).unionByName(segs.filter("seg_idx = 0").selectExpr("doc_id", "-1 AS seg_idx", """'"100000": [{"type": "rare"}], "-1": [{"type": "hard"}]' AS e"""))
+    notes = entry.groupBy(F.col("doc_id").alias("job")).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "e"))), lambda x: x["e"]), ", "), F.lit("}")).alias("notes"))
+    sizes = segs.groupBy(F.col("doc_id").alias("job")).agg(F.count("*").alias("size"))
+    return lookups.annotations(notes, sizes).select("job", "seg_idx", "n", "type", "src_span")

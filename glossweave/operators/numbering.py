@@ -14,11 +14,13 @@ _BITS = 33
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the folder of ``spark.checkpoint.dir``; on a local master without one, in a temporary folder."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="glossweave"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glossweave"))
     return df.checkpoint()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossweave.operators import cases, human, literature
+from glossweave.operators.numbering import numbered
 from glossweave.plans.catalogue import _SEG, _docs, _segments, query
 from glossweave.plans.studies import _BASE, _rows
 
@@ -74,12 +75,12 @@ sh AS (SELECT *, lag(own, 1, 'LE-none') OVER (ORDER BY source_id) AS strange FRO
 k AS (SELECT claim_id, string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS supported_by, bool_and(provenance = 'source_text_verified') AS t, bool_or(provenance = 'model_extracted_from_source') AS m FROM ci JOIN ev USING (evidence_id) WHERE of = source_id AND text <> '' GROUP BY claim_id)
 SELECT claim_id, source_id, CASE WHEN trim(statement, ' ') <> '' THEN supported_by END AS supported_by, CASE WHEN trim(statement, ' ') = '' OR supported_by IS NULL THEN 'rejected' WHEN t THEN 'grounded' WHEN m THEN 'needs_review' ELSE 'grounded_user_material' END AS status FROM sh LEFT JOIN k USING (claim_id)""")
 def literature_claims(spark, d):
-    from pyspark.sql import Window
-
     sources, found = _evidence(spark, d)
     k = F.substring("source_id", 5, 9).cast("int")
     ends = found.groupBy("source_id").agg(F.min("evidence_id").alias("own"), F.max("evidence_id").alias("other"))
-    ends = ends.withColumn("strange", F.lag("own", 1, "LE-none").over(Window.orderBy("source_id")))  # a row a source, 300 here
+    placed = numbered(ends, "source_id", name="at")
+    before = placed.select((F.col("at") + 1).alias("at"), F.col("own").alias("strange"))
+    ends = placed.join(before, "at", "left").withColumn("strange", F.coalesce("strange", F.lit("LE-none"))).drop("at")
     claims = ends.select(F.concat(F.lit("lc"), k).alias("claim_id"), "source_id", F.when(k % 9 == 0, " ").otherwise("says").alias("statement"), F.array("own", "other", "strange", "own").alias("evidence_ids"))
     return literature.ground(claims, found, sources).withColumn("supported_by", F.array_join(F.array_sort("supported_by"), ","))
 

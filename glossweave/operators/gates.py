@@ -19,8 +19,9 @@ def _said(c: str) -> Column:
 
 
 def _within(part: str, whole: str) -> Column:
-    """Whether a part that isn't empty lies within a text, whatever its case."""
-    return _said(part) & F.contains(F.lower(F.coalesce(whole, F.lit(""))), F.lower(part))
+    """Whether a part that isn't empty lies within a text, whatever its case; ß is SS."""
+    folded = lambda x: F.upper(F.translate(x, "ẞ", "ß"))
+    return _said(part) & F.contains(folded(F.coalesce(whole, F.lit(""))), folded(F.col(part)))
 
 
 def gated(cases: DataFrame, segments: DataFrame) -> DataFrame:

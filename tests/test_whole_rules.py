@@ -105,6 +105,9 @@ def test_gates(spark):
     got = {r["k"]: r for r in gates.gated(df, spark.createDataFrame([("s", "x The old bridge, y")], "segment_id string, source string")).collect()}
     assert got[0]["eligible"] and got[0]["failed"] == []
     assert [(got[k + 1]["first_failed"], got[k + 1]["eligible"]) for k in range(len(rows) - 1)] == [(gate, False) for gate, changes in BAD.items() for _ in changes]
+    german = {**GOOD, "source_text": "die Straße", "trigger": "STRASSE", "error_span": "DIE STRAẞE"}
+    df = spark.createDataFrame([tuple(german.values())], schema)
+    assert gates.gated(df, spark.createDataFrame([("s", "die Straße")], "segment_id string, source string")).first()["failed"] == []
     both = {**GOOD, "already_correct": None, "plausibility": "x"}
     df = spark.createDataFrame([tuple(both.values())], schema)
     assert gates.gated(df, spark.createDataFrame([("s", "The old bridge")], "segment_id string, source string")).first()["failed"] == ["baseline_plausible", "baseline_not_already_correct"]

@@ -74,7 +74,8 @@ def unique_ids(rows: DataFrame, name: str, pos: str) -> DataFrame:
     alike = own.join(mixed, "__family", "left_anti")
     n = F.row_number().over(Window.partitionBy("__slug").orderBy(pos))
     alike = alike.withColumn("__n", n).withColumn("unique_id", F.when(F.col("__n") == 1, F.col("__slug")).otherwise(F.concat_ws("-", "__slug", "__n"))).drop("__n")
-    other = own.join(mixed, "__family", "left_semi").withColumn("unique_id", F.lit(None).cast("string")).repartition("__family").sortWithinPartitions("__family", pos)
+    # by an expression of its own: a repartition by the join's key is dropped, and a join that turns out small is then read in other parts
+    other = own.join(mixed, "__family", "left_semi").withColumn("unique_id", F.lit(None).cast("string")).repartition(F.xxhash64("__family")).sortWithinPartitions("__family", pos)
     return alike.unionByName(other.mapInArrow(_give, other.schema)).drop("__slug", "__family")
 
 

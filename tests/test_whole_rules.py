@@ -70,6 +70,18 @@ def test_unique_ids(spark):
     assert [got[k] for k in range(len(names))] == _give(names) and len(set(got.values())) == len(names)
 
 
+def test_families_stay_in_one_task(spark):
+    """Spark drops a repartition by a merge join's key, and then reads the join's parts otherwise if one side turns out small."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(0, 600, 1, 6).selectExpr("id AS pos", "'a' || (id % 40) || '-2' AS name")
+        plan = literature.unique_ids(df, "name", "pos")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "REPARTITION_BY_COL" in plan[plan.index("MapInArrow") :]
+
+
 def test_values_are_not_read_again(spark):
     values = {"{{STAT:k}}": "{{TERM:t}}", "{{TERM:t}}": "v {{STAT:k}} $1 \\", "[@a]": "(A)"}
     bodies = ["{{STAT:k}}{{TERM:t}}", "x [@a] {{STAT:none}} [@a][@b]", "", "no token", None, "{{TERM:t}}"]

@@ -6,11 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.text import strip, term_matches
-from glossweave.operators.matching import term_matches_in
+from glossweave.operators.matching import SHARD_CHARS, term_matches_in
 
-def occurrences(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per term: how many segments and documents hold it, and the first segment number."""
-    hits = term_matches_in(segments, terms.select("id", F.col("source").alias("term")), term_col="term", keep=["doc_id", "seg_idx"])
+#: Beyond ASCII, what folds to an ASCII letter, and that letter.
+_ODD, _EVEN = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def occurrences(segments: DataFrame, terms: DataFrame, *, few_chars: int = SHARD_CHARS) -> DataFrame:
+    """Per term: how many segments and documents hold it, and the first segment number.
+
+    Of more than ``few_chars`` of terms those that are one word are joined with the counts of all words, so that texts are read once however many terms there are."""
+    own = terms.select("id", F.col("source").alias("term"))
+    single = F.coalesce(F.trim("term").rlike(r"^[A-Za-z0-9_]+\z"), F.lit(False))
+    size = own.agg(F.coalesce(F.sum(F.length("term") + 1), F.lit(0)).alias("chars"), F.min(F.when(single, F.length(F.trim("term")))).alias("least")).first()
+    if size["chars"] <= few_chars or size["least"] is None:
+        return _counted(segments, own)
+    folded = F.lower(F.translate("text", _ODD, _EVEN))
+    held = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"[a-z0-9_]{{{size['least']},}}"), F.lit(0)))
+    by_document = segments.select("doc_id", "seg_idx", F.explode(held).alias("word")).groupBy("word", "doc_id").agg(F.count("*").alias("n"), F.min("seg_idx").alias("first"))
+    counts = by_document.groupBy("word").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"), F.min("first").alias("first"))
+    met = own.filter(single).withColumn("word", F.lower(F.trim("term"))).join(counts, "word")
+    words = met.groupBy("id", "term").agg(F.sum("n").alias("n_segments"), F.max("docs").alias("n_docs"), F.min("first").alias("first_seg"))
+    return words.unionByName(_counted(segments, own.filter(~single)))
+
+
+def _counted(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    hits = term_matches_in(segments, terms, term_col="term", keep=["doc_id", "seg_idx"])
     return hits.groupBy("id", "term").agg(F.count("*").alias("n_segments"), F.countDistinct("doc_id").alias("n_docs"), F.min("seg_idx").alias("first_seg"))
 
 

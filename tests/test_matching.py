@@ -61,3 +61,15 @@ def test_findings_by_target_language(spark):
     assert got == [
         (0, "identical", "actionable", ""), (0, "residual", "informational", "WHOLE"), (3, "residual", "actionable", "翻译很好"), (3, "residual", "informational", "用户"), (4, "residual", "actionable", "large tables"), (4, "residual", "informational", "annex"), (5, "blank", "blocking", ""),
     ]
+
+
+def test_occurrences_of_many_words(spark):
+    """Terms that are one word, by the counts of all words, as by the automaton; and what folds to ASCII."""
+    from glossweave.operators import terms as t
+
+    assert {chr(c): fold(chr(c)) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and fold(chr(c)).isascii()} == dict(zip(t._ODD, t._EVEN, strict=True))
+    segments = spark.createDataFrame([(k % 4, k, x) for k, x in enumerate(TEXTS + ["\u017ftone \u212ailo İ ı the", "THE stone_kilo kilo"])], "doc_id long, seg_idx int, text string")
+    names = [*enumerate([*TERMS, "kilo", "STONE", "stone_kilo", "tab\t", "line\n"]), (0, "the")]
+    terms = spark.createDataFrame(names, "id int, source string")
+    got, want = (sorted(map(tuple, t.occurrences(segments, terms, few_chars=n).collect())) for n in (0, 1 << 20))
+    assert got == want and len(got) > 10

@@ -10,10 +10,12 @@ What is looked for and what comes of it are joins and groups; only the moving cu
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossweave.functions.text import CJK, incomplete, strip
 from glossweave.shipping import ship
@@ -25,24 +27,32 @@ def stream_form(text: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"(?U)\s+", ""))
 
 
-def _placed(old: pa.Table, new: pa.Table) -> pa.Table:
-    paragraphs = sorted(zip(new.column("new_idx").to_pylist(), new.column("form").to_pylist(), strict=True))
-    starts, at = [], 0
-    for _, form in paragraphs:
-        starts.append(at)
-        at += len(form)
-    stream = "".join(form for _, form in paragraphs)
-    out, cursor = [], 0
-    for idx, form in sorted(zip(old.column("seg_idx").to_pylist(), old.column("form").to_pylist(), strict=True)):
-        p = stream.find(form, cursor)
-        if p < 0:
-            p = stream.find(form, 0, cursor + len(form))
+_PLACE = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("first_new", "last_new")]))
+
+
+def _found(forms: list[str | None], numbers: list[int], new: list[str]) -> list[tuple[int, int] | None]:
+    """Of a document's old sources, null where none is looked for, the new paragraphs that hold the beginning and the end."""
+    starts = list(accumulate(map(len, new), initial=0))[:-1]
+    stream = "".join(new)
+    out: list[tuple[int, int] | None] = []
+    cursor = 0
+    for form in forms:
+        p = -1
+        if form is not None:
+            p = stream.find(form, cursor)
+            if p < 0:
+                p = stream.find(form, 0, cursor + len(form))
         if p >= 0:
             cursor = p + len(form)
-            out.append((idx, *(paragraphs[bisect_right(starts, x) - 1][0] for x in (p, cursor - 1))))
-    doc = (old if old.num_rows else new).column("doc_id")
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.table({"doc_id": pa.chunked_array([doc.combine_chunks().take(pa.array([0] * len(out), pa.int64()))], doc.type), **{c: pa.array(x, pa.int32()) for c, x in zip(("seg_idx", "first_new", "last_new"), columns, strict=True)}})
+        out.append(None if p < 0 else tuple(numbers[bisect_right(starts, x) - 1] for x in (p, cursor - 1)))
+    return out
+
+
+@F.arrow_udf(_PLACE)
+def _placed(forms: pa.Array, numbers: pa.Array, new: pa.Array) -> pa.Array:
+    rows = [_found(f.as_py() or [], n.as_py() or [], x.as_py() or []) for f, n, x in zip(forms, numbers, new, strict=True)]
+    at = [[p and {"first_new": p[0], "last_new": p[1]} for p in row] for row in rows]
+    return pa.array(at, pa.list_(pa.struct([("first_new", pa.int32()), ("last_new", pa.int32())])))
 
 
 def placements(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,12 +62,14 @@ def placements(old: DataFrame, new: DataFrame) -> DataFrame:
     known = old.withColumn("form", stream_form(F.coalesce("source", F.lit(""))))
     suspect = (strip(F.coalesce("target", F.lit(""))) == "") | incomplete(F.coalesce("source", F.lit("")), F.col("target"))
     known = known.withColumn("fit", F.when(F.col("form") == "", "empty").when(suspect, "suspect"))
-    key = old.schema["doc_id"].dataType.simpleString()
-    asked = known.filter("fit IS NULL").select("doc_id", F.col("seg_idx").cast("int").alias("seg_idx"), "form")
-    there = new.select("doc_id", F.col("new_idx").cast("int").alias("new_idx"), stream_form(F.coalesce("text", F.lit(""))).alias("form"))
-    found = asked.groupBy("doc_id").cogroup(there.groupBy("doc_id")).applyInArrow(_placed, f"doc_id {key}, seg_idx int, first_new int, last_new int")
+    sorted_ = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    asked = known.groupBy("doc_id").agg(sorted_("seg_idx", "form", "source", "target", "fit").alias("old"))
+    there = new.select("doc_id", F.col("new_idx").cast("int").alias("new_idx"), stream_form(F.coalesce("text", F.lit(""))).alias("form")).groupBy("doc_id").agg(sorted_("new_idx", "form").alias("new"))
+    forms = F.transform("old", lambda x: F.when(x["fit"].isNull(), x["form"]))
+    both = asked.join(there, "doc_id", "left").withColumn("at", _placed(forms, F.col("new.new_idx"), F.col("new.form")))
+    each = both.select("doc_id", F.explode(F.arrays_zip("old", "at")).alias("z")).select("doc_id", "z.old.*", "z.at.*")
     state = F.coalesce("fit", F.when(F.col("first_new").isNull(), "not_found").otherwise("placed"))
-    return known.join(found, ["doc_id", "seg_idx"], "left").select("doc_id", "seg_idx", "source", "target", "form", state.alias("state"), "first_new", "last_new")
+    return each.select("doc_id", "seg_idx", "source", "target", "form", state.alias("state"), "first_new", "last_new")
 
 
 def reused(placed: DataFrame, new: DataFrame) -> DataFrame:

@@ -125,7 +125,8 @@ def report_violations(sections: DataFrame, segments: DataFrame, statistics: Data
     stat = stat.select("section_id", F.split_part("m", F.lit("="), F.lit(1)).alias("key"), F.split_part("m", F.lit("="), F.lit(2)).alias("said")).join(statistics, "key", "left")
     out = lambda df, kind, what: df.select(F.lit(kind).alias("type"), "section_id", F.col(what).cast("string").alias("subject"))
     wrong = F.regexp_replace("said", ",", "") != F.regexp_replace("value", ",", "")
+    fault = F.when(F.col("text").isNull(), "invented_segment_id").when(~F.contains(flat("text"), flat("quote")), "wrong_segment_quote")
     return (
-        out(met.filter("text IS NULL"), "invented_segment_id", "ref").unionByName(out(met.filter("text IS NOT NULL").filter(~F.contains(flat("text"), flat("quote"))), "wrong_segment_quote", "ref"))
+        met.select(fault.alias("type"), "section_id", F.col("ref").alias("subject")).filter("type IS NOT NULL")
         .unionByName(out(stat.filter("value IS NULL"), "unknown_project_statistic", "key")).unionByName(out(stat.filter(F.col("value").isNotNull() & wrong), "wrong_project_statistic", "key"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossweave.functions.python import delta, find_span, meaningful_revision, similarity
 from glossweave.operators import versions
 from glossweave.plans.catalogue import _PAIRS, _SEG, _WITH_F, _docs, _findings, _pairs, _segments, query
-from glossweave.sources.derived import table
+from glossweave.sources.derived import dealt, table
 
 
 @query("""WITH s AS (SELECT user_id AS job, event_id AS n, sha256(event_type) AS glossary_hash FROM events), c AS (SELECT *, lag(glossary_hash) OVER (PARTITION BY job ORDER BY n) AS before FROM s)
@@ -92,7 +92,7 @@ def report_marker_violations(spark, d):
     body = F.concat(F.lit("As [[seg:"), ref, F.lit(":"), "seg_idx", F.lit("|"), quote, F.lit("]] says, {{STAT:k"), i % 4, F.lit("="), F.when(i % 4 == 1, "1,001").when(i % 4 == 0, "1000").otherwise("7"), F.lit("}}."))
     sections = segs.select(F.concat(F.lit("sec"), "doc_id", F.lit("-"), "seg_idx").alias("section_id"), body.alias("body"))
     stats = spark.createDataFrame([("k0", "1,000"), ("k1", "1001"), ("k2", "9")], "key string, value string")
-    return versions.report_violations(sections, segs, stats)
+    return versions.report_violations(sections, dealt(segs, table(spark, d, "documents"), "doc_id", "seg_idx"), stats)
 
 
 @query(f"WITH {_PAIRS} SELECT conv_id, seg_idx, kind FROM (SELECT conv_id, seg_idx, unnest([CASE WHEN conv_id % 4 = 0 THEN 'delivery' END, CASE WHEN (conv_id + seg_idx) % 3 = 0 THEN 'segment' END, CASE WHEN length(target) < 60 THEN 'finding' END]) AS kind FROM pairs) WHERE kind IS NOT NULL")

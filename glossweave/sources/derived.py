@@ -25,6 +25,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Parts of a join for each split of the table that its rows come from.
+PARTS_OF_A_SPLIT = 8
+
+
+def dealt(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys in parts that grow in number with the table ``source`` that it comes from, so that a task's share of a join or a window stays as it is. Where Spark's number of shuffle partitions is
+    enough for that, it is left to Spark."""
+    parts = PARTS_OF_A_SPLIT * source.rdd.getNumPartitions()
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~x.rlike(ORNAMENT))

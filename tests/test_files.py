@@ -44,3 +44,17 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["packet_id"], r["candidate_a_is_arm"], r["candidate_b_is_arm"]) for r in read("key").collect()) == [("1", "A", "B"), ("2", "B", "A")]
     files.write_csv(packet.select("packet_id"), str(tmp_path / "c"), columns=["note", "packet_id"])
     assert spark.read.csv(str(tmp_path / "c"), header=True).columns == ["note", "packet_id"]
+
+
+def test_a_join_has_parts_in_proportion_to_its_table(spark):
+    from glossweave.sources import derived
+
+    df = spark.range(100).withColumnRenamed("id", "doc_id")
+    assert derived.dealt(df, spark.range(0, 9, 1, 3), "doc_id").rdd.getNumPartitions() == 3 * derived.PARTS_OF_A_SPLIT
+    small = df.repartition(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert derived.dealt(small, spark.range(0, 9, 1, 3), "doc_id") is small
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -79,6 +79,7 @@ def stored_annotations(spark, d):
     key = F.when(c % 6 == 5, F.concat(F.lit("p"), c)).when(c % 3 == 1, F.concat(F.lit(" "), c)).otherwise(c.cast("string"))
     value = F.when(c % 6 == 4, F.lit('"none"')).otherwise(F.to_json(items))
     entry = segs.select("doc_id", c, F.concat(F.lit('"'), key, F.lit('": '), value).alias("e")).unionByName(segs.filter("seg_idx = 0").selectExpr("doc_id", "-1 AS seg_idx", """'"100000": [{"type": "rare"}], "-1": [{"type": "hard"}]' AS e"""))
+    entry = derived.dealt(entry, derived.table(spark, d, "documents"), "doc_id")
     notes = entry.groupBy(F.col("doc_id").alias("job")).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "e"))), lambda x: x["e"]), ", "), F.lit("}")).alias("notes"))
     sizes = segs.groupBy(F.col("doc_id").alias("job")).agg(F.count("*").alias("size"))
     return lookups.annotations(notes, sizes).select("job", "seg_idx", "n", "type", "src_span")

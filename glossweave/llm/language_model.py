@@ -10,8 +10,9 @@ class of its own.
 The prediction from the two words before is the sum of their vectors, each through a matrix of its place. p(word) is
 p(class) by a softmax over class vectors times p(word in class) by a softmax over the word vectors of the class; in a class of other words it is
 the share of the word's count in the class, with one added to each and one place for all unseen words. So all
-probabilities sum to 1. Training draws windows from all training text, 1 in ``DRAWN`` tokens (2**18 at least, 2**22 at most), and learns them against
-noise from the class counts and from the word counts of the class, in numpy on the driver. Scoring is batched matrix products in the tasks.
+probabilities sum to 1. The letter pairs of the classes are counted over all training words, beginning from clusters of the most frequent ones. Training learns every window of all training text against noise from the class counts and from the word counts of the
+class. The driver only makes a start, from 1 in ``DRAWN`` tokens (2**18 at least, 2**22 at most). Then in each of ``ROUNDS`` rounds all tasks learn their share of
+the text from the same weights, and what they have learnt is averaged by their tokens, so no token is left out. Scoring is batched matrix products in the tasks.
 
 Counts of words beyond the frequent ones are joined, so every count is exact.
 
@@ -21,6 +22,7 @@ context. Without training documents all counts are 0.
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
@@ -34,9 +36,12 @@ from glossweave.llm.common import in_parts, own_columns, ship, table, written
 from glossweave.llm.toxicity import fold
 
 LEAST, AROUND, CLUSTERS, CLASS_WORDS, LETTER_CLASSES, SIZE, DRAWN = 100, 64, 48, 128, 24, 32, 64
+ROUNDS = 2
 END = b"\n"  # no word holds it
 _PAIRS = 4096
 _SLICE = 1 << 15
+#: Weights in a row of what a task has learnt.
+_CHUNK = 1 << 14
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -95,6 +100,32 @@ def letter_classes(words: list[bytes]) -> np.ndarray:
     return np.log(n / n.sum(axis=0))
 
 
+def _pairs_in_classes(letters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How often each letter pair stands in the words of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_PAIRS * LETTER_CLASSES, dtype=np.int64)
+        for batch in batches:
+            words = [w for w in batch.column("word").to_pylist() if w != END]
+            for k in range(0, len(words), 20_000):
+                pairs, first = letter_pairs(words[k : k + 20_000])
+                own = np.add.reduceat(letters.value[pairs], first, axis=0).argmax(axis=1)
+                total += np.bincount(pairs * LETTER_CLASSES + np.repeat(own, np.diff(np.append(first, len(pairs)))), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    return run
+
+
+def letters_of_all(counts: DataFrame, letters: np.ndarray) -> np.ndarray:
+    """``letter_classes`` anew, from the letter pairs of all counted words in the classes that ``letters`` puts them into."""
+    cells = counts.select("word").mapInArrow(_pairs_in_classes(counts.sparkSession.sparkContext.broadcast(letters)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.full(_PAIRS * LETTER_CLASSES, 0.02)
+    n[cells.column("cell").to_numpy()] += cells.column("n").to_numpy()
+    n = n.reshape(_PAIRS, LETTER_CLASSES)
+    return np.log(n / n.sum(axis=0))
+
+
 def class_by_letters(letters: np.ndarray, words: list[bytes]) -> np.ndarray:
     out = [np.zeros(0, dtype=np.int64)]
     for k in range(0, len(words), 20_000):
@@ -222,7 +253,7 @@ def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` places the sum of the rows that belong to it."""
     out = np.zeros((n, *rows.shape[1:]), dtype=rows.dtype)
     if len(at):
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
         out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
@@ -306,6 +337,77 @@ class Model:
             g |= {"m1": x1.T @ dg, "m2": x2.T @ dg, "in": _sums(np.concatenate((a, b)), np.concatenate((dg @ w["m1"].T, dg @ w["m2"].T)), len(w["in"]))}
             adam.update(g)
 
+    def learner(self, steps: int, rate: float) -> tuple["Model", "Adam"]:
+        """A copy with weights of its own and what updates them; this one may be shared by tasks."""
+        own = copy.copy(self)
+        own.w = {k: a.copy() for k, a in self.w.items()}
+        return own, Adam(own.w, rate, steps)
+
+    def gradients(self, r: np.random.Generator, two: np.ndarray, one: np.ndarray, ids: np.ndarray, *, batch: int, noise: int = 16, word_noise: int = 4) -> dict[str, np.ndarray]:
+        """Of the noise-contrastive loss of tokens (context places and numbers), by ``batch``; they share the noise, so that the work is matrix products."""
+        w, k, classes = self.w, len(self.w["word"]), len(self.class_n)
+        key = np.where(self.slot[ids] >= 0, self.slot[ids], k + self.y[ids] - self.word_classes)
+        turn = np.argsort(key.astype(np.uint16) if k + classes <= 1 << 16 else key, kind="stable")  # class by class, word by word
+        one, two, key, y = one[turn], two[turn], key[turn], self.y[ids[turn]]
+        guess = (w["in"] @ w["m1"])[one] + (w["in"] @ w["m2"])[two]
+        f, by = np.float32, np.float32(1 / batch)
+
+        def right(score: np.ndarray, shift: np.ndarray) -> np.ndarray:
+            score -= shift
+            np.exp(np.negative(np.clip(score, -60, 60, out=score), out=score), out=score)
+            score += 1
+            return np.reciprocal(score, out=score)
+
+        # classes against noise ones
+        q = self.class_n / self.class_n.sum()
+        shift = np.log(noise * q).astype(f)
+        drawn = np.minimum(np.searchsorted(np.cumsum(q), r.random(noise)), classes - 1)
+        vectors = w["out"][drawn]
+        d = right(guess @ vectors.T, shift[drawn] - w["b"][drawn])
+        d *= by
+        dg = d @ vectors
+        g = {"out": _sums(drawn, d.T @ guess, classes), "b": np.bincount(drawn, d.sum(axis=0), classes).astype(f), "word": np.zeros_like(w["word"]), "word_b": np.zeros_like(w["word_b"])}
+        # words against noise ones of their class; each class's true vector goes with its noise words
+        word_shift, cum = np.log(word_noise * self.word_q).astype(f), np.cumsum(self.word_q)
+        bounds = np.searchsorted(y, np.arange(classes + 1))
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[c], bounds[c + 1])
+            words = np.zeros(0, dtype=np.int64)
+            if c < self.word_classes:
+                lo, hi = self.start[c], self.start[c + 1]
+                words = np.clip(np.searchsorted(cum, (cum[lo - 1] if lo else 0.0) + r.random(word_noise)), lo, hi - 1)
+            vectors = np.concatenate((w["out"][c : c + 1], w["word"][words]))
+            d = right(guess[part] @ vectors.T, np.append(shift[c] - w["b"][c], word_shift[words] - w["word_b"][words]))
+            d[:, 0] -= 1
+            d *= by
+            dg[part] += d @ vectors
+            of, sums = d.T @ guess[part], d.sum(axis=0)
+            g["out"][c] += of[0]
+            g["b"][c] += sums[0]
+            if len(words):
+                np.add.at(g["word"], words, of[1:])
+                np.add.at(g["word_b"], words, sums[1:])
+        if n := int(bounds[self.word_classes]):
+            own, s = guess[:n], key[:n]
+            mine = w["word"][s]
+            t = (right(np.einsum("nd,nd->n", own, mine) + w["word_b"][s], word_shift[s]) - 1) * by
+            dg[:n] += t[:, None] * mine
+            first = np.flatnonzero(np.diff(s, prepend=-1))
+            g["word"][s[first]] += np.add.reduceat(t[:, None] * own, first, axis=0)
+            g["word_b"] += np.bincount(s, t, k).astype(f)
+        # the contexts' vectors and their matrices
+        of_one, of_two = _sums(one, dg, len(w["in"])), _sums(two, dg, len(w["in"]))
+        return g | {"m1": w["in"].T @ of_one, "m2": w["in"].T @ of_two, "in": of_one @ w["m1"].T + of_two @ w["m2"].T}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.w.values()])
+
+    def move(self, by: np.ndarray) -> None:
+        at = 0
+        for a in self.w.values():
+            a += by[at : at + a.size].reshape(a.shape).astype(a.dtype)
+            at += a.size
+
     def start_scoring(self) -> None:
         self.one, self.two = self.w["in"] @ self.w["m1"], self.w["in"] @ self.w["m2"]
 
@@ -316,9 +418,13 @@ class Model:
         y, slot = self.y[ids], self.slot[ids]
 
         def add(at, score: np.ndarray, true: np.ndarray) -> None:
-            score -= score.max(axis=1, keepdims=True)
             own = score[np.arange(len(score)), true]
-            out[at] += own - np.log(np.exp(score, out=score).sum(axis=1))
+            if max(score.max(), -score.min()) < 60:  # no exponential overflows or vanishes
+                out[at] += own - np.log(np.exp(score, out=score).sum(axis=1))
+                return
+            top = score.max(axis=1)
+            score -= top[:, None]
+            out[at] += own - top - np.log(np.exp(score, out=score).sum(axis=1))
 
         add(slice(None), guess @ self.w["out"].T + self.w["b"], y)
         order = np.argsort(y, kind="stable")
@@ -329,6 +435,66 @@ class Model:
         return out / np.log(10) + self.extra[ids]
 
 
+LEARNT = "chunk int, uid long, tokens long, moved binary"
+
+
+def _learn(shared, turn: int, tokens: int, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How far a task's share of a round's text moves the weights, and how many tokens that is. ``tokens``: of a task, about."""
+    batch = min(1 << 15, max(1 << 12, tokens // 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, adam = shared.value.learner(max(8, tokens // batch), rate)
+        first, n = None, 0
+        for k, (part, ids, _) in enumerate(_numbers(batches, batch)):
+            if k % ROUNDS != turn:
+                continue
+            first = part.column("uid")[0].as_py() if first is None else first
+            r = np.random.default_rng((first, turn, k))
+            one, two = _context(model.x[ids], model.end)
+            for x in range(0, len(ids), batch):
+                own = slice(x, x + batch)
+                adam.update(model.gradients(r, two[own], one[own], ids[own], batch=batch))
+            n += len(ids)
+        if n:
+            moved = model.flat() - shared.value.flat()
+            for k, x in enumerate(range(0, len(moved), _CHUNK)):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([first]), pa.array([n]), pa.array([moved[x : x + _CHUNK].tobytes()], pa.binary())], names=["chunk", "uid", "tokens", "moved"])
+
+    return run
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each chunk by tokens; rows come by chunk."""
+    chunk, total, n = None, np.zeros(0), 0
+
+    def mean() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([chunk], pa.int32()), pa.array([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["chunk", "tokens", "moved"])
+
+    for batch in batches:
+        for k, tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "moved")), strict=True):
+            if k != chunk:
+                if n:
+                    yield mean()
+                chunk, total, n = k, np.zeros(len(raw) // 4), 0
+            total += np.frombuffer(raw, dtype="<f4").astype(float) * tokens
+            n += tokens
+    if n:
+        yield mean()
+
+
+def learn_all(model: Model, texts: DataFrame, n_all: int, *, rate: float = 0.008) -> int:
+    """``texts`` (uid, ids) of all training documents, each token learnt once. Gives how many that were."""
+    spark, learnt = texts.sparkSession, 0
+    share = -(-n_all // max(1, texts.rdd.getNumPartitions()))
+    for turn in range(ROUNDS):
+        moved = texts.mapInArrow(_learn(spark.sparkContext.broadcast(model), turn, share // ROUNDS, rate), LEARNT)
+        means = moved.repartition("chunk").sortWithinPartitions("chunk", "uid").mapInArrow(_average, "chunk int, tokens long, moved binary").toArrow().sort_by("chunk")
+        if means.num_rows:
+            model.move(np.frombuffer(b"".join(means.column("moved").to_pylist()), dtype="<f4"))
+            learnt += means.column("tokens")[0].as_py()
+    return learnt
+
+
 SCORED = "uid long, doc_id long, n long, known long, counted double, model double"
 
 
@@ -358,7 +524,7 @@ def language_model_scores(docs: DataFrame, train_on, *, id_col: str = "doc_id",
     n_all, v_all, ends = total["n"] or 0, total["v"], total["ends"] or 0
     top = counts.filter((F.octet_length("word") <= 64) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").limit(frequent).toArrow()  # the bound
     words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(float)
-    letters = letter_classes(words[:4096])
+    letters = letters_of_all(counts, letter_classes(words[:4096])) if words else letter_classes(words)
     vectors = min(int((n >= LEAST).sum()), most_vectors)
     numbered = written(own.mapInArrow(_number(send((words, letters))), NUMBERED))
     texts = numbered.filter("word IS NULL")
@@ -373,6 +539,7 @@ def language_model_scores(docs: DataFrame, train_on, *, id_col: str = "doc_id",
     tokens, types = (np.zeros(LETTER_CLASSES) + (in_class[c].to_numpy(dtype=float) if len(in_class) else 0) for c in ("tokens", "types"))
     model = Model(around.reshape(-1, 2 * AROUND)[:vectors], n, class_by_letters(letters, words), tokens, types, ends)
     model.fit(draws)
+    learn_all(model, texts.filter("train").select("uid", "ids"), n_all)
     place = len(words) + LETTER_CLASSES
     log_count, known = np.zeros(place + 1), np.zeros(place + 1, dtype=np.int64)
     log_count[: len(words)], known[: len(words)] = np.log10(n + 1), 1

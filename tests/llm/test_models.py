@@ -162,6 +162,24 @@ def test_language_model_of_context():
     assert np.median(right - wrong) > 1.5
 
 
+def test_language_model_learns_all_text(spark):
+    """Without any draws on the driver, tasks learn which word follows which, from each token once."""
+    counts = np.full(200, 1200.0)
+    around = np.zeros((200, 2 * language_model.AROUND))
+    around[np.arange(200), np.arange(200) % (2 * language_model.AROUND)] = 9
+    none = np.zeros(language_model.LETTER_CLASSES)
+    model = language_model.Model(around, counts, np.zeros(200, dtype=int), none, none, 10)
+    text = np.append(np.arange(30_000) % 200, 200 + language_model.LETTER_CLASSES)
+    texts = spark.createDataFrame([(k, np.roll(text[:-1], k).tolist() + [int(text[-1])]) for k in range(8)], "uid long, ids array<int>").repartition(2)
+    raw = texts.rdd.map(lambda r: (r.uid, bytearray(np.array(r.ids, dtype="<i4").tobytes())))
+    n = 8 * len(text)
+    assert language_model.learn_all(model, spark.createDataFrame(raw, "uid long, ids binary"), n, rate=0.05) == n
+    model.start_scoring()
+    one = np.arange(200)
+    right, wrong = (model.log10((one - 1) % 200, one, (one + k) % 200) for k in (1, 5))
+    assert np.median(right - wrong) > 0.5
+
+
 @pytest.mark.parametrize("query", [toxicity.op4_toxicity, quality.op6_quality])
 def test_null_ids_and_empty_tables_in_queries(spark, tmp_path, query):
     """Rows without an id are scored and in no fold."""

@@ -1,7 +1,8 @@
 """Near-duplicate texts by the similarity of their shingle sets, over SimHash fingerprints.
 
+Pivot tables (``simhash.links``) bring together all fingerprints within 2 bits, none left out, and those that other links leave in different groups are verified.
 Fingerprints of texts at a similarity of 0.8 lie 10 bits apart on average and up to 20, where pivot coordinates
-discard nearly nothing. So here texts meet by shared least shingles: ``BANDS`` keys of ``ROWS`` least hashes each. A pair
+discard nearly nothing. So texts meet by shared least shingles too: ``BANDS`` keys of ``ROWS`` least hashes each. A pair
 at 0.8 has no key in common but once in 5,500. Pairs at more than ``FAR`` differing bits are discarded; for a pair at 0.8 that
 happens once in 5,000,000, and with four and five shingles, the worst case, once in 75,000. Survivors are verified on their whole sets, exactly.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from glossweave.llm.common import forget, groups, in_parts, own_columns, ship, written
 from glossweave.llm.components import components, spanning
-from glossweave.llm.simhash import fingerprints, shingle_hashes
+from glossweave.llm.simhash import fingerprints, links, shingle_hashes
 
 BANDS, ROWS, FAR = 12, 3, 26
 #: Nodes and shingles of a block.
@@ -169,6 +170,22 @@ def _across_groups(rows: DataFrame, key: str) -> DataFrame:
     return dealt.withColumn("block", F.explode(other)).drop("__large", "__a", "__b")
 
 
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b): all fingerprints of ``nodes`` (fp) within 2 bits, by pivot tables, and with a = b those of several nodes."""
+    each = nodes.groupBy("fp").agg(F.count("*").alias("n"))
+    return links(each.select("fp", F.col("fp").alias("rep"))).unionByName(each.filter("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+
+
+def close_strangers(nodes: DataFrame, close: DataFrame) -> DataFrame:
+    """``nodes`` (with fp and group) that a pair of ``close`` brings to a node of another group: with ``gid``, in which they meet. Pairs of groups are made first, so
+    a large group of near copies, of which each is close to many, gives no rows."""
+    groups_ = nodes.select("fp", "group").distinct()
+    side = lambda c: groups_.select(F.col("fp").alias(c), F.col("group").alias(f"{c}_group"))
+    apart = close.join(side("a"), "a").join(side("b"), "b").filter("a_group <> b_group AND (a <> b OR a_group < b_group)")
+    both = F.array(*[F.struct(F.col(c).alias("fp"), F.col(f"{c}_group").alias("group")) for c in ("a", "b")])
+    return apart.select(F.xxhash64("a", "a_group", "b", "b_group").alias("gid"), F.explode(both).alias("x")).select("gid", "x.*").join(nodes, ["fp", "group"])
+
+
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(node, component): the doc_ids that links of ``least`` or more lead to another, and the least doc_id of their group."""
     spark = docs.sparkSession
@@ -194,8 +211,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     packed = nodes.select(*node, F.posexplode("bands").alias("band", "key"))
     shared = packed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = written(packed.join(shared, "key"))
+    close = written(close_fingerprints(nodes))
+    by_pivots = nodes.join(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("rep")
     # whole texts are shuffled this once, and only those that meet others are kept
-    texts = written(own.join(live.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
+    texts = written(own.join(live.select("rep").unionByName(by_pivots).select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     known = live.groupBy("rep").agg(F.sum("n").alias("met"))
     lead = live.join(known, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), *node)).alias("top")).select("key", "top.*")
     led = live.join(lead.select("key", F.col("rep").alias("gid"), F.col("size").alias("lead_size")), "key")
@@ -205,14 +224,16 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = verified(led.unionByName(leaders))
     forget(led)
 
-    grouped = live.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component", "n")
-    grouped = written(grouped)
+    found = written(components(first).withColumnRenamed("node", "rep"))
+    in_groups = lambda df: df.join(found, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component", "n")
+    grouped = written(in_groups(live))
     forget(live)
     open_keys = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("key")
     rest = grouped.join(open_keys, "key").join(nodes.select("rep", "name", "fp", "bands"), ["rep", "name"]).withColumnRenamed("key", "gid")
     meeting = _across_groups(rest, "gid").repartition(parts, "gid", "block").sortWithinPartitions("gid", "block")
-    second = verified(meeting.mapInArrow(_meeting(least), MEET))
-    forget(grouped, nodes, texts)
+    strangers = _across_groups(close_strangers(in_groups(nodes.select("fp", *node)), close), "gid").select(*[x.split()[0] for x in MEET.split(", ")])
+    second = verified(meeting.mapInArrow(_meeting(least), MEET).unionByName(strangers))
+    forget(grouped, nodes, texts, close, found)
     found = components(copies.unionByName(first).unionByName(second))
     forget(first, second, copies)
     return found

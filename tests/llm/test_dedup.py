@@ -336,3 +336,26 @@ def test_strangers_in_the_key_of_a_large_group(spark, monkeypatch):
                     seen.add((x["rep"], y["rep"]))
     assert seen == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2]}
     assert sum(x["gid"] == 1 for x in met) <= 300 + 5 * (300 // 16 + 3)
+
+
+def test_near_texts_by_pivots_alone(spark, monkeypatch):
+    """Texts whose fingerprints lie within 2 bits meet by the pivot tables, also if they share no key of least shingles."""
+    words = [f"w{k}" for k in range(4000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(words[::-1])), (4, " ".join(["an", *words[1:]]))], "doc_id long, text string")
+    monkeypatch.setattr(near_texts, "_sketch", _without_keys(near_texts._sketch))
+    assert {tuple(x) for x in similar_components(docs).collect()} == {(1, 1), (2, 1), (4, 1)}
+
+
+def _without_keys(sketch):
+    def of(size):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for part in sketch(size)(batches):
+                keys = [np.arange(12) + 100 * i for i in part.column("doc_id").to_pylist()]
+                yield part.set_column(part.schema.get_field_index("bands"), "bands", pa.array(keys, pa.list_(pa.int64())))
+
+        return run
+
+    return of

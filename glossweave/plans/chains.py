@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossweave.operators import chain
 from glossweave.plans.catalogue import _SEG, _docs, _segments, query
+from glossweave.sources import derived
 
 _EV = {
     "evidence_id": "'E' || doc_id || '-' || seg_idx", "source_id": "CASE WHEN seg_idx % 11 = 3 THEN 'gone' ELSE 'S' || doc_id END", "source_hash": "CASE WHEN seg_idx % 13 = 4 THEN 'x' ELSE 'h' || doc_id END", "evidence_type": "CASE WHEN seg_idx % 7 = 5 THEN 'metadata_only' ELSE 'quote' END",
@@ -23,6 +24,11 @@ sn AS (SELECT doc_id, 'sec-' || doc_id || '-' || k AS section_id, k, CASE WHEN k
 su AS (SELECT claim_id, source_id AS own, unnest(supports) AS evidence_id FROM lc), ga AS (SELECT claim_id, unnest(literature_claims) AS lcid FROM gc), ge AS (SELECT claim_id, unnest(literature_evidence) AS evidence_id FROM gc)"""
 
 
+def _dealt(spark, d):
+    docs = derived.table(spark, d, "documents")
+    return lambda df, *keys: derived.dealt(df, docs, *keys)
+
+
 def _tables(spark, d):
     docs, segs = _docs(spark, d), _segments(spark, d)
     sources = docs.selectExpr("'S' || doc_id AS source_id", "'h' || doc_id AS content_hash")
@@ -46,7 +52,7 @@ UNION ALL SELECT 'argument_plan_source_id_without_grounding', claim_id, evidence
 UNION ALL SELECT 'global_claim_literature_support_mismatch', claim_id, evidence_id FROM ge WHERE evidence_id IN (SELECT evidence_id FROM ev) AND NOT EXISTS (SELECT 1 FROM ga JOIN su ON su.claim_id = lcid WHERE ga.claim_id = ge.claim_id AND su.evidence_id = ge.evidence_id)
 UNION ALL SELECT 'global_claim_missing_literature_grounding', claim_id, support_category FROM gc WHERE support_category <> 'project' AND (len(literature_claims) = 0 OR len(literature_evidence) = 0)""")
 def literature_chain_violations(spark, d):
-    return chain.chain_violations(*_tables(spark, d)[:5])
+    return chain.chain_violations(*_tables(spark, d)[:5], deal=_dealt(spark, d))
 
 
 @query(f"""{_CHAIN}, re AS (SELECT DISTINCT lc.source_id, ga.claim_id FROM lc JOIN ga ON lcid = lc.claim_id), pl AS (SELECT DISTINCT source_id, section_id FROM re JOIN (SELECT section_id, unnest(claims) AS claim_id FROM sn) USING (claim_id))
@@ -69,14 +75,14 @@ UNION ALL SELECT doc_id, section_id, 'case', case_id FROM bs UNION ALL SELECT ss
 UNION ALL SELECT DISTINCT al.doc_id, section_id, 'literature_claim', unnest(lcs) FROM al JOIN cl USING (doc_id, claim_id) UNION ALL SELECT DISTINCT al.doc_id, section_id, 'literature_evidence', unnest(les) FROM al JOIN cl USING (doc_id, claim_id)
 UNION ALL SELECT DISTINCT x.doc_id, section_id, 'literature_source', source_id FROM (SELECT al.doc_id, section_id, unnest(les) AS e FROM al JOIN cl USING (doc_id, claim_id)) x JOIN ev ON e = evidence_id""")
 def closed_outlines(spark, d):
-    segs = _segments(spark, d)
+    segs, deal = _segments(spark, d), _dealt(spark, d)
     claims = segs.selectExpr("doc_id", "'C' || doc_id || '-' || seg_idx AS claim_id", "seg_idx % 4 AS of", "CASE WHEN seg_idx % 5 = 4 THEN CAST(array() AS array<string>) ELSE array_distinct(array('K' || doc_id || '-' || (seg_idx % 6), 'K' || doc_id || '-' || (seg_idx % 4))) END AS cases", "array('LC' || doc_id || '-' || seg_idx) AS literature_claims", "array('E' || doc_id || '-' || seg_idx) AS literature_evidence")
     cases = segs.selectExpr("doc_id", "'K' || doc_id || '-' || (seg_idx % 9) AS case_id", "seg_idx % 9 = 7 AS synthetic").distinct()
     docs = segs.select("doc_id").distinct()
-    planned = claims.filter("of < 2").groupBy("doc_id", F.col("of").alias("pos")).agg(F.collect_list("claim_id").alias("claims"))
+    planned = deal(claims.filter("of < 2").select("doc_id", "of", "claim_id"), "doc_id", "of").groupBy("doc_id", F.col("of").alias("pos")).agg(F.collect_list("claim_id").alias("claims"))
     none = F.array().cast("array<string>")
-    sections = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")).join(planned, ["doc_id", "pos"], "left")
+    sections = deal(docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")), "doc_id", "pos").join(planned, ["doc_id", "pos"], "left")
     first = cases.filter("NOT synthetic AND case_id LIKE '%-0'").select("doc_id", F.lit(0).alias("pos"), F.array("case_id").alias("cases"))
     sections = sections.join(first, ["doc_id", "pos"], "left").select("doc_id", F.concat_ws("-", F.lit("sec"), "doc_id", "pos").alias("section_id"), "pos", F.coalesce("claims", none).alias("claims"), F.coalesce("cases", none).alias("cases"))
     questions = docs.select("doc_id", F.explode(F.array(F.lit("q0"), F.lit("q1"))).alias("rq"))
-    return chain.closed_outline(sections, claims.drop("of"), questions, cases, _tables(spark, d)[2].select("evidence_id", "source_id"))
+    return chain.closed_outline(sections, claims.drop("of"), questions, cases, _tables(spark, d)[2].select("evidence_id", "source_id"), deal=deal)

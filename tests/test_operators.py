@@ -172,3 +172,23 @@ def test_caps_within_segments_without_a_shuffle(spark):
     each = listed.select("doc_id", "seg_idx", F.posexplode("annotations").alias("pos", "x")).select("doc_id", "seg_idx", "pos", "x.*")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sequence.caps(each, {"rare": 3, "hard": 2}).collect()))
     assert {r["span"] for r in found.collect()} == {"a", "c", "f", "b", "d"}
+
+
+def test_chain_is_dealt_by_the_keys_of_its_joins(spark):
+    from glossweave.operators import chain
+
+    texts = "array<string>"
+    sections = spark.createDataFrame([(1, "s0", 0, ["C1"], ["K1"]), (1, "s1", 1, [], [])], f"doc_id long, section_id string, pos int, claims {texts}, cases {texts}")
+    claims = spark.createDataFrame([(1, "C1", ["K2"], ["L1"], ["E1"]), (1, "C2", [], ["L2"], ["E1"])], f"doc_id long, claim_id string, cases {texts}, literature_claims {texts}, literature_evidence {texts}")
+    questions = spark.createDataFrame([(1, "q0")], "doc_id long, rq string")
+    cases = spark.createDataFrame([(1, "K1", False), (1, "K2", False), (1, "K3", True)], "doc_id long, case_id string, synthetic boolean")
+    evidence = spark.createDataFrame([("E1", "S1")], "evidence_id string, source_id string")
+    met = []
+
+    def deal(df, *keys):
+        met.append(keys)
+        return df.repartition(3, *keys)
+
+    plain, dealt = chain.closed_outline(sections, claims, questions, cases, evidence), chain.closed_outline(sections, claims, questions, cases, evidence, deal=deal)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
+    assert {("doc_id", "ref"), ("doc_id", "case_id"), ("doc_id", "claim"), ("ref",)} <= set(met)

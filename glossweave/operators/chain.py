@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Deal = Callable[..., DataFrame]
 
 
-def _as_they_are(df: DataFrame, *keys: str) -> DataFrame:
+def as_they_are(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
@@ -33,7 +33,7 @@ def _known(df: DataFrame, c: str, name: str) -> DataFrame:
     return df.select(F.col(c).alias(name)).distinct()
 
 
-def chain_violations(sources: DataFrame, blocks: DataFrame, evidence: DataFrame, claims: DataFrame, global_claims: DataFrame, *, deal: Deal = _as_they_are) -> DataFrame:
+def chain_violations(sources: DataFrame, blocks: DataFrame, evidence: DataFrame, claims: DataFrame, global_claims: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """(type, subject, ref): each broken link, with what it belongs to and what it names."""
     c = F.col
 
@@ -81,7 +81,7 @@ def lineage(sources: DataFrame, evidence: DataFrame, claims: DataFrame, global_c
     return out.fillna(0)
 
 
-def closed_outline(sections: DataFrame, claims: DataFrame, questions: DataFrame, cases: DataFrame, evidence: DataFrame, *, deal: Deal = _as_they_are) -> DataFrame:
+def closed_outline(sections: DataFrame, claims: DataFrame, questions: DataFrame, cases: DataFrame, evidence: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """(doc_id, section_id, kind, ref): an outline in which nothing is lost.
 
     sections(doc_id, section_id, pos, claims, cases), claims(doc_id, claim_id, cases, literature_claims, literature_evidence), questions(doc_id, rq), cases(doc_id, case_id, synthetic), evidence(evidence_id, source_id). Every section has all

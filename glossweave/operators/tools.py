@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from glossweave.functions.python import _tolerant
 from glossweave.functions.text import term_matches
+from glossweave.operators.chain import Deal, as_they_are
+from glossweave.operators.numbering import kept
 from glossweave.shipping import ship
 
 #: What may be asked for, how much at once, and how large an answer may be.
@@ -62,15 +64,17 @@ class _Requests:
             )
 
 
-def asked(payloads: DataFrame) -> DataFrame:
-    """payloads(job, round, payload, blind) with their requests, by a table function and a lateral join. ``n`` numbers distinct requests in the order in which a job first makes them, ``deduped`` marks repeats."""
+def asked(payloads: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
+    """payloads(job, round, payload, blind) with their requests, by a table function and a lateral join. ``n`` numbers distinct requests in the order in which a job first makes them, ``deduped`` marks repeats.
+    They are kept: answers read them ten times, and each would parse the payloads anew."""
     spark = payloads.sparkSession
     ship(spark)
     spark.udtf.register("evidence_requests_of", F.udtf(_Requests, returnType=_ASKED))
     each = spark.sql("SELECT p.job, p.round, p.blind, r.* FROM {p} AS p, LATERAL evidence_requests_of(p.payload) AS r", p=payloads)
     at = F.struct("round", "pos")
-    met = each.withColumn("first", F.min(at).over(Window.partitionBy("job", "tool", "arguments"))).withColumn("n", F.dense_rank().over(Window.partitionBy("job").orderBy("first")))
-    return met.withColumn("deduped", F.col("first") != at).drop("first")
+    # one shuffle: rows that lie by job serve both windows
+    met = deal(each, "job").withColumn("first", F.min(at).over(Window.partitionBy("job", "tool", "arguments"))).withColumn("n", F.dense_rank().over(Window.partitionBy("job").orderBy("first")))
+    return kept(met.withColumn("deduped", F.col("first") != at).drop("first"))
 
 
 def _text(c: str) -> Column:
@@ -87,7 +91,7 @@ def _segment(history: bool = False) -> Column:
     return F.when(F.col("blind"), F.to_json(blind)).otherwise(F.to_json(whole))
 
 
-def answered(requests: DataFrame, segments: DataFrame, glossary: DataFrame, profiles: DataFrame, digests: DataFrame, findings: DataFrame) -> DataFrame:
+def answered(requests: DataFrame, segments: DataFrame, glossary: DataFrame, profiles: DataFrame, digests: DataFrame, findings: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """``asked`` requests, each distinct one once, with ``evidence_id`` and ``result`` as JSON.
 
     segments(job, seg_idx, text, target, initial_target, accepted_target, candidate, target_provenance, reviewed, from_tm); glossary(id, source, entry, pos), profiles(job, profile, synopsis), digests(job, unit_id, start_segment, end_segment, digest, pos) and
@@ -97,42 +101,42 @@ def answered(requests: DataFrame, segments: DataFrame, glossary: DataFrame, prof
     once = requests.filter("NOT deduped").drop("deduped", "round", "pos")
     ok = once.filter("problem IS NULL")
     sizes = segments.groupBy("job").agg((F.max("seg_idx") + 1).alias("size"))
-    placed = ok.join(sizes, "job")
+    placed = deal(ok, "job").join(sizes, "job")
     there = c("segment_id").between(0, c("size") - 1)
     single = placed.filter(c("tool").isin("get_segment", "get_translation_history") & there).select(*key, "tool", "blind", c("segment_id").cast("int").alias("seg_idx"))
     lo, hi = F.greatest(c("segment_id") - c("before"), F.lit(0)), F.least(c("segment_id") + c("after"), c("size") - 1)
     near = placed.filter((c("tool") == "get_neighbors") & there & c("before").isNotNull()).select(*key, "tool", "blind", F.explode(F.filter(F.sequence(lo, hi), lambda x: x != c("segment_id"))).alias("seg_idx")).withColumn("seg_idx", c("seg_idx").cast("int"))
-    held = ok.filter((c("tool") == "find_occurrences") & c("expression").isNotNull()).join(segments.select("job", "seg_idx", "text"), "job").filter(term_matches(c("expression"), c("text")))
+    held = deal(ok.filter((c("tool") == "find_occurrences") & c("expression").isNotNull()), "job").join(segments.select("job", "seg_idx", "text"), "job").filter(term_matches(c("expression"), c("text")))
     held = held.groupBy(*key, "tool", "blind", "selectors").agg(F.array_sort(F.collect_list("seg_idx")).alias("at"))
     n = F.size("at")
     chosen = F.array_compact(F.array(*[F.when(F.array_contains("selectors", name), F.get("at", at)) for name, at in (("first", F.lit(0)), ("middle", F.floor(n / 2).cast("int")), ("last", n - 1))]))
     found = held.select(*key, "tool", "blind", F.explode(F.array_distinct(chosen)).alias("seg_idx"))
-    texts = single.unionByName(near).unionByName(found).join(segments, ["job", "seg_idx"])
+    texts = deal(single.unionByName(near).unionByName(found), "job", "seg_idx").join(segments, ["job", "seg_idx"])
     texts = texts.select(*key, "tool", "seg_idx", F.when(c("tool") == "get_translation_history", _segment(True)).otherwise(_segment()).alias("part"))
-    parts = texts.groupBy(*key, "tool").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "part"))), lambda x: x["part"]), ",").alias("parts"))
+    parts = deal(texts, *key).groupBy(*key, "tool").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "part"))), lambda x: x["part"]), ",").alias("parts"))
     of_texts = parts.select(*key, F.when(c("tool").isin("get_neighbors", "find_occurrences"), F.concat(F.lit("["), "parts", F.lit("]"))).otherwise(c("parts")).alias("result"))
 
     terms = ok.filter("tool = 'get_term'")
     by_id = terms.join(glossary, c("term_id") == c("id")).select(*key, "entry", glossary["pos"])
     by_source = terms.join(glossary.withColumnRenamed("source", "__source"), F.lower("term_source") == F.lower("__source")).select(*key, "entry", glossary["pos"])
     of_terms = by_id.unionByName(by_source).groupBy(*key).agg(F.min_by("entry", "pos").alias("result"))
-    of_documents = ok.filter(c("tool").isin("get_document_profile", "get_document_synopsis")).join(profiles, "job").select(*key, F.when(c("tool") == "get_document_profile", c("profile")).otherwise(c("synopsis")).alias("result"))
+    of_documents = deal(ok.filter(c("tool").isin("get_document_profile", "get_document_synopsis")), "job").join(profiles, "job").select(*key, F.when(c("tool") == "get_document_profile", c("profile")).otherwise(c("synopsis")).alias("result"))
     fits = (c("section_id") == c("unit_id")) | c("segment_id").between(c("start_segment"), c("end_segment"))
-    of_sections = ok.filter("tool = 'get_section_digest'").join(digests, "job").filter(fits).groupBy(*key).agg(F.min_by("digest", digests["pos"]).alias("result"))
-    told = ok.filter("tool = 'get_findings' AND NOT blind").join(findings, "job").filter(c("any_segment") | (c("segment_id") == c("seg_idx")))
+    of_sections = deal(ok.filter("tool = 'get_section_digest'"), "job").join(digests, "job").filter(fits).groupBy(*key).agg(F.min_by("digest", digests["pos"]).alias("result"))
+    told = deal(ok.filter("tool = 'get_findings' AND NOT blind"), "job").join(findings, "job").filter(c("any_segment") | (c("segment_id") == c("seg_idx")))
     of_findings = told.groupBy(*key).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(findings["pos"], "finding"))), lambda x: x["finding"]), ","), F.lit("]")).alias("result"))
 
     results = of_texts.unionByName(of_terms).unionByName(of_documents).unionByName(of_sections).unionByName(of_findings)
     empty = F.when(c("problem").isNotNull(), F.concat(F.lit('{"error":"'), F.when(c("problem") == "tool", F.concat(F.lit("unknown tool "), "tool")).otherwise(F.concat(F.lit("malformed "), "problem")), F.lit('"}'))).when(c("tool").isin("get_neighbors", "find_occurrences", "get_findings"), "[]").otherwise("{}")
     size = F.octet_length("result")
     withheld = F.concat(F.lit('{"error":"evidence is too large","payload_bytes":'), size.cast("string"), F.lit(f',"max_bytes":{MAX_BYTES}}}'))
-    own = once.join(results, key, "left").withColumn("result", F.coalesce("result", empty))
+    own = deal(once, *key).join(results, key, "left").withColumn("result", F.coalesce("result", empty))
     return own.select("job", F.concat(F.lit("E"), "n").alias("evidence_id"), "n", "tool", "arguments", "blind", F.when(size > MAX_BYTES, withheld).otherwise(c("result")).alias("result"))
 
 
-def trace(requests: DataFrame, answers: DataFrame) -> DataFrame:
+def trace(requests: DataFrame, answers: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """Every request in its round, repeats too, with the evidence that it got, and whether its job's review has failed: on a malformed payload, or by asking in a later round than the first."""
     c = F.col
-    bad = requests.groupBy("job").agg(F.bool_or(c("problem").isin("payload", "requests") | ((c("round") > 0) & c("tool").isNotNull())).alias("failed"))
-    met = requests.join(answers.select("job", "n", "evidence_id", "result"), ["job", "n"]).join(bad, "job")
+    bad = deal(requests, "job").groupBy("job").agg(F.bool_or(c("problem").isin("payload", "requests") | ((c("round") > 0) & c("tool").isNotNull())).alias("failed"))
+    met = deal(deal(requests, "job", "n").join(answers.select("job", "n", "evidence_id", "result"), ["job", "n"]), "job").join(bad, "job")
     return met.select("job", "round", "pos", "evidence_id", "tool", "deduped", "result", F.coalesce("failed", F.lit(False)).alias("failed"))

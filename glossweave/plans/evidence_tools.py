@@ -75,13 +75,13 @@ aw AS (SELECT job, 'E' || n AS evidence_id, n, w, tool, blind, CASE WHEN strlen(
 
 @query(f"{_TOOLS_SQL} SELECT job, evidence_id, tool, blind, md5(result) AS result_hash, strlen(result) AS n_bytes FROM aw")
 def evidence_answers(spark, d):
-    payloads, *rest = _inputs(spark, d)
-    found = tools.answered(tools.asked(payloads), *rest)
+    (payloads, *rest), deal = _inputs(spark, d), derived.dealt_by(derived.table(spark, d, "documents"))
+    found = tools.answered(tools.asked(payloads, deal=deal), *rest, deal=deal)
     return found.select("job", "evidence_id", "tool", "blind", F.md5("result").alias("result_hash"), F.octet_length("result").cast("long").alias("n_bytes"))
 
 
 @query(f"{_TOOLS_SQL} SELECT job, pos, evidence_id, aw.tool, pos > first AS deduped, false AS failed, contains(result, 'too large') AS withheld FROM rq JOIN dq USING (job, w) JOIN aw USING (job, w) UNION ALL SELECT job, 0, evidence_id, tool, false, true, false FROM aw WHERE w IS NULL")
 def evidence_trace(spark, d):
-    payloads, *rest = _inputs(spark, d)
-    asked = tools.asked(payloads)
-    return tools.trace(asked, tools.answered(asked, *rest)).select("job", "pos", "evidence_id", "tool", "deduped", "failed", F.contains("result", F.lit("too large")).alias("withheld"))
+    (payloads, *rest), deal = _inputs(spark, d), derived.dealt_by(derived.table(spark, d, "documents"))
+    asked = tools.asked(payloads, deal=deal)
+    return tools.trace(asked, tools.answered(asked, *rest, deal=deal), deal=deal).select("job", "pos", "evidence_id", "tool", "deduped", "failed", F.contains("result", F.lit("too large")).alias("withheld"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +31,18 @@ def spread(df: DataFrame) -> DataFrame:
 PARTS_OF_A_SPLIT = 8
 
 
-def dealt(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, source: DataFrame, *keys: str, of_a_split: int = PARTS_OF_A_SPLIT) -> DataFrame:
     """``df`` by its keys in parts that grow in number with the table ``source`` that it comes from, so that a task's share of a join or a window stays as it is. Where Spark's number of shuffle partitions is
     enough for that, it is left to Spark."""
-    parts = PARTS_OF_A_SPLIT * source.rdd.getNumPartitions()
+    parts = of_a_split * source.rdd.getNumPartitions()
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def dealt_by(source: DataFrame) -> Callable[..., DataFrame]:
+    """``dealt`` with its source, as operators take it that join often: with fewer and larger parts, as each costs every join a task."""
+    return lambda df, *keys: dealt(df, source, *keys, of_a_split=2)
+
+
 def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~x.rlike(ORNAMENT))

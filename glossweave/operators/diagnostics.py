@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.operators.chain import Deal, as_they_are
 from glossweave.operators.records import described
 from glossweave.operators.reports import KEY, MARKERS, references
 
@@ -123,43 +124,43 @@ def described_revisions(sections: DataFrame, plan: DataFrame, cases: DataFrame,
     return invented.unionByName(lost.select(*KEY, F.lit("described_revision_not_in_stored_delta").alias("type"), F.concat("old", F.lit("→"), "new").alias("ref")))
 
 
-def question_matrix(plan: DataFrame, questions: DataFrame, claims: DataFrame) -> DataFrame:
+def question_matrix(plan: DataFrame, questions: DataFrame, claims: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """Per report and question (doc_id, rq): how many claims answer to it and how many sections develop it; ``claims`` (claim_id, rq)."""
-    planned = plan.filter("kind = 'claim'").select("doc_id", F.col("ref").alias("claim_id")).distinct().join(claims, "claim_id").groupBy("doc_id", "rq").agg(F.count("*").alias("n_claims"))
-    developed = plan.filter("kind = 'rq'").select("doc_id", F.col("ref").alias("rq"), "seg_idx").distinct().groupBy("doc_id", "rq").agg(F.count("*").alias("n_sections"))
-    both = questions.join(planned, ["doc_id", "rq"], "left").join(developed, ["doc_id", "rq"], "left").fillna({"n_claims": 0, "n_sections": 0})
+    planned = deal(plan.filter("kind = 'claim'").select("doc_id", F.col("ref").alias("claim_id")), "doc_id").distinct().join(claims, "claim_id").groupBy("doc_id", "rq").agg(F.count("*").alias("n_claims"))
+    developed = deal(plan.filter("kind = 'rq'").select("doc_id", F.col("ref").alias("rq"), "seg_idx"), "doc_id", "rq").distinct().groupBy("doc_id", "rq").agg(F.count("*").alias("n_sections"))
+    both = deal(questions, "doc_id", "rq").join(planned, ["doc_id", "rq"], "left").join(developed, ["doc_id", "rq"], "left").fillna({"n_claims": 0, "n_sections": 0})
     reason = F.when(F.col("n_claims") == 0, "no_claim").when(F.col("n_sections") == 0, "no_section")
     return both.withColumn("answered", reason.isNull()).withColumn("reason", reason)
 
 
-def repeats(sections: DataFrame) -> DataFrame:
+def repeats(sections: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """(doc_id, type, ref, n): paragraphs that stand in several sections, and cases and claims that several sections name."""
     text = F.substring(F.trim(F.regexp_replace("paragraph", r"\s+", " ")), 1, 400)
-    same = paragraphs(sections).select("doc_id", "seg_idx", F.sha2(text, 256).alias("ref")).groupBy("doc_id", "ref").agg(F.countDistinct("seg_idx").alias("n")).filter("n > 1").withColumn("type", F.lit("duplicate_paragraph"))
+    same = deal(paragraphs(sections).select("doc_id", "seg_idx", F.sha2(text, 256).alias("ref")), "doc_id", "ref").groupBy("doc_id", "ref").agg(F.countDistinct("seg_idx").alias("n")).filter("n > 1").withColumn("type", F.lit("duplicate_paragraph"))
     named = references(sections).filter("kind IN ('case', 'synthetic', 'claim')").withColumn("type", F.when(F.col("kind") == "claim", "duplicate_claim").otherwise("duplicate_case_analysis"))
-    often = named.groupBy("doc_id", "type", "ref").agg(F.countDistinct("seg_idx").alias("n")).filter("n > 1")
+    often = deal(named, "doc_id", "type", "ref").groupBy("doc_id", "type", "ref").agg(F.countDistinct("seg_idx").alias("n")).filter("n > 1")
     return same.unionByName(often, allowMissingColumns=True)
 
 
-def untraced(sections: DataFrame) -> DataFrame:
-    """Sentences of a report's last section that no marker in their paragraph ties to evidence; (doc_id, seg_idx, sentence)."""
-    last = sections.groupBy("doc_id").agg(F.max("seg_idx").alias("seg_idx"))
-    own = paragraphs(sections.join(last, KEY)).filter(~F.col("paragraph").rlike(r"^\s*#{1,6}\s+"))
+def untraced(sections: DataFrame, *, last: Column | None = None) -> DataFrame:
+    """Sentences of a report's last section that no marker in their paragraph ties to evidence; (doc_id, seg_idx, sentence). Where the rows say which section is the ``last``, no text moves."""
+    ends = sections.filter(last) if last is not None else sections.join(sections.groupBy("doc_id").agg(F.max("seg_idx").alias("seg_idx")), KEY)
+    own = paragraphs(ends).filter(~F.col("paragraph").rlike(r"^\s*#{1,6}\s+"))
     bare = reduce(Column.__and__, [~F.col("paragraph").rlike(MARKERS[k]) for k in ("claim", "rq", "case", "source", "lit_claim")]) & ~F.col("paragraph").rlike("<!--(?:stat|cite):")
     sentence = F.trim(F.regexp_replace("s", r"\s+", " "))
     each = own.filter(bare).select(*KEY, F.explode(F.split(F.regexp_replace("paragraph", "(?s)<!--.*?-->", ""), r"(?<=[。！？；!?;])\s*")).alias("s")).select(*KEY, sentence.alias("sentence"))
     return each.filter(F.length("sentence") >= 12).withColumn("sentence", F.substring("sentence", 1, 160))
 
 
-def unused_evidence(cases: DataFrame, sections: DataFrame) -> DataFrame:
+def unused_evidence(cases: DataFrame, sections: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """cases(doc_id, ref, severe, changed, repair, terms): whether the report uses each, and what of worth an unused one has."""
-    used = references(sections).filter("kind IN ('case', 'synthetic')").select("doc_id", "ref").distinct().withColumn("used", F.lit(True))
+    used = deal(references(sections).filter("kind IN ('case', 'synthetic')").select("doc_id", "ref"), "doc_id", "ref").distinct().withColumn("used", F.lit(True))
     own = cases.join(used, ["doc_id", "ref"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
     worth = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("severe", "changed", "repair", "terms")]))
     return own.withColumn("unused", F.when(F.col("used"), F.array().cast("array<string>")).otherwise(worth)).withColumn("high_value_unused", F.size("unused") > 0)
 
 
-def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: DataFrame, cases: DataFrame, utilisation: DataFrame, trace: DataFrame, repeated: DataFrame, assertions: DataFrame, *, literature: bool) -> DataFrame:
+def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: DataFrame, cases: DataFrame, utilisation: DataFrame, trace: DataFrame, repeated: DataFrame, assertions: DataFrame, *, literature: bool, deal: Deal = as_they_are) -> DataFrame:
     """Findings that the diagnostics of reports give, (doc_id, type, dimension, severity, priority, section_id, claim_id, case_id, repair_action, evidence, pos).
 
     matrix as of ``question_matrix``; plan(doc_id, seg_idx, kind, ref); claims(doc_id, claim_id) of all reports; sections(doc_id, seg_idx, body); cases(doc_id, case_id, class, synthetic, revision); and what
@@ -173,8 +174,8 @@ def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: D
         out = df.select("doc_id", col(kind).alias("type"), col(dimension).alias("dimension"), col(severity).alias("severity"), col(priority).alias("priority"), text(section_id).alias("section_id"), text(claim_id).alias("claim_id"), text(case_id).alias("case_id"), F.lit(action).alias("repair_action"), text(evidence).alias("evidence"))
         return out.withColumn("pos", F.concat_ws("|", "type", "section_id", "claim_id", "case_id", "evidence"))
 
-    placed = plan.filter("kind = 'claim'").select("doc_id", c("ref").alias("claim_id")).distinct()
-    asked = plan.filter("kind = 'rq'").select(*KEY).distinct()
+    placed = deal(plan.filter("kind = 'claim'").select("doc_id", c("ref").alias("claim_id")), "doc_id", "claim_id").distinct()
+    asked = deal(plan.filter("kind = 'rq'").select(*KEY), *KEY).distinct()
     of_case = (
         F.when(c("synthetic") & (c("class") == "weak_case"), "ineligible_synthetic_case_used").when(~c("synthetic") & ~c("revision"), "non_revision_case_used_as_revision_analysis")
         .when(c("class").isin("weak_case", "redundant_case", "misaligned_case"), c("class"))
@@ -189,8 +190,8 @@ def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: D
     return reduce(
         DataFrame.unionByName,
         (
-            rule(matrix.filter(~c("answered")), "research_question_unanswered", "research_alignment", "high", "P1", claim_id="rq"), rule(claims.join(placed, ["doc_id", "claim_id"], "left_anti"), "orphan_claim", "research_alignment", "medium", "P1", claim_id="claim_id"),
-            rule(sections.join(asked, KEY, "left_anti"), "section_without_research_question", "research_alignment", "low", "P3", section_id=section),
+            rule(matrix.filter(~c("answered")), "research_question_unanswered", "research_alignment", "high", "P1", claim_id="rq"), rule(deal(claims, "doc_id", "claim_id").join(placed, ["doc_id", "claim_id"], "left_anti"), "orphan_claim", "research_alignment", "medium", "P1", claim_id="claim_id"),
+            rule(deal(sections.select(*KEY), *KEY).join(asked, KEY, "left_anti"), "section_without_research_question", "research_alignment", "low", "P3", section_id=section),
             rule(bad, kind, F.when(kind == "redundant_case", "redundancy").otherwise("case_quality"), F.when(grave, "critical").when(kind == "misaligned_case", "high").otherwise("medium"), F.when(grave | (kind == "misaligned_case"), "P1").otherwise("P2"), case_id="case_id", action="replace_case"),
             rule(utilisation.filter("high_value_unused"), "high_value_evidence_unused", "evidence_utilization", "medium", "P2", case_id="ref"), rule(trace, "conclusion_without_trace", "conclusion_discipline", "low", "P3", section_id=section, evidence=c("sentence")),
             rule(repeated, c("type"), "cross_section_coherence", again, "P2", claim_id=ref("duplicate_claim"), case_id=ref("duplicate_case_analysis"), evidence=ref("duplicate_paragraph")),
@@ -200,6 +201,13 @@ def diagnosed(matrix: DataFrame, plan: DataFrame, claims: DataFrame, sections: D
     )
 
 
+def counted(findings: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
+    """(type, priority, severity, n, n_docs): findings of each kind, and the reports that have some. Each report's are counted first, so that no task holds all reports of a kind."""
+    kind = ["type", "priority", "severity"]
+    each = deal(findings.select(*kind, "doc_id"), *kind, "doc_id").groupBy(*kind, "doc_id").agg(F.count("*").alias("n"))
+    return each.groupBy(*kind).agg(F.sum("n").alias("n"), F.count("doc_id").alias("n_docs"))
+
+
 def prioritized(findings: DataFrame, *, prefix: str = "AQ") -> DataFrame:
     """Per report, numbered in the order of priority, severity, section and case; unknown values come last."""
     place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)), F.lit(len(names)))

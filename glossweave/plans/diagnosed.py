@@ -9,7 +9,7 @@ from glossweave.operators.diagnostics import THEORY
 from glossweave.operators.matching import term_matches_in
 from glossweave.plans import qualities, studies
 from glossweave.plans.catalogue import _CLASSES, _G, _HITS, _PAIRS, _STRIPPED, SQL, _docs, _named, _pairs, _segments, _sentences, query
-from glossweave.plans.qualities import _P, _spoken
+from glossweave.plans.qualities import _P, _SPOKEN
 from glossweave.plans.studies import _BASE, _CLASS
 from glossweave.sources import derived, jobs, reports
 
@@ -28,18 +28,23 @@ UNION ALL SELECT doc_id, type, CASE type WHEN 'case_to_general_rule_overreach' T
 UNION ALL SELECT doc_id, 'theory_name_dropping', 'theory_case_fit', 'medium', 'P1', 's' || seg_idx, NULL, NULL, 'rewrite', unnest(regexp_extract_all(body, '{THEORY}')) FROM sec)"""
 
 
+def _dealt(spark, d):
+    return derived.dealt_by(derived.table(spark, d, "documents"))
+
+
 def _diagnosed(spark, d):
-    segs, spoken, docs = _segments(spark, d), _spoken(spark, d), _docs(spark, d)
+    segs, docs, deal = _segments(spark, d), _docs(spark, d), _dealt(spark, d)
+    spoken = derived.segments(derived.table(spark, d, "documents").select("doc_id", "text"), last="last").selectExpr("doc_id", "seg_idx", f"{_SPOKEN} AS body", "last")
     plan = reports.plan(segs)
     questions = docs.select("doc_id", F.explode(F.array(*[F.lit(f"q{k}") for k in range(4)])).alias("rq"))
-    matrix = diagnostics.question_matrix(plan, questions, reports.registry(spark, qualities._CLAIM_RQ, "claim_id string, rq string"))
+    matrix = diagnostics.question_matrix(plan, questions, reports.registry(spark, qualities._CLAIM_RQ, "claim_id string, rq string"), deal=deal)
     claims = docs.select("doc_id", F.explode(F.array(*map(F.lit, ("c0", "c1", "c2", "c3", "c9")))).alias("claim_id"))
     own = cases.signals(studies._rows(spark, d)).withColumn("class", cases.case_class((F.col("conv_id") + F.col("seg_idx")) % 5 != 0))
     own = own.selectExpr("conv_id AS doc_id", "'k' || conv_id || '-' || seg_idx AS case_id", "class", "conv_id % 5 = 0 AS synthetic", "changed AS revision")
-    worth = plan.filter("kind = 'case'").select("doc_id", "ref").distinct().selectExpr("doc_id", "ref", "doc_id % 2 = 0 AS severe", "doc_id % 3 = 0 AS changed", "ref LIKE '%3' AS repair", "false AS terms")
+    worth = deal(plan.filter("kind = 'case'").select("doc_id", "ref"), "doc_id", "ref").distinct().selectExpr("doc_id", "ref", "doc_id % 2 = 0 AS severe", "doc_id % 3 = 0 AS changed", "ref LIKE '%3' AS repair", "false AS terms")
     sections = reports.sections(segs)
     return diagnostics.diagnosed(
-        matrix, plan, claims, spoken, own, diagnostics.unused_evidence(worth, sections), diagnostics.untraced(spoken), diagnostics.repeats(sections), diagnostics.unsupported(spoken), literature=False
+        matrix, plan, claims, spoken, own, diagnostics.unused_evidence(worth, sections, deal=deal), diagnostics.untraced(spoken, last=F.col("last")), diagnostics.repeats(sections, deal=deal), diagnostics.unsupported(spoken), literature=False, deal=deal
     )
 
 
@@ -50,7 +55,7 @@ def diagnosed_findings(spark, d):
 
 @query(f"{_FOUND} SELECT type, priority, severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM fi GROUP BY ALL")
 def diagnosed_counts(spark, d):
-    return _diagnosed(spark, d).groupBy("type", "priority", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return diagnostics.counted(_diagnosed(spark, d), deal=_dealt(spark, d))
 
 
 # The audit of a memory: pairs as its rows, with the terms of the glossary that each source holds, in the glossary's order

@@ -30,7 +30,10 @@ sc AS (SELECT *, round(CASE WHEN chain THEN 40 ELSE 0 END + CASE WHEN blocking >
 
 
 def _rows(spark, d):
-    return cases.process(cases.integrity_flags(jobs.records(spark, d)), jobs.findings(spark, d)).withColumn("used_terms", (F.col("seg_idx") + F.col("conv_id")) % 3)
+    deal = derived.dealt_by(derived.table(spark, d, "conversations"))
+    # findings meet the pairs where the pairs were joined; then each conversation's lie together for their windows
+    found = cases.process(jobs.records(spark, d, deal=deal), jobs.findings(spark, d))
+    return cases.integrity_flags(deal(found, "conv_id")).withColumn("used_terms", (F.col("seg_idx") + F.col("conv_id")) % 3)
 
 
 def _scored(spark, d):

@@ -43,17 +43,22 @@ def dealt_by(source: DataFrame) -> Callable[..., DataFrame]:
     return lambda df, *keys: dealt(df, source, *keys, of_a_split=2)
 
 
-def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew."""
+def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", last: str | None = None) -> DataFrame:
+    """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew. A column ``last``, if named, says whether a row is its document's last."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~x.rlike(ORNAMENT))
-    return spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("seg_idx", "text"))
+    own = spread(docs.select(id_col, text_col))
+    if not last:
+        return own.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("seg_idx", "text"))
+    each = own.select(F.col(id_col).alias("doc_id"), lines.alias("__lines")).select("doc_id", F.size("__lines").alias("__n"), F.posexplode("__lines").alias("seg_idx", "text"))
+    return each.select("doc_id", "seg_idx", "text", (F.col("seg_idx") == F.col("__n") - 1).alias(last))
 
 
-def pairs(conversations: DataFrame) -> DataFrame:
+def pairs(conversations: DataFrame, *, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
     """A user's turn and the assistant's next as source and target. Arms are dealt by conversation."""
     user = conversations.filter("role = 'user'").select("conv_id", F.col("turn").alias("seg_idx"), F.col("text").alias("source"))
     answer = conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("seg_idx"), F.col("text").alias("target"))
     arm = F.when(F.col("conv_id") % 2 == 0, "A").otherwise("B").alias("arm")
+    user = deal(user, "conv_id", "seg_idx") if deal else user
     return user.join(answer, ["conv_id", "seg_idx"]).select("conv_id", "seg_idx", arm, "source", "target")
 
 

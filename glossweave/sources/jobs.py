@@ -5,6 +5,8 @@ The expressions are SQL that Spark and DuckDB read alike, so queries and their S
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +48,9 @@ RECORD_SQL = f"rec AS (SELECT *, {_sql(PAIR)} FROM pairs)"
 JOB_SQL = f"job AS (SELECT conv_id, {_sql(JOB)} FROM (SELECT DISTINCT conv_id FROM pairs))"
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, *, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(conv_id, seg_idx, arm, source, target) with the columns of ``PAIR``."""
-    return pairs(table(spark, sf_dir, "conversations")).selectExpr("*", *[f"{x} AS {name}" for name, x in PAIR.items()])
+    return pairs(table(spark, sf_dir, "conversations"), deal=deal).selectExpr("*", *[f"{x} AS {name}" for name, x in PAIR.items()])
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,48 @@ def test_chain_is_dealt_by_the_keys_of_its_joins(spark):
     plain, dealt = chain.closed_outline(sections, claims, questions, cases, evidence), chain.closed_outline(sections, claims, questions, cases, evidence, deal=deal)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
     assert {("doc_id", "ref"), ("doc_id", "case_id"), ("doc_id", "claim"), ("ref",)} <= set(met)
+
+
+def _report(k):
+    return f"paragraph that recurs {k % 2}\n\nclosing words of skopos theory {k}. <!--claim:c{k % 2}--> <!--rq:q{k % 3}--> seg-j-000{k % 2}\n\nA sentence without any marker {k}."
+
+
+def test_diagnostics_are_dealt_by_the_keys_of_their_joins(spark):
+    from glossweave.operators import diagnostics
+
+    sections = spark.createDataFrame([(d, k, _report(k), k == d + 2) for d in (1, 2) for k in range(d + 3)], "doc_id long, seg_idx int, body string, last boolean")
+    plan = spark.createDataFrame([(d, k, kind, ref) for d in (1, 2) for k in range(3) for kind, ref in (("claim", "c1"), ("rq", f"q{k}"), ("case", f"seg-j-000{k}")) if k != d or kind != "rq"], "doc_id long, seg_idx int, kind string, ref string")
+    claims = spark.createDataFrame([(d, f"c{k}") for d in (1, 2) for k in range(3)], "doc_id long, claim_id string")
+    questions = spark.createDataFrame([(d, f"q{k}") for d in (1, 2) for k in range(3)], "doc_id long, rq string")
+    known = spark.createDataFrame([("c1", "q0"), ("c2", "q1")], "claim_id string, rq string")
+    worth = plan.filter("kind = 'case'").selectExpr("doc_id", "ref", "doc_id = 1 AS severe", "false AS changed", "false AS repair", "false AS terms").distinct()
+    cases = spark.createDataFrame([(1, "k1", "weak_case", True, True)], "doc_id long, case_id string, class string, synthetic boolean, revision boolean")
+    met = []
+
+    def deal(df, *keys):
+        met.append(keys)
+        return df.repartition(3, *keys)
+
+    def found(last, **how):
+        d = diagnostics
+        parts = (d.unused_evidence(worth, sections, **how), d.untraced(sections, last=last), d.repeats(sections, **how), d.unsupported(sections))
+        return d.diagnosed(d.question_matrix(plan, questions, known, **how), plan, claims, sections, cases, *parts, literature=False, **how)
+
+    plain, dealt = found(None), found(F.col("last"), deal=deal)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+    assert {r["type"] for r in plain.collect()} >= {"orphan_claim", "duplicate_paragraph", "conclusion_without_trace", "theory_name_dropping", "high_value_evidence_unused", "section_without_research_question"}
+    assert {("doc_id", "ref"), ("doc_id", "claim_id"), ("doc_id", "rq"), ("doc_id", "seg_idx")} <= set(met)
+    # a section known as the last needs no other row
+    assert "Exchange" not in diagnostics.untraced(sections, last=F.col("last"))._jdf.queryExecution().executedPlan().toString()
+    kind = ["type", "priority", "severity"]
+    want = plain.groupBy(*kind).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    assert sorted(map(tuple, diagnostics.counted(dealt, deal=deal).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_last_segments_are_known_where_they_are_made(spark):
+    from glossweave.sources import derived
+
+    docs = spark.createDataFrame([(1, "one\n\ntwo lines\n***\n"), (2, "  \n"), (3, None), (4, "only")], "doc_id long, text string")
+    own = derived.segments(docs, last="last")
+    assert sorted(map(tuple, own.collect())) == [(1, 0, "one", False), (1, 1, "two lines", True), (4, 0, "only", True)]
+    assert sorted(map(tuple, own.drop("last").collect())) == sorted(map(tuple, derived.segments(docs).collect()))

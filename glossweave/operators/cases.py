@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.python import ALIKE, bare, meaningful_revision, tail_similarity
+from glossweave.operators.chain import Deal, as_they_are
 from glossweave.operators.matching import with_term_count
 
 KEY = ["conv_id", "seg_idx"]
@@ -30,11 +31,12 @@ def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
-def integrity_flags(records: DataFrame) -> DataFrame:
+def integrity_flags(records: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """``records`` with ``revised`` and ``flags``: why a revision may be none, its first version standing in a neighbour's target or its last
     one running on into the next's."""
     w = Window.partitionBy("conv_id").orderBy("seg_idx")
     own = records.withColumn("revised", F.coalesce(meaningful_revision("initial_target", "target"), F.lit(False))).withColumn("__initial", bare("initial_target")).withColumn("__final", bare("target"))
+    own = deal(own, "conv_id")  # after the Python functions, over which Spark forgets how rows are dealt
     near = F.coalesce(F.contains(F.lag("__final").over(w), "__initial"), F.lit(False)) | F.coalesce(F.contains(F.lead("__final").over(w), "__initial"), F.lit(False))
     own = own.withColumn("__near", near).withColumn("__next", F.lead("target").over(w))
     first = F.when(F.col("revised") & (F.length("__initial") >= 8) & F.col("__near"), "probable_adjacent_initial_target_overlap")

@@ -126,7 +126,8 @@ def described_revisions(sections: DataFrame, plan: DataFrame, cases: DataFrame,
 
 def question_matrix(plan: DataFrame, questions: DataFrame, claims: DataFrame, *, deal: Deal = as_they_are) -> DataFrame:
     """Per report and question (doc_id, rq): how many claims answer to it and how many sections develop it; ``claims`` (claim_id, rq)."""
-    planned = deal(plan.filter("kind = 'claim'").select("doc_id", F.col("ref").alias("claim_id")), "doc_id").distinct().join(claims, "claim_id").groupBy("doc_id", "rq").agg(F.count("*").alias("n_claims"))
+    planned = deal(plan.filter("kind = 'claim'").select("doc_id", F.col("ref").alias("claim_id")), "doc_id").distinct().join(claims, "claim_id").select("doc_id", "rq")
+    planned = deal(planned, "doc_id", "rq").groupBy("doc_id", "rq").agg(F.count("*").alias("n_claims"))
     developed = deal(plan.filter("kind = 'rq'").select("doc_id", F.col("ref").alias("rq"), "seg_idx"), "doc_id", "rq").distinct().groupBy("doc_id", "rq").agg(F.count("*").alias("n_sections"))
     both = deal(questions, "doc_id", "rq").join(planned, ["doc_id", "rq"], "left").join(developed, ["doc_id", "rq"], "left").fillna({"n_claims": 0, "n_sections": 0})
     reason = F.when(F.col("n_claims") == 0, "no_claim").when(F.col("n_sections") == 0, "no_section")

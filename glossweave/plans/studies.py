@@ -33,7 +33,7 @@ def _rows(spark, d):
     deal = derived.dealt_by(derived.table(spark, d, "conversations"))
     # findings meet the pairs where the pairs were joined; then each conversation's lie together for their windows
     found = cases.process(jobs.records(spark, d, deal=deal), jobs.findings(spark, d))
-    return cases.integrity_flags(deal(found, "conv_id")).withColumn("used_terms", (F.col("seg_idx") + F.col("conv_id")) % 3)
+    return cases.integrity_flags(found, deal=deal).withColumn("used_terms", (F.col("seg_idx") + F.col("conv_id")) % 3)
 
 
 def _scored(spark, d):

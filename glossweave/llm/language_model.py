@@ -23,12 +23,12 @@ context. Without training documents all counts are 0.
 from __future__ import annotations
 
 import copy
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,31 +39,44 @@ LEAST, AROUND, CLUSTERS, CLASS_WORDS, LETTER_CLASSES, SIZE, DRAWN = 100, 64, 48,
 ROUNDS = 2
 END = b"\n"  # no word holds it
 _PAIRS = 4096
-_SLICE = 1 << 15
+#: Tokens scored at once, and rows of a matrix of scores, so that it stays in the cache.
+_SLICE, _ROWS = 1 << 17, 1 << 12
+#: Bytes of text, and documents, that are split at once.
+_OCTETS, _DOCS = 4 << 20, 1 << 10
 #: Weights in a row of what a task has learnt.
 _CHUNK = 1 << 14
 
 
-def split(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()).view(pa.string()), ""))))
+    words, size = lists.flatten().cast(pa.binary()), np.diff(lists.offsets.to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)
+    if pc.all(real, min_count=0).as_py():
+        return words, size
+    # a text without words has given an empty one
+    return words.filter(real), size - np.bincount(np.repeat(np.arange(len(size)), size), ~real.to_numpy(zero_copy_only=False), len(size)).astype(size.dtype)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _list(column: pa.Array) -> list:
+    """``column.to_pylist()`` for columns without nulls, several times as fast."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        items = list(counts.items())
-        counts.clear()
-        for k in range(0, len(items), 50_000):
-            words, n = zip(*items[k : k + 50_000], strict=True)
-            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    for part in in_parts(batches, "text", rows=512):
-        counts.update(chain.from_iterable(map(split, part.column("text").cast(pa.binary()).to_pylist())))
-        counts[END] += part.num_rows
-        if len(counts) > 400_000:
-            yield from flush()
-    yield from flush()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows, ends = [], 0, 0
+    for part in in_parts(batches, "text", rows=_DOCS, octets=_OCTETS):
+        found = split(part.column("text"))[0].value_counts()
+        held.append(pa.table([found.field("values"), found.field("counts")], names=["word", "n"]))
+        rows, ends = rows + len(found), ends + part.num_rows
+        if rows > 1_000_000:
+            held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+            rows = held[0].num_rows
+            if rows > 400_000:
+                yield from held[0].to_batches(max_chunksize=50_000)
+                held, rows = [], 0
+    held.append(pa.table([pa.array([END] if ends else [], pa.binary()), pa.array([ends] if ends else [], pa.int64())], names=["word", "n"]))
+    yield from pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches(max_chunksize=50_000)
 
 
 def letter_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +113,33 @@ def letter_classes(words: list[bytes]) -> np.ndarray:
     return np.log(n / n.sum(axis=0))
 
 
+def _likeliest(letters: np.ndarray, pairs: np.ndarray, first: np.ndarray, most: int = 32) -> np.ndarray:
+    """The class of each word. A word's pairs are added from its first to its last, whatever words stand beside it, so that a word has one class everywhere."""
+    size = np.diff(np.append(first, len(pairs)))
+    total = np.zeros((len(first), letters.shape[1]))
+    turn = np.argsort(-size, kind="stable")
+    turn = turn[np.searchsorted(-size[turn], -most) :]
+    begin, reach = first[turn], np.searchsorted(-size[turn], -np.arange(most + 1))
+    some = np.zeros((len(turn), letters.shape[1]))
+    for k in range(most):
+        n = reach[k]  # words of more pairs
+        some[:n] += np.take(letters, pairs[begin[:n] + k], axis=0)
+    total[turn] = some
+    if (longer := size > most).any():
+        total[longer] = np.add.reduceat(letters[pairs[np.repeat(longer, size)]], np.cumsum(size[longer]) - size[longer], axis=0)
+    return total.argmax(axis=1)
+
+
 def _pairs_in_classes(letters) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How often each letter pair stands in the words of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_PAIRS * LETTER_CLASSES, dtype=np.int64)
         for batch in batches:
-            words = [w for w in batch.column("word").to_pylist() if w != END]
+            words = [w for w in _list(batch.column("word")) if w != END]
             for k in range(0, len(words), 20_000):
                 pairs, first = letter_pairs(words[k : k + 20_000])
-                own = np.add.reduceat(letters.value[pairs], first, axis=0).argmax(axis=1)
+                own = _likeliest(letters.value, pairs, first)
                 total += np.bincount(pairs * LETTER_CLASSES + np.repeat(own, np.diff(np.append(first, len(pairs)))), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
@@ -129,8 +159,7 @@ def letters_of_all(counts: DataFrame, letters: np.ndarray) -> np.ndarray:
 def class_by_letters(letters: np.ndarray, words: list[bytes]) -> np.ndarray:
     out = [np.zeros(0, dtype=np.int64)]
     for k in range(0, len(words), 20_000):
-        pairs, first = letter_pairs(words[k : k + 20_000])
-        out.append(np.add.reduceat(letters[pairs], first, axis=0).argmax(axis=1))
+        out.append(_likeliest(letters, *letter_pairs(words[k : k + 20_000])))
     return np.concatenate(out)
 
 
@@ -152,28 +181,31 @@ def _number(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         get, (words, letters) = _LAST[1].get, value
         end = len(words) + LETTER_CLASSES
         uid = TaskContext.get().partitionId() << 36
-        for part in in_parts(batches, "text", rows=512):
-            texts = list(map(split, part.column("text").cast(pa.binary()).to_pylist()))
-            size = np.array([len(t) + 1 for t in texts])
-            flat = list(chain.from_iterable(texts))
-            at = np.fromiter(map(get, flat, repeat(-1)), dtype=np.int32, count=len(flat))
-            other = np.flatnonzero(at < 0)
-            more = [flat[k] for k in other.tolist()]
-            at[other] = len(words) + class_by_letters(letters, more)
+        for part in in_parts(batches, "text", rows=_DOCS, octets=_OCTETS):
+            flat, size = split(part.column("text"))
+            size = size.astype(np.int64) + 1
+            coded = flat.dictionary_encode()
+            distinct = _list(coded.dictionary)
+            number = np.fromiter(map(get, distinct, repeat(-1)), dtype=np.int32, count=len(distinct))
+            unnumbered = number < 0
+            number[unnumbered] = len(words) + class_by_letters(letters, [distinct[k] for k in np.flatnonzero(unnumbered).tolist()])
+            code = coded.indices.to_numpy()
+            at, other = number[code], np.flatnonzero(unnumbered[code])
+            more = coded.dictionary.take(pa.array(code[other]))
             stops = np.cumsum(size)
             ids = np.full(stops[-1], end, dtype=np.int32)
             inside = np.ones(len(ids), dtype=bool)
             inside[stops - 1] = False
             ids[inside] = at
-            uids = np.arange(uid, uid + len(texts))
-            uid += len(texts)
-            raw = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate(([0], stops * 4)).astype(np.int32)), pa.py_buffer(ids)])
+            uids = np.arange(uid, uid + len(size))
+            uid += len(size)
+            raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], stops * 4)).astype(np.int32)), pa.py_buffer(ids)])
             names = [x.split()[0] for x in NUMBERED.split(", ")]
-            yield pa.record_batch([uids, part.column("doc_id"), part.column("train"), raw, pa.nulls(len(texts), pa.binary())], names=names)
-            if more:
+            yield pa.record_batch([uids, part.column("doc_id"), part.column("train"), raw, pa.nulls(len(size), pa.binary())], names=names)
+            if len(more):
                 owner = uids[np.searchsorted(np.cumsum(size - 1), other, side="right")]
                 n = len(more)
-                yield pa.record_batch([owner, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(more, pa.binary())], names=names)
+                yield pa.record_batch([owner, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), more], names=names)
 
     return run
 
@@ -225,7 +257,7 @@ def _in_classes(letters, vectors) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         table_, with_vectors = letters.value, set(vectors.value)
         tokens, types = np.zeros(LETTER_CLASSES, dtype=np.int64), np.zeros(LETTER_CLASSES, dtype=np.int64)
         for batch in batches:
-            rows = [(w, n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w != END and w not in with_vectors]
+            rows = [(w, n) for w, n in zip(_list(batch.column("word")), _list(batch.column("n")), strict=True) if w != END and w not in with_vectors]
             if rows:
                 own = class_by_letters(table_, [w for w, _ in rows])
                 tokens += np.bincount(own, [n for _, n in rows], LETTER_CLASSES).astype(np.int64)
@@ -243,19 +275,40 @@ class Adam:
     def update(self, gradients: dict[str, np.ndarray]) -> None:
         self.step += 1
         slow = self.rate * min(1.0, 2 * (1 - self.step / (self.steps + 1)))
-        for k, g in gradients.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.w[k] -= slow * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)
-
-
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` places the sum of the rows that belong to it."""
+        for k, g in gradients.items():  # in place, as there is a step for each few thousand tokens
+            m, v = self.m[k], self.v[k]
+            by = np.square(g)
+            by -= v
+            by *= 0.01
+            v += by
+            np.subtract(g, m, out=by)
+            by *= 0.1
+            m += by
+            np.sqrt(v, out=by)
+            by *= 1 / (1 - 0.99**self.step) ** 0.5
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= slow / (1 - 0.9**self.step)
+            self.w[k] -= by
+
+
+def _sums(at: np.ndarray, rows: np.ndarray, n: int, few: int = 32) -> np.ndarray:
+    """For each of ``n`` places the sum of the rows that belong to it: the first rows of all places, then the second ones, and so on; what places have beyond ``few``, place by place."""
     out = np.zeros((n, *rows.shape[1:]), dtype=rows.dtype)
     if len(at):
         order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        out[at[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+        size = np.diff(np.append(first, len(at)))
+        turn = np.argsort(-size, kind="stable")
+        first, size = first[turn], size[turn]
+        reach = np.searchsorted(-size, -np.arange(few + 1))
+        total = np.take(rows, order[first], axis=0)
+        for k in range(1, few):
+            if more := reach[k]:  # places with more rows
+                total[:more] += np.take(rows, order[first[:more] + k], axis=0)
+        for k in range(reach[few]):
+            total[k] += np.take(rows, order[first[k] + few : first[k] + size[k]], axis=0).sum(axis=0)
+        out[at[order[first]]] = total
     return out
 
 
@@ -349,7 +402,8 @@ class Model:
         key = np.where(self.slot[ids] >= 0, self.slot[ids], k + self.y[ids] - self.word_classes)
         turn = np.argsort(key.astype(np.uint16) if k + classes <= 1 << 16 else key, kind="stable")  # class by class, word by word
         one, two, key, y = one[turn], two[turn], key[turn], self.y[ids[turn]]
-        guess = (w["in"] @ w["m1"])[one] + (w["in"] @ w["m2"])[two]
+        guess = np.take(w["in"] @ w["m1"], one, axis=0)
+        guess += np.take(w["in"] @ w["m2"], two, axis=0)
         f, by = np.float32, np.float32(1 / batch)
 
         def right(score: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -366,34 +420,43 @@ class Model:
         d = right(guess @ vectors.T, shift[drawn] - w["b"][drawn])
         d *= by
         dg = d @ vectors
-        g = {"out": _sums(drawn, d.T @ guess, classes), "b": np.bincount(drawn, d.sum(axis=0), classes).astype(f), "word": np.zeros_like(w["word"]), "word_b": np.zeros_like(w["word_b"])}
-        # words against noise ones of their class; each class's true vector goes with its noise words
+        g = {"out": _sums(drawn, d.T @ guess, classes), "b": np.bincount(drawn, d.sum(axis=0), classes).astype(f)}
+        # the true class, and noise words of it, by one product for each class; all else for all tokens at once
         word_shift, cum = np.log(word_noise * self.word_q).astype(f), np.cumsum(self.word_q)
         bounds = np.searchsorted(y, np.arange(classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            part = slice(bounds[c], bounds[c + 1])
-            words = np.zeros(0, dtype=np.int64)
-            if c < self.word_classes:
-                lo, hi = self.start[c], self.start[c + 1]
-                words = np.clip(np.searchsorted(cum, (cum[lo - 1] if lo else 0.0) + r.random(word_noise)), lo, hi - 1)
-            vectors = np.concatenate((w["out"][c : c + 1], w["word"][words]))
-            d = right(guess[part] @ vectors.T, np.append(shift[c] - w["b"][c], word_shift[words] - w["word_b"][words]))
-            d[:, 0] -= 1
-            d *= by
-            dg[part] += d @ vectors
-            of, sums = d.T @ guess[part], d.sum(axis=0)
-            g["out"][c] += of[0]
-            g["b"][c] += sums[0]
-            if len(words):
-                np.add.at(g["word"], words, of[1:])
-                np.add.at(g["word_b"], words, sums[1:])
-        if n := int(bounds[self.word_classes]):
+        found = np.flatnonzero(np.diff(bounds))
+        m = int(np.searchsorted(found, self.word_classes))  # classes of words with vectors come first
+        n = int(bounds[self.word_classes])
+        lo, hi = self.start[found[:m]], self.start[found[:m] + 1]
+        words = np.clip(np.searchsorted(cum, np.where(lo > 0, cum[lo - 1], 0.0)[:, None] + r.random((m, word_noise))), lo[:, None], hi[:, None] - 1) if m else np.zeros((0, word_noise), dtype=np.int64)
+        vectors, less = np.zeros((len(found), 1 + word_noise, SIZE), dtype=f), np.zeros((len(found), 1 + word_noise), dtype=f)
+        vectors[:, 0], less[:, 0] = w["out"][found], shift[found] - w["b"][found]
+        vectors[:m, 1:], less[:m, 1:] = w["word"][words], word_shift[words] - w["word_b"][words]
+        parts = [slice(x, z) for x, z in zip(bounds[found].tolist(), bounds[found + 1].tolist(), strict=True)]
+        d = np.empty((len(y), 1 + word_noise), dtype=f)
+        for j, part in enumerate(parts):
+            np.matmul(guess[part], vectors[j].T, out=d[part])
+        d = right(d, np.repeat(less, np.diff(bounds)[found], axis=0))
+        d[:, 0] -= 1
+        d[n:, 1:] = 0
+        d *= by
+        more, of = np.empty_like(guess), np.empty_like(vectors)
+        for j, part in enumerate(parts):
+            np.matmul(d[part], vectors[j], out=more[part])
+            np.matmul(d[part].T, guess[part], out=of[j])
+        dg += more
+        sums = np.add.reduceat(d, bounds[found], axis=0) if len(found) else d
+        g["out"][found] += of[:, 0]
+        g["b"][found] += sums[:, 0]
+        g["word"] = _sums(words.ravel(), of[:m, 1:].reshape(-1, SIZE), k)
+        g["word_b"] = np.bincount(words.ravel(), sums[:m, 1:].ravel(), k).astype(f)
+        if n:
             own, s = guess[:n], key[:n]
-            mine = w["word"][s]
+            mine = np.take(w["word"], s, axis=0)
             t = (right(np.einsum("nd,nd->n", own, mine) + w["word_b"][s], word_shift[s]) - 1) * by
-            dg[:n] += t[:, None] * mine
-            first = np.flatnonzero(np.diff(s, prepend=-1))
-            g["word"][s[first]] += np.add.reduceat(t[:, None] * own, first, axis=0)
+            mine *= t[:, None]
+            dg[:n] += mine
+            g["word"] += _sums(s, np.multiply(own, t[:, None], out=mine), k)
             g["word_b"] += np.bincount(s, t, k).astype(f)
         # the contexts' vectors and their matrices
         of_one, of_two = _sums(one, dg, len(w["in"])), _sums(two, dg, len(w["in"]))
@@ -410,29 +473,41 @@ class Model:
 
     def start_scoring(self) -> None:
         self.one, self.two = self.w["in"] @ self.w["m1"], self.w["in"] @ self.w["m2"]
+        self.exp_b, self.exp_word_b = np.exp(self.w["b"]), np.exp(self.w["word_b"])
 
     def log10(self, two: np.ndarray, one: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Of tokens, by their numbers and their context places; for words without a number, of one that isn't counted."""
-        guess = self.one[one] + self.two[two]
-        out = np.zeros(len(ids))
-        y, slot = self.y[ids], self.slot[ids]
-
-        def add(at, score: np.ndarray, true: np.ndarray) -> None:
-            own = score[np.arange(len(score)), true]
-            if max(score.max(), -score.min()) < 60:  # no exponential overflows or vanishes
-                out[at] += own - np.log(np.exp(score, out=score).sum(axis=1))
-                return
-            top = score.max(axis=1)
-            score -= top[:, None]
-            out[at] += own - top - np.log(np.exp(score, out=score).sum(axis=1))
-
-        add(slice(None), guess @ self.w["out"].T + self.w["b"], y)
-        order = np.argsort(y, kind="stable")
-        bounds = np.searchsorted(y[order], np.arange(self.word_classes + 1))
+        w, y = self.w, self.y[ids]
+        order = np.argsort(y.astype(np.uint16) if len(self.class_n) <= 1 << 16 else y, kind="stable")
+        ids, y = ids[order], y[order]
+        guess = np.take(self.one, one[order], axis=0)
+        guess += np.take(self.two, two[order], axis=0)
+        logs = np.zeros(len(ids))
+        room = np.empty(_ROWS * max(len(self.class_n), *np.diff(self.start), 1), dtype=guess.dtype)
+
+        def add(lo: int, hi: int, vectors: np.ndarray, bias: np.ndarray, exp_bias: np.ndarray, true: np.ndarray) -> None:
+            plain = len(bias) and abs(bias.max()) < 20
+            for k in range(lo, hi, _ROWS):
+                to = min(hi, k + _ROWS)
+                score, own = room[: (to - k) * len(bias)].reshape(to - k, -1), true[k - lo : to - lo]
+                np.matmul(guess[k:to], vectors.T, out=score)
+                logs[k:to] += score[np.arange(to - k), own] + bias[own]
+                if plain and score.max() < 60 and score.min() > -60:  # no exponential overflows or vanishes
+                    logs[k:to] -= np.log(np.exp(score, out=score) @ exp_bias)
+                else:
+                    score += bias
+                    top = score.max(axis=1)
+                    score -= top[:, None]
+                    logs[k:to] -= top + np.log(np.exp(score, out=score).sum(axis=1))
+
+        add(0, len(ids), w["out"], w["b"], self.exp_b, y)
+        bounds = np.searchsorted(y, np.arange(self.word_classes + 1))
         for c in np.flatnonzero(np.diff(bounds)).tolist():
-            at, own = order[bounds[c] : bounds[c + 1]], slice(self.start[c], self.start[c + 1])
-            add(at, guess[at] @ self.w["word"][own].T + self.w["word_b"][own], slot[at] - self.start[c])
-        return out / np.log(10) + self.extra[ids]
+            own = slice(self.start[c], self.start[c + 1])
+            add(bounds[c], bounds[c + 1], w["word"][own], w["word_b"][own], self.exp_word_b[own], self.slot[ids[bounds[c] : bounds[c + 1]]] - self.start[c])
+        out = np.empty(len(ids))
+        out[order] = logs / np.log(10) + self.extra[ids]
+        return out
 
 
 LEARNT = "chunk int, uid long, tokens long, moved binary"

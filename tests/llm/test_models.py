@@ -1,10 +1,15 @@
 """Trained operators: what can be computed by hand, held-out accuracy, and rows that are odd."""
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glossweave.llm import language_model, quality, toxicity
@@ -180,6 +185,69 @@ def test_language_model_learns_all_text(spark):
     assert np.median(right - wrong) > 0.5
 
 
+_COST = """
+import time
+import numpy as np
+import pyarrow as pa
+from glossweave.llm import language_model as lm
+
+r = np.random.default_rng(6)
+k, letters, n = 8192, lm.LETTER_CLASSES, 1 << 15
+counts = np.sort(r.zipf(1.3, 20_000).clip(1, 10**6))[::-1].astype(float)
+none = np.zeros(letters)
+model = lm.Model(r.random((k, 2 * lm.AROUND)), counts, r.integers(0, letters, len(counts)), none + 1e4, none + 1e3, 60)
+ids = r.choice(len(counts), n, p=counts / counts.sum())
+one, two = lm._context(model.x[ids], model.end)
+model.start_scoring()
+a, b = r.random((n, 32), dtype=np.float32), r.random((32, 116), dtype=np.float32)
+texts = [" ".join(f"word{x}" for x in r.integers(0, 1 << 15, 500)) for _ in range(600)]
+docs = pa.record_batch([pa.array(texts)], names=["text"])
+
+def took(run):
+    t = time.process_time()
+    run()
+    return time.process_time() - t
+
+runs = (lambda: [t.lower().split() for t in texts]), (lambda: list(lm._count_words(iter([docs])))), (lambda: np.exp(a @ b)), (lambda: model.log10(two, one, ids))
+plain, counting, products, scoring = np.min([[took(run) for run in runs] for _ in range(25)], axis=0)
+print(counting / plain, scoring / products)
+"""
+
+
+def test_language_model_cost():
+    """CPU time on one thread: of counting words in that of splitting them, and of scoring in that of the products of each token's vector with those of all classes."""
+    found = subprocess.run([sys.executable, "-c", _COST], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})
+    counting, scoring = map(float, found.stdout.split())
+    assert counting < 4
+    assert scoring < 2.6
+
+
+def test_language_model_split():
+    """Words are those of bytes.lower().split(), whatever bytes a text holds."""
+    texts = [*ODD, "\u00c9 A\x1cB", " lead", "trail ", "a\x0bb\x0cc\rd\x85e\xa0f\x1f\x1e", "\0 \0Q", "A" * 5000 + " Z", *(f"{chr(k)}K{chr(k)}" for k in range(0x200))]
+    want = [(t or "").encode().lower().split() for t in texts]
+    words, size = language_model.split(pa.array(texts))
+    assert words.to_pylist() == [w for t in want for w in t]
+    assert size.tolist() == [len(t) for t in want]
+    assert len(language_model.split(pa.array([], pa.string()))[0]) == 0
+    assert language_model.split(pa.array([b"\xff\xfe A\xc3 B", None, b" \xe9"]))[0].to_pylist() == [b"\xff\xfe", b"a\xc3", b"b", b"\xe9"]
+
+
+def test_language_model_sums_and_classes():
+    """Sums by place, of places with few and many rows; and a word's class doesn't hang on the words beside it."""
+    r = np.random.default_rng(8)
+    at, rows = np.concatenate((r.integers(0, 50, 300), np.full(200, 7), [49])), r.random((501, 3))
+    want = np.zeros((60, 3))
+    np.add.at(want, at, rows)
+    assert np.allclose(language_model._sums(at, rows, 60), want)
+    words = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (1, 2, 30, 31, 32, 33, 200, 5, 5)]
+    letters = language_model.letter_classes(words)
+    each = [language_model.class_by_letters(letters, [w])[0] for w in words]
+    assert language_model.class_by_letters(letters, words).tolist() == each
+    pairs, first = language_model.letter_pairs(words)
+    assert np.add.reduceat(letters[pairs], first, axis=0).argmax(axis=1).tolist() == each
+
+
 @pytest.mark.parametrize("query", [toxicity.op4_toxicity, quality.op6_quality])
 def test_null_ids_and_empty_tables_in_queries(spark, tmp_path, query):
     """Rows without an id are scored and in no fold."""

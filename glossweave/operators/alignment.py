@@ -55,18 +55,44 @@ def _placed(forms: pa.Array, numbers: pa.Array, new: pa.Array) -> pa.Array:
     return pa.array(at, pa.list_(pa.struct([("first_new", pa.int32()), ("last_new", pa.int32())])))
 
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("not_found", "reused")]))
+def _taken(forms: pa.Array, numbers: pa.Array, new: pa.Array) -> pa.Array:
+    """Per document: old sources not found, and new paragraphs that those within them make up."""
+    out = []
+    for f, n, x in zip(forms, numbers, new, strict=True):
+        f, n, x = f.as_py() or [], n.as_py() or [], x.as_py() or []
+        at = _found(f, n, x)
+        within: dict[int, list[str]] = {}
+        for form, p in zip(f, at, strict=True):
+            if p and p[0] == p[1]:
+                within.setdefault(p[0], []).append(form)
+        out.append({"not_found": at.count(None), "reused": sum(k in within and "".join(within[k]) == form for k, form in zip(n, x, strict=True))})
+    return pa.array(out, pa.struct([("not_found", pa.int64()), ("reused", pa.int64())]))
+
+
+def _known(old: DataFrame) -> DataFrame:
+    """With ``form`` and ``fit``: null of what is looked for."""
+    known = old.withColumn("form", stream_form(F.coalesce("source", F.lit(""))))
+    suspect = (strip(F.coalesce("target", F.lit(""))) == "") | incomplete(F.coalesce("source", F.lit("")), F.col("target"))
+    return known.withColumn("fit", F.when(F.col("form") == "", "empty").when(suspect, "suspect"))
+
+
+def _sorted(*columns) -> Column:
+    return F.array_sort(F.collect_list(F.struct(*columns)))
+
+
+def _streams(new: DataFrame) -> DataFrame:
+    """new(doc_id, new_idx, text) as a document's sorted numbers and forms."""
+    return new.select("doc_id", F.col("new_idx").cast("int").alias("new_idx"), stream_form(F.coalesce("text", F.lit(""))).alias("form")).groupBy("doc_id").agg(_sorted("new_idx", "form").alias("new"))
+
+
 def placements(old: DataFrame, new: DataFrame) -> DataFrame:
     """old(doc_id, seg_idx, source, target) with ``state`` (suspect: the target is blank or cut short, so it isn't looked for; placed; not_found; or empty: nothing to look for) and
     the new paragraphs that hold its beginning and end. new(doc_id, new_idx, text)."""
     ship(old.sparkSession)
-    known = old.withColumn("form", stream_form(F.coalesce("source", F.lit(""))))
-    suspect = (strip(F.coalesce("target", F.lit(""))) == "") | incomplete(F.coalesce("source", F.lit("")), F.col("target"))
-    known = known.withColumn("fit", F.when(F.col("form") == "", "empty").when(suspect, "suspect"))
-    sorted_ = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    asked = known.groupBy("doc_id").agg(sorted_("seg_idx", "form", "source", "target", "fit").alias("old"))
-    there = new.select("doc_id", F.col("new_idx").cast("int").alias("new_idx"), stream_form(F.coalesce("text", F.lit(""))).alias("form")).groupBy("doc_id").agg(sorted_("new_idx", "form").alias("new"))
+    asked = _known(old).groupBy("doc_id").agg(_sorted("seg_idx", "form", "source", "target", "fit").alias("old"))
     forms = F.transform("old", lambda x: F.when(x["fit"].isNull(), x["form"]))
-    both = asked.join(there, "doc_id", "left").withColumn("at", _placed(forms, F.col("new.new_idx"), F.col("new.form")))
+    both = asked.join(_streams(new), "doc_id", "left").withColumn("at", _placed(forms, F.col("new.new_idx"), F.col("new.form")))
     each = both.select("doc_id", F.explode(F.arrays_zip("old", "at")).alias("z")).select("doc_id", "z.old.*", "z.at.*")
     state = F.coalesce("fit", F.when(F.col("first_new").isNull(), "not_found").otherwise("placed"))
     return each.select("doc_id", "seg_idx", "source", "target", "form", state.alias("state"), "first_new", "last_new")
@@ -83,9 +109,13 @@ def reused(placed: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("doc_id", "new_idx", F.size("old").alias("n_old"), target.alias("target"))
 
 
-def alignment_statistics(placed: DataFrame, new: DataFrame, taken: DataFrame) -> DataFrame:
-    """Per document: old segments, suspect ones, ones not found, new paragraphs and those reused."""
-    n = lambda s, name: F.count_if(F.col("state") == s).alias(name)
-    old = placed.groupBy("doc_id").agg(F.count("*").alias("old_total"), n("suspect", "skipped_suspect"), n("not_found", "not_found"))
-    both = old.join(new.groupBy("doc_id").agg(F.count("*").alias("new_total")), "doc_id", "full_outer").join(taken.groupBy("doc_id").agg(F.count("*").alias("reused")), "doc_id", "left")
-    return both.fillna(0, ["old_total", "skipped_suspect", "not_found", "new_total", "reused"])
+def alignment_statistics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Per document: old segments, suspect ones, ones not found, new paragraphs and those reused. As ``placements`` and ``reused`` have them, but counted where a document is placed: its two streams are all that
+    is grouped, and if ``old`` and ``new`` are dealt by doc_id, nothing is shuffled here."""
+    ship(old.sparkSession)
+    asked = F.when(F.col("fit").isNull(), F.struct("seg_idx", "form"))
+    was = _known(old).groupBy("doc_id").agg(F.count("*").alias("old_total"), F.count_if(F.col("fit") == "suspect").alias("skipped_suspect"), F.array_sort(F.collect_list(asked)).alias("old"))
+    both = was.join(_streams(new), "doc_id", "full_outer").filter("doc_id IS NOT NULL OR old_total IS NOT NULL")  # no filter before the join, so that both sides can read the same shuffle
+    both = both.withColumn("n", _taken(F.col("old.form"), F.col("new.new_idx"), F.col("new.form")))
+    each = both.select("doc_id", "old_total", "skipped_suspect", "n.not_found", F.coalesce(F.array_size("new"), F.lit(0)).cast("long").alias("new_total"), "n.reused")
+    return each.fillna(0, ["old_total", "skipped_suspect"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossweave.operators import alignment
 from glossweave.plans.catalogue import _SEG, _segments, _sentences, query
+from glossweave.sources.derived import gathered, segments, table
 
 # The new text: some paragraphs are lost, some changed, the rest merged two by two, and new ones stand between. Expressions that Spark and DuckDB read alike.
 _KEPT, _EDITED, _BLANK, _CUT = "seg_idx % 7 <> 3", "seg_idx % 11 = 4", "seg_idx % 13 = 5", "seg_idx % 17 = 6"
@@ -13,8 +14,7 @@ _CHANGED = f"CASE WHEN {_EDITED} THEN text || ' and more' ELSE replace(text, '''
 _TARGET = f"CASE WHEN {_BLANK} THEN ' ' WHEN {_CUT} THEN substring(text, 1, 5) ELSE '<' || text || '> ' END"
 
 
-def _divisions(spark, d):
-    segs = _segments(spark, d)
+def _divisions(segs):
     old = segs.selectExpr("doc_id", "seg_idx", "text AS source", f"{_TARGET} AS target")
     parts = segs.filter(_KEPT).selectExpr("doc_id", "seg_idx", f"{_CHANGED} AS text", "CAST(floor(seg_idx / 2) AS INT) * 2 AS new_idx")
     merged = parts.groupBy("doc_id", "new_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
@@ -42,17 +42,16 @@ reused AS (SELECT w.doc_id, w.new_idx, w.n_old, w.target FROM (SELECT doc_id, fi
 
 @query(f"{_ALIGNED} SELECT doc_id, seg_idx, state, first_new, last_new FROM placed")
 def stream_align_changed(spark, d):
-    return alignment.placements(*_divisions(spark, d)).select("doc_id", "seg_idx", "state", "first_new", "last_new")
+    return alignment.placements(*_divisions(_segments(spark, d))).select("doc_id", "seg_idx", "state", "first_new", "last_new")
 
 
 @query(f"{_ALIGNED} SELECT * FROM reused")
 def stream_align_carried(spark, d):
-    old, new = _divisions(spark, d)
+    old, new = _divisions(_segments(spark, d))
     return alignment.reused(alignment.placements(old, new), new)
 
 
 @query(f"{_ALIGNED} SELECT p.*, coalesce(new_total, 0) AS new_total, coalesce(reused, 0) AS reused FROM (SELECT doc_id, count(*) AS old_total, count(*) FILTER (state = 'suspect') AS skipped_suspect, count(*) FILTER (state = 'not_found') AS not_found FROM placed GROUP BY doc_id) p LEFT JOIN (SELECT doc_id, count(*) AS new_total FROM new GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS reused FROM reused GROUP BY doc_id) USING (doc_id)")
 def stream_align_statistics(spark, d):
-    old, new = _divisions(spark, d)
-    placed = alignment.placements(old, new)
-    return alignment.alignment_statistics(placed, new, alignment.reused(placed, new))
+    docs = table(spark, d, "documents")
+    return alignment.alignment_statistics(*_divisions(segments(docs, deal=gathered(docs))))

@@ -38,15 +38,27 @@ def dealt(df: DataFrame, source: DataFrame, *keys: str, of_a_split: int = PARTS_
     return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def gathered(source: DataFrame) -> Callable[..., DataFrame]:
+    """Always deals by the keys, so that all groups and joins by them that follow need no shuffle: in parts that grow with ``source``, or in Spark's number of them."""
+
+    def deal(df: DataFrame, *keys: str) -> DataFrame:
+        parts = dealt(df, source, *keys, of_a_split=2)
+        return df.repartition(*keys) if parts is df else parts
+
+    return deal
+
+
 def dealt_by(source: DataFrame) -> Callable[..., DataFrame]:
     """``dealt`` with its source, as operators take it that join often: with fewer and larger parts, as each costs every join a task."""
     return lambda df, *keys: dealt(df, source, *keys, of_a_split=2)
 
 
-def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", last: str | None = None) -> DataFrame:
-    """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew. A column ``last``, if named, says whether a row is its document's last."""
+def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", last: str | None = None, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """One row per paragraph: lines without spaces at their ends, longer than a character, no ornaments, numbered anew. A column ``last``, if named, says whether a row is its document's last. Documents are
+    spread, or dealt by their id."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) & ~x.rlike(ORNAMENT))
-    own = spread(docs.select(id_col, text_col))
+    own = docs.select(id_col, text_col)
+    own = deal(own, id_col) if deal else spread(own)
     if not last:
         return own.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("seg_idx", "text"))
     each = own.select(F.col(id_col).alias("doc_id"), lines.alias("__lines")).select("doc_id", F.size("__lines").alias("__n"), F.posexplode("__lines").alias("seg_idx", "text"))
